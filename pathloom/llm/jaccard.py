@@ -207,12 +207,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     edges = placed.join(heads, "bucket").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     comp = components(edges).withColumnRenamed("label", "comp")
 
-    sized = comp.groupBy("comp").agg(F.count("*").alias("size"))
-    tiled = comp.join(sized, "comp").withColumn("n_tiles", F.ceil(F.col("size") / tile).cast("int"))
+    large = comp.groupBy("comp").agg(F.count("*").alias("size")).filter(F.col("size") > tile)  # few: nodes / tile at most
+    tiled = comp.join(large, "comp", "left").withColumn("n_tiles", F.ceil(F.coalesce("size", F.lit(1)) / tile).cast("int"))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node", F.lit("tile")), F.col("n_tiles")).cast("int"))
     picked = stage(tiled.join(nodes, "node").select("node", "comp", "n_tiles", "tile", "first_id", F.col("n_copies").alias("weight")), "candidates")
     texts = rows.withColumnRenamed("node", "own")
-    texts = picked.join(texts, (F.col("node") == F.col("own")) & F.col("first_id").eqNullSafe(F.col("doc_id")))
+    # Always a merge join: a broadcast of the candidates would fit small inputs only.
+    texts = picked.hint("merge").join(texts, (F.col("node") == F.col("own")) & F.col("first_id").eqNullSafe(F.col("doc_id")))
     grouped = texts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1))).select("comp", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "node", "weight", "tile", "text")
     grouped = grouped.repartition(n_partitions(docs.sparkSession), "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node")
     floors, share = least_matches(threshold, tolerance, ROWS * BANDS), Fraction(str(threshold))
