@@ -116,42 +116,61 @@ def _passages(items: Items, words: np.ndarray, first: np.ndarray, slack: float):
     return doc, item, lo, hi
 
 
-def _scan(batches, items: Items, slack: float, share: float, least: int, doc_type: pa.DataType):
+def _found(texts, items: Items, slack: float, share: float, least: int) -> tuple[np.ndarray, ...]:
+    """(document, item, score, from word, to word) of the best passage of each document and item that is found."""
     length = np.diff(items.first)
-    for batch in batches:
-        for part in tk.slices(batch, "text"):
-            words, first = _words(part.column("text"))
-            doc, item, lo, hi = _passages(items, words, first, slack)
-            score = np.zeros(len(doc))
-            order = np.argsort(np.maximum(hi - lo, length[item]), kind="stable")
-            padded = np.append(words, np.zeros(1, np.uint64))
-            own = np.append(items.words, np.zeros(1, np.uint64))
-            for s in range(0, len(order), 256):
-                mine = order[s : s + 256]
-                cols = np.arange((hi - lo)[mine].max())
-                at = lo[mine, None] + cols
-                passages = padded[np.where(at < hi[mine, None], at, len(words))]
-                cols = np.arange(length[item[mine]].max())
-                at = items.first[item[mine], None] + cols
-                asked = own[np.where(cols < length[item[mine], None], at, len(items.words))]
-                score[mine] = align(asked, length[item[mine]], passages)
-            good = np.flatnonzero((score >= share * length[item]) & (score >= np.minimum(least, length[item])))
-            if not len(good):
-                continue
-            order = good[np.lexsort((lo[good], -score[good], item[good], doc[good]))]
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (doc[order][1:] != doc[order][:-1]) | (item[order][1:] != item[order][:-1])
-            top = order[new]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id").take(pa.array(doc[top])),
-                    pa.array(item[top]),
-                    pa.array(score[top] / length[item[top]]),
-                    pa.array(lo[top] - first[doc[top]]),
-                    pa.array(hi[top] - first[doc[top]]),
-                ],
-                schema=pa.schema([("doc_id", doc_type), ("item", pa.int64()), ("score", pa.float64()), ("from_word", pa.int64()), ("to_word", pa.int64())]),
-            )
+    words, first = _words(texts)
+    doc, item, lo, hi = _passages(items, words, first, slack)
+    score = np.zeros(len(doc))
+    order = np.argsort(np.maximum(hi - lo, length[item]), kind="stable")
+    padded = np.append(words, np.zeros(1, np.uint64))
+    own = np.append(items.words, np.zeros(1, np.uint64))
+    for s in range(0, len(order), 256):
+        mine = order[s : s + 256]
+        cols = np.arange((hi - lo)[mine].max())
+        at = lo[mine, None] + cols
+        passages = padded[np.where(at < hi[mine, None], at, len(words))]
+        cols = np.arange(length[item[mine]].max())
+        at = items.first[item[mine], None] + cols
+        asked = own[np.where(cols < length[item[mine], None], at, len(items.words))]
+        score[mine] = align(asked, length[item[mine]], passages)
+    good = np.flatnonzero((score >= share * length[item]) & (score >= np.minimum(least, length[item])))
+    order = good[np.lexsort((lo[good], -score[good], item[good], doc[good]))]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (item[order][1:] != item[order][:-1])
+    top = order[new]
+    return doc[top], item[top], score[top] / length[item[top]], lo[top] - first[doc[top]], hi[top] - first[doc[top]]
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, n: int, rare: float, block_bytes: int):
+    """The benchmark in blocks, each with its rare seeds as counted over all of docs."""
+    own = docs.select("text").filter("text is not null")
+    asked = benchmark.select("item_id", "text").filter("text is not null")
+    total = asked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-total // block_bytes))
+    for b in range(n_blocks):
+        block = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).toArrow()
+        block = block.sort_by([("item_id", "ascending"), ("text", "ascending")])
+        items = Items(block.column("item_id").to_pylist(), block.column("text").to_pylist(), n)
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def count(batches, sent=sent):
+            items = sent.value
+            total = np.zeros(len(items.seeds), dtype=np.int64)
+            for batch in batches:
+                for part in tk.slices(batch, "text"):
+                    words, first = _words(part.column("text"))
+                    _, seed = items.hits(tk.shingles(words, first, items.n, short=False)[0])
+                    total += np.bincount(seed, minlength=len(total))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["seed", "n"])
+
+        counts = np.zeros(len(items.seeds), dtype=np.int64)
+        if len(counts):
+            seen = own.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+            counts[seen.column("seed").to_numpy()] = seen.column("n").to_numpy()
+        items.keep_rare(counts, rare)
+        yield items, docs.sparkSession.sparkContext.broadcast(items)
 
 
 def contaminated(
@@ -172,44 +191,47 @@ def contaminated(
     must align. from_word, to_word: the words of the document that were
     aligned, counted from 0. Items of fewer than n words, null texts and empty
     tables give no row. Rows that repeat, in either table, are found each.
+    Other columns are left out.
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", "text").filter("text is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    asked = benchmark.select("item_id", "text").filter("text is not null")
-    total = asked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-total // block_bytes))
     found = None
-    for b in range(n_blocks):
-        block = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).toArrow()
-        block = block.sort_by([("item_id", "ascending"), ("text", "ascending")])
-        items = Items(block.column("item_id").to_pylist(), block.column("text").to_pylist(), n)
-        sent = spark.sparkContext.broadcast(items)
-
-        def count(batches, sent=sent):
-            items = sent.value
-            total = np.zeros(len(items.seeds), dtype=np.int64)
-            for batch in batches:
-                for part in tk.slices(batch, "text"):
-                    words, first = _words(part.column("text"))
-                    _, seed = items.hits(tk.shingles(words, first, items.n, short=False)[0])
-                    total += np.bincount(seed, minlength=len(total))
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["seed", "n"])
-
-        counts = np.zeros(len(items.seeds), dtype=np.int64)
-        if len(counts):
-            seen = own.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-            counts[seen.column("seed").to_numpy()] = seen.column("n").to_numpy()
-        items.keep_rare(counts, rare)
-        sent = spark.sparkContext.broadcast(items)
+    for items, sent in _blocks(docs, benchmark, n, rare, block_bytes):
 
         def scan(batches, sent=sent):
             for batch in batches:
-                yield from _scan([batch], sent.value, slack, share, least, batch.schema.field("doc_id").type)
+                for part in tk.slices(batch, "text"):
+                    doc, *rest = _found(part.column("text"), sent.value, slack, share, least)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), *map(pa.array, rest)], names=["doc_id", "item", "score", "from_word", "to_word"])
 
         got = own.mapInArrow(scan, f"doc_id {kind}, item long, score double, from_word long, to_word long")
         names = spark.createDataFrame([(i, x) for i, x in enumerate(items.ids)], f"item long, item_id {benchmark.schema['item_id'].dataType.simpleString()}")
         got = got.join(F.broadcast(names), "item").select("doc_id", "item_id", "score", "from_word", "to_word")  # at most block_bytes of items
         found = got if found is None else found.unionByName(got)
     return found
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    n: int = 4,
+    share: float = 0.5,
+    least: int = 8,
+    rare: float = 8.0,
+    slack: float = 0.25,
+    block_bytes: int = 8 << 20,
+) -> DataFrame:
+    """The rows of docs, with all their columns, in which no benchmark item is found; see contaminated. No shuffle of docs."""
+    out = docs
+    for _, sent in _blocks(docs, benchmark, n, rare, block_bytes):
+
+        def keep(batches, sent=sent):
+            for batch in batches:
+                for part in tk.slices(batch, "text"):
+                    clean = np.ones(part.num_rows, dtype=bool)
+                    clean[_found(part.column("text"), sent.value, slack, share, least)[0]] = False
+                    yield part.filter(pa.array(clean))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out

@@ -172,21 +172,8 @@ def _compare(batches, n: int, share: Fraction, floors: dict):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in close()], names=["node", "links", "root"])
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, tile: int = 256) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies: one row for each row of docs.
-
-    Similarity: Jaccard of the sets of n-word shingles, words split at white
-    space, A-Z in lower case; a text of fewer than n words has one shingle, all
-    its words. Links join texts of at least the threshold; class_id is the
-    smallest doc_id of the connected component. n_links: how many other rows
-    are linked, copies included; n_copies: how many rows have exactly this text.
-    Null texts and texts without words link to nothing, each row a class of its
-    own. Null ids: never a class_id unless the class has no other. Rows that
-    repeat are copies. An empty table gives an empty result.
-
-    A pair of similarity 0.8 shares no band with probability 4e-7 and is pruned
-    with at most the tolerance; no pair is accepted without exact verification.
-    """
+def _known(docs: DataFrame, n: int, threshold: float, tolerance: float, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(signed, known): rows (doc_id, node, has), and nodes with first_id, class_id, lead (the class's own node), links, n_copies."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches):
@@ -221,12 +208,46 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     label = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = nodes.join(counts, "node", "left").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    class_ids = known.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    known = known.join(class_ids, "label").select("node", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "n_copies")
+    lead = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", F.col("node").alias("lead"))).alias("l")
+    leads = known.groupBy("label").agg(lead).select("label", F.col("l.first_id").alias("class_id"), "l.lead")
+    known = known.join(leads, "label").select("node", "first_id", "class_id", "lead", F.coalesce("links", F.lit(0)).alias("links"), "n_copies")
+    return signed.select("doc_id", "node", "has"), known
+
+
+def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, tile: int = 256) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies: one row for each row of docs.
+
+    Similarity: Jaccard of the sets of n-word shingles, words split at white
+    space, A-Z in lower case; a text of fewer than n words has one shingle, all
+    its words. Links join texts of at least the threshold; class_id is the
+    smallest doc_id of the connected component. n_links: how many other rows
+    are linked, copies included; n_copies: how many rows have exactly this text.
+    Null texts and texts without words link to nothing, each row a class of its
+    own. Null ids: never a class_id unless the class has no other. Rows that
+    repeat are copies. An empty table gives an empty result.
+
+    A pair of similarity 0.8 shares no band with probability 4e-7 and is pruned
+    with at most the tolerance; no pair is accepted without exact verification.
+    """
+    signed, known = _known(docs, n, threshold, tolerance, tile)
     out = signed.select("doc_id", F.when(F.col("has"), F.col("node")).alias("own")).join(known, F.col("own") == F.col("node"), "left")
     return out.select(
         "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.when(F.col("own").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce(F.col("links") + F.col("n_copies") - 1, F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )
+
+
+def one_per_class(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, tile: int = 256) -> DataFrame:
+    """The rows of docs, with all their columns, that lead their class (see jaccard_classes); one of rows that repeat.
+
+    Rows without any word link to nothing and all stay.
+    """
+    _, known = _known(docs, n, threshold, tolerance, tile)
+    null_id = F.lit(2**63 - 1)
+    keep = known.filter("node = lead").select(F.coalesce(F.col("first_id").cast("long"), null_id).alias("__id"), F.col("node").alias("__node"))
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.filter(~wordless).withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), null_id), "__node": F.xxhash64("text")})
+    led = keyed.join(keep, ["__id", "__node"], "left_semi").dropDuplicates(["__id", "__node"]).drop("__id", "__node")
+    return led.unionByName(docs.filter(wordless))

@@ -127,6 +127,21 @@ def _vote(sims: np.ndarray, votes: np.ndarray, prior: float, softness: float) ->
     return (for1 + prior) / (all_ + 1.0)
 
 
+def _scores(texts, model, k: int, softness: float) -> np.ndarray:
+    vocabulary, index, without, prior = model
+    doc, col, w, n = vocabulary.vectors(texts)
+    out = np.full(n, without)
+    has = np.unique(doc)
+    for s in range(0, len(has), 256) if index.blocks else ():
+        mine = has[s : s + 256]
+        lo, hi = np.searchsorted(doc, [mine[0], mine[-1] + 1])
+        q = np.zeros((len(mine), index.width))
+        q[np.searchsorted(mine, doc[lo:hi]), col[lo:hi]] = w[lo:hi]
+        sims, found = index.nearest(q, k)
+        out[mine] = _vote(sims, index.votes[found], prior, softness)
+    return np.clip(out, 0.0, 1.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, most_examples: int = 4096, most_terms: int = 1024):
     """(vocabulary, index, share of label 1 without any term, prior) from labelled rows that aren't held out.
 
@@ -188,22 +203,24 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, k: int = 16, softness: fl
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        vocabulary, index, without, prior = sent.value
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                doc, col, w, n = vocabulary.vectors(part.column("text"))
-                out = np.full(n, without)
-                has = np.unique(doc)
-                for s in range(0, len(has), 256) if index.blocks else ():
-                    mine = has[s : s + 256]
-                    lo, hi = np.searchsorted(doc, [mine[0], mine[-1] + 1])
-                    q = np.zeros((len(mine), index.width))
-                    q[np.searchsorted(mine, doc[lo:hi]), col[lo:hi]] = w[lo:hi]
-                    sims, found = index.nearest(q, k)
-                    out[mine] = _vote(sims, index.votes[found], prior, softness)
-                out = np.clip(out, 0.0, 1.0)
+                out = _scores(part.column("text"), sent.value, k, softness)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(score, f"doc_id {kind}, score double, predicted int")
     return out.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "score", "predicted")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, k: int = 16, softness: float = 0.05, modulus: int = 5, remainder: int = 0, **bounds) -> DataFrame:
+    """The rows of docs, with all their columns, whose score stays under 0.5; see score_toxicity. No shuffle of docs."""
+    model = fit(docs, labels, modulus, remainder, **bounds)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for batch in batches:
+            for part in tk.slices(batch, "text"):
+                yield part.filter(pa.array(_scores(part.column("text"), sent.value, k, softness) < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
