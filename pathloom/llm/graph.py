@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import stage
+from .session import discard, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         jump = nearer.select(F.col("node").alias("via"), F.col("label").alias("further"))
         after = nearer.join(jump, nearer["label"] == jump["via"]).select("node", "was", F.least("label", "further").alias("label"))
         after = stage(after, "labels")
-        moved = after.filter("label <> was").limit(1).count()
-        labels = after.select("node", "label")
-        if not moved:
-            return labels
+        discard(labels, nearer)
+        labels = after
+        if not after.filter("label <> was").limit(1).count():
+            discard(both)
+            return after.select("node", "label")

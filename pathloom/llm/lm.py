@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .session import held_out, n_partitions, stage
+from .session import discard, held_out, n_partitions, stage
 
 DEPTH = 5
 GRAM, WORD = 0, 1
@@ -73,7 +73,7 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return key[at], np.add.reduceat(n, at) if len(at) else n[:0]
 
 
-def _asked(batches, most: int = 1 << 22):
+def _asked(batches, most: int = 1 << 20):
     """(kind, key, chunk, n): what each chunk holds; n counts the training text. A chunk may tell a key more than once."""
     held: dict[tuple[int, int], list] = {}
 
@@ -276,7 +276,7 @@ def _score_chunk(docs: pa.Table, known: pa.Table, n_train: int, n_types: int) ->
     return pa.Table.from_batches(out) if out else pa.table({})
 
 
-def score_documents(docs: DataFrame, modulus: int = 5, remainder: int = 1, chunk_bytes: int = 48 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 5, remainder: int = 1, chunk_bytes: int = 48 << 20, least_chunks: int = 24) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes: one row for each row of docs.
 
     Learns from the rows whose crc32(doc_id as text) doesn't leave `remainder`
@@ -292,9 +292,9 @@ def score_documents(docs: DataFrame, modulus: int = 5, remainder: int = 1, chunk
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks = max(parts, -(-total // chunk_bytes))
+    chunks = max(least_chunks, -(-total // chunk_bytes))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(chunks)).cast("int"))
-    asked = stage(rows.repartition(parts, "chunk").mapInArrow(_asked, "kind int, key long, chunk int, n long"), "lm-asked")
+    asked = stage(rows.repartition(max(parts, chunks), "chunk").mapInArrow(_asked, "kind int, key long, chunk int, n long"), "lm-asked")
     counts = stage(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
     grams = counts.filter(F.col("kind") == GRAM).select("key", "n").repartition(parts, F.shiftrightunsigned("key", 24)).sortWithinPartitions("key")
     upper = grams.mapInArrow(lambda it: _contexts(it, _up), "context long, node long, zeros double, ones double, log_w double")
@@ -306,5 +306,7 @@ def score_documents(docs: DataFrame, modulus: int = 5, remainder: int = 1, chunk
     n_train, n_types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     values = scored.select(F.lit(GRAM).alias("kind"), "key", "value").unionByName(words.select("kind", "key", F.col("n").cast("double").alias("value")))
     answers = asked.select("kind", "key", "chunk").join(values, ["kind", "key"]).select("chunk", "kind", "key", "value")
+    answers = stage(answers, "lm-answers")
+    discard(asked, counts)
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: _score_chunk(a, b, n_train, n_types), schema)

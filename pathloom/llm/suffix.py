@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .session import n_partitions, stage
+from .session import discard, n_partitions, stage
 
 LONGEST = 4096  # strings in a segment; longer runs are cut
 
@@ -287,6 +287,7 @@ def repeated_ranges(docs: DataFrame, length: int = 100, k: int = 20, most: int =
     mine = found.join(often, "key").groupBy("did", "th").agg(F.collect_set(F.struct("key", "packed")).alias("found"))
     content = docs.join(mine, ["did", "th"]).select("did", "th", "text", "found").mapInArrow(lambda it: _contents(it, length), SEGMENT)
     content = stage(content.withColumn("ch", F.xxhash64("content")), "segments")
+    discard(often)
 
     here = F.struct("did", "th", "start")
     first = content.groupBy("key", "ch").agg(F.min(F.struct("did", "th", "start", "n", "content")).alias("f"), F.max("twice").alias("twice"))
@@ -307,7 +308,9 @@ def repeated_ranges(docs: DataFrame, length: int = 100, k: int = 20, most: int =
     wide = wide.select("did", "th", (F.col("start") + F.col("at")).alias("start"), F.xxhash64(string).alias("h1"), F.xxhash64(F.lit(1), string).alias("h2"))
     lead = wide.groupBy("h1", "h2").agg(F.min(here).alias("lead"))
     again = wide.join(lead, ["h1", "h2"]).filter(here != F.col("lead"))
-    return stage(out.unionByName(again.select("did", "th", *_range(F.col("start"), F.col("start") + length))), "ranges")
+    ranges = stage(out.unionByName(again.select("did", "th", *_range(F.col("start"), F.col("start") + length))), "ranges")
+    discard(content, first, width)
+    return ranges
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, k: int = 20, most: int = 4096) -> DataFrame:
