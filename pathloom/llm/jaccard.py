@@ -191,7 +191,10 @@ def _known(docs: DataFrame, n: int, threshold: float, tolerance: float, tile: in
     nodes = signed.filter("has").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"))
     placed = signed.filter("has").select("node", F.explode("buckets").alias("bucket"))
     heads = placed.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("other")).filter("head < other").select("bucket", "head")
-    edges = placed.join(heads, "bucket").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    # A node goes to the smallest of its heads, and its other heads go there too: a large group has few heads.
+    headed = placed.join(heads, "bucket").filter("node <> head").groupBy("node").agg(F.array_sort(F.collect_set("head")).alias("heads"))
+    to = F.col("heads")[0].alias("b")
+    edges = headed.select(F.col("node").alias("a"), to).unionByName(headed.select(F.explode("heads").alias("a"), to).filter("a <> b").distinct())
     comp = components(edges).withColumnRenamed("label", "comp")
 
     large = comp.groupBy("comp").agg(F.count("*").alias("size")).filter(F.col("size") > tile)  # few: nodes / tile at most
