@@ -42,6 +42,23 @@ def cache_is_usable(n_files: int, cached_files: int) -> bool:
     return abs(n_files - cached_files) <= max(n_files // 100, 100)
 
 
+def save(rows: DataFrame, catalog: DataFrame, folder: str) -> None:
+    """Postings, with the number of files and the next free id they stand for. The facts are written last: without them nothing is there."""
+    rows.repartition("trigram").sortWithinPartitions("trigram").write.mode("overwrite").parquet(f"{folder}/postings")
+    facts = catalog.agg(F.count("*").alias("files"), (F.coalesce(F.max("id"), F.lit(0)) + 1).alias("next_id"))
+    facts.write.mode("overwrite").parquet(f"{folder}/facts")
+
+
+def load(catalog: DataFrame, folder: str) -> DataFrame:
+    """Saved postings brought up to the catalog: rows of deleted files go, those of newer files come. Too far off: made anew."""
+    spark = catalog.sparkSession
+    facts = spark.read.parquet(f"{folder}/facts").first()
+    if not cache_is_usable(catalog.count(), facts.files):
+        return postings(catalog)
+    kept = spark.read.parquet(f"{folder}/postings").join(catalog.select("id"), "id", "left_semi").select("trigram", "id")
+    return backfill(kept, catalog, facts.next_id)
+
+
 def rebuild(files: DataFrame, stored: DataFrame) -> DataFrame:
     """(id, trigrams): stored ones where there are any, else computed."""
     return files.join(stored.select("id", F.col("trigrams").alias("__stored")), "id", "left").select("id", F.coalesce("__stored", path_trigrams(F.col("path"))).alias("trigrams"))

@@ -569,6 +569,39 @@ def mode_text(spark, d):
     return fx.catalog(spark, d).select("path", formats.mode_text(mode.cast("int")).alias("shown"))
 
 
+@query(
+    "date_text",
+    _sql(f"""select path, case when strftime(t, '%Y-%m-%d') = '2024-01-31' then clock when strftime(t, '%Y') = '2024' then concat(strftime(t, '%b %-d '), clock) else concat(strftime(t, '%Y-%m-%d '), clock) end as shown
+             from (select path, t, lower(strftime(t, '%-I:%M %p')) as clock from (select path, to_timestamp(mtime + 2000000) at time zone 'UTC' as t from catalog) a) b"""),
+)
+def date_text(spark, d):
+    return fx.catalog(spark, d).select("path", formats.date_text(F.col("mtime") + 2_000_000, fx.NOW).alias("shown"))
+
+
+@query("duration_text", _sql("select path, concat(cast(size // 60 as varchar), ':', lpad(cast(size % 60 as varchar), 2, '0')) as shown from catalog"))
+def duration_text(spark, d):
+    return fx.catalog(spark, d).select("path", formats.duration_text(F.col("size")).alias("shown"))
+
+
+@query("owner_name", _sql("select path, case size % 4 when 0 then 'root' when 1 then 'daemon' else cast(size % 4 as varchar) end as owner from catalog"))
+def owner_name(spark, d):
+    return fx.catalog(spark, d).select("path", formats.owner_name(F.col("size") % 4, {0: "root", 1: "daemon"}).alias("owner"))
+
+
+@query("open_counts", _sql("select concat('user-', user_id) as file, count(*) as open_count, max(cast(floor(epoch(ts)) as bigint)) as last_opened from events where event_type = 'view' group by user_id"))
+def open_counts(spark, d):
+    seen = spark.read.parquet(f"{d}/events.parquet").filter("event_type = 'view'")
+    return feed.open_counts(seen.select(F.concat(F.lit("user-"), "user_id").alias("file"), F.col("ts").cast("timestamp").alias("ts")))
+
+
+@query("refined_search", _found("contains(lower(path), 'blue_gear')", most=2000))
+def refined_search(spark, d):
+    """The second search is answered from the rows of the first."""
+    engine = search.Engine(fx.catalog(spark, d), fx.ROOTS, most=2000, cache=True)
+    engine.search("blue_ge")
+    return engine.search("blue_gear")
+
+
 @query("tag_input", "select doc_id, array_to_string(list_filter(list_transform(string_split(t, ','), lambda x: trim(x)), lambda x: x <> ''), '|') as parsed, not regexp_matches(source, '[,]') as valid from (select doc_id, source, concat(lang, ', ', source, ',,  ', lang, ' x ,') as t from documents) s")
 def tag_input(spark, d):
     rows = spark.read.parquet(f"{d}/documents.parquet")

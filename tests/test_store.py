@@ -174,6 +174,17 @@ def test_ids_are_gapless_and_never_given_again(spark):
     assert ids == list(range(42, 542))
 
 
+def test_saved_index_is_brought_up_to_date(spark, tmp_path):
+    from pathloom.operators import index
+
+    rows = spark.createDataFrame([(1, "/data/alpha"), (2, "/data/beta"), (3, "/data/gone")], "id long, path string")
+    index.save(index.postings(rows), rows, str(tmp_path))
+    now = rows.filter("id < 3").unionByName(spark.createDataFrame([(4, "/data/new")], "id long, path string"))
+    pairs = lambda x: sorted((bytes(r.trigram), r.id) for r in x.collect())
+    assert pairs(index.load(now, str(tmp_path))) == pairs(index.postings(now))
+    assert not index.cache_is_usable(1000, 1101) and index.cache_is_usable(20000, 20200)
+
+
 def test_subtree_delete_takes_names_as_they_are(spark):
     rows = spark.createDataFrame([("/mnt/my_dir/c.txt", False, 1, 1), ("/mnt/myxdir/d.txt", False, 1, 1), ("/mnt/my_dir", True, 1, 0)], ROWS)
     assert [r.path for r in cat.delete_subtree(rows, "/mnt/my_dir").collect()] == ["/mnt/myxdir/d.txt"]
