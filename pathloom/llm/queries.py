@@ -75,6 +75,35 @@ def queries() -> dict:
 
 
 ORACLE = {
+    "op1_suffix_dedup": """
+        with b as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+        w as (select doc_id, s, md5(substr(h, 2 * s + 1, 200)) as k from (select doc_id, h, unnest(range(0, greatest(n - 99, 0))) as s from b) x),
+        r as (select doc_id, s from (select doc_id, s, row_number() over (partition by k order by doc_id, s) as place from w) x where place > 1),
+        i as (select doc_id, s, sum(new) over (partition by doc_id order by s) as span from (
+              select doc_id, s, case when s - lag(s) over (partition by doc_id order by s) <= 100 then 0 else 1 end as new from r) x),
+        p as (select doc_id, min(s) as lo, max(s) + 100 as hi from i group by doc_id, span),
+        q as (select *, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as before from p),
+        g as (select q.doc_id, sum(hi - lo) as gone, count(*) as spans, max(hi) as last, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' order by lo) as kept
+              from q join b on q.doc_id = b.doc_id group by q.doc_id)
+        select b.doc_id, cast(n as bigint) as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans,
+               sha256(unhex(case when g.doc_id is null then h else kept || substr(h, 2 * last + 1) end)) as kept_sha256
+        from b left join g on b.doc_id = g.doc_id
+    """,
+    "op2_jaccard_join": r"""
+        with recursive t as (select doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+              else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as shingle from t),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+        l as (select x, y from p join n nx on x = nx.doc_id join n ny on y = ny.doc_id where c * 5 >= 4 * (nx.n + ny.n - c)),
+        e as (select x, y from l union all select y, x from l),
+        reach as (select x, y from e union select r.x, e.y from reach r join e on r.y = e.x),
+        c as (select x, min(y) as least from reach group by x),
+        k as (select x, count(*) as links from e group by x),
+        d as (select text, count(*) as n from t where len(w) > 0 group by text)
+        select t.doc_id, least(t.doc_id, coalesce(c.least, t.doc_id)) as class_id, cast(coalesce(k.links, 0) as bigint) as n_links, cast(coalesce(d.n, 1) as bigint) as n_copies
+        from t left join c on t.doc_id = c.x left join k on t.doc_id = k.x left join d on t.text = d.text
+    """,
     "op3_url_filters": r"""
         with u as (select page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1) as h,
                           regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages),
