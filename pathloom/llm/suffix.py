@@ -215,7 +215,7 @@ def _content_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["key", "did", "th", "start", "n", "twice", "content"])
 
 
-def _sort_groups(batches, length: int, target: int = 1 << 20):
+def _sort_groups(batches, length: int, target: int = 1 << 18):
     """Rows sorted by anchor; whole anchors are put together to texts of about `target` bytes."""
     held: list[pa.RecordBatch] = []
     bytes_held = 0
