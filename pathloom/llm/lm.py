@@ -73,7 +73,7 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return key[at], np.add.reduceat(n, at) if len(at) else n[:0]
 
 
-def _asked(batches, most: int = 1 << 20):
+def _asked(batches, most: int = 1 << 21):
     """(kind, key, chunk, n): what each chunk holds; n counts the training text. A chunk may tell a key more than once."""
     held: dict[tuple[int, int], list] = {}
 
@@ -276,7 +276,7 @@ def _score_chunk(docs: pa.Table, known: pa.Table, n_train: int, n_types: int) ->
     return pa.Table.from_batches(out) if out else pa.table({})
 
 
-def score_documents(docs: DataFrame, modulus: int = 5, remainder: int = 1, chunk_bytes: int = 48 << 20, least_chunks: int = 24) -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 5, remainder: int = 1, chunk_bytes: int = 48 << 20, least_chunks: int = 32) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes: one row for each row of docs.
 
     Learns from the rows whose crc32(doc_id as text) doesn't leave `remainder`
