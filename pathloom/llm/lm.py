@@ -73,8 +73,11 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return key[at], np.add.reduceat(n, at) if len(at) else n[:0]
 
 
-def _asked(batches, most: int = 1 << 21):
-    """(kind, key, chunk, n): what each chunk holds; n counts the training text. A chunk may tell a key more than once."""
+SLICE = 1 << 18  # bytes of text at once
+
+
+def _asked(batches, most: int = 1 << 22):
+    """(kind, key, chunk, n): what each chunk holds; n counts the training text. A chunk of over `most` keys may tell one more than once."""
     held: dict[tuple[int, int], list] = {}
 
     def out(kind, chunk, key, n):
@@ -84,7 +87,7 @@ def _asked(batches, most: int = 1 << 21):
         chunks = batch.column("chunk").to_numpy()
         for chunk in np.unique(chunks):
             own = batch.filter(pa.array(chunks == chunk))
-            for part in tk.slices(own, "text"):
+            for part in tk.slices(own, "text", SLICE):
                 flat = tk.flat(part.column("text"))
                 training = ~part.column("held_out").to_numpy(zero_copy_only=False)
                 for kind, make in ((GRAM, byte_strings), (WORD, tokens)):
@@ -94,15 +97,17 @@ def _asked(batches, most: int = 1 << 21):
                     rest = np.unique(key[~learn])
                     mine = held.setdefault((kind, int(chunk)), [])
                     mine += [(seen, n.astype(np.int64)), (rest, np.zeros(len(rest), np.int64))]
-                    if sum(len(p[0]) for p in mine) > most:
+                    if sum(len(p[0]) for p in mine[1:]) > max(1 << 18, len(mine[0][0])):
                         mine[:] = [_merge(mine)]
-                        if len(mine[0][0]) > most // 2:
+                        if len(mine[0][0]) > most:
                             yield out(kind, chunk, *mine.pop())
     for (kind, chunk), mine in held.items():
         if mine:
             key, n = _merge(mine)
             for s in range(0, len(key), 1 << 17):
                 yield out(kind, chunk, key[s : s + (1 << 17)], n[s : s + (1 << 17)])
+            mine.clear()
+    tk.release()
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -262,7 +267,7 @@ def _score_chunk(docs: pa.Table, known: pa.Table, n_train: int, n_types: int) ->
         tables[k] = own, value[kind == k][at]
     out = []
     for batch in docs.combine_chunks().to_batches():
-        for part in tk.slices(batch, "text"):
+        for part in tk.slices(batch, "text", SLICE):
             flat = tk.flat(part.column("text"))
             key, first = byte_strings(*flat)
             score = np.add.reduceat(_look_up(*tables[GRAM], key), first[:-1])
@@ -273,6 +278,7 @@ def _score_chunk(docs: pa.Table, known: pa.Table, n_train: int, n_types: int) ->
             n = part.num_rows
             cols = [part.column("doc_id"), part.column("held_out"), pa.array(np.diff(first)), pa.array(known_), pa.array(np.full(n, n_train, np.int64)), pa.array(base), pa.array(score), pa.array(np.diff(flat[1]))]
             out.append(pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]))
+    tk.release()
     return pa.Table.from_batches(out) if out else pa.table({})
 
 

@@ -7,6 +7,9 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -37,6 +40,13 @@ def _power(base: int, n: int) -> np.ndarray:
     return have
 
 
+def release() -> None:
+    """Give memory that a finished task has freed back to the system: workers live on, and their executor's limit counts it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all output bits."""
     x = x ^ (x >> np.uint64(30))
