@@ -1,12 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
 
 The benchmark is a stated query set: it is taken in blocks of bounded text, and
 each block meets all documents in two scans. The first counts how often each
-item's word n-grams (seeds) occur in the corpus; seeds far more frequent than
-their item's usual ones say nothing and are left out. The second joins passages
-to items on the rare seeds and scores the passage around each by local
-alignment over words, so that edited and paraphrased copies still count.
+item's pairs of neighbouring words (seeds) occur in the corpus. The second
+meets passages by an item's rarest seeds and scores the passage around each by
+local alignment over words, so that edited and paraphrased copies still count.
 Documents are never shuffled.
+
+Seeds lose nothing. A score of t takes m matched words and at most m - t breaks
+between them, so at least t - 1 pairs of neighbours are whole. An item of n
+words has n - 1 pairs: one of its n - t + 1 rarest is always there, however
+often each occurs. Counts choose which seeds are looked up, never what is found.
 """
 
 from __future__ import annotations
@@ -31,24 +35,38 @@ def _words(texts) -> tuple[np.ndarray, np.ndarray]:
     return tk.word_hashes(_PLAIN[raw], offsets)
 
 
+def _seeds(words: np.ndarray, first: np.ndarray, single: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hash, place of its first word) of each pair of neighbouring words, then, if single, of each word; and the number of pairs."""
+    pairs = np.ones(len(words), dtype=bool)
+    pairs[first[1:][np.diff(first) > 0] - 1] = False
+    pairs = np.flatnonzero(pairs)
+    h, _ = tk.shingles(words, first, 2, short=False)
+    if not single:
+        return h, pairs, len(pairs)
+    return np.concatenate([h, words]), np.concatenate([pairs, np.arange(len(words))]), len(pairs)
+
+
 class Items:
     """A block of benchmark items with its seeds."""
 
-    def __init__(self, ids: list, texts: list, n: int):
-        self.ids, self.n = ids, n
+    def __init__(self, ids: list, texts: list, share: float, least: int):
+        self.ids = ids
         self.words, self.first = _words(pa.array(texts, pa.large_string()))
-        h, at = tk.shingles(self.words, self.first, n, short=False)
-        item = np.repeat(np.arange(len(ids)), np.diff(at))
-        place = np.arange(len(h)) - at[item]
-        order = np.lexsort((place, item, h))
-        self._set(h[order], item[order], place[order])
-
-    def _set(self, h, item, place):
-        self.h, self.item, self.place = h, item, place
-        self.seeds, self.at = np.unique(h, return_index=True)
-        self.at = np.append(self.at, len(h))
+        self.length = np.diff(self.first)
+        # The lowest score that counts; scores are whole numbers.
+        self.need = np.maximum(np.ceil(np.maximum(share * self.length, np.minimum(least, self.length)) - 1e-9), 1).astype(np.int64)
+        self.room = np.maximum(self.length - self.need, 0)  # gaps that leave that score
+        h, word, n_pairs = _seeds(self.words, self.first, True)
+        item = np.searchsorted(self.first, word, side="right") - 1
+        # A score of 1 needs no whole pair: single words are the seeds.
+        use = (np.arange(len(h)) >= n_pairs) == (self.need[item] == 1)
+        self.item, self.place = item[use], (word - self.first[item])[use]
+        self.single = bool((self.need[item] == 1).any())
+        self.seeds, self.seed = np.unique(h[use], return_inverse=True)
+        self.pairs = np.unique(self.item * len(self.seeds) + self.seed)
         self.table = np.zeros(1 << 20, dtype=bool)
         self.table[self.seeds >> np.uint64(44)] = True
+        self.keep_rare(np.zeros(len(self.seeds), dtype=np.int64))
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in h, seed) of those that are seeds."""
@@ -59,17 +77,15 @@ class Items:
         same = self.seeds[seed] == h[maybe]
         return maybe[same], seed[same]
 
-    def keep_rare(self, counts: np.ndarray, slack: float) -> None:
-        """Drop an item's seeds that occur more than slack times as often as the item's median seed."""
-        per_seed = (counts + 1) * np.diff(self.at)  # items that share a seed count too
-        each = np.repeat(per_seed, np.diff(self.at)).astype(np.float64)
-        usual = np.zeros(len(self.ids))
-        order = np.lexsort((each, self.item))
-        lo = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
-        for i in np.flatnonzero(np.diff(lo)):
-            usual[i] = each[order[(lo[i] + lo[i + 1] - 1) // 2]]
-        rare = each <= slack * usual[self.item]
-        self._set(self.h[rare], self.item[rare], self.place[rare])
+    def keep_rare(self, counts: np.ndarray) -> None:
+        """Look passages up by each item's rarest seeds, as many as one must be there of."""
+        order = np.lexsort((self.place, counts[self.seed], self.item))
+        item = self.item[order]
+        rank = np.arange(len(item)) - np.searchsorted(item, item)
+        order = order[rank <= self.room[item]]
+        order = order[np.lexsort((self.place[order], self.item[order], self.seed[order]))]
+        self.anchors = self.item[order], self.place[order]
+        self.at = np.searchsorted(self.seed[order], np.arange(len(self.seeds) + 1))
 
 
 def align(item_words: np.ndarray, lengths: np.ndarray, passages: np.ndarray, match: float = 1.0, miss: float = -1.0, gap: float = -1.0) -> np.ndarray:
@@ -88,45 +104,66 @@ def align(item_words: np.ndarray, lengths: np.ndarray, passages: np.ndarray, mat
     return best
 
 
-def _passages(items: Items, words: np.ndarray, first: np.ndarray, slack: float):
-    """Windows to align: (document, item, first word, end), one for each run of near diagonals."""
-    h, at = tk.shingles(words, first, items.n, short=False)
+def _enough(items: Items, seed_of: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether each window holds as many of its item's word pairs as the lowest score takes."""
+    held = np.flatnonzero(seed_of >= 0)
+    s, e = np.searchsorted(held, lo), np.searchsorted(held, hi - 1)
+    out = items.need[item] <= 1
+    n = np.maximum(e - s, 0)
+    part = np.cumsum(n) >> 20  # so many at a time
+    for mine in np.split(np.arange(len(item)), np.flatnonzero(np.diff(part)) + 1):
+        each = np.repeat(mine, n[mine])
+        inner = np.arange(len(each)) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
+        asked = item[each] * len(items.seeds) + seed_of[held[s[each] + inner]]
+        use = np.minimum(np.searchsorted(items.pairs, asked), len(items.pairs) - 1)
+        got = np.bincount(each[items.pairs[use] == asked] - mine[0], minlength=len(mine)) if len(each) else 0
+        out[mine] |= got >= items.need[item[mine]] - 1
+    return out
+
+
+def _passages(items: Items, words: np.ndarray, first: np.ndarray):
+    """Windows to align: (document, item, first word, end), one for each group of near diagonals."""
+    h, word, n_pairs = _seeds(words, first, items.single)
     pos, seed = items.hits(h)
-    n_items = np.diff(items.at)[seed]
+    seed_of = np.full(len(words), -1)
+    seed_of[word[pos[pos < n_pairs]]] = seed[pos < n_pairs]
+    n_items = np.diff(items.at)[seed] if len(seed) else seed
     pos, seed = np.repeat(pos, n_items), np.repeat(seed, n_items)
     inner = np.arange(len(seed)) - np.repeat(np.cumsum(n_items) - n_items, n_items)
     use = items.at[seed] + inner
-    item, place = items.item[use], items.place[use]
-    doc = np.searchsorted(at, pos, side="right") - 1
-    word = first[doc] + pos - at[doc]
+    item, place = items.anchors[0][use], items.anchors[1][use]
+    word = word[pos]
+    doc = np.searchsorted(first, word, side="right") - 1
     diagonal = word - place
     order = np.lexsort((diagonal, item, doc))
     doc, item, diagonal = doc[order], item[order], diagonal[order]
     if not len(doc):
         return doc, item, diagonal, diagonal
-    length = np.diff(items.first)
-    room = (length * slack).astype(np.int64) + 2
+    room = items.room[item]
+    cell = (diagonal - first[doc]) // (room + 1)
     new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > room[item[1:]])
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (cell[1:] != cell[:-1])
     s = np.flatnonzero(new)
     e = np.append(s[1:], len(doc)) - 1
-    doc, item, lo, hi = doc[s], item[s], diagonal[s], diagonal[e]
-    lo = np.maximum(lo - room[item], first[doc])
-    hi = np.minimum(hi + length[item] + room[item], first[doc + 1])
-    return doc, item, lo, hi
+    doc, item, lo, hi, room = doc[s], item[s], diagonal[s], diagonal[e], room[s]
+    lo = np.maximum(lo - room, first[doc])
+    hi = np.minimum(hi + items.length[item] + room, first[doc + 1])
+    good = _enough(items, seed_of, item, lo, hi)
+    return doc[good], item[good], lo[good], hi[good]
 
 
-def _found(texts, items: Items, slack: float, share: float, least: int) -> tuple[np.ndarray, ...]:
+def _found(texts, items: Items) -> tuple[np.ndarray, ...]:
     """(document, item, score, from word, to word) of the best passage of each document and item that is found."""
-    length = np.diff(items.first)
+    length = items.length
     words, first = _words(texts)
-    doc, item, lo, hi = _passages(items, words, first, slack)
+    doc, item, lo, hi = _passages(items, words, first)
     score = np.zeros(len(doc))
     order = np.argsort(np.maximum(hi - lo, length[item]), kind="stable")
     padded = np.append(words, np.zeros(1, np.uint64))
     own = np.append(items.words, np.zeros(1, np.uint64))
-    for s in range(0, len(order), 256):
-        mine = order[s : s + 256]
+    step = max(1, min(256, (1 << 20) // max(1, (hi - lo).max(initial=0))))
+    for s in range(0, len(order), step):
+        mine = order[s : s + step]
         cols = np.arange((hi - lo)[mine].max())
         at = lo[mine, None] + cols
         passages = padded[np.where(at < hi[mine, None], at, len(words))]
@@ -134,7 +171,7 @@ def _found(texts, items: Items, slack: float, share: float, least: int) -> tuple
         at = items.first[item[mine], None] + cols
         asked = own[np.where(cols < length[item[mine], None], at, len(items.words))]
         score[mine] = align(asked, length[item[mine]], passages)
-    good = np.flatnonzero((score >= share * length[item]) & (score >= np.minimum(least, length[item])))
+    good = np.flatnonzero(score >= items.need[item])
     order = good[np.lexsort((lo[good], -score[good], item[good], doc[good]))]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (doc[order][1:] != doc[order][:-1]) | (item[order][1:] != item[order][:-1])
@@ -142,8 +179,8 @@ def _found(texts, items: Items, slack: float, share: float, least: int) -> tuple
     return doc[top], item[top], score[top] / length[item[top]], lo[top] - first[doc[top]], hi[top] - first[doc[top]]
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, n: int, rare: float, block_bytes: int):
-    """The benchmark in blocks, each with its rare seeds as counted over all of docs."""
+def _blocks(docs: DataFrame, benchmark: DataFrame, share: float, least: int, block_bytes: int):
+    """The benchmark in blocks, each with its rarest seeds as counted over all of docs."""
     own = docs.select("text").filter("text is not null")
     asked = benchmark.select("item_id", "text").filter("text is not null")
     total = asked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -151,7 +188,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, n: int, rare: float, block_by
     for b in range(n_blocks):
         block = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).toArrow()
         block = block.sort_by([("item_id", "ascending"), ("text", "ascending")])
-        items = Items(block.column("item_id").to_pylist(), block.column("text").to_pylist(), n)
+        items = Items(block.column("item_id").to_pylist(), block.column("text").to_pylist(), share, least)
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def count(batches, sent=sent):
@@ -160,7 +197,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, n: int, rare: float, block_by
             for batch in batches:
                 for part in tk.slices(batch, "text"):
                     words, first = _words(part.column("text"))
-                    _, seed = items.hits(tk.shingles(words, first, items.n, short=False)[0])
+                    _, seed = items.hits(_seeds(words, first, items.single)[0])
                     total += np.bincount(seed, minlength=len(total))
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["seed", "n"])
@@ -169,18 +206,15 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, n: int, rare: float, block_by
         if len(counts):
             seen = own.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
             counts[seen.column("seed").to_numpy()] = seen.column("n").to_numpy()
-        items.keep_rare(counts, rare)
+        items.keep_rare(counts)
         yield items, docs.sparkSession.sparkContext.broadcast(items)
 
 
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
-    n: int = 4,
     share: float = 0.5,
     least: int = 8,
-    rare: float = 8.0,
-    slack: float = 0.25,
     block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """doc_id, item_id, score, from_word, to_word: one row for each document and item found in it.
@@ -189,20 +223,20 @@ def contaminated(
     a replaced, missing or additional word costs up to 2, 1 or 1 words). At
     least `share` of the item and `least` words (or the whole of a shorter item)
     must align. from_word, to_word: the words of the document that were
-    aligned, counted from 0. Items of fewer than n words, null texts and empty
-    tables give no row. Rows that repeat, in either table, are found each.
+    aligned, counted from 0. Items without words, null texts and empty tables
+    give no row. Every document and item that score so much are found. Rows that repeat, in either table, are found each.
     Other columns are left out.
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", "text").filter("text is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = None
-    for items, sent in _blocks(docs, benchmark, n, rare, block_bytes):
+    for items, sent in _blocks(docs, benchmark, share, least, block_bytes):
 
         def scan(batches, sent=sent):
             for batch in batches:
                 for part in tk.slices(batch, "text"):
-                    doc, *rest = _found(part.column("text"), sent.value, slack, share, least)
+                    doc, *rest = _found(part.column("text"), sent.value)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), *map(pa.array, rest)], names=["doc_id", "item", "score", "from_word", "to_word"])
 
         got = own.mapInArrow(scan, f"doc_id {kind}, item long, score double, from_word long, to_word long")
@@ -215,22 +249,19 @@ def contaminated(
 def drop_contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
-    n: int = 4,
     share: float = 0.5,
     least: int = 8,
-    rare: float = 8.0,
-    slack: float = 0.25,
     block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """The rows of docs, with all their columns, in which no benchmark item is found; see contaminated. No shuffle of docs."""
     out = docs
-    for _, sent in _blocks(docs, benchmark, n, rare, block_bytes):
+    for _, sent in _blocks(docs, benchmark, share, least, block_bytes):
 
         def keep(batches, sent=sent):
             for batch in batches:
                 for part in tk.slices(batch, "text"):
                     clean = np.ones(part.num_rows, dtype=bool)
-                    clean[_found(part.column("text"), sent.value, slack, share, least)[0]] = False
+                    clean[_found(part.column("text"), sent.value)[0]] = False
                     yield part.filter(pa.array(clean))
 
         out = out.mapInArrow(keep, docs.schema)

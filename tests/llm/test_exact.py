@@ -207,6 +207,22 @@ def test_contaminated_finds_edited_copies_only(spark):
         assert {r.doc_id for r in kept.collect()} == set(range(120)) - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("copies", [8, 50, 1000])
+def test_copies_that_share_one_edit_are_all_found(spark, copies):
+    rng = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(400)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    item = prose(40)
+    edited = list(item)
+    edited[::8] = [rng.choice(vocabulary) for _ in item[::8]]
+    del edited[11]
+    docs = [(d, " ".join(prose(20) + (edited if d < copies else []) + prose(20))) for d in range(copies + 50)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert sorted(r.doc_id for r in contaminated(docs, items).collect()) == list(range(copies))
+    assert sorted(r.doc_id for r in drop_contaminated(docs, items).collect()) == list(range(copies, copies + 50))
+
+
 # -- language model
 
 
