@@ -4,13 +4,14 @@ Native: DataFrame expressions only.
 
 1. Targets: sources share all words by weight; a source stops at `most` times
    its size and the excess is shared again (closed form of the water level).
-2. Quotas: the mix is cut into equal-token blocks. Seats go to the highest
-   quotients target / (2 k - 1); the order of the seats deals them to shards,
-   which gives each shard its integer quotas.
+2. Quotas: a source gives its target in whole words: Sainte-Lague seats of one
+   word at divisor 1, so that no source is too small for a seat. All quotas
+   together are off the total by half a word a source at most.
 3. Selection: a source's documents lie on a line in seeded hash order, cut into
    blocks. Whole passes over the line come first; of the rest, blocks are taken
-   at a seeded, even stride. What a document gives is how much of it lies in
-   taken blocks, found by arithmetic on its place alone.
+   at a seeded, even stride, and what is left below one block is the beginning
+   of a block that isn't taken. What a document gives is how much of it lies in
+   taken words, found by arithmetic on its place alone.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def mix_sources(
     """doc_id, source, size, source_size, target, taken: one row a document.
 
     taken: words of the document in the mix, repeats counted; never over `most`
-    times its size. A null source is a source, last in order; a null text has
+    times its size, over a source together its target in whole words. A null source is a source, last in order; a null text has
     no words. Without any word all targets are 0 and nothing is taken. Rows
     that repeat a doc_id count as documents of their own. Other columns are
     left out; the result depends on rows and seed alone, not on partitions.
@@ -83,20 +84,17 @@ def mix_sources(
     rows = docs.select("doc_id", "source", word_count(text).alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("__h"))
     rows = stage(rows, "mix-sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    quota = shard_quotas(targets, shards, blocks_per_shard).groupBy("rank").agg(F.sum("seats").alias("seats"))
-    block = F.col("total") / (shards * blocks_per_shard)
-    plan = targets.join(quota, "rank", "left").withColumns(
-        {
-            "want": F.least(F.round(F.coalesce("seats", F.lit(0)) * block).cast("long"), F.col("source_size") * most),
-            "length": F.greatest(F.floor(block), F.lit(1)).cast("long"),
-        }
-    )
+    block = F.floor(F.col("total") / (shards * blocks_per_shard)).cast("long")
     size = F.greatest("source_size", F.lit(1))
-    plan = plan.withColumns({"passes": F.floor(F.col("want") / size).cast("long"), "blocks": F.ceil(size / F.col("length")).cast("long")})
+    plan = targets.withColumns({"want": F.round("target").cast("long"), "length": F.greatest(F.least(block, "source_size"), F.lit(1))})
+    plan = plan.withColumns({"passes": F.floor(F.col("want") / size).cast("long"), "blocks": F.floor(size / F.col("length")).cast("long")})
     part = F.col("want") - F.col("passes") * F.col("source_size")
-    plan = plan.withColumn("chosen", F.least(F.round(part / F.col("length")).cast("long"), F.col("blocks")))
-    plan = plan.withColumn("turn", F.pmod(F.xxhash64(F.lit(seed), "rank"), F.col("blocks")))
-    plan = plan.select(F.col("source").alias("__source"), "rank", "source_size", "target", "length", "passes", "blocks", "chosen", "turn")
+    plan = plan.withColumn("chosen", F.least(F.floor(part / F.col("length")).cast("long"), F.col("blocks")))
+    plan = plan.withColumns({"turn": F.pmod(F.xxhash64(F.lit(seed), "rank"), F.col("blocks")), "rest": part - F.col("chosen") * F.col("length")})
+    # The first block that isn't chosen, or the short one after all others.
+    free = F.when(F.col("chosen") < F.col("blocks"), F.floor(F.col("turn") / F.greatest(F.col("blocks") - F.col("chosen"), F.lit(1))).cast("long")).otherwise(F.col("blocks"))
+    plan = plan.withColumn("rest_from", free * F.col("length"))
+    plan = plan.select(F.col("source").alias("__source"), "rank", "source_size", "target", "length", "passes", "blocks", "chosen", "turn", "rest", "rest_from")
 
     dealt = rows.withColumn("__bucket", F.pmod(F.shiftrightunsigned("__h", 20), F.lit(buckets)).cast("int"))
     dealt = dealt.join(plan, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
@@ -109,10 +107,12 @@ def mix_sources(
     end = F.col("__before") + F.col("__upto")
 
     def picked(x: Column) -> Column:
-        """Words of taken blocks among the first x words of the source's line."""
-        whole = F.floor(x / F.col("length")).cast("long")
+        """Words that are taken among the first x words of the source's line, whole passes left out."""
+        whole = F.least(F.floor(x / F.col("length")).cast("long"), F.col("blocks"))
         upto = lambda b: F.floor((b * F.col("chosen") + F.col("turn")) / F.col("blocks")).cast("long")
-        return F.col("length") * upto(whole) + (x - whole * F.col("length")) * (upto(whole + 1) - upto(whole))
+        inside = F.when(whole < F.col("blocks"), (x - whole * F.col("length")) * (upto(whole + 1) - upto(whole))).otherwise(F.lit(0))
+        rest = F.least(F.greatest(x - F.col("rest_from"), F.lit(0)), F.col("rest"))
+        return F.col("length") * upto(whole) + inside + rest
 
     taken = F.col("passes") * F.col("size") + picked(end) - picked(end - F.col("size"))
     return dealt.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -344,6 +344,21 @@ def test_mix_comes_near_its_targets(spark):
         assert abs(sum(r.taken for r in x) - want[s]) <= 0.01 * want[s] + 5
 
 
+@pytest.mark.parametrize("blocks", [32768, 8])
+def test_each_source_comes_to_its_target_in_whole_words(spark, blocks):
+    if blocks == 8:  # few blocks, targets that break them
+        rows = mix_rows(random.Random(8))
+    else:  # 8 million words, a block is 244 words: small sources beside a large one
+        rows = [(i, "w " * 20000, "big") for i in range(400)] + [(1000 + i, "w " * 10, s) for i, s in enumerate(["a", "b", "b", "b", None, None])]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=1, blocks_per_shard=blocks).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert {s: taken[s] for s in target} == pytest.approx(target, abs=0.5 + 1e-6)
+
+
 def test_apply_mix_repeats_documents(spark):
     rows = mix_rows(random.Random(9))
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
