@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.llm import jaccard, lm, suffix, textkit
-from pathloom.llm.decontam import align, contaminated, drop_contaminated
+from pathloom.llm.decontam import Items, _found, align, contaminated, drop_contaminated
 from pathloom.llm.mixing import apply_mix, mix_sources, shard_quotas, source_targets
 from pathloom.llm.sharding import jump_hash, shard_documents
 from pathloom.llm.tokencount import Counter as TokenCounter
@@ -223,6 +223,47 @@ def test_copies_that_share_one_edit_are_all_found(spark, copies):
     assert sorted(r.doc_id for r in drop_contaminated(docs, items).collect()) == list(range(copies, copies + 50))
 
 
+def test_all_that_the_threshold_accepts_is_found():
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(30)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    gapped = prose(40)
+    items = [gapped, ["lone"], ["two", "words"], ["three", "words", "here"], []] + [prose(rng.randint(4, 30)) for _ in range(40)]
+    docs = [prose(20) + [w for i, x in enumerate(gapped) for w in ([x, "new"] if i % 3 == 2 else [x])] + prose(20)]
+    docs += [["lone"], ["two", "words"], prose(9) + ["three", "words", "here"], ["three", "words"], []]
+    docs += [prose(rng.randint(1, 80)) for _ in range(30)]
+    for item in items[5:] * 3:  # edited all over
+        text = []
+        for x in item:
+            text += rng.choices([[x], [rng.choice(vocabulary)], [], [x, rng.choice(vocabulary)]], [6, 1, 1, 1])[0]
+        docs.append(prose(5) + text + prose(5))
+    items, docs = [" ".join(x) for x in items], [" ".join(x) for x in docs]
+    for share, least in ((0.5, 8), (0.3, 3), (0.02, 1)):
+        block = Items(list(range(len(items))), items, share, least)
+        block.keep_rare(np.array([rng.randint(0, 9) for _ in block.seeds]))
+        doc, item, score, *_ = _found(pa.array(docs), block)
+        want = {}
+        for d, text in enumerate(docs):
+            for i, asked in enumerate(items):
+                n, best = len(asked.split()), brute_align(asked.split(), text.split())
+                if n and best >= max(share * n, min(least, n)):
+                    want[d, i] = best / n
+        assert dict(zip(zip(doc.tolist(), item.tolist()), score.tolist())) == pytest.approx(want) and len(doc) == len(want)
+        assert share < 0.5 or {(0, 0), (1, 1), (2, 2), (3, 3)} <= want.keys()
+
+
+def test_gapped_copies_and_short_items_are_found(spark):
+    gapped = [f"g{i}" for i in range(40)]
+    text = [w for i, x in enumerate(gapped) for w in ([x, f"new{i}"] if i % 3 == 2 else [x])]
+    docs = [(0, " ".join(text)), (1, "a lone word"), (2, "these two words"), (3, "or three words here"), (4, "three of the words here")]
+    items = [(0, " ".join(gapped)), (1, "Lone"), (2, "two words"), (3, "three words here")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(docs, items).collect()}
+    assert got == {(0, 0): 0.675, (1, 1): 1.0, (2, 2): 1.0, (3, 3): 1.0}
+
+
 # -- language model
 
 
