@@ -264,6 +264,16 @@ def test_gapped_copies_and_short_items_are_found(spark):
     assert got == {(0, 0): 0.675, (1, 1): 1.0, (2, 2): 1.0, (3, 3): 1.0}
 
 
+def test_blocks_of_the_benchmark_change_nothing(spark):
+    shared = [f"s{i}" for i in range(20)]
+    items = [(i, " ".join(shared + [f"own{i}x{j}" for j in range(20)])) for i in range(20)]
+    docs = spark.createDataFrame([(0, " ".join(shared)), (1, items[3][1]), (2, "none of it")], "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, i): 1.0 if (d, i) == (1, 3) else 0.5 for d in (0, 1) for i in range(20)}
+    for block_bytes in (8 << 20, 2000):
+        assert {(r.doc_id, r.item_id): r.score for r in contaminated(docs, items, block_bytes=block_bytes).collect()} == want
+
+
 # -- language model
 
 
