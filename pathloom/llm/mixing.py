@@ -51,7 +51,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def shard_quotas(targets: DataFrame, shards: int = 64, blocks_per_shard: int = 512) -> DataFrame:
-    """Integer quotas (rank, shard, seats) by highest quotients; ties go to the source that comes first."""
+    """Integer quotas (rank, shard, seats) by highest quotients; ties go to the source that comes first. mix_sources doesn't use them."""
     seats = shards * blocks_per_shard
     share = F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(F.lit(0.0))
     # The divisor at which all seats are given lets no source exceed this.
