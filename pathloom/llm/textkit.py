@@ -109,6 +109,23 @@ def slices(batch: pa.RecordBatch, column: str, target: int = 1 << 20):
         start = stop
 
 
+def pieces(batch: pa.RecordBatch, column: str, target: int, overlap: int):
+    """(first row, bytes, offsets, place of the first byte in its document): slices, and a document of over `target` bytes in overlapping pieces.
+
+    A piece has `overlap` bytes of the next one, so that each string of up to overlap + 1 bytes lies in one whole.
+    """
+    row = 0
+    for part in slices(batch, column, target):
+        buf, offsets = flat(part.column(column))
+        if len(buf) > target + overlap:
+            for at in range(0, len(buf) - overlap, target):
+                piece = buf[at : at + target + overlap]
+                yield row, piece, np.array([0, len(piece)], dtype=np.int64), at
+        else:
+            yield row, buf, offsets, 0
+        row += part.num_rows
+
+
 def lower(buf: np.ndarray) -> np.ndarray:
     """A-Z as a-z; other bytes stay."""
     return _LOWER[buf]
