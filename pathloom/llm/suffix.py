@@ -403,7 +403,8 @@ def repeated_ranges(docs: DataFrame, length: int = 100, k: int = 20, most_bytes:
         staged.append(held)
         small = F.col("bytes") <= most_bytes
         sortable = first.join(held.filter(small).select("key"), "key").select("key", "did", "th", "start", "content")
-        sortable = sortable.repartition(parts, "key").sortWithinPartitions("key")
+        # Dealt by another value than the join's, else Spark drops the exchange and may split a skewed key over tasks.
+        sortable = sortable.repartition(parts, F.xxhash64("key")).sortWithinPartitions("key")
         out = out.unionByName(sortable.mapInArrow(lambda it: _sort_groups(it, length), "did long, th long, s long, e long"))
         if not held.filter(~small).limit(1).count():
             break
