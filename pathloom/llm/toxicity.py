@@ -1,14 +1,16 @@
 """Toxicity by nearest labelled examples.
 
-The labelled rows give (a) a vocabulary of words and word beginnings that go
-with label 1, by the chi-square statistic, and (b) examples: TF-IDF vectors over
-that vocabulary, equal vectors held once with their numbers of each label. The
-examples form a block-max inverted index: blocks of examples with posting
-weights by term and, per term, the largest weight in the block. A document
-finds its k nearest vectors by exact cosine; blocks whose bound can't reach the
-k-th best are not opened. Votes weigh by distance and by how many labelled rows
-an example stands for; documents without any term take the share of label 1
-among examples without any.
+A bounded sample of labelled rows gives (a) the terms: words and word
+beginnings that go with label 1 beyond chance (likelihood ratio, held against
+the number of terms that were tried), all of them; and (b) examples: TF-IDF
+vectors over the terms, idf counted over the whole corpus, equal vectors held
+once with their numbers of each label. The examples form a block-max inverted
+index: for each term its postings block by block, with the largest weight of
+each block. A document meets only blocks that hold one of its terms, in the
+order of their bounds, until no bound reaches its k-th best cosine: the k
+nearest are exact. Votes weigh by distance and by how many labelled rows an
+example stands for; documents without any term take the share of label 1 among
+examples without any.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .session import held_out, stage
+from .session import discard, held_out, stage
 
-BEGINNINGS = (5, 6, 7)  # bytes
+BEGINNINGS = (3, 4, 5, 6, 7)  # bytes
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[:128] = 32
 for _a, _b in ((48, 58), (97, 123)):
@@ -62,17 +64,29 @@ def _document_frequencies(batches):
                 )
 
 
+def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """G statistic of terms that a of n1 and b of n0 rows hold; over x with probability exp(-x / 2) at most by chance."""
+    a, b, total = a.astype(float), b.astype(float), max(n1 + n0, 1)
+
+    def part(seen, expected):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(seen > 0, seen * np.log(seen / expected), 0.0)
+
+    with_, without = a + b, n1 + n0 - a - b
+    return 2 * (part(a, with_ * n1 / total) + part(b, with_ * n0 / total) + part(n1 - a, without * n1 / total) + part(n0 - b, without * n0 / total))
+
+
 class Vocabulary:
     """Feature hashes to columns, with a bit table that turns most words away."""
 
-    def __init__(self, hashes: np.ndarray, idf: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.idf = hashes[order], idf[order]
+    def __init__(self, hashes: np.ndarray, idf: np.ndarray | None = None):
+        """hashes: ascending."""
+        self.hashes, self.idf = hashes, idf
         self.table = np.zeros(1 << 18, dtype=bool)
         self.table[self.hashes >> np.uint64(46)] = True
 
-    def vectors(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """Normalised TF-IDF in parts (document, column, weight), by document and column; and the number of documents."""
+    def counts(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(document, column, number of times), by document and column; and the number of documents."""
         doc, h, n = features(texts)
         if not len(self.hashes):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), n
@@ -81,146 +95,234 @@ class Vocabulary:
         col = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         hit = self.hashes[col] == h
         cell, tf = np.unique(doc[hit] * len(self.hashes) + col[hit], return_counts=True)
-        doc, col = cell // len(self.hashes), cell % len(self.hashes)
+        return cell // len(self.hashes), cell % len(self.hashes), tf, n
+
+    def vectors(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Normalised TF-IDF in parts (document, column, weight), by document and column; and the number of documents."""
+        doc, col, tf, n = self.counts(texts)
+        if not len(doc):
+            return doc, col, tf, n
         w = (1 + np.log(tf)) * self.idf[col]
         norm = np.sqrt(np.bincount(doc, w * w, minlength=n))
         return doc, col, w / norm[doc], n
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, member) of the ranges [lo, hi) one after the other."""
+    n = hi - lo
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
 class Index:
     """Examples in blocks; see the module's text."""
 
-    def __init__(self, vectors: dict[bytes, list[float]], width: int, block: int = 64):
-        rows = sorted(vectors.items())
-        dense = np.array([np.frombuffer(k, np.float64) for k, _ in rows]).reshape(len(rows), width)
-        order = np.argsort(dense.argmax(axis=1), kind="stable") if len(rows) else np.zeros(0, np.int64)
-        self.votes = np.array([v for _, v in rows], dtype=np.float64).reshape(len(rows), 2)[order]
-        self.width, self.blocks, largest = width, [], []
-        for s in range(0, len(rows), block):
-            part = dense[order[s : s + block]]
-            terms = np.flatnonzero(part.any(axis=0))
-            self.blocks.append((s, terms, np.ascontiguousarray(part[:, terms].T)))
-            largest.append(part.max(axis=0))
-        self.largest = np.array(largest).reshape(len(self.blocks), width).T
-
-    def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(cosine, example) of the k nearest, best first; ties go to the earlier example. Missing: cosine -1."""
-        n = len(queries)
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], votes: np.ndarray, ids: np.ndarray, width: int, block: int = 64):
+        """vectors: (columns, weights) of each example; votes: labelled rows of label 0 and 1; ids: a document that has the vector."""
+        # Examples whose heaviest term is the same stand together, so that few blocks have a large bound.
+        lead = np.array([c[np.argmax(w)] for c, w in vectors], dtype=np.int64)
+        order = np.argsort(lead, kind="stable")
+        self.votes, self.ids, self.block = votes[order], ids[order], block
+        size = np.array([len(vectors[i][0]) for i in order], dtype=np.int64)
+        example = np.repeat(np.arange(len(order)), size)
+        term = np.concatenate([vectors[i][0] for i in order]) if len(order) else np.zeros(0, np.int64)
+        weight = np.concatenate([vectors[i][1] for i in order]) if len(order) else np.zeros(0)
+        by = np.lexsort((example, term))
+        self.example, self.weight, term = example[by], weight[by], term[by]
+        # a cell: the postings of one term in one block
+        at_block = self.example // block
+        new = np.ones(len(term), dtype=bool)
+        new[1:] = (term[1:] != term[:-1]) | (at_block[1:] != at_block[:-1])
+        self.cell = np.append(np.flatnonzero(new), len(term))
+        self.cell_block = at_block[self.cell[:-1]]
+        self.largest = np.maximum.reduceat(self.weight, self.cell[:-1]) if len(term) else self.weight
+        self.term = np.searchsorted(term[self.cell[:-1]], np.arange(width + 1))
+        self.n_blocks = -(-len(order) // block)
+
+    def nearest(self, query: np.ndarray, col: np.ndarray, w: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cosine, example) of the k nearest of n queries, best first; ties go to the earlier example. Missing: cosine -1."""
         sims, found = np.full((n, k), -1.0), np.zeros((n, k), dtype=np.int64)
-        bound = queries @ self.largest
-        for b in np.argsort(-bound.sum(axis=0), kind="stable"):
-            open_ = np.flatnonzero(bound[:, b] > sims[:, -1] - 1e-9)
-            if not len(open_):
-                continue
-            start, terms, postings = self.blocks[b]
-            got = queries[np.ix_(open_, terms)] @ postings
-            got = np.concatenate([sims[open_], np.round(got, 12)], axis=1)
-            ids = np.concatenate([found[open_], np.broadcast_to(np.arange(start, start + postings.shape[1]), (len(open_), postings.shape[1]))], axis=1)
-            best = np.lexsort((ids, -got), axis=1)[:, :k]
-            sims[open_], found[open_] = np.take_along_axis(got, best, 1), np.take_along_axis(ids, best, 1)
+        part, cell = _ranges(self.term[col], self.term[col + 1])
+        if not len(cell):
+            return sims, found
+        pair = query[part] * self.n_blocks + self.cell_block[cell]
+        by = np.argsort(pair, kind="stable")
+        pair, cell, own = pair[by], cell[by], w[part][by]
+        start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        stop = np.append(start[1:], len(pair))
+        bound = np.add.reduceat(own * self.largest[cell], start)
+        asked, block = pair[start] // self.n_blocks, pair[start] % self.n_blocks
+        order = np.lexsort((block, -bound, asked))  # each query's blocks, the largest bound first
+        rank = np.arange(len(order)) - np.searchsorted(asked[order], asked[order])
+        upto, done = 1, 0
+        while len(order):
+            now = (rank >= done) & (rank < upto)
+            open_ = order[now]
+            open_ = open_[bound[open_] > sims[asked[open_], -1] - 1e-9]
+            for s in range(0, len(open_), 8192):
+                self._open(open_[s : s + 8192], asked, block, start, stop, cell, own, sims, found)
+            rest = rank >= upto
+            order, rank = order[rest], rank[rest]
+            alive = bound[order] > sims[asked[order], -1] - 1e-9
+            order, rank = order[alive], rank[alive]
+            done, upto = upto, upto * 2
         return sims, found
 
-
-def _vote(sims: np.ndarray, votes: np.ndarray, prior: float, softness: float) -> np.ndarray:
-    w = np.where(sims > 0, 1.0 / (1.0 - np.minimum(sims, 1.0) + softness), 0.0)
-    for1, all_ = (w * votes[..., 1]).sum(axis=1), (w * votes.sum(axis=-1)).sum(axis=1)
-    return (for1 + prior) / (all_ + 1.0)
-
-
-def _scores(texts, model, k: int, softness: float) -> np.ndarray:
-    vocabulary, index, without, prior = model
-    doc, col, w, n = vocabulary.vectors(texts)
-    out = np.full(n, without)
-    has = np.unique(doc)
-    for s in range(0, len(has), 256) if index.blocks else ():
-        mine = has[s : s + 256]
-        lo, hi = np.searchsorted(doc, [mine[0], mine[-1] + 1])
-        q = np.zeros((len(mine), index.width))
-        q[np.searchsorted(mine, doc[lo:hi]), col[lo:hi]] = w[lo:hi]
-        sims, found = index.nearest(q, k)
-        out[mine] = _vote(sims, index.votes[found], prior, softness)
-    return np.clip(out, 0.0, 1.0)
-
-
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, most_examples: int = 4096, most_terms: int = 1024):
-    """(vocabulary, index, share of label 1 without any term, prior) from labelled rows that aren't held out.
-
-    most_examples: of each label at most so many labelled ids are used, those of
-    the smallest hash. It bounds what the driver holds and what is broadcast.
+    def _open(self, pairs, asked, block, start, stop, cell, own, sims, found) -> None:
+        """Score whole blocks and merge them into the best so far. pairs: by query."""
+        which, at = _ranges(start[pairs], stop[pairs])
+        inner, posting = _ranges(self.cell[cell[at]], self.cell[cell[at] + 1])
+        slot = which[inner] * self.block + self.example[posting] % self.block
+        got = np.bincount(slot, own[at][inner] * self.weight[posting], len(pairs) * self.block)
+        hit = np.flatnonzero(got > 0)
+        query, example = asked[pairs][hit // self.block], block[pairs][hit // self.block] * self.block + hit % self.block
+        got = np.round(got[hit], 12)
+        mine = np.unique(query)
+        k = sims.shape[1]
+        query = np.concatenate([query, np.repeat(mine, k)])
+        example, got = np.concatenate([example, found[mine].ravel()]), np.concatenate([got, sims[mine].ravel()])
+        order = np.lexsort((example, -got, query))
+        query, example, got = query[order], example[order], got[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        top = rank < k
+        sims[query[top], rank[top]], found[query[top], rank[top]] = got[top], example[top]
+
+
+class Model:
+    def __init__(self, vocabulary: Vocabulary, index: Index, without: float, prior: float):
+        self.vocabulary, self.index, self.without, self.prior = vocabulary, index, without, prior
+
+    def score(self, texts, k: int, softness: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(score of each text, (text, example, cosine, weight) of the voters, by text, the nearest first)."""
+        doc, col, w, n = self.vocabulary.vectors(texts)
+        out = np.full(n, self.without)
+        has = np.unique(doc)
+        sims, found = self.index.nearest(np.searchsorted(has, doc), col, w, len(has), k)
+        votes = self.index.votes[found] if len(self.index.votes) else np.zeros((*found.shape, 2))
+        weight = np.where(sims > 0, 1.0 / (1.0 - np.minimum(sims, 1.0) + softness), 0.0)
+        for1, all_ = (weight * votes[..., 1]).sum(axis=1), (weight * votes.sum(axis=-1)).sum(axis=1)
+        out[has] = (for1 + self.prior) / (all_ + 1.0)
+        row, rank = np.nonzero(sims > 0)
+        return np.clip(out, 0.0, 1.0), (has[row], found[row, rank], sims[row, rank], weight[row, rank])
+
+
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, most_examples: tuple[int, int] = (16384, 4096), chance: float = 0.01, lift: float = 4.0) -> Model:
+    """The model of labelled rows that aren't held out.
+
+    most_examples: of label 0 and of label 1 at most so many labelled ids are
+    used, those of the smallest hash. It bounds what the driver holds and what
+    is broadcast: terms, postings and examples all come from the sampled texts. chance: the
+    number of terms expected to enter without going with label 1; lift: how many
+    times as often rows of label 1 must hold a term, so that no frequent word
+    enters for a slight leaning. The idf is counted over all rows of docs.
     """
     marked = labels.filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id"), modulus, remainder))
     marked = marked.groupBy("doc_id").agg(F.when(F.avg("toxic") >= 0.5, 1).otherwise(0).alias("label"))
     marked = stage(marked, "toxic-labels")
     size = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    pick = lambda y: marked.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples)
-    sample = pick(0).unionByName(pick(1))
+    pick = lambda y: marked.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples[y])
+    picked = pick(0).unionByName(pick(1))
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sample = stage(own.join(F.broadcast(sample), "doc_id"), "toxic-sample")  # at most 2 * most_examples ids
+    sample = stage(own.join(F.broadcast(picked), "doc_id"), "toxic-sample")  # at most sum(most_examples) ids
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
-    total = n1 + n0
     per = np.array([size.get(0, 0) / max(n0, 1), size.get(1, 0) / max(n1, 1)])  # labelled rows that an example stands for
     prior = size.get(1, 0) / max(1, size.get(0, 0) + size.get(1, 0))
-    counted = sample.select("label", "text").mapInArrow(_document_frequencies, "feature long, df1 long, df0 long").groupBy("feature").agg(F.sum("df1").cast("double").alias("a"), F.sum("df0").cast("double").alias("b"))
-    chi = F.expr(f"pow(a * ({float(n0)} - b) - b * ({float(n1)} - a), 2) / ((a + b) * ({float(total)} - a - b) + 1)")
-    scored = counted.filter(F.expr(f"a * {float(n0)} > b * {float(n1)} and a >= 3")).select("feature", "a", "b", chi.alias("chi"))
-    terms = scored.orderBy(F.desc("chi"), "feature").limit(most_terms).collect()
-    hashes = np.array([t["feature"] for t in terms], dtype=np.int64).view(np.uint64)
-    vocabulary = Vocabulary(hashes, np.array([np.log((1 + total) / (1 + t["a"] + t["b"])) + 1 for t in terms]))
+
+    counted = sample.select("label", "text").mapInArrow(_document_frequencies, "feature long, df1 long, df0 long")
+    counted = stage(counted.groupBy("feature").agg(F.sum("df1").alias("a"), F.sum("df0").alias("b")), "toxic-terms")
+    tried = counted.count()
+    leaning = counted.filter(F.expr(f"a * {float(n0)} >= {lift} * b * {float(n1)} and a > 1")).toArrow()
+    a, b = leaning.column("a").to_numpy(), leaning.column("b").to_numpy()
+    beyond = likelihood_ratio(a, b, n1, n0) > 2 * np.log(max(tried, 1) / chance)
+    vocabulary = Vocabulary(np.sort(leaning.column("feature").to_numpy()[beyond].view(np.uint64)))
+
+    def frequencies(batches):
+        total, rows = np.zeros(len(vocabulary.hashes), dtype=np.int64), 0
+        for batch in batches:
+            for part in tk.slices(batch, "text"):
+                _, col, _, n_docs = vocabulary.counts(part.column("text"))
+                total += np.bincount(col, minlength=len(total))
+                rows += n_docs
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(total)), -1)), pa.array(np.append(total, rows))], names=["col", "n"])
+        tk.release()
+
+    df = own.select("text").mapInArrow(frequencies, "col long, n long").groupBy("col").agg(F.sum("n").alias("n")).toArrow()
+    df = dict(zip(df.column("col").to_pylist(), df.column("n").to_pylist()))
+    vocabulary.idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(c, 0))) + 1 for c in range(len(vocabulary.hashes))])
 
     def vectors(batches):
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 doc, col, w, n_docs = vocabulary.vectors(part.column("text"))
-                at = np.searchsorted(doc, np.arange(n_docs + 1))
-                rows = [(col[at[i] : at[i + 1]].tolist(), w[at[i] : at[i + 1]].tolist()) for i in range(n_docs)]
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["label", "col", "w"])
-
-    held: dict[bytes, list[float]] = {}
-    none = np.zeros(2)
-    got = sample.select("label", "text").mapInArrow(vectors, "label int, col array<long>, w array<double>")
-    for r in got.groupBy("label", "col", "w").agg(F.count("*").alias("n")).collect():
-        if not r["col"]:
-            none[r["label"]] += r["n"] * per[r["label"]]
-            continue
-        v = np.zeros(len(hashes))
-        v[r["col"]] = np.round(r["w"], 12)
-        held.setdefault(v.tobytes(), [0.0, 0.0])[r["label"]] += r["n"] * per[r["label"]]
-    without = (none[1] + prior) / (none.sum() + 1.0)
-    return vocabulary, Index(held, len(hashes)), float(without), float(prior)
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, k: int = 16, softness: float = 0.05, modulus: int = 5, remainder: int = 0, **bounds) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs (doc_id, text).
+                at = pa.array(np.searchsorted(doc, np.arange(n_docs + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (col, np.round(w, 12))]
+                yield pa.RecordBatch.from_arrays([part.column("label"), part.column("doc_id"), *lists], names=["label", "doc_id", "col", "w"])
+
+    got = sample.select("label", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(vectors, "label int, doc_id long, col array<long>, w array<double>")
+    got = got.groupBy("col", "w").agg(*(F.count(F.when(F.col("label") == y, 1)).alias(f"n{y}") for y in (0, 1)), F.min("doc_id").alias("doc_id"))
+    none, rows = np.zeros(2), []
+    for r in got.collect():  # at most sum(most_examples) ids
+        votes = np.array([r["n0"], r["n1"]]) * per
+        if r["col"]:
+            rows.append((r["col"], r["w"], votes, r["doc_id"]))
+        else:
+            none += votes
+    discard(marked, sample, counted)
+    rows.sort(key=lambda r: (r[0], r[1]))
+    index = Index([(np.array(c), np.array(w)) for c, w, _, _ in rows], np.array([r[2] for r in rows]).reshape(len(rows), 2), np.array([r[3] for r in rows], dtype=np.int64), len(vocabulary.hashes))
+    return Model(vocabulary, index, float((none[1] + prior) / (none.sum() + 1.0)), float(prior))
+
+
+EVIDENCE = "array<struct<doc_id: long, toxic: double, cosine: double, weight: double>>"
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, k: int = 16, softness: float = 0.05, modulus: int = 5, remainder: int = 0, evidence: int = 3, **bounds) -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence for every row of docs (doc_id, text).
 
     labels: (doc_id, toxic); rows with a null are left out, an id labelled more
     than once takes the majority (a tie counts as 1). Ids whose crc32 leaves
     `remainder` are never learned from. Null and empty texts have no terms.
     Without any usable label all scores are 0. Rows that repeat are scored
-    each; a row's score depends on its text alone. Other columns are left out.
+    each; a row's score depends on its text, the model and the corpus's idf.
+    evidence: of the k voters the nearest few, each with a labelled document
+    that has that vector, the share of label 1 among all that have it, cosine
+    and weight; empty for a document without any term. Other columns are left out.
     """
-    model = fit(docs, labels, modulus, remainder, **bounds)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, modulus, remainder, **bounds))
 
     def score(batches):
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                out = _scores(part.column("text"), sent.value, k, softness)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+                model = sent.value
+                out, (text, example, cosine, weight) = model.score(part.column("text"), k, softness)
+                shown = np.flatnonzero(np.arange(len(text)) - np.searchsorted(text, text) < evidence)
+                text, example = text[shown], example[shown]
+                votes = model.index.votes[example].reshape(len(example), 2)
+                share = votes[:, 1] / votes.sum(axis=1)
+                columns = [pa.array(x) for x in (model.index.ids[example], share, cosine[shown], weight[shown])]
+                at = pa.array(np.searchsorted(text, np.arange(len(out) + 1)), pa.int32())
+                voters = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(columns, names=["doc_id", "toxic", "cosine", "weight"]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out), pa.array((out >= 0.5).astype(np.int32)), voters], names=["doc_id", "score", "predicted", "evidence"])
+        tk.release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(score, f"doc_id {kind}, score double, predicted int")
-    return out.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "score", "predicted")
+    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(score, f"doc_id {kind}, score double, predicted int, evidence {EVIDENCE}")
+    return out.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "score", "predicted", "evidence")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, k: int = 16, softness: float = 0.05, modulus: int = 5, remainder: int = 0, **bounds) -> DataFrame:
-    """The rows of docs, with all their columns, whose score stays under 0.5; see score_toxicity. No shuffle of docs."""
-    model = fit(docs, labels, modulus, remainder, **bounds)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of docs, with all their columns, whose score stays under 0.5; see score_toxicity. No shuffle of docs.
+
+    Null and empty texts, ties and rows that repeat are scored as there; without
+    usable labels, and from an empty table, nothing goes.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, modulus, remainder, **bounds))
 
     def keep(batches):
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                yield part.filter(pa.array(_scores(part.column("text"), sent.value, k, softness) < 0.5))
+                yield part.filter(pa.array(sent.value.score(part.column("text"), k, softness)[0] < 0.5))
+        tk.release()
 
     return docs.mapInArrow(keep, docs.schema)
