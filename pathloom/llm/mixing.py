@@ -4,14 +4,17 @@ Native: DataFrame expressions only.
 
 1. Targets: sources share all words by weight; a source stops at `most` times
    its size and the excess is shared again (closed form of the water level).
-2. Quotas: a source gives its target in whole words: Sainte-Lague seats of one
-   word at divisor 1, so that no source is too small for a seat. All quotas
-   together are off the total by half a word a source at most.
-3. Selection: a source's documents lie on a line in seeded hash order, cut into
-   blocks. Whole passes over the line come first; of the rest, blocks are taken
-   at a seeded, even stride, and what is left below one block is the beginning
-   of a block that isn't taken. What a document gives is how much of it lies in
-   taken words, found by arithmetic on its place alone.
+2. Quotas: the mix is cut into shards of blocks of equal words. Its seats go to
+   the sources by highest quotients, in order, so that each shard has a whole
+   number of seats of each source.
+3. Selection: a source's documents lie on a line in seeded hash order. Each
+   shard owns a stretch of the line in proportion to its seats there and must
+   give its quota of words from it: the source's target in whole words, spread
+   over the seats. Within the stretch whole passes come first; of the rest,
+   blocks are taken at a seeded, even stride, and what is left below one block
+   is the beginning of a block that isn't taken. A source too small for a seat
+   has its whole line in one seeded shard, so that it comes to its target too.
+   What a document gives is found by arithmetic on its place alone.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import stage
+from .session import fresh, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -51,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def shard_quotas(targets: DataFrame, shards: int = 64, blocks_per_shard: int = 512) -> DataFrame:
-    """Integer quotas (rank, shard, seats) by highest quotients; ties go to the source that comes first. mix_sources doesn't use them."""
+    """Integer quotas (rank, shard, seats) by highest quotients; ties go to the source that comes first."""
     seats = shards * blocks_per_shard
     share = F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(F.lit(0.0))
     # The divisor at which all seats are given lets no source exceed this.
@@ -63,6 +66,58 @@ def shard_quotas(targets: DataFrame, shards: int = 64, blocks_per_shard: int = 5
     return won.groupBy("rank", shard.alias("shard")).agg(F.count("*").alias("seats"))
 
 
+def shard_plan(targets: DataFrame, shards: int = 64, blocks_per_shard: int = 512, seed: int = 17) -> DataFrame:
+    """One row a source and shard: the stretch of the source's line that the shard owns, and what it takes of it.
+
+    rank, source, source_size, target, shard, seats, part_from, part_to (words
+    of the line), before (words taken by earlier shards), quota (words to take),
+    and how: passes, then `chosen` of `blocks` blocks of `length` words, then
+    `rest` words from rest_from on (from the stretch's beginning).
+    """
+    block = F.floor(F.col("total") / (shards * blocks_per_shard)).cast("long")
+    grid = targets.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    won = shard_quotas(targets, shards, blocks_per_shard).withColumnRenamed("rank", "r").withColumnRenamed("shard", "s")
+    grid = grid.join(won, (F.col("rank") == F.col("r")) & (F.col("shard") == F.col("s")), "left").drop("r", "s")
+    of_source = Window.partitionBy("rank")
+    grid = grid.withColumn("seats", F.coalesce("seats", F.lit(0)))
+    none = F.sum("seats").over(of_source) == 0
+    share = F.when(none, (F.pmod(F.xxhash64(F.lit(seed), "rank"), F.lit(shards)) == F.col("shard")).cast("long")).otherwise(F.col("seats"))
+    grid = grid.withColumn("share", share)
+    upto = F.sum("share").over(of_source.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    grid = grid.withColumns({"upto": upto, "all": F.sum("share").over(of_source), "want": F.round("target").cast("long")})
+    edge = lambda seats: F.floor(F.col("source_size") * (seats / F.col("all"))).cast("long")
+    size = F.greatest("source_size", F.lit(1))
+    given = lambda words: F.round(F.col("want") * (words / size)).cast("long")
+    grid = grid.withColumns({"part_from": edge(F.col("upto") - F.col("share")), "part_to": edge(F.col("upto"))})
+    grid = grid.withColumns({"before": given(F.col("part_from")), "quota": given(F.col("part_to")) - given(F.col("part_from")), "words": F.greatest(F.col("part_to") - F.col("part_from"), F.lit(1))})
+    grid = grid.withColumn("length", F.greatest(F.least(block, "words"), F.lit(1)))
+    grid = grid.withColumns({"passes": F.floor(F.col("quota") / F.col("words")).cast("long"), "blocks": F.floor(F.col("words") / F.col("length")).cast("long")})
+    part = F.col("quota") - F.col("passes") * F.col("words")
+    grid = grid.withColumn("chosen", F.least(F.floor(part / F.col("length")).cast("long"), F.col("blocks")))
+    grid = grid.withColumns({"turn": F.pmod(F.xxhash64(F.lit(seed), "rank", "shard"), F.col("blocks")), "rest": part - F.col("chosen") * F.col("length")})
+    # The first block that isn't chosen, or the short one after all others.
+    free = F.when(F.col("chosen") < F.col("blocks"), F.floor(F.col("turn") / F.greatest(F.col("blocks") - F.col("chosen"), F.lit(1))).cast("long")).otherwise(F.col("blocks"))
+    grid = grid.withColumn("rest_from", free * F.col("length"))
+    return grid.select("rank", "source", "source_size", "target", "shard", "seats", "part_from", "part_to", "before", "quota", "passes", "length", "blocks", "chosen", "turn", "rest", "rest_from")
+
+
+def _taken(x: Column) -> Column:
+    """Words that are taken among the first x of the source's line. plan: its stretches, by shard."""
+    at = F.greatest(F.size(F.filter("plan", lambda s: s["part_from"] <= x)), F.lit(1))
+    s = F.element_at("plan", at)
+    x = x - s["part_from"]
+    whole = F.least(F.floor(x / s["length"]).cast("long"), s["blocks"])
+    upto = lambda b: F.floor((b * s["chosen"] + s["turn"]) / s["blocks"]).cast("long")
+    inside = F.when(whole < s["blocks"], (x - whole * s["length"]) * (upto(whole + 1) - upto(whole))).otherwise(F.lit(0))
+    rest = F.least(F.greatest(x - s["rest_from"], F.lit(0)), s["rest"])
+    return s["before"] + s["passes"] * x + s["length"] * upto(whole) + inside + rest
+
+
+def line_order(seed: int = 17) -> Column:
+    """Place of a document on its source's line: the highest 12 bits of this, then the rest."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -75,58 +130,44 @@ def mix_sources(
     """doc_id, source, size, source_size, target, taken: one row a document.
 
     taken: words of the document in the mix, repeats counted; never over `most`
-    times its size, over a source together its target in whole words. A null source is a source, last in order; a null text has
-    no words. Without any word all targets are 0 and nothing is taken. Rows
-    that repeat a doc_id count as documents of their own. Other columns are
-    left out; the result depends on rows and seed alone, not on partitions.
+    times its size, over a source together its target in whole words, and for
+    each shard its quota (see shard_plan). A null source is a source, last in
+    order; a null text has no words. Without any word all targets are 0 and
+    nothing is taken; an empty table gives an empty result. Rows that repeat a
+    doc_id count as documents of their own. Other columns are left out; the
+    result depends on rows and seed alone, not on partitions.
     """
-    text = F.col("text")
-    rows = docs.select("doc_id", "source", word_count(text).alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("__h"))
-    rows = stage(rows, "mix-sizes")
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), line_order(seed).alias("h"))
+    rows = stage(rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)).cast("int")), "mix-sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    block = F.floor(F.col("total") / (shards * blocks_per_shard)).cast("long")
-    size = F.greatest("source_size", F.lit(1))
-    plan = targets.withColumns({"want": F.round("target").cast("long"), "length": F.greatest(F.least(block, "source_size"), F.lit(1))})
-    plan = plan.withColumns({"passes": F.floor(F.col("want") / size).cast("long"), "blocks": F.floor(size / F.col("length")).cast("long")})
-    part = F.col("want") - F.col("passes") * F.col("source_size")
-    plan = plan.withColumn("chosen", F.least(F.floor(part / F.col("length")).cast("long"), F.col("blocks")))
-    plan = plan.withColumns({"turn": F.pmod(F.xxhash64(F.lit(seed), "rank"), F.col("blocks")), "rest": part - F.col("chosen") * F.col("length")})
-    # The first block that isn't chosen, or the short one after all others.
-    free = F.when(F.col("chosen") < F.col("blocks"), F.floor(F.col("turn") / F.greatest(F.col("blocks") - F.col("chosen"), F.lit(1))).cast("long")).otherwise(F.col("blocks"))
-    plan = plan.withColumn("rest_from", free * F.col("length"))
-    plan = plan.select(F.col("source").alias("__source"), "rank", "source_size", "target", "length", "passes", "blocks", "chosen", "turn", "rest", "rest_from")
-
-    dealt = rows.withColumn("__bucket", F.pmod(F.shiftrightunsigned("__h", 20), F.lit(buckets)).cast("int"))
-    dealt = dealt.join(plan, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    sums = rows.withColumn("__bucket", F.pmod(F.shiftrightunsigned("__h", 20), F.lit(buckets)).cast("int")).groupBy("source", "__bucket").agg(F.sum("size").alias("__words"))
-    before = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("__source"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__words").over(before), F.lit(0)).alias("__before"))
-    line = Window.partitionBy("rank", "__bucket").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dealt = dealt.withColumn("__upto", F.sum("size").over(line))
-    dealt = dealt.join(sums, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__b")))
-    end = F.col("__before") + F.col("__upto")
-
-    def picked(x: Column) -> Column:
-        """Words that are taken among the first x words of the source's line, whole passes left out."""
-        whole = F.least(F.floor(x / F.col("length")).cast("long"), F.col("blocks"))
-        upto = lambda b: F.floor((b * F.col("chosen") + F.col("turn")) / F.col("blocks")).cast("long")
-        inside = F.when(whole < F.col("blocks"), (x - whole * F.col("length")) * (upto(whole + 1) - upto(whole))).otherwise(F.lit(0))
-        rest = F.least(F.greatest(x - F.col("rest_from"), F.lit(0)), F.col("rest"))
-        return F.col("length") * upto(whole) + inside + rest
-
-    taken = F.col("passes") * F.col("size") + picked(end) - picked(end - F.col("size"))
+    plan = shard_plan(targets, shards, blocks_per_shard, seed).groupBy("rank", "source", "source_size", "target")
+    parts = ("shard", "part_from", "before", "passes", "length", "blocks", "chosen", "turn", "rest", "rest_from")
+    plan = plan.agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("plan"))  # `shards` values each
+    plan = plan.withColumnRenamed("source", "own").drop("rank")
+
+    # At most sources * buckets rows.
+    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("own"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("ahead"))
+    line = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = rows.withColumn("upto", F.sum("size").over(line))
+    dealt = dealt.join(sums, F.col("source").eqNullSafe(F.col("own")) & (F.col("bucket") == F.col("b"))).drop("own", "b")
+    dealt = dealt.withColumn("end", F.col("ahead") + F.col("upto")).join(plan, F.col("source").eqNullSafe(F.col("own")))
+    taken = _taken(F.col("end")) - _taken(F.col("end") - F.col("size"))
     return dealt.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, seed: int = 17, **params) -> DataFrame:
-    """The documents of the mix: each as many times as it is taken, the broken part by a seeded draw.
+    """The documents of the mix, with all their columns: each as many times as it is taken, the broken part by a seeded draw.
 
-    A document of no words isn't part of a mix and goes. Rows that repeat a
-    doc_id repeat in proportion to their own words.
+    A document of no words (null texts too) isn't part of a mix and goes. Rows
+    that repeat a doc_id repeat in proportion to their own words; null ids and
+    null sources are values like others. An empty table gives an empty result.
     """
-    mix = mix_sources(docs, seed=seed, **params).groupBy("doc_id", "size").agg((F.sum("taken") / F.count("*")).alias("__taken"))
+    own_id, own_size, times, copy, words = fresh(docs, "mix_id", "mix_size", "mix_times", "mix_copy", "mix_words")
+    mix = mix_sources(docs, seed=seed, **params).groupBy("doc_id", "size").agg((F.sum("taken") / F.count("*")).alias("taken"))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    mix = mix.filter(F.col("size") > 0).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.floor(F.col("__taken") / F.col("size") + draw).cast("int").alias("__times")).filter("__times > 0")
-    own = docs.withColumn("__words", word_count(F.col("text")))
-    out = own.join(mix, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    mix = mix.filter(F.col("size") > 0).select(F.col("doc_id").alias(own_id), F.col("size").alias(own_size), F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias(times))
+    own = docs.withColumn(words, word_count(F.col("text")))
+    out = own.join(mix.filter(F.col(times) > 0), F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(words) == F.col(own_size)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
