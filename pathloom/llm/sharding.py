@@ -11,13 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import fresh
+
 
 def jump_hash(key: Column, shards: int) -> Column:
     """Shard of a 64-bit key, 0 to shards - 1.
 
     Each draw is a hash of (key, number of the draw), so it doesn't depend on
     `shards`: the jumps for n and n + 1 shards are the same as long as both
-    stay below n.
+    stay below n. A jump goes forward by one at least, so `shards` steps are
+    enough; once a jump has passed the last shard the other steps only hand on.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
@@ -37,13 +40,14 @@ def jump_hash(key: Column, shards: int) -> Column:
     return walked["at"].cast("int")
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, buckets: int = 4096) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, buckets: int | None = None) -> DataFrame:
     """Documents with size, text_crc32, shard, slot and grown_shard; every column of `docs` stays but those names.
 
     Key: doc_id; a null doc_id is one key of its own. A null text has size 1
     and the checksum of the empty text. Rows that repeat a doc_id share its
     shard and get slots of their own, ordered by doc_id, checksum and size.
-    An empty table gives an empty result.
+    An empty table gives an empty result. buckets: of a shard, each numbered by
+    one task; by default so many that a bucket has some thousand rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     made = ("size", "text_crc32", "shard", "slot", "grown_shard")
@@ -56,15 +60,13 @@ def shard_documents(docs: DataFrame, shards: int = 8, buckets: int = 4096) -> Da
             "grown_shard": jump_hash(key, shards + 1),
         }
     )
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int"))
-    # At most shards * buckets rows, whatever the input.
-    held = rows.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("shard", "__bucket").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("__rank", F.row_number().over(within))
-    return (
-        ranked.join(held, ["shard", "__bucket"])
-        .withColumn("slot", (F.col("__before") + F.col("__rank") - 1).cast("long"))
-        .drop("__bucket", "__rank", "__before")
-    )
+    buckets = buckets or max(4096, docs.count() // (shards * 8192))
+    bucket, rank, ahead, n = fresh(rows, "slot_bucket", "slot_rank", "slot_ahead", "slot_rows")
+    rows = rows.withColumn(bucket, F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int"))
+    # At most shards * buckets rows, some thousandth of the input.
+    held = rows.groupBy("shard", bucket).agg(F.count("*").alias(n))
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("shard", bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(ahead))
+    within = Window.partitionBy("shard", bucket).orderBy("doc_id", "text_crc32", "size")
+    ranked = rows.withColumn(rank, F.row_number().over(within))
+    return ranked.join(held, ["shard", bucket]).withColumn("slot", (F.col(ahead) + F.col(rank) - 1).cast("long")).drop(bucket, rank, ahead)
