@@ -10,11 +10,12 @@ from math import exp, lgamma, log
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pathloom.llm import jaccard, lm, suffix, textkit
 from pathloom.llm.decontam import Items, _found, align, contaminated, drop_contaminated
-from pathloom.llm.mixing import apply_mix, mix_sources, shard_quotas, source_targets
+from pathloom.llm.mixing import apply_mix, mix_sources, shard_plan, shard_quotas, source_targets
 from pathloom.llm.sharding import jump_hash, shard_documents
 from pathloom.llm.tokencount import Counter as TokenCounter
 from pathloom.llm.tokencount import count_tokens, load_pieces
@@ -410,6 +411,64 @@ def test_each_source_comes_to_its_target_in_whole_words(spark, blocks):
     assert {s: taken[s] for s in target} == pytest.approx(target, abs=0.5 + 1e-6)
 
 
+def spark_hash(*values):
+    """xxhash64 over columns: int, long (as ("long", n)), string; nulls are passed over."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else v[1].to_bytes(8, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(4, "little", signed=True)
+            h = xxhash.xxh64(raw, h).intdigest()
+    return h - 2**64 if h >= 2**63 else h
+
+
+@pytest.mark.parametrize("shards, blocks, buckets", [(4, 16, 4096), (64, 512, 3), (1, 3, 7)])
+def test_taken_as_brute_force(spark, shards, blocks, buckets):
+    rows = mix_rows(random.Random(shards), 300) + [(900, "a few words only", "tiny"), (901, "w " * 3000, "b"), (901, "w " * 3000, "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r.doc_id, r["size"], r.source, r.taken) for r in mix_sources(frame, shards=shards, blocks_per_shard=blocks, buckets=buckets).collect())
+    line = defaultdict(list)
+    for i, t, s in rows:
+        h = spark_hash(17, ("long", i), t)
+        line[s].append(((h % 2**64 >> 20) % buckets, h, i, len((t or "").split())))
+    target = brute_targets({s: sum(d[3] for d in x) for s, x in line.items()})
+    order = sorted(line, key=lambda s: (s is None, (s or "").encode()))
+    seats, won, total = Counter(), Counter(), sum(d[3] for x in line.values() for d in x)
+    for seat in range(shards * blocks):
+        s = max(order, key=lambda s: (target[s] / (2 * won[s] + 1), -order.index(s)))
+        won[s] += 1
+        seats[s, seat // blocks] += 1
+    want = Counter()
+    for rank, s in enumerate(order, 1):
+        docs = sorted(line[s])
+        words = [d for d, x in enumerate(docs) for _ in range(x[3])]
+        share = [seats[s, j] for j in range(shards)] if won[s] else [int(spark_hash(17, rank) % shards == j) for j in range(shards)]
+        taken, goal = Counter(), round(target[s])
+        edge = [math.floor(len(words) * (sum(share[:j]) / sum(share))) for j in range(shards + 1)]
+        cut = [math.floor(goal * (e / max(1, len(words))) + 0.5) for e in edge]
+        for j in range(shards):
+            stretch, quota = words[edge[j] : edge[j + 1]], cut[j + 1] - cut[j]
+            for _ in range(quota // len(stretch) if stretch else 0):
+                taken.update(stretch)
+            part = quota % len(stretch) if stretch else 0
+            length = max(1, min(total // (shards * blocks), len(stretch)))
+            n = max(1, len(stretch) // length)
+            chosen = min(part // length, n)
+            turn = spark_hash(17, rank, j) % n
+            mine = [b for b in range(n) if ((b + 1) * chosen + turn) // n > (b * chosen + turn) // n]
+            for b in mine:
+                taken.update(stretch[b * length : (b + 1) * length])
+            rest = part - len(mine) * length
+            taken.update(stretch[min(b for b in range(n + 1) if b not in mine) * length :][:rest])
+        assert sum(taken.values()) == goal
+        for d, (_, _, i, n) in enumerate(docs):
+            assert taken[d] <= 3 * n
+            want[i, n, s, taken[d]] += 1
+    assert got == want
+    sizes = spark.createDataFrame([(s, sum(d[3] for d in x)) for s, x in line.items()], "source string, source_size long")
+    plan = {(r.source, r.shard): r.seats for r in shard_plan(source_targets(sizes), shards, blocks).collect()}
+    assert plan == {(s, j): seats[s, j] for s in order for j in range(shards)}
+
+
 def test_apply_mix_repeats_documents(spark):
     rows = mix_rows(random.Random(9))
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -431,6 +490,30 @@ def test_jump_hash_moves_rows_only_into_the_new_shard(spark):
         assert keys.groupby(f"s{n}").size().min() > 0.8 * 3000 / n
 
 
+def test_shards_and_slots_as_brute_force(spark):
+    rows = [(i % 97 if i % 13 else None, None if i % 7 == 0 else "é" * (i % 5)) for i in range(400)]
+
+    def jump(doc_id, n):
+        key, at, to, draw = spark_hash("shard", None if doc_id is None else ("long", doc_id)), -1, 0, 0
+        while to < n:
+            draw += 1
+            at, to = to, (to + 1) * 2**31 // ((spark_hash(("long", key), draw) % 2**64 >> 33) + 1)
+        return at
+
+    for shards in (1, 8, 11):
+        line = defaultdict(list)
+        for i, t in rows:
+            raw = (t or "").encode()
+            size, crc = len(raw) + 1, zlib.crc32(raw)
+            bucket = spark_hash(None if i is None else ("long", i), ("long", crc), ("long", size)) % 16
+            line[jump(i, shards)].append((bucket, i is not None, i or 0, crc, size, jump(i, shards + 1)))
+        want = Counter()
+        for shard, x in line.items():
+            want.update((i if known else None, size, crc, shard, slot, grown) for slot, (_, known, i, crc, size, grown) in enumerate(sorted(x)))
+        got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards, buckets=16).collect()
+        assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot, r.grown_shard) for r in got) == want
+
+
 def test_slots_are_gapless(spark):
     rows = [(i % 97 if i % 13 else None, None if i % 7 == 0 else "é" * (i % 5)) for i in range(700)]
     got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8, buckets=16).toPandas()
@@ -466,16 +549,20 @@ def test_counts_as_the_tokenizer(spark, scores):
 # -- toxicity
 
 
-def test_index_finds_the_nearest(spark):
+def test_index_finds_the_nearest():
     rng = np.random.default_rng(1)
     examples = rng.random((300, 12)) * (rng.random((300, 12)) < 0.3)
     examples = examples[examples.any(axis=1)]
     examples = np.unique(examples / np.linalg.norm(examples, axis=1, keepdims=True), axis=0)
-    index = Index({e.tobytes(): [1.0, 0.0] for e in examples}, 12, block=16)
-    queries = examples[:40] + 0.1
+    parts = [(np.flatnonzero(e), e[e > 0]) for e in examples]
+    index = Index(parts, np.ones((len(parts), 2)), np.arange(len(parts)), 12, block=16)
+    queries = examples[:40] + 0.1 * (rng.random((40, 12)) < 0.5)
     queries /= np.linalg.norm(queries, axis=1, keepdims=True)
-    sims, _ = index.nearest(queries, 5)
-    assert np.allclose(sims, -np.sort(-(queries @ examples.T), axis=1)[:, :5], atol=1e-9)
+    row, col = np.nonzero(queries)
+    sims, found = index.nearest(row, col, queries[row, col], 40, 5)
+    cosine = queries @ examples.T
+    assert np.allclose(sims, np.maximum(-np.sort(-cosine, axis=1)[:, :5], 0) - (np.sort(-cosine, axis=1)[:, :5] == 0), atol=1e-9)
+    assert np.allclose(sims, np.take_along_axis(cosine, index.ids[found], 1), atol=1e-9)
 
 
 def toxic_rows(rng, n=600):
@@ -507,6 +594,64 @@ def test_toxic_documents_are_told_apart(spark):
     assert {r.doc_id for r in drop_toxic(docs, marked).collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def brute_toxicity(rows, labels, k=16, softness=0.05, chance=0.01):
+    """Scores and the nearest voters' cosines by plain loops."""
+    learn = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 5}
+    plain = lambda t: re.findall(rb"[a-z0-9\x80-\xff]+", (t or "").encode().translate(ASCII_LOWER))
+    bags = {i: Counter(x for w in plain(t) for x in [(0, w), *((n, w[:n]) for n in (3, 4, 5, 6, 7) if len(w) > n)]) for i, t in rows}
+    n = [sum(y == v for y in learn.values()) for v in (0, 1)]
+    seen = defaultdict(lambda: [0, 0])
+    for i, y in learn.items():
+        for x in bags[i]:
+            seen[x][y] += 1
+
+    def g(x):
+        b, a = seen[x]
+        cells = ((a, a + b, n[1]), (b, a + b, n[0]), (n[1] - a, sum(n) - a - b, n[1]), (n[0] - b, sum(n) - a - b, n[0]))
+        return 2 * sum(c * log(c * sum(n) / (m * label)) for c, m, label in cells if c)
+
+    terms = {x for x, (b, a) in seen.items() if a > 1 and a * n[0] >= 4 * b * n[1] and g(x) > 2 * log(len(seen) / chance)}
+    idf = {x: log((1 + len(rows)) / (1 + sum(x in bag for bag in bags.values()))) + 1 for x in terms}
+
+    def vector(bag):
+        v = {x: (1 + log(c)) * idf[x] for x, c in bag.items() if x in terms}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        return {x: w / norm for x, w in v.items()}
+
+    votes, vectors, prior = defaultdict(lambda: [0, 0]), {}, n[1] / sum(n)
+    for i, y in learn.items():
+        v = vector(bags[i])
+        key = tuple(sorted((x, round(w, 9)) for x, w in v.items()))
+        vectors[key] = v
+        votes[key][y] += 1
+    out = {}
+    for i, _ in rows:
+        v = vector(bags[i])
+        if not v:
+            none = votes.get((), [0, 0])
+            out[i] = ((none[1] + prior) / (sum(none) + 1), [])
+            continue
+        near = sorted(((sum(w * e.get(x, 0) for x, w in v.items()), key) for key, e in vectors.items()), key=lambda c: -c[0])
+        near = [(c, votes[key]) for c, key in near if c > 0]
+        assert len(near) <= k or near[k - 1][0] - near[k][0] > 1e-9 or near[k - 1][1] == near[k][1]  # no tie decides here
+        w = [1 / (1 - min(c, 1) + softness) for c, _ in near[:k]]
+        out[i] = ((sum(x * e[1] for x, (_, e) in zip(w, near)) + prior) / (sum(x * sum(e) for x, (_, e) in zip(w, near)) + 1), [c for c, _ in near[:k]])
+    return out
+
+
+def test_toxicity_scores_as_brute_force(spark):
+    rows, labels = toxic_rows(random.Random(5), 300)
+    rows += [(9000, None), (9001, ""), (9002, "Vile, NASTY; nasty scummy nastiness")]
+    got = score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), k=400, evidence=400).collect()
+    want = brute_toxicity(rows, labels, k=400)
+    assert {r.doc_id for r in got} == want.keys()
+    for r in got:
+        score, cosines = want[r.doc_id]
+        assert r.score == pytest.approx(score, abs=1e-9) and r.predicted == (score >= 0.5)
+        assert [e.cosine for e in r.evidence] == pytest.approx(cosines, abs=1e-9)
+        assert all(0 <= e.toxic <= 1 and e.weight == pytest.approx(1 / (1 - min(e.cosine, 1) + 0.05)) and zlib.crc32(str(e.doc_id).encode()) % 5 for e in r.evidence)
+
+
 # -- top k
 
 
@@ -524,6 +669,23 @@ def test_top_k_as_brute_force(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
 
 
+def test_top_k_is_exact_for_large_components(spark):
+    rng = random.Random(13)
+    rows = [(i, [rng.choice([1.0, -1.0]) * rng.choice([1e-3, 1.5, 1e7, 3e7 + 0.5, 5e8, 1e9, 1e17]) * rng.random() for _ in range(6)]) for i in range(200)]
+    rows += [(i, [rng.choice([1e7, 1e7 + 1 / 64, 1e7 + 2 / 64]) for _ in range(6)]) for i in range(200, 260)]
+    rows += [(300, [1.0, 1.0]), (301, [5e8, 2.0]), (302, [1e9, 2.0]), (320, [3e7 + 0.5, 1.0])]
+    rows += [(340, []), (341, []), (360, [1e300] * 3), (361, [1e300, 1.0, 1.0]), (362, [-1e300, 1.0, 1.0]), (363, [1e307] * 3)]
+    rows += [rows[20], (20, rows[21][1]), (20, rows[22][1])]  # ids that repeat
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=7, query_block=9, candidate_block=50, rows=16, step=2).collect()
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if all(math.isfinite(64 * x) for x in v)]
+    want = []
+    for at, (q, own) in enumerate(whole):
+        if q % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(own, v)), i) for j, (i, v) in enumerate(whole) if j != at and len(v) == len(own))
+            want += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(scores[:7])]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 def test_words_and_shingles():
     import pyarrow as pa
 
