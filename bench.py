@@ -34,7 +34,7 @@ LINES = {
     "substring_selective": "blue_gear",
     "extension": "*.md",
     "extension_text": "gear *.json",
-    "regex": "/doc-[0-9]*7\\.(md|txt)$",
+    "regex": "/doc-[0-9]*[05]1?\\.(md|txt)$",
     "glob": "doc-1?.*",
     "fuzzy": "~geer",
     "path_aware": "parts/gear",

@@ -143,12 +143,12 @@ def _repair(store, args: list[str]) -> tuple[int, list[str]]:
     rows = (store or TagStore.discover(".")).repair(_spark(), prune, dry)
     lines = [f"relinked: {r} -> {new}" for s, r, new, _ in rows if s == "relinked"]
     lines += [f"refreshed fingerprint: {r}" for s, r, _, _ in rows if s == "refreshed"]
-    lines += [f"ambiguous: {r} matches {', '.join(c)}; resolve manually with mv" for s, r, _, c in rows if s == "ambiguous"]
-    lines += [f"missing: {r}{' (pruned)' if s == 'pruned' else ' (rerun with --prune to drop)'}" for s, r, _, _ in rows if s in ("missing", "pruned")]
+    lines += [f"ambiguous: {r} matches {', '.join(c)}; mv says which" for s, r, _, c in rows if s == "ambiguous"]
+    lines += [f"missing: {r}{' (pruned)' if s == 'pruned' else ' (--prune drops it)'}" for s, r, _, _ in rows if s in ("missing", "pruned")]
     if not rows:
-        lines.append("index is consistent with the tree")
+        lines.append("nothing to repair")
     if dry:
-        lines.append("dry run, no changes written")
+        lines.append("dry run: the store is as before")
     return int(any(s in ("ambiguous", "missing") for s, *_ in rows)), lines
 
 
@@ -159,7 +159,7 @@ def _check(store, args: list[str]) -> tuple[int, list[str]]:
     for status, label in (("missing", "missing"), ("modified", "modified since tagging"), ("mismatch", "fingerprint mismatch")):
         lines += [f"{label}: {r}" for s, r in rows if s == status]
     bad = len(lines) > 1
-    return int(bad), [*lines, "problems found; repair reconciles the index" if bad else "ok"]
+    return int(bad), [*lines, "problems found: see repair" if bad else "ok"]
 
 
 def run(args: list[str]) -> tuple[int, list[str]]:

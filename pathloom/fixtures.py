@@ -72,7 +72,7 @@ def tag_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         doc_rel().alias("rel"),
         tags.alias("tags"),
         F.col("n_chars").alias("size"),
-        ((F.lit(1704067200) + F.col("doc_id") * 61) * 1_000_000_000 + 186633212).alias("mtime_ns"),
+        ((F.lit(1704067200) + F.col("doc_id") * 61) * 1_000_000_000 + 5).alias("mtime_ns"),
         F.md5(F.encode("text", "UTF-8")).alias("fp"),
         "doc_id",
     )
@@ -88,7 +88,7 @@ def stale_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rel, size, mtime_ns, fp of the tree under the tags, every thirty-fifth document gone."""
     docs = _table(spark, sf_dir, "documents").filter("doc_id % 35 <> 0")
-    return docs.select(doc_rel().alias("rel"), F.col("n_chars").alias("size"), ((F.lit(1704067200) + F.col("doc_id") * 61) * 1_000_000_000 + 186633212).alias("mtime_ns"), F.md5(F.encode("text", "UTF-8")).alias("fp"))
+    return docs.select(doc_rel().alias("rel"), F.col("n_chars").alias("size"), ((F.lit(1704067200) + F.col("doc_id") * 61) * 1_000_000_000 + 5).alias("mtime_ns"), F.md5(F.encode("text", "UTF-8")).alias("fp"))
 
 
 def seconds(ts) -> F.Column:

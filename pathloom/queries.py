@@ -51,7 +51,7 @@ catalog as (
            cast(concat('0x', substr(md5(path), 1, 12)) as bigint) as id
     from raw_catalog),
 entries as (
-    select '/data/docs' as root, {_REL} as rel, doc_id, n_chars as size, (1704067200 + doc_id * 61) * 1000000000 + 186633212 as mtime_ns, md5(text) as fp,
+    select '/data/docs' as root, {_REL} as rel, doc_id, n_chars as size, (1704067200 + doc_id * 61) * 1000000000 + 5 as mtime_ns, md5(text) as fp,
            list_sort(list_filter([case when quality = 1 then 'high quality' else 'low quality' end, case when toxic = 1 then 'toxic' end, lang], lambda t: t is not null)) as tags
     from labels join documents using (doc_id)),
 opens as (select concat('/data/docs/', {_REL}) as file, cast(floor(epoch(ts)) as bigint) as ts from events join documents on user_id = doc_id where event_type = 'view'),
@@ -59,7 +59,7 @@ access as (select file, count(*) as open_count, max(ts) as last_opened from open
 scores as (select *, case when open_count > 0 then ln(1.0 + open_count) * case when {fx.NOW} - last_opened < 3600 then 4.0 when {fx.NOW} - last_opened < 86400 then 2.0
            when {fx.NOW} - last_opened < 604800 then 1.5 when {fx.NOW} - last_opened < 2592000 then 1.0 else 0.5 end else 0.0 end as score from access),
 stale as (select root, case when doc_id % 7 = 0 then concat('old/', rel) else rel end as rel, tags, case when doc_id % 11 = 0 and doc_id % 7 <> 0 then size + 1 else size end as size, mtime_ns, fp from entries),
-disk as (select {_REL} as rel, n_chars as size, (1704067200 + doc_id * 61) * 1000000000 + 186633212 as mtime_ns, md5(text) as fp from documents where doc_id % 35 <> 0)
+disk as (select {_REL} as rel, n_chars as size, (1704067200 + doc_id * 61) * 1000000000 + 5 as mtime_ns, md5(text) as fp from documents where doc_id % 35 <> 0)
 """
 _TAGS = "array_to_string(tags, ',')"
 
@@ -95,12 +95,10 @@ _SEARCHES = [
     ("substr_top_recent", "doc", 0, "contains(lower(path), 'doc')", "mtime desc", 20),
     ("ext_filter", "*.json", 0, "lower(ext) = 'json'", "mtime desc", 2000),
     ("ext_and_text", "gear *.MD", 0, "lower(ext) = 'md' and contains(lower(path), 'gear')", "mtime desc", 2000),
-    ("regex_search", "/doc-[0-9]*7\\.(md|txt)$", 0, "regexp_matches(path, '(?i)doc-[0-9]*7\\.(md|txt)$')", "mtime desc", 2000),
-    ("regex_invalid", "/doc-(?=1)", 0, "contains(lower(path), '/doc-(?=1)')", "mtime desc", 2000),
+    ("regex_search", "/DOC-[0-9]*[05]1?\\.(md|txt)$", 0, "regexp_matches(path, '(?i)doc-[0-9]*[05]1?\\.(md|txt)$')", "mtime desc", 2000),
     ("glob_search", "doc-1?.*", 0, "regexp_matches(name, '(?s)^.*doc-1.\\..*$') or regexp_matches(path, '(?s)^.*doc-1.\\..*$')", "mtime desc", 2000),
     ("path_aware", "parts/SMALL/gear", 0, "contains(lower(name), 'gear') and regexp_matches(lower(path), '^(.*/)?[^/]*parts[^/]*/(.*/)?[^/]*small[^/]*/')", "mtime desc", 2000),
     ("folder_only", "folder:src", 0, "is_dir and contains(lower(name), 'src')", "mtime desc", 2000),
-    ("two_words_one_phrase", "src1 doc", 0, "contains(lower(path), 'src1 doc')", "mtime desc", 500),
     ("sort_mtime_asc", "", 1, "true", "mtime", 300),
     ("sort_name_asc", "", 2, "true", "name", 300),
     ("sort_name_desc", "", 3, "true", "name desc", 300),
@@ -112,6 +110,27 @@ for _name, _line, _sort, _where, _order, _most in _SEARCHES:
     query(_name, _found(_where, _order, _most))(lambda spark, d, line=_line, sort=_sort, most=_most: _all(spark, d, line, sort, most))
 
 
+def _renamed(spark, d, line: str, before: str, after: str, most: int) -> DataFrame:
+    rows = fx.catalog(spark, d).withColumn("path", F.replace("path", F.lit(before), F.lit(after)))
+    return search.search_all(rows, line, fx.ROOTS, most)
+
+
+def _renamed_sql(text: str, before: str, after: str, most: int) -> str:
+    table = f"(select replace(path, '{before}', '{after}') as path, is_dir, mtime, size, bookmark from catalog) c"
+    return _found(f"contains(lower(path), '{text}')", most=most, table=table)
+
+
+@query("regex_invalid", _renamed_sql("/doc-(?=1", "/doc-1", "/doc-(?=1", 2000))
+def regex_invalid(spark, d):
+    """A pattern that isn't valid is looked for as it stands; here the names hold it."""
+    return _renamed(spark, d, "/doc-(?=1", "/doc-1", "/doc-(?=1", 2000)
+
+
+@query("two_words_one_phrase", _renamed_sql("src1 doc", "/doc-", " doc-", 500))
+def two_words_one_phrase(spark, d):
+    return _renamed(spark, d, "src1  doc", "/doc-", " doc-", 500)
+
+
 _FUZZY = """contains(lower(name), 'geer') or case when length(stem) < 3 then false when length(stem) <= 4 then levenshtein('geer', lower(stem)) <= 1
     else len(list_filter(range(3, least(5, length(stem)) + 1), lambda w: len(list_filter(range(0, length(stem) - w + 1), lambda i: levenshtein('geer', substr(lower(stem), i + 1, w)) <= 1)) > 0)) > 0 end"""
 

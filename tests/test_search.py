@@ -76,13 +76,13 @@ def test_columns_as_plain_predicate(spark):
 
 @pytest.fixture(scope="module")
 def small(spark):
-    rows = [("/mnt/data/file.txt", False, 10, 5), ("/mnt/database/other.txt", False, 20, 1), ("/mnt/data", True, 5, 0), ("/mnt/data/sub/File.md", False, 10, 9), ("/home/x.txt", False, 1, 2)]
+    rows = [("/pool/photos/one.txt", False, 10, 5), ("/pool/photos-raw/two.txt", False, 20, 1), ("/pool/photos", True, 5, 0), ("/pool/photos/sub/File.md", False, 10, 9), ("/home/x.txt", False, 1, 2)]
     return spark.createDataFrame(rows, ROWS)
 
 
 def test_scope_stops_at_names(small):
-    got = search.search_all(small, "", [("d", "/mnt/data/")]).collect()
-    assert [r.path for r in got] == ["/mnt/data/file.txt", "/mnt/data/sub/File.md", "/mnt/data"]
+    got = search.search_all(small, "", [("d", "/pool/photos/")]).collect()
+    assert [r.path for r in got] == ["/pool/photos/one.txt", "/pool/photos/sub/File.md", "/pool/photos"]
     assert [r["rank"] for r in got] == [1, 2, 3] and {r.bookmark for r in got} == {"d"}
     assert search.search_root(small, "", "").count() == 5
     assert search.search_all(small, "", [("none", "")]).count() == 0
@@ -90,45 +90,45 @@ def test_scope_stops_at_names(small):
 
 
 def test_first_root_names_the_row(small):
-    got = {r.path: r.bookmark for r in search.search_all(small, "", [("sub", "/mnt/data/sub"), ("mnt", "/mnt")]).collect()}
-    assert got["/mnt/data/sub/File.md"] == "sub" and got["/mnt/data/file.txt"] == "mnt" and "/home/x.txt" not in got
+    got = {r.path: r.bookmark for r in search.search_all(small, "", [("sub", "/pool/photos/sub"), ("pool", "/pool")]).collect()}
+    assert got["/pool/photos/sub/File.md"] == "sub" and got["/pool/photos/one.txt"] == "pool" and "/home/x.txt" not in got
 
 
 def test_cut_and_sorts(small):
     roots = [("all", "/")]
-    assert [r.path for r in search.search_all(small, "*.txt", roots, most=2).collect()] == ["/mnt/database/other.txt", "/mnt/data/file.txt"]
+    assert [r.path for r in search.search_all(small, "*.txt", roots, most=2).collect()] == ["/pool/photos-raw/two.txt", "/pool/photos/one.txt"]
     names = lambda sort: [r.path.rsplit("/", 1)[1] for r in search.search_all(small, parse("", sort), roots).collect()]
-    assert names(2) == ["File.md", "data", "file.txt", "other.txt", "x.txt"] and names(3) == names(2)[::-1]
-    assert names(4)[0] == "File.md" and names(5)[0] == "data" and names(1)[0] == "x.txt"
+    assert names(2) == ["File.md", "one.txt", "photos", "two.txt", "x.txt"] and names(3) == names(2)[::-1]
+    assert names(4)[0] == "File.md" and names(5)[0] == "photos" and names(1)[0] == "x.txt"
 
 
 def test_frecency_order(spark, small):
-    access = spark.createDataFrame([("/home/x.txt", 3, 900), ("/mnt/data/file.txt", 40, -10_000_000), ("/gone", 9, 900)], "file string, open_count long, last_opened long")
+    access = spark.createDataFrame([("/home/x.txt", 3, 900), ("/pool/photos/one.txt", 40, -10_000_000), ("/gone", 9, 900)], "file string, open_count long, last_opened long")
     got = search.search_all(small, parse("*.txt", 7), [("all", "/")], access=access, now=1000).collect()
-    assert [r.path for r in got] == ["/home/x.txt", "/mnt/data/file.txt", "/mnt/database/other.txt"]
+    assert [r.path for r in got] == ["/home/x.txt", "/pool/photos/one.txt", "/pool/photos-raw/two.txt"]
 
 
 def test_tagged_search(spark, small):
-    entries = spark.createDataFrame([("/mnt/data", "file.txt", ["coffee", "outdoor"]), ("/mnt/data", "gone.txt", ["coffee"]), ("/home", "x.txt", ["Coffee bar"])], "root string, rel string, tags array<string>")
-    find = lambda line: {(r.path, r.bookmark) for r in search.search_tagged(entries, small, line, [("d", "/mnt/data")]).collect()}
-    assert find("t:coffee") == {("/mnt/data/file.txt", "d"), ("/home/x.txt", "")}
-    assert find("t:coffee&out") == {("/mnt/data/file.txt", "d")}
-    assert find("t:") == find("t:coffee") and find("folder: t:coffee") == set() and find("fil t:coffee") == {("/mnt/data/file.txt", "d")}
+    entries = spark.createDataFrame([("/pool/photos", "one.txt", ["paid", "old invoice"]), ("/pool/photos", "gone.txt", ["paid"]), ("/home", "x.txt", ["Paid twice"])], "root string, rel string, tags array<string>")
+    find = lambda line: {(r.path, r.bookmark) for r in search.search_tagged(entries, small, line, [("d", "/pool/photos")]).collect()}
+    assert find("t:paid") == {("/pool/photos/one.txt", "d"), ("/home/x.txt", "")}
+    assert find("t:paid&old") == {("/pool/photos/one.txt", "d")}
+    assert find("t:") == find("t:paid") and find("folder: t:paid") == set() and find("one t:paid") == {("/pool/photos/one.txt", "d")}
 
 
 def test_requests(small):
-    assert [r.path for r in search.request_search(small, "folder:FILE t:x *.md", "/mnt/data", "txt").collect()] == ["/mnt/data/file.txt"]
-    got = search.request_search_all(small, "", [("mnt", "/mnt")], ["/mnt/data", "/mnt"]).collect()
-    assert {r.path for r in got} == {"/mnt/database/other.txt"}
-    text = search.answer(search.search_root(small, "other"), 5, 1).first().json
-    assert text == '{"results":[{"path":"/mnt/database/other.txt","is_dir":false,"mtime":20,"size":1}],"total_indexed":5,"search_time_ms":1}'
+    assert [r.path for r in search.request_search(small, "folder:ONE t:x *.md", "/pool/photos", "txt").collect()] == ["/pool/photos/one.txt"]
+    got = search.request_search_all(small, "", [("pool", "/pool")], ["/pool/photos", "/pool"]).collect()
+    assert {r.path for r in got} == {"/pool/photos-raw/two.txt"}
+    text = search.answer(search.search_root(small, "two"), 5, 1).first().json
+    assert text == '{"results":[{"path":"/pool/photos-raw/two.txt","is_dir":false,"mtime":20,"size":1}],"total_indexed":5,"search_time_ms":1}'
 
 
 def test_engine_refines_from_its_cache(small):
     engine = search.Engine(small, [("all", "/")], ["/home"], cache=True)
-    assert engine.file_count() == 4 and engine.search("fil").count() == 2
+    assert engine.file_count() == 4 and engine.search("one").count() == 1
     kept = engine.cache.rows
-    assert {r.path for r in engine.search("file.t").collect()} == {"/mnt/data/file.txt"} and engine.cache.query.text == "file.t" and kept is not engine.cache.rows
+    assert {r.path for r in engine.search("one.t").collect()} == {"/pool/photos/one.txt"} and engine.cache.query.text == "one.t" and kept is not engine.cache.rows
     engine.remove_bookmark("/")
     assert engine.bookmarks() == [] and engine.cache.query is None
 
