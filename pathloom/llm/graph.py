@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import discard, stage
+from .session import discard, stage, view
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): label is the smallest node of the component. edges: (a, b), long; self-loops and nulls don't count.
+    """(node, label), a staged table: label is the smallest node of the component. edges: (a, b), long; self-loops and nulls don't count.
 
     Each round hands the smallest label to all neighbours and then follows
     labels one step (pointer jumping); rounds end when no label changes. A hub's
@@ -30,4 +30,4 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after
         if not after.filter("label <> was").limit(1).count():
             discard(both)
-            return after.select("node", "label")
+            return view(after, after.select("node", "label"))

@@ -1,14 +1,18 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-1. A node is a distinct text (64-bit hash). Each gets the MinHash signature of
-   its word shingles; bands of it give buckets, and nodes that share a bucket
-   are linked to the bucket's smallest node: candidate components.
-2. Inside a component all pairs are compared, tile by tile: a component of more
+1. A node is a distinct text (128-bit hash). Each gets the MinHash signature of
+   its word shingles; bands of it give buckets.
+2. Nodes that share a bucket are compared there on their signatures, some
+   values at a time; a pair is dropped when the posterior probability that its
+   similarity reaches the threshold falls below the tolerance. Of the pairs that
+   stay only a spanning forest leaves the bucket. Buckets with the same nodes
+   are compared once; the nodes of a bucket too large for that are all linked to
+   its smallest one, unpruned. So candidate components hold texts that are
+   likely similar, not those that merely met in a bucket.
+3. Inside a component all pairs are compared, tile by tile: a component of more
    nodes than a tile is split, and each pair of tiles is a group of its own.
-   MinHash values are compared some at a time; a pair is dropped when the
-   posterior probability that its similarity reaches the threshold falls below
-   the tolerance. The rest are verified on the shingles themselves.
-3. A tile pair gives link counts and a spanning forest of its links, never the
+   Pairs are pruned as in 2.; the rest are verified on the shingles themselves.
+4. A tile pair gives link counts and a spanning forest of its links, never the
    pairs. The forests' components are the classes.
 """
 
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .graph import components
-from .session import n_partitions, stage
+from .session import discard, fresh, n_partitions, stage, view
 
 ROWS, BANDS, STEP = 4, 28, 16
 _SEED = np.random.default_rng(20240229)
@@ -96,26 +100,36 @@ def _verify(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, share: Fractio
     return common * share.denominator >= both * share.numerator
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of the component of each of 0 to n - 1 under the links (a[i], b[i])."""
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        open_ = label[a] != label[b]
+        if not open_.any():
+            break
+    while (label != label[label]).any():
+        label = label[label]
+    return label
+
+
+def survivors(sig: np.ndarray, a: np.ndarray, b: np.ndarray, floors: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a[i], b[i]) of signatures that Bayesian pruning leaves."""
+    matches, done = np.zeros(len(a), dtype=np.int64), 0
+    for upto, floor in floors.items():
+        matches += (sig[a, done:upto] == sig[b, done:upto]).sum(axis=1)
+        keep = matches >= floor
+        a, b, matches, done = a[keep], b[keep], matches[keep], upto
+    return a, b
 
 
 def link_group(nodes: np.ndarray, weights: np.ndarray, tiles: np.ndarray, same: bool, sets: list, sig: np.ndarray, share: Fraction, floors: dict) -> tuple[np.ndarray, np.ndarray]:
     """(links, root) of each node from the pairs of one group. same: all pairs; else those across the two tiles."""
     n = len(nodes)
-    links, forest = np.zeros(n, dtype=np.int64), _Forest(n)
+    links, root = np.zeros(n, dtype=np.int64), np.arange(n)
     if same:
         left, right = np.arange(n), np.arange(n)
     else:
@@ -124,20 +138,57 @@ def link_group(nodes: np.ndarray, weights: np.ndarray, tiles: np.ndarray, same:
         a, b = np.repeat(left[s : s + 256], len(right)), np.tile(right, len(left[s : s + 256]))
         if same:
             a, b = a[a < b], b[a < b]
-        matches, done = np.zeros(len(a), dtype=np.int64), 0
-        for upto, floor in floors.items():
-            matches += (sig[a, done:upto] == sig[b, done:upto]).sum(axis=1)
-            keep = matches >= floor
-            a, b, matches, done = a[keep], b[keep], matches[keep], upto
+        a, b = survivors(sig, a, b, floors)
         if not len(a):
             continue
         good = _verify(sets, a, b, share)
         a, b = a[good], b[good]
         np.add.at(links, a, weights[b])
         np.add.at(links, b, weights[a])
-        for x, y in zip(a.tolist(), b.tolist()):
-            forest.join(x, y)
-    return links, nodes[[forest.root(i) for i in range(n)]]
+        joined = np.flatnonzero(root != np.arange(n))
+        root = forest(n, np.concatenate([a, joined]), np.concatenate([b, root[joined]]))
+    return links, nodes[root]
+
+
+def _signatures_of(column: pa.Array) -> np.ndarray:
+    raw, offsets = tk.flat(column)
+    return np.frombuffer(raw.tobytes(), dtype=np.uint32).reshape(len(offsets) - 1, -1)
+
+
+def _refine(batches, floors: dict, at_once: int = 1 << 18):
+    """Rows sorted by bucket (bucket, node, sig): for each bucket a forest (a, b) of the pairs that may be similar."""
+
+    def solve(bucket: np.ndarray, node: np.ndarray, sig: np.ndarray):
+        start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        size = np.diff(np.append(start, len(bucket)))
+        # row i is compared with the rows after it in its bucket
+        later = np.repeat(start + size, size) - np.arange(len(bucket)) - 1
+        ends, at = np.cumsum(later), 0
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        while at < len(bucket):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + at_once, side="right")))
+            a = np.repeat(np.arange(at, stop), later[at:stop])
+            b = np.arange(len(a)) - np.repeat(np.cumsum(later[at:stop]) - later[at:stop], later[at:stop]) + a + 1
+            kept.append(survivors(sig, a, b, floors))
+            at = stop
+        root = forest(len(bucket), *(np.concatenate(x) for x in zip(*kept)))
+        edge = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(node[edge]), pa.array(node[root[edge]])], names=["a", "b"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        bucket, node = (batch.column(c).to_numpy() for c in ("bucket", "node"))
+        held.append((bucket, node, _signatures_of(batch.column("sig"))))
+        if sum(len(h[0]) for h in held) < 8192:
+            continue
+        bucket, node, sig = (np.concatenate(x) for x in zip(*held))
+        cut = int(np.flatnonzero(bucket == bucket[-1])[0])  # the last bucket may go on
+        if cut:
+            yield solve(bucket[:cut], node[:cut], sig[:cut])
+        held = [(bucket[cut:], node[cut:], sig[cut:])]
+    if held and sum(len(h[0]) for h in held):
+        yield solve(*(np.concatenate(x) for x in zip(*held)))
+    tk.release()
 
 
 def _compare(batches, n: int, share: Fraction, floors: dict):
@@ -153,9 +204,8 @@ def _compare(batches, n: int, share: Fraction, floors: dict):
     out: list[tuple] = []
     for batch in batches:
         for part in tk.slices(batch, "text"):
-            words, first = tk.word_hashes(*tk.flat(part.column("text")))
-            h, at = tk.shingles(words, first, n)
-            sig = signatures(h, at)
+            h, at = tk.shingles(*tk.word_hashes(*tk.flat(part.column("text"))), n)
+            sig = _signatures_of(part.column("sig"))
             cols = [part.column(c).to_numpy(zero_copy_only=False) for c in ("comp", "i", "j", "node", "weight", "tile")]
             for r, (comp, i, j, node, weight, tile) in enumerate(zip(*cols)):
                 if key_held != (comp, i, j):
@@ -170,54 +220,81 @@ def _compare(batches, n: int, share: Fraction, floors: dict):
                 out = []
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in close()], names=["node", "links", "root"])
+    held.clear()
+    tk.release()
+
 
+def _text_id(text="text") -> list:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
-def _known(docs: DataFrame, n: int, threshold: float, tolerance: float, tile: int) -> tuple[DataFrame, DataFrame]:
-    """(signed, known): rows (doc_id, node, has), and nodes with first_id, class_id, lead (the class's own node), links, n_copies."""
+
+def _candidates(nodes: DataFrame, floors: dict, most: int) -> DataFrame:
+    """(node, comp): nodes that may be similar to another one, by component."""
+    placed = nodes.select("node", F.explode("buckets").alias("bucket"))
+    held = placed.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("other"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("all"))
+    # Of buckets with the same nodes one is enough.
+    held = stage(held.filter("n > 1").groupBy("n", "head", "other", "all").agg(F.min("bucket").alias("bucket")).select("bucket", "head", "n"), "buckets")
+    small, large = F.col("n") <= most, F.col("n") > most
+    met = placed.join(held.filter(small).select("bucket").hint("merge"), "bucket").join(nodes.select("node", "sig"), "node")
+    met = met.select("bucket", "node", "sig").repartition(n_partitions(nodes.sparkSession), F.xxhash64("bucket")).sortWithinPartitions("bucket")
+    edges = met.mapInArrow(lambda it: _refine(it, floors), "a long, b long")
+    # A node goes to the smallest of its heads, and its other heads go there too: a large group has few heads.
+    headed = placed.join(held.filter(large).select("bucket", "head").hint("merge"), "bucket").groupBy("node").agg(F.array_sort(F.collect_set("head")).alias("heads"))
+    to = F.col("heads")[0].alias("b")
+    star = headed.select(F.col("node").alias("a"), to).unionByName(headed.select(F.explode("heads").alias("a"), to).distinct())
+    label = components(edges.unionByName(star.filter("a <> b")))
+    discard(held)
+    return view(label, label.withColumnRenamed("label", "comp"))
+
+
+def _known(docs: DataFrame, n: int, threshold: float, tolerance: float, tile: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(signed, known): rows (doc_id, t1, t2, has), and texts t1, t2 with first_id, class_id, lead (the class's own node), links, n_copies."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    parts, floors, share = n_partitions(docs.sparkSession), least_matches(threshold, tolerance, ROWS * BANDS), Fraction(str(threshold))
 
     def sign(batches):
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                words, first = tk.word_hashes(*tk.flat(part.column("text")))
-                h, at = tk.shingles(words, first, n)
+                h, at = tk.shingles(*tk.word_hashes(*tk.flat(part.column("text"))), n)
                 has = np.diff(at) > 0
-                buckets = bands(signatures(h, at)).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * BANDS)]), pa.int32()), pa.array(buckets[has].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(has), lists], names=["doc_id", "node", "has", "buckets"])
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("node"), "text")
-    signed = stage(rows.mapInArrow(sign, f"doc_id {kind}, node long, has boolean, buckets array<long>"), "signatures")
-    nodes = signed.filter("has").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"))
-    placed = signed.filter("has").select("node", F.explode("buckets").alias("bucket"))
-    heads = placed.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("other")).filter("head < other").select("bucket", "head")
-    # A node goes to the smallest of its heads, and its other heads go there too: a large group has few heads.
-    headed = placed.join(heads, "bucket").filter("node <> head").groupBy("node").agg(F.array_sort(F.collect_set("head")).alias("heads"))
-    to = F.col("heads")[0].alias("b")
-    edges = headed.select(F.col("node").alias("a"), to).unionByName(headed.select(F.explode("heads").alias("a"), to).filter("a <> b").distinct())
-    comp = components(edges).withColumnRenamed("label", "comp")
+                sig = signatures(h, at)
+                upto = lambda size: pa.array(np.concatenate([[0], np.cumsum(has * size)]), pa.int32())  # noqa: B023, E731
+                buckets = pa.ListArray.from_arrays(upto(BANDS), pa.array(bands(sig).view(np.int64)[has].ravel()))
+                sig = pa.Array.from_buffers(pa.binary(), len(has), [None, upto(4 * sig.shape[1]).buffers()[1], pa.py_buffer(np.ascontiguousarray(sig[has]))])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t1"), part.column("t2"), pa.array(has), buckets, sig], names=["doc_id", "t1", "t2", "has", "buckets", "sig"])
+        tk.release()
+
+    rows = docs.select("doc_id", *_text_id(), "text")
+    signed = stage(rows.mapInArrow(sign, f"doc_id {kind}, t1 long, t2 long, has boolean, buckets array<long>, sig binary"), "signatures")
+    nodes = signed.filter("has").groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # ids hold once they are written
+    comp = _candidates(nodes, floors, bucket)
 
     large = comp.groupBy("comp").agg(F.count("*").alias("size")).filter(F.col("size") > tile)  # few: nodes / tile at most
-    tiled = comp.join(large, "comp", "left").withColumn("n_tiles", F.ceil(F.coalesce("size", F.lit(1)) / tile).cast("int"))
+    # Merge joins on what may be hot: their large keys are split over tasks, those of a broadcast after a shuffle aren't.
+    tiled = comp.join(large.hint("merge"), "comp", "left").withColumn("n_tiles", F.ceil(F.coalesce("size", F.lit(1)) / tile).cast("int"))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node", F.lit("tile")), F.col("n_tiles")).cast("int"))
-    picked = stage(tiled.join(nodes, "node").select("node", "comp", "n_tiles", "tile", "first_id", F.col("n_copies").alias("weight")), "candidates")
-    texts = rows.withColumnRenamed("node", "own")
+    own = nodes.select("node", "t1", "t2", "first_id", F.col("n_copies").alias("weight"), "sig")
+    picked = stage(tiled.select("node", "comp", "n_tiles", "tile").join(own, "node"), "candidates")
+    discard(comp)
+    texts = rows.select("doc_id", F.col("t1").alias("own1"), F.col("t2").alias("own2"), "text")
     # Always a merge join: a broadcast of the candidates would fit small inputs only.
-    texts = picked.hint("merge").join(texts, (F.col("node") == F.col("own")) & F.col("first_id").eqNullSafe(F.col("doc_id")))
-    grouped = texts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1))).select("comp", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "node", "weight", "tile", "text")
-    grouped = grouped.repartition(n_partitions(docs.sparkSession), "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node")
-    floors, share = least_matches(threshold, tolerance, ROWS * BANDS), Fraction(str(threshold))
+    texts = picked.hint("merge").join(texts, (F.col("t1") == F.col("own1")) & (F.col("t2") == F.col("own2")) & F.col("first_id").eqNullSafe(F.col("doc_id")))
+    grouped = texts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1))).select("comp", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "node", "weight", "tile", "sig", "text")
+    grouped = grouped.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node")
     linked = stage(grouped.mapInArrow(lambda it: _compare(it, n, share, floors), "node long, links long, root long"), "links")
+    discard(picked)
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     label = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = nodes.join(counts, "node", "left").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = nodes.select("node", "t1", "t2", "first_id", "n_copies").join(counts, "node", "left").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lead = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", F.col("node").alias("lead"))).alias("l")
     leads = known.groupBy("label").agg(lead).select("label", F.col("l.first_id").alias("class_id"), "l.lead")
-    known = known.join(leads, "label").select("node", "first_id", "class_id", "lead", F.coalesce("links", F.lit(0)).alias("links"), "n_copies")
-    return signed.select("doc_id", "node", "has"), known
+    known = known.join(leads.hint("merge"), "label").select("node", "t1", "t2", "first_id", "class_id", "lead", F.coalesce("links", F.lit(0)).alias("links"), "n_copies")
+    return signed.select("doc_id", "t1", "t2", "has"), known
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, tile: int = 256) -> DataFrame:
+def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, tile: int = 1024, bucket: int = 512) -> DataFrame:
     """doc_id, class_id, n_links, n_copies: one row for each row of docs.
 
     Similarity: Jaccard of the sets of n-word shingles, words split at white
@@ -231,26 +308,28 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
 
     A pair of similarity 0.8 shares no band with probability 4e-7 and is pruned
     with at most the tolerance; no pair is accepted without exact verification.
+    tile: texts of a component that are compared in one go; bucket: the most
+    texts of a band's bucket that are compared there. Neither changes the result.
     """
-    signed, known = _known(docs, n, threshold, tolerance, tile)
-    out = signed.select("doc_id", F.when(F.col("has"), F.col("node")).alias("own")).join(known, F.col("own") == F.col("node"), "left")
-    return out.select(
-        "doc_id",
-        F.when(F.col("own").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce(F.col("links") + F.col("n_copies") - 1, F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
-    )
+    signed, known = _known(docs, n, threshold, tolerance, tile, bucket)
+    own = known.select("t1", "t2", "class_id", "links", F.col("n_copies").alias("copies"))
+    out = signed.filter("has").join(own, ["t1", "t2"]).select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies"))
+    alone = signed.filter("not has").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    return out.unionByName(alone)
 
 
-def one_per_class(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, tile: int = 256) -> DataFrame:
+def one_per_class(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, tile: int = 1024, bucket: int = 512) -> DataFrame:
     """The rows of docs, with all their columns, that lead their class (see jaccard_classes); one of rows that repeat.
 
-    Rows without any word link to nothing and all stay.
+    Rows without any word, null texts among them, link to nothing and all stay.
+    Null ids lead only where the class has no other. An empty table gives an
+    empty result.
     """
-    _, known = _known(docs, n, threshold, tolerance, tile)
+    _, known = _known(docs, n, threshold, tolerance, tile, bucket)
     null_id = F.lit(2**63 - 1)
-    keep = known.filter("node = lead").select(F.coalesce(F.col("first_id").cast("long"), null_id).alias("__id"), F.col("node").alias("__node"))
+    own = fresh(docs, "class_doc", "class_t1", "class_t2")
+    keep = known.filter("node = lead").select(F.coalesce(F.col("first_id").cast("long"), null_id).alias(own[0]), F.col("t1").alias(own[1]), F.col("t2").alias(own[2]))
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.filter(~wordless).withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), null_id), "__node": F.xxhash64("text")})
-    led = keyed.join(keep, ["__id", "__node"], "left_semi").dropDuplicates(["__id", "__node"]).drop("__id", "__node")
+    keyed = docs.filter(~wordless).withColumns(dict(zip(own, [F.coalesce(F.col("doc_id").cast("long"), null_id), *_text_id()])))
+    led = keyed.join(keep, own, "left_semi").dropDuplicates(own).drop(*own)
     return led.unionByName(docs.filter(wordless))

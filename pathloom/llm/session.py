@@ -44,6 +44,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def view(staged: DataFrame, out: DataFrame) -> DataFrame:
+    """`out`, made of the staged table alone, as something that discard() takes."""
+    out._staged_at = staged._staged_at
+    return out
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete staged tables that nothing reads any more: what was made of them must be staged itself."""
     for df in staged:

@@ -119,6 +119,25 @@ def test_classes_as_brute_force(spark, tile):
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_classes(rows)
 
 
+@pytest.mark.parametrize("bucket", [1, 3])
+def test_large_buckets_lose_no_link(spark, bucket):
+    rows = near_copies(random.Random(31), 6, 20)
+    got = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), tile=8, bucket=bucket).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_classes(rows)
+
+
+def test_forest_is_the_components():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n = int(rng.integers(1, 40))
+        a, b = rng.integers(0, n, (2, int(rng.integers(0, 40))))
+        label = list(range(n))
+        for _ in range(n):
+            for x, y in zip(a, b):
+                label[x] = label[y] = min(label[x], label[y])
+        assert jaccard.forest(n, a, b).tolist() == label
+
+
 def test_one_per_class_keeps_the_first(spark):
     rows = near_copies(random.Random(8), 5) + [(900, None), (901, ""), (902, " ")]
     want = {i for i, (c, _) in brute_classes(rows).items() if c == i}
