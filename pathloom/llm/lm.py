@@ -141,62 +141,101 @@ def _bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (1 << t) | (byte >> (8 - t)), (byte >> (7 - t)) & 1
 
 
-class Levels:
-    """The nodes of depth 3 to DEPTH for keys sorted by key; whole contexts of three bytes."""
+class Lower:
+    """The nodes of depth 4 to DEPTH for keys sorted by key; whole contexts of four bytes."""
 
     def __init__(self, key: np.ndarray, n: np.ndarray):
+        self.key = key
         self.node, self.bit = _bits(key)
         n8 = np.repeat(n, 8).reshape(-1, 8)
-        ones, zeros = (n8 * self.bit).ravel(), (n8 * (1 - self.bit)).ravel()
-        self.at, self.ones, self.zeros, self.log_w, self.weights, self.context = {}, {}, {}, {}, {}, {}
-        below, sums = None, None
-        for d in range(DEPTH, 2, -1):
-            context = key >> (8 * (DEPTH + 1 - d))
-            rank = np.cumsum(np.concatenate([[0], context[1:] != context[:-1]])) if len(key) else context
-            cell = (rank[:, None] * 256 + self.node).ravel()
+        self.at, self.ones, self.zeros, self.weights = {}, {}, {}, {}
+        below = None
+        for d in range(DEPTH, 3, -1):
+            cell = (_rank(key >> (8 * (DEPTH + 1 - d)))[:, None] * 256 + self.node).ravel()
             cells, where = np.unique(cell, return_inverse=True)
-            self.at[d] = where
-            self.ones[d] = np.bincount(where, ones, len(cells))
-            self.zeros[d] = np.bincount(where, zeros, len(cells))
+            self.at[d] = where.astype(np.int32)
+            self.ones[d] = np.bincount(where, (n8 * self.bit).ravel(), len(cells))
+            self.zeros[d] = np.bincount(where, (n8 * (1 - self.bit)).ravel(), len(cells))
             own = log_kt(self.zeros[d], self.ones[d])
             if below is None:
-                self.log_w[d], self.weights[d] = own, np.ones(len(cells))
+                below, self.weights[d] = own, np.ones(len(cells))
             else:
                 # each node below stands in one node here
                 parent = np.zeros(len(below), dtype=np.int64)
                 parent[self.at[d + 1]] = where
                 sums = np.bincount(parent, below, len(cells))
-                self.log_w[d], self.weights[d] = log_weighted(own, sums), weight(own, sums)
-            below = self.log_w[d]
-            if d == 3:
-                first = np.zeros(len(cells), dtype=np.int64)
-                first[where] = np.repeat(context, 8)
-                self.context, self.cells = first, cells & 255
+                below, self.weights[d] = log_weighted(own, sums), weight(own, sums)
+        self.log_w = below
+        self.cell = np.zeros(len(below), dtype=np.int64)  # node of depth 3 above: context of three bytes, node
+        self.cell[self.at[4]] = ((key >> 24)[:, None] * 256 + self.node).ravel()
 
-    def up(self) -> tuple[np.ndarray, ...]:
-        """(context of two bytes, node, zeros, ones, log weighted probability of the children)."""
-        cell = (self.context >> 8) * 256 + self.cells
-        cells, where = np.unique(cell, return_inverse=True)
-        sums = [np.bincount(where, x, len(cells)) for x in (self.zeros[3], self.ones[3], self.log_w[3])]
-        return cells >> 8, cells & 255, *sums
+    def sums(self) -> tuple[np.ndarray, ...]:
+        """(node of depth 3, zeros, ones, log weighted probability of its children) as far as these keys tell."""
+        cells, where = np.unique(self.cell, return_inverse=True)
+        return cells, *(np.bincount(where, x, len(cells)) for x in (self.zeros[4], self.ones[4], self.log_w))
 
     def one(self) -> tuple[np.ndarray, np.ndarray]:
-        """(probability of a one at depth 3, whether that context was seen), rows x 8."""
+        """(probability of a one at depth 4, whether that context was seen), one a key and decision."""
         p, seen = None, None
-        for d in range(DEPTH, 2, -1):
+        for d in range(DEPTH, 3, -1):
             zeros, ones = self.zeros[d][self.at[d]], self.ones[d][self.at[d]]
             kt = (ones + 0.5) / (zeros + ones + 1)
             w = self.weights[d][self.at[d]]
             p = kt if p is None else np.where(seen, w * kt + (1 - w) * p, kt)
             seen = zeros + ones > 0
-        return p.reshape(-1, 8), seen.reshape(-1, 8)
+        return p, seen
+
+
+def _rank(context: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate([[0], context[1:] != context[:-1]])) if len(context) else context
+
+
+class Levels:
+    """The nodes of depth 3 to DEPTH for keys sorted by key; whole contexts of three bytes, worked through in parts of whole contexts of four."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, rows: int):
+        self.key, self.n = key, n
+        edges = np.flatnonzero(np.concatenate([[True], (key[1:] >> 16) != (key[:-1] >> 16)])) if len(key) else np.zeros(0, np.int64)
+        self.cuts = [0]
+        for edge in [*edges.tolist()[1:], len(key)]:  # at most 65536 keys from edge to edge
+            if edge - self.cuts[-1] >= rows or edge == len(key):
+                self.cuts.append(edge)
+        self.only = Lower(key, n) if len(self.cuts) == 2 else None
+        parts = [x.sums() for x in self.parts()]
+        cell = np.concatenate([x[0] for x in parts])
+        self.cell, where = np.unique(cell, return_inverse=True)
+        self.zeros, self.ones, children = (np.bincount(where, np.concatenate([x[i] for x in parts]), len(self.cell)) for i in (1, 2, 3))
+        own = log_kt(self.zeros, self.ones)
+        self.log_w, self.weights = log_weighted(own, children), weight(own, children)
+
+    def parts(self):
+        if self.only is not None:
+            yield self.only
+            return
+        for s, e in zip(self.cuts[:-1], self.cuts[1:]):
+            yield Lower(self.key[s:e], self.n[s:e])
+
+    def up(self) -> tuple[np.ndarray, ...]:
+        """(context of two bytes, node, zeros, ones, log weighted probability of the children)."""
+        cells, where = np.unique((self.cell >> 16 << 8) | (self.cell & 255), return_inverse=True)
+        sums = [np.bincount(where, x, len(cells)) for x in (self.zeros, self.ones, self.log_w)]
+        return cells >> 8, cells & 255, *sums
+
+    def one(self, part: Lower) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of a one at depth 3, whether that context was seen), rows x 8."""
+        p, seen = part.one()
+        at = np.searchsorted(self.cell, ((part.key >> 24)[:, None] * 256 + part.node).ravel())
+        zeros, ones, w = self.zeros[at], self.ones[at], self.weights[at]
+        kt = (ones + 0.5) / (zeros + ones + 1)
+        p = np.where(seen, w * kt + (1 - w) * p, kt)
+        return p.reshape(-1, 8), (zeros + ones > 0).reshape(-1, 8)
 
 
 class Top:
     """The nodes of depth 0 to 2."""
 
     def __init__(self, context: np.ndarray, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray):
-        cell = context * 256 + node
+        cell = context.astype(np.int64) * 256 + node
         order = np.argsort(cell)
         self.cell, zeros, ones, children = cell[order], zeros[order], ones[order], children[order]
         own = log_kt(zeros, ones)
@@ -228,8 +267,8 @@ class Top:
         return out.reshape(p.shape)
 
 
-def _contexts(batches, solve, rows: int = 1 << 17):
-    """Keys sorted; whole contexts of three bytes go to solve, about `rows` keys at once."""
+def _contexts(batches, solve, rows: int = 1 << 15):
+    """Keys sorted; whole contexts of three bytes go to solve, about `rows` keys at once; one context has 2**24 at most."""
     key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         key = np.concatenate([key, batch.column("key").to_numpy()])
@@ -237,22 +276,24 @@ def _contexts(batches, solve, rows: int = 1 << 17):
         if len(key) >= rows:
             cut = int(np.searchsorted(key >> 24, key[-1] >> 24))
             if cut:
-                yield solve(key[:cut], n[:cut])
+                yield from solve(key[:cut], n[:cut], rows)
                 key, n = key[cut:], n[cut:]
     if len(key):
-        yield solve(key, n)
+        yield from solve(key, n, rows)
+    tk.release()
 
 
-def _up(key, n):
-    context, node, zeros, ones, log_w = Levels(key, n).up()
-    return pa.RecordBatch.from_arrays([pa.array(context), pa.array(node), pa.array(zeros), pa.array(ones), pa.array(log_w)], names=["context", "node", "zeros", "ones", "log_w"])
+def _up(key, n, rows):
+    context, node, zeros, ones, log_w = Levels(key, n, rows).up()
+    yield pa.RecordBatch.from_arrays([pa.array(context.astype(np.int32)), pa.array(node.astype(np.int16)), pa.array(zeros), pa.array(ones), pa.array(log_w)], names=["context", "node", "zeros", "ones", "log_w"])
 
 
-def _log_probabilities(key, n, top: Top):
-    levels = Levels(key, n)
-    p = top.root(key, levels.node, *levels.one())
-    value = np.log10(np.where(levels.bit == 1, p, 1 - p)).sum(axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(value)], names=["key", "value"])
+def _log_probabilities(key, n, rows, top: Top):
+    levels = Levels(key, n, rows)
+    for part in levels.parts():
+        p = top.root(part.key, part.node, *levels.one(part))
+        value = np.log10(np.where(part.bit == 1, p, 1 - p)).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(part.key), pa.array(value)], names=["key", "value"])
 
 
 def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -282,12 +323,13 @@ def _score_chunk(docs: pa.Table, known: pa.Table, n_train: int, n_types: int) ->
     return pa.Table.from_batches(out) if out else pa.table({})
 
 
-def score_documents(docs: DataFrame, modulus: int = 5, remainder: int = 1, chunk_bytes: int = 48 << 20, least_chunks: int = 32) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes: one row for each row of docs.
+def score_documents(docs: DataFrame, modulus: int = 5, remainder: int = 1, chunk_bytes: int = 16 << 20, least_chunks: int = 32) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte: one row for each row of docs.
 
     Learns from the rows whose crc32(doc_id as text) doesn't leave `remainder`
     (null ids learn). score: log10 probability of the bytes of the text and its
-    end; -score / log10(2) / n_bytes is the code length per byte. base_score:
+    end; bits_per_byte: the code length, -score / log10(2) / n_bytes (null for
+    an empty text). A zero byte within a text counts as an end there. base_score:
     the unigram model over lower-cased words and the end token, with half a
     count added. Null texts are empty: one token, the end. Rows that repeat
     count and are scored each. Without training rows every bit has probability
@@ -303,11 +345,12 @@ def score_documents(docs: DataFrame, modulus: int = 5, remainder: int = 1, chunk
     asked = stage(rows.repartition(max(parts, chunks), "chunk").mapInArrow(_asked, "kind int, key long, chunk int, n long"), "lm-asked")
     counts = stage(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
     grams = counts.filter(F.col("kind") == GRAM).select("key", "n").repartition(parts, F.shiftrightunsigned("key", 24)).sortWithinPartitions("key")
-    upper = grams.mapInArrow(lambda it: _contexts(it, _up), "context long, node long, zeros double, ones double, log_w double")
+    upper = grams.mapInArrow(lambda it: _contexts(it, _up), "context int, node short, zeros double, ones double, log_w double")
     upper = upper.groupBy("context", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_w").alias("log_w")).toArrow()
     top = Top(*(upper.column(c).to_numpy() for c in ("context", "node", "zeros", "ones", "log_w")))
+    del upper
     sent = spark.sparkContext.broadcast(top)
-    scored = grams.mapInArrow(lambda it: _contexts(it, lambda key, n: _log_probabilities(key, n, sent.value)), "key long, value double")
+    scored = grams.mapInArrow(lambda it: _contexts(it, lambda key, n, rows: _log_probabilities(key, n, rows, sent.value)), "key long, value double")
     words = counts.filter(F.col("kind") == WORD)
     n_train, n_types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     values = scored.select(F.lit(GRAM).alias("kind"), "key", "value").unionByName(words.select("kind", "key", F.col("n").cast("double").alias("value")))
@@ -315,4 +358,5 @@ def score_documents(docs: DataFrame, modulus: int = 5, remainder: int = 1, chunk
     answers = stage(answers, "lm-answers")
     discard(asked, counts)
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: _score_chunk(a, b, n_train, n_types), schema)
+    out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: _score_chunk(a, b, n_train, n_types), schema)
+    return out.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("score") / np.log10(2.0) / F.col("n_bytes")))

@@ -350,11 +350,26 @@ def test_scores_as_brute_force(spark):
         tokens = [*word_list(text), None]
         r = got[i]
         assert r.score == pytest.approx(want[i], abs=1e-8)
+        n = len((text or "").encode())
+        assert r.n_bytes == n and (r.bits_per_byte == pytest.approx(-want[i] / math.log10(2) / n, abs=1e-8) if n else r.bits_per_byte is None)
         assert (r.held_out, r.n_tokens, r.train_tokens) == (zlib.crc32(str(i).encode()) % 5 == 1, len(tokens), total)
         assert r.n_known == sum(learned[t] > 0 for t in tokens)
         assert r.base_score == pytest.approx(sum(math.log10((learned[t] + 0.5) / (total + 0.5 * (len(learned) + 1))) for t in tokens), abs=1e-9)
 
 
+def test_contexts_in_parts_are_as_whole():
+    rng = np.random.default_rng(9)
+    key = np.unique(rng.integers(0, 6, (4000, 6)) @ (256 ** np.arange(6)))
+    n = rng.integers(0, 4, len(key))
+    whole, cut = lm.Levels(key, n, len(key)), lm.Levels(key, n, 40)
+    assert len(cut.cuts) > 10 and len(list(whole.parts())) == 1
+    for x, y in zip(whole.up(), cut.up()):
+        assert np.allclose(x, y, rtol=1e-12)
+    p, seen = whole.one(whole.only)
+    parts = [cut.one(x) for x in cut.parts()]
+    assert np.allclose(p, np.concatenate([x[0] for x in parts]), rtol=1e-12) and (seen == np.concatenate([x[1] for x in parts])).all()
+
+
 # -- mixing
 
 
