@@ -271,13 +271,13 @@ def _known(docs: DataFrame, n: int, threshold: float, tolerance: float, tile: in
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # ids hold once they are written
     comp = _candidates(nodes, floors, bucket)
 
-    large = comp.groupBy("comp").agg(F.count("*").alias("size")).filter(F.col("size") > tile)  # few: nodes / tile at most
-    # Merge joins on what may be hot: their large keys are split over tasks, those of a broadcast after a shuffle aren't.
-    tiled = comp.join(large.hint("merge"), "comp", "left").withColumn("n_tiles", F.ceil(F.coalesce("size", F.lit(1)) / tile).cast("int"))
+    # Few rows: nodes / tile at most. A table of its own, so that its join is a broadcast by Spark's size check, or one whose large keys are split.
+    large = stage(comp.groupBy("comp").agg(F.count("*").alias("size")).filter(F.col("size") > tile), "large-components")
+    tiled = comp.join(large, "comp", "left").withColumn("n_tiles", F.ceil(F.coalesce("size", F.lit(1)) / tile).cast("int"))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node", F.lit("tile")), F.col("n_tiles")).cast("int"))
     own = nodes.select("node", "t1", "t2", "first_id", F.col("n_copies").alias("weight"), "sig")
     picked = stage(tiled.select("node", "comp", "n_tiles", "tile").join(own, "node"), "candidates")
-    discard(comp)
+    discard(comp, large)
     texts = rows.select("doc_id", F.col("t1").alias("own1"), F.col("t2").alias("own2"), "text")
     # Always a merge join: a broadcast of the candidates would fit small inputs only.
     texts = picked.hint("merge").join(texts, (F.col("t1") == F.col("own1")) & (F.col("t2") == F.col("own2")) & F.col("first_id").eqNullSafe(F.col("doc_id")))
@@ -285,12 +285,15 @@ def _known(docs: DataFrame, n: int, threshold: float, tolerance: float, tile: in
     grouped = grouped.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node")
     linked = stage(grouped.mapInArrow(lambda it: _compare(it, n, share, floors), "node long, links long, root long"), "links")
     discard(picked)
-    counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     label = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = nodes.select("node", "t1", "t2", "first_id", "n_copies").join(counts, "node", "left").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lead = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", F.col("node").alias("lead"))).alias("l")
-    leads = known.groupBy("label").agg(lead).select("label", F.col("l.first_id").alias("class_id"), "l.lead")
-    known = known.join(leads.hint("merge"), "label").select("node", "t1", "t2", "first_id", "class_id", "lead", F.coalesce("links", F.lit(0)).alias("links"), "n_copies")
+    leads = label.join(nodes.select("node", "first_id"), "node").groupBy("label").agg(lead)
+    leads = stage(leads.select("label", F.col("l.first_id").alias("class_id"), "l.lead"), "classes")
+    counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    linked_to = label.join(leads, "label").join(counts, "node").select("node", F.lit(True).alias("linked"), "class_id", "lead", "links")
+    known = nodes.select("node", "t1", "t2", "first_id", "n_copies").join(linked_to, "node", "left")
+    own = lambda name, alone: F.when(F.col("linked"), F.col(name)).otherwise(alone).alias(name)
+    known = known.select("node", "t1", "t2", "first_id", own("class_id", F.col("first_id")), own("lead", F.col("node")), own("links", F.lit(0)), "n_copies")
     return signed.select("doc_id", "t1", "t2", "has"), known
 
 
