@@ -93,21 +93,13 @@ def listing(rows: list, plain: bool, now: int | None = None) -> list[str]:
 def _list(store, args: list[str]) -> list[str]:
     plain, where = "--plain" in args, [a for a in args if a != "--plain"] or ["."]
     own, out = store or TagStore.discover(where[0]), []
-    entries = own.load()
     for i, path in enumerate(where):
         if not os.path.isdir(path):
             out.append(f"{own.rel(path)}: {', '.join(own.get(path))}")
             continue
         if len(where) > 1:
             out += [""] * bool(i) + [f"{path}:"]
-        rows = []
-        for name in sorted(os.listdir(path), key=os.fsencode):
-            child = os.path.join(path, name)
-            if name != ".tagstore":
-                rel = os.path.relpath(os.path.realpath(path), own.root)
-                key = name if rel == "." else f"{rel}/{name}"
-                rows.append((name, os.path.isdir(child), entries.get(key, {"tags": []})["tags"], os.stat(child)))
-        out += listing(rows, plain)
+        out += listing(own.list_dir(path), plain)
     return out
 
 
@@ -121,21 +113,14 @@ def _find(store, args: list[str]) -> list[str]:
             shown = True
         else:
             buckets[at].append(a)
-    require, any_of, exclude = map(set, buckets.values())
-    out = []
-    for rel, e in sorted((store or TagStore.discover(".")).load().items(), key=lambda x: x[0].encode()):
-        own = set(e["tags"])
-        if require <= own and (not any_of or any_of & own) and not exclude & own:
-            out.append(f"{rel}: {', '.join(e['tags'])}" if shown else rel)
-    return out
+    found = (store or TagStore.discover(".")).find(*buckets.values())
+    return [f"{rel}: {', '.join(tags)}" if shown else rel for rel, tags in found.items()]
 
 
 def _tags(store) -> list[str]:
-    from collections import Counter
-
-    n = Counter(t for e in (store or TagStore.discover(".")).load().values() for t in e["tags"])
+    n = (store or TagStore.discover(".")).tag_counts()
     width = max((len(str(x)) for x in n.values()), default=1)
-    return [f"{n[t]:>{width}}  {t}" for t in sorted(n, key=str.encode)]
+    return [f"{x:>{width}}  {t}" for t, x in n.items()]
 
 
 def _repair(store, args: list[str]) -> tuple[int, list[str]]:

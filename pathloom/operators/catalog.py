@@ -102,15 +102,21 @@ def mounts(text_lines: DataFrame) -> DataFrame:
     return text_lines.select("line", F.get(parts, F.lit(1)).alias("mount"), F.get(parts, F.lit(2)).alias("fs")).filter("mount is not null and fs is not null")
 
 
+def small(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table to be broadcast if it is seen to have at most `most` rows; else as it is."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def mount_of(rows: DataFrame, mount_table: DataFrame) -> DataFrame:
     """path, fs, is_network: the file system of the innermost mount that holds the path; of equal mounts the later line.
 
-    A join on ancestors, so that it stays an equi-join however many mounts there are.
+    A join on ancestors, so that it stays an equi-join however many mounts there
+    are; a table of few mounts is broadcast, so that "/" isn't one task's key.
     """
     own = F.array_union(F.array(F.col("path"), F.lit("/")), paths.ancestors(F.col("path")))
     held = rows.select("path").distinct().select("path", F.explode(own).alias("mount"))
     last = mount_table.withColumn("mount", F.when(F.col("mount") == "/", "/").otherwise(F.rtrim("mount", F.lit("/"))))
-    found = held.join(last, "mount").groupBy("path").agg(F.max_by("fs", F.struct(F.length("mount"), "line")).alias("fs"))
+    found = held.join(small(last), "mount").groupBy("path").agg(F.max_by("fs", F.struct(F.length("mount"), "line")).alias("fs"))
     return rows.select("path").join(found, "path", "left").select("path", "fs", F.coalesce(F.col("fs").isin(*NETWORK_TYPES), F.lit(False)).alias("is_network"))
 
 
@@ -124,4 +130,4 @@ def discover_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """path, root: the innermost tag store root at or above each path."""
     own = F.array_append(paths.ancestors(F.col("path")), F.col("path"))
     held = rows.select("path", F.explode(own).alias("root"))
-    return held.join(roots.select("root"), "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
+    return held.join(small(roots.select("root").distinct()), "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))

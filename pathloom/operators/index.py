@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import compile as plan
-from ..plans.language import REGEX, SUBSTRING, Query, parse
-from ..plans.patterns import required_literals
+from ..plans.language import GLOB, REGEX, SUBSTRING, Query, parse
+from ..plans.patterns import glob_literals, required_literals
 
 
 def byte_trigrams(text: Column) -> Column:
@@ -27,9 +27,10 @@ def postings(catalog: DataFrame) -> DataFrame:
     return catalog.select("id", F.explode(path_trigrams(F.col("path"))).alias("trigram")).select("trigram", "id")
 
 
-def posting_lists(rows: DataFrame) -> DataFrame:
-    """(trigram, ids sorted)"""
-    return rows.groupBy("trigram").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+def posting_lists(rows: DataFrame, part_ids: int = 1 << 16) -> DataFrame:
+    """(trigram, part, ids sorted): a part holds the ids from part * part_ids on, so no list grows with the catalog."""
+    part = F.floor(F.col("id") / part_ids).cast("long")
+    return rows.groupBy("trigram", part.alias("part")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
 def backfill(cached: DataFrame, catalog: DataFrame, next_id: int) -> DataFrame:
@@ -80,22 +81,39 @@ def union(rows: DataFrame, trigrams: list[bytes]) -> DataFrame:
     return rows.filter(F.col("trigram").isin(*trigrams)).select("id").distinct()
 
 
-def needed_trigrams(query: Query) -> list[bytes]:
-    """Trigrams that the components of every matching path have; none: the index can't help."""
+def _fuzzy_pieces(query: Query) -> list[str]:
+    """distance + 1 pieces of the text: that many typos leave one of them as it is."""
+    n, text = query.distance + 1, query.text.lower()
+    cuts = [i * len(text) // n for i in range(n + 1)]
+    return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def needed_trigrams(query: Query) -> list[list[bytes]]:
+    """Alternatives: a matching path's components have all trigrams of one of them. None at all: the index can't help."""
     if query.mode == SUBSTRING:
-        texts = query.text.split("/")
+        alternatives = [query.text.split("/")]
     elif query.mode == REGEX:
-        texts = required_literals(query.text)
+        alternatives = [required_literals(query.text)]
+    elif query.mode == GLOB:
+        alternatives = [glob_literals(query.text)]
     else:
-        texts = []
-    return list(dict.fromkeys(t for text in texts for t in query_trigrams(text)))
+        alternatives = [[piece] for piece in _fuzzy_pieces(query)] if "/" not in query.text else [[]]
+    out = [list(dict.fromkeys(t for text in texts for t in query_trigrams(text))) for texts in alternatives]
+    return out if all(out) else []
 
 
 def candidates(catalog: DataFrame, rows: DataFrame, query: Query | str) -> DataFrame:
     """Catalog rows that may match: a semi-join with the postings where that is sound, else all."""
     query = parse(query) if isinstance(query, str) else query
     needed = needed_trigrams(query)
-    return catalog.join(intersect(rows, needed), "id", "left_semi") if needed else catalog
+    if not needed:
+        return catalog
+    if len(needed) == 1:
+        return catalog.join(intersect(rows, needed[0]), "id", "left_semi")
+    met = rows.filter(F.col("trigram").isin(*{t for alternative in needed for t in alternative})).groupBy("id")
+    whole = [(F.count_distinct(F.when(F.col("trigram").isin(*a), F.col("trigram"))) == len(a)).alias(f"a{i}") for i, a in enumerate(needed)]
+    hit = met.agg(*whole).filter(" or ".join(f"a{i}" for i in range(len(needed))))
+    return catalog.join(hit, "id", "left_semi")
 
 
 def search_indexed(catalog: DataFrame, rows: DataFrame, query: Query | str) -> DataFrame:

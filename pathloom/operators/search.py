@@ -60,10 +60,11 @@ def attribute(rows: DataFrame, roots: Roots, outside: bool = False) -> DataFrame
         out = rows.withColumn("bookmark", paths.first_root(F.col("path"), roots))
     else:
         spark = rows.sparkSession
+        # a list of the caller, in memory anyway
         listed = spark.createDataFrame([(i, n, p.rstrip("/") or "/") for i, (n, p) in enumerate(roots) if p], "ord int, bookmark string, __root string")
         own = F.array_union(F.array(F.col("path"), F.lit("/")), paths.ancestors(F.col("path")))
         held = rows.select("path").distinct().select("path", F.explode(own).alias("__root")).filter("__root <> '/' or startswith(path, '/')")
-        first = held.join(listed, "__root").groupBy("path").agg(F.min_by("bookmark", "ord").alias("bookmark"))
+        first = held.join(F.broadcast(listed), "__root").groupBy("path").agg(F.min_by("bookmark", "ord").alias("bookmark"))
         out = rows.join(first, "path", "left")
     return out.withColumn("bookmark", F.coalesce("bookmark", F.lit(""))) if outside else out.filter("bookmark is not null")
 
@@ -147,12 +148,21 @@ class RefinementCache:
 
 
 class Engine:
-    """A catalog with its roots: the public face of the searches."""
+    """A catalog with its roots: the public face of the searches.
 
-    def __init__(self, catalog: DataFrame, roots: Roots, exclude_paths: list[str] = (), most: int = DEFAULT_RESULTS, entries: DataFrame | None = None, access: DataFrame | None = None, cache: bool = False):
-        self.catalog = catalog.filter(~paths.under_any(F.col("path"), list(exclude_paths))) if exclude_paths else catalog
+    table: a Snapshots table that holds the catalog; changes are written to it,
+    and later searches read what was written. settings: a file that the roots
+    are saved to. scan: how a root is scanned, (root) -> rows; by default the
+    file tree source.
+    """
+
+    def __init__(self, catalog: DataFrame, roots: Roots, exclude_paths: list[str] = (), most: int = DEFAULT_RESULTS, entries: DataFrame | None = None, access: DataFrame | None = None, cache: bool = False, table=None, settings: str | None = None, scan=None):
+        self.exclude_paths = list(exclude_paths)
+        self.catalog = catalog.filter(~paths.under_any(F.col("path"), self.exclude_paths)) if exclude_paths else catalog
         self.roots, self.most, self.entries, self.access = list(roots), max(1, min(most, MOST_RESULTS)), entries, access
+        self.network: set[str] = set()
         self.cache = RefinementCache() if cache else None
+        self.table, self.settings, self._scan = table, settings, scan
 
     def search(self, raw: str, sort: int = 0, now: int | None = None) -> DataFrame:
         query = parse(raw, sort)
@@ -172,29 +182,94 @@ class Engine:
         self.cache.keep(query, rows, rows.count(), self.most, clock)
         return rows
 
+    def test_search(self, raw: str, shown: int = 3) -> int:
+        """How many rows a search finds; prints the first few."""
+        rows = self.search(raw).orderBy("rank").collect()  # at most `most`
+        for row in rows[:shown]:
+            print(row.path)
+        print(f"{len(rows)} found for {raw!r}")
+        return len(rows)
+
     def file_count(self) -> int:
         return self.catalog.count()
 
     def bookmarks(self) -> Roots:
         return list(self.roots)
 
-    def add_bookmark(self, name: str, path: str, rows: DataFrame) -> None:
-        """A root with its scanned rows; an old one of that path is replaced."""
+    def _changed(self, catalog: DataFrame | None = None) -> None:
+        if catalog is not None and self.table is not None:
+            self.table.write(catalog)
+            catalog = self.table.read()
+        self.catalog = self.catalog if catalog is None else catalog
+        self.clear_search_cache()
+
+    def _save_roots(self) -> None:
+        if self.settings is not None:
+            from ..sources.config import Settings
+
+            kept = Settings.load(self.settings)
+            kept.bookmarks = [{"name": n, "path": p, "is_network": p in self.network} for n, p in self.roots]
+            kept.save(self.settings)
+
+    def scan(self, root: str) -> DataFrame:
+        if self._scan is not None:
+            return self._scan(root)
+        from ..sources.tree import scan
+
+        return scan(self.catalog.sparkSession, root, exclude_paths=self.exclude_paths)
+
+    def rescan_path(self, root: str) -> int:
+        """Put what a scan of the path finds into the catalog (nothing is deleted); how many rows it found."""
+        from .catalog import FIELDS, upsert
+
+        found = self.scan(root).select(*FIELDS).persist()
+        n = found.count()
+        self._changed(upsert(self.catalog, found))
+        if self.table is not None:  # else the catalog still reads it
+            found.unpersist()
+        return n
+
+    def rescan_all(self) -> int:
+        return sum(self.rescan_path(root) for _, root in self.roots)
+
+    def add_bookmark(self, name: str, path: str, rows: DataFrame | None = None, is_network: bool = False) -> None:
+        """A root with its rows, scanned unless given; an old one of that path is replaced."""
         from .catalog import upsert
 
         self.roots = [r for r in self.roots if r[1] != path] + [(name, path)]
-        self.catalog = upsert(self.catalog, rows)
-        self.clear_search_cache()
+        self.network = self.network | {path} if is_network else self.network - {path}
+        self._save_roots()
+        if rows is None:
+            self.rescan_path(path)
+        else:
+            self._changed(upsert(self.catalog, rows))
+
+    def _root_of(self, which: str) -> str:
+        """The path of a root given by name, or by path."""
+        return next((p for n, p in self.roots if n == which), which)
 
-    def remove_bookmark(self, path: str) -> None:
+    def remove_bookmark(self, which: str) -> None:
+        path = self._root_of(which)
         self.roots = [r for r in self.roots if r[1] != path]
-        self.catalog = self.catalog.filter(~paths.under(F.col("path"), path))
-        self.clear_search_cache()
+        self._save_roots()
+        self._changed(self.catalog.filter(~paths.under(F.col("path"), path)))
 
-    def rename_bookmark(self, path: str, name: str) -> None:
+    def rename_bookmark(self, which: str, name: str) -> None:
+        path = self._root_of(which)
         self.roots = [(name, p) if p == path else (n, p) for n, p in self.roots]
+        self._save_roots()
         self.clear_search_cache()
 
+    def record_file_open(self, path: str, now: int | None = None) -> bool:
+        """Count an open of a file that the catalog has, for the order by use; whether it has it."""
+        spark = self.catalog.sparkSession
+        if not self.catalog.filter(F.col("path") == path).limit(1).count():
+            return False
+        once = spark.createDataFrame([(path, 1, int(time.time()) if now is None else now)], "file string, open_count long, last_opened long")
+        both = once if self.access is None else self.access.select(*once.columns).unionByName(once)
+        self.access = both.groupBy("file").agg(F.sum("open_count").alias("open_count"), F.max("last_opened").alias("last_opened"))
+        return True
+
     def clear_search_cache(self) -> None:
         if self.cache is not None:
             self.cache.clear()

@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint, paths
 
 
-def _changed(entries: DataFrame, rels: list[str], tags) -> DataFrame:
-    hit = F.col("rel").isin(rels)
-    out = entries.withColumn("tags", F.when(hit, F.array_sort(F.array_distinct(tags))).otherwise(F.col("tags")))
-    return out.filter(F.size("tags") > 0)
+def _changed(entries: DataFrame, files: DataFrame, tags) -> DataFrame:
+    """Entries with new tags where their rel (and root, if files has it) is among `files`; those left bare go."""
+    keys = [c for c in ("root", "rel") if c in files.columns]
+    hit = files.select(*keys).distinct().withColumn("__hit", F.lit(True))
+    out = entries.join(hit, keys, "left").withColumn("tags", F.when(F.col("__hit"), F.array_sort(F.array_distinct(tags))).otherwise(F.col("tags")))
+    return out.filter(F.size("tags") > 0).select(*entries.columns)
 
 
-def add(entries: DataFrame, rels: list[str], tags: list[str]) -> DataFrame:
-    """Entries with the tags added; a file without an entry isn't given one here (see TagStore)."""
-    return _changed(entries, rels, F.array_union("tags", F.array(*map(F.lit, tags)).cast("array<string>")))
+def _array(tags: list[str]):
+    return F.array(*map(F.lit, tags)).cast("array<string>")
 
 
-def remove(entries: DataFrame, rels: list[str], tags: list[str] | None = None) -> DataFrame:
+def add(entries: DataFrame, files: DataFrame, tags: list[str]) -> DataFrame:
+    """Entries with the tags added to those of `files` (rel); a file without an entry isn't given one here (see TagStore)."""
+    return _changed(entries, files, F.array_union("tags", _array(tags)))
+
+
+def remove(entries: DataFrame, files: DataFrame, tags: list[str] | None = None) -> DataFrame:
     """Without the tags, or without any (None); an entry left bare goes."""
-    if tags is None:
-        return entries.filter(~F.col("rel").isin(rels))
-    return _changed(entries, rels, F.array_except("tags", F.array(*map(F.lit, tags)).cast("array<string>")))
+    return _changed(entries, files, _array([]) if tags is None else F.array_except("tags", _array(tags)))
 
 
-def set_tags(entries: DataFrame, rels: list[str], tags: list[str]) -> DataFrame:
-    return _changed(entries, rels, F.array(*map(F.lit, tags)).cast("array<string>"))
+def set_tags(entries: DataFrame, files: DataFrame, tags: list[str]) -> DataFrame:
+    return _changed(entries, files, _array(tags))
 
 
 def find(entries: DataFrame, require: list[str] = (), any_of: list[str] = (), exclude: list[str] = ()) -> DataFrame:
@@ -62,27 +66,34 @@ def list_dir(catalog: DataFrame, entries: DataFrame, folder: str) -> DataFrame:
     return out.select(paths.name(own).alias("name"), "is_dir", "mtime", "size", "tags_text").orderBy("name")
 
 
+def _loose(entries: DataFrame, disk: DataFrame) -> DataFrame:
+    """Untracked files."""
+    return disk.join(entries.select("rel"), "rel", "left_anti")
+
+
 def repair_plan(entries: DataFrame, disk: DataFrame) -> DataFrame:
-    """rel, status, new_rel, candidates for the entries whose file is gone.
+    """rel, status, new_rel, size, fp for the entries whose file is gone.
 
     Candidates are untracked files (rel, size, fp) of equal size and
     fingerprint. One candidate: the first entry by rel is relinked, others are
-    missing; more: all are ambiguous; none: missing.
+    missing; more: all are ambiguous (see repair_candidates); none: missing.
+    Candidates are only counted here, so copies by the million make no long row.
     """
     orphans = entries.join(disk.select("rel"), "rel", "left_anti").select("rel", "size", "fp")
-    loose = disk.join(entries.select("rel"), "rel", "left_anti")
-    grouped = loose.groupBy(F.col("size").alias("__size"), F.col("fp").alias("__fp")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("rel")).alias("candidates"))
-    place = F.row_number().over(Window.partitionBy("size", "fp").orderBy("rel"))
-    met = orphans.withColumn("place", place).join(grouped, (F.col("size") == F.col("__size")) & (F.col("fp") == F.col("__fp")), "left")
-    status = F.when(F.coalesce("n", F.lit(0)) > 1, "ambiguous").when((F.col("n") == 1) & (F.col("place") == 1), "relinked").otherwise("missing")
-    out = met.select("rel", status.alias("status"), "candidates")
-    empty = F.array().cast("array<string>")
-    return out.select(
-        "rel",
-        "status",
-        F.when(F.col("status") == "relinked", F.col("candidates")[0]).alias("new_rel"),
-        F.when(F.col("status") == "ambiguous", F.col("candidates")).otherwise(empty).alias("candidates"),
-    )
+    grouped = _loose(entries, disk).groupBy(F.col("size").alias("__size"), F.col("fp").alias("__fp")).agg(F.count("*").alias("n"), F.min("rel").alias("__only"))
+    first = orphans.groupBy("size", "fp").agg(F.min("rel").alias("__first"))
+    first = first.join(grouped, (F.col("size") == F.col("__size")) & (F.col("fp") == F.col("__fp"))).select("size", "fp", "n", "__only", "__first")
+    met = orphans.join(first, ["size", "fp"], "left")
+    status = F.when(F.coalesce("n", F.lit(0)) > 1, "ambiguous").when((F.col("n") == 1) & (F.col("rel") == F.col("__first")), "relinked").otherwise("missing")
+    out = met.withColumn("status", status)
+    return out.select("rel", "status", F.when(F.col("status") == "relinked", F.col("__only")).alias("new_rel"), "size", "fp")
+
+
+def repair_candidates(entries: DataFrame, disk: DataFrame, plan: DataFrame | None = None) -> DataFrame:
+    """size, fp, candidate: the untracked files that ambiguous entries of that size and fingerprint may be; a row each, once for all such entries."""
+    plan = repair_plan(entries, disk) if plan is None else plan
+    wanted = plan.filter("status = 'ambiguous'").select("size", "fp").distinct()
+    return _loose(entries, disk).join(wanted, ["size", "fp"], "left_semi").select("size", "fp", F.col("rel").alias("candidate"))
 
 
 def refreshed(entries: DataFrame, disk: DataFrame) -> DataFrame:
@@ -93,7 +104,7 @@ def refreshed(entries: DataFrame, disk: DataFrame) -> DataFrame:
 
 
 def repair(entries: DataFrame, disk: DataFrame, prune: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(entries after the repair, report): report is rel, status, new_rel, candidates, status refreshed and pruned included."""
+    """(entries after the repair, report): report is rel, status, new_rel, size, fp, status refreshed and pruned included."""
     plan = repair_plan(entries, disk)
     stat = disk.select(F.col("rel").alias("__rel"), F.col("size").alias("__size"), F.col("mtime_ns").alias("__mtime"), F.col("fp").alias("__fp"))
     placed = entries.join(plan.select("rel", "status", "new_rel"), "rel", "left").withColumn("__to", F.coalesce("new_rel", "rel"))
@@ -110,7 +121,7 @@ def repair(entries: DataFrame, disk: DataFrame, prune: bool = False) -> tuple[Da
     )
     status = F.when((F.col("status") == "missing") & F.lit(prune), "pruned").otherwise(F.col("status"))
     report = plan.withColumn("status", status)
-    fresh = refreshed(entries, disk).select("rel", F.lit("refreshed").alias("status"), F.lit(None).cast("string").alias("new_rel"), F.array().cast("array<string>").alias("candidates"))
+    fresh = refreshed(entries, disk).select("rel", F.lit("refreshed").alias("status"), F.lit(None).cast("string").alias("new_rel"), "size", "fp")
     return after, report.unionByName(fresh)
 
 

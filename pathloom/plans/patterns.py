@@ -44,6 +44,13 @@ def required_literals(pattern: str) -> list[str]:
     return [t for t in re.split(r"[^a-z0-9 _,;:=@#%&~'\"<>!-]+", plain.lower().replace("s", "\0")) if t]
 
 
+def glob_literals(glob: str) -> list[str]:
+    """Texts without a slash that every path matched by a glob has in it, lower-cased; perhaps none."""
+    if re.search(r"[{}\\]", glob):
+        return []  # alternatives and escapes
+    return [t.lower() for t in re.split(r"\[[!^]?.[^\]]*\]|[*?/\[\]]", glob, flags=re.DOTALL) if t]
+
+
 def glob_regex(glob: str) -> str | None:
     """The glob as an anchored pattern: * and ? take any character, "/" too. None if a class or brace stays open."""
     out, i, depth = [], 0, 0

@@ -51,7 +51,7 @@ catalog as (
            cast(concat('0x', substr(md5(path), 1, 12)) as bigint) as id
     from raw_catalog),
 entries as (
-    select '/data/docs' as root, {_REL} as rel, doc_id, n_chars as size, (1704067200 + doc_id * 61) * 1000000000 + 5 as mtime_ns, md5(text) as fp,
+    select '/data/docs' as root, {_REL} as rel, doc_id, n_chars as size, (1704067200 + doc_id * 61) * 1000000000 + 5 as mtime_ns, md5(text) as fp, lang,
            list_sort(list_filter([case when quality = 1 then 'high quality' else 'low quality' end, case when toxic = 1 then 'toxic' end, lang], lambda t: t is not null)) as tags
     from labels join documents using (doc_id)),
 opens as (select concat('/data/docs/', {_REL}) as file, cast(floor(epoch(ts)) as bigint) as ts from events join documents on user_id = doc_id where event_type = 'view'),
@@ -233,29 +233,29 @@ def tag_counts(spark, d):
     return tags.counts(fx.tag_entries(spark, d))
 
 
-def _rels(spark, d) -> list[str]:
-    """The entries that the changes below touch: those of documents 0 to 99."""
-    return [r.rel for r in fx.tag_entries(spark, d).filter("doc_id < 100").select("rel").collect()]
+def _english(spark, d) -> DataFrame:
+    """The entries that the changes below touch: all files of a folder."""
+    return fx.tag_entries(spark, d).filter("startswith(rel, 'en/')").select("rel")
 
 
-@query("tags_add", _sql("select rel, case when doc_id < 100 then array_to_string(list_sort(list_distinct(list_concat(tags, ['new', 'en']))), ',') else " + _TAGS + " end as tags from entries"))
+@query("tags_add", _sql("select rel, case when lang = 'en' then array_to_string(list_sort(list_distinct(list_concat(tags, ['new', 'en']))), ',') else " + _TAGS + " end as tags from entries"))
 def tags_add(spark, d):
-    return _texts(tags.add(fx.tag_entries(spark, d), _rels(spark, d), ["new", "en"]))
+    return _texts(tags.add(fx.tag_entries(spark, d), _english(spark, d), ["new", "en"]))
 
 
-@query("tags_remove", _sql("select rel, array_to_string(tags, ',') as tags from (select rel, case when doc_id < 100 then list_filter(tags, lambda t: t not in ('en', 'high quality', 'toxic', 'low quality')) else tags end as tags from entries) e where len(tags) > 0"))
+@query("tags_remove", _sql("select rel, array_to_string(tags, ',') as tags from (select rel, case when lang = 'en' then list_filter(tags, lambda t: t not in ('en', 'high quality', 'low quality')) else tags end as tags from entries) e where len(tags) > 0"))
 def tags_remove(spark, d):
-    return _texts(tags.remove(fx.tag_entries(spark, d), _rels(spark, d), ["en", "high quality", "toxic", "low quality"]))
+    return _texts(tags.remove(fx.tag_entries(spark, d), _english(spark, d), ["en", "high quality", "low quality"]))
 
 
-@query("tags_set", _sql("select rel, case when doc_id < 100 then 'a,b' else " + _TAGS + " end as tags from entries"))
+@query("tags_set", _sql("select rel, case when lang = 'en' then 'a,b' else " + _TAGS + " end as tags from entries"))
 def tags_set(spark, d):
-    return _texts(tags.set_tags(fx.tag_entries(spark, d), _rels(spark, d), ["b", "a", "b"]))
+    return _texts(tags.set_tags(fx.tag_entries(spark, d), _english(spark, d), ["b", "a", "b"]))
 
 
-@query("tags_clear", _sql("select rel, " + _TAGS + " as tags from entries where doc_id >= 100"))
+@query("tags_clear", _sql("select rel, " + _TAGS + " as tags from entries where lang <> 'en'"))
 def tags_clear(spark, d):
-    return _texts(tags.remove(fx.tag_entries(spark, d), _rels(spark, d)))
+    return _texts(tags.remove(fx.tag_entries(spark, d), _english(spark, d)))
 
 
 @query(
@@ -275,17 +275,22 @@ def tags_decorate(spark, d):
 _REPAIR = """
 orphans as (select *, row_number() over (partition by size, fp order by rel) as place from stale where rel not in (select rel from disk)),
 loose as (select size, fp, count(*) as n, list_sort(list(rel)) as candidates from disk where rel not in (select rel from stale) group by size, fp),
-planned as (select o.rel, case when coalesce(n, 0) > 1 then 'ambiguous' when n = 1 and place = 1 then 'relinked' else 'missing' end as status, candidates
+planned as (select o.rel, o.size, o.fp, case when coalesce(n, 0) > 1 then 'ambiguous' when n = 1 and place = 1 then 'relinked' else 'missing' end as status, candidates
             from orphans o left join loose l on o.size = l.size and o.fp = l.fp)
 """
 
 
 @query(
     "repair_plan",
-    _sql("").rstrip() + "," + _REPAIR + "select rel, status, case when status = 'relinked' then candidates[1] end as new_rel, case when status = 'ambiguous' then array_to_string(candidates, ',') else '' end as candidates from planned",
+    _sql("").rstrip() + "," + _REPAIR + "select rel, status, case when status = 'relinked' then candidates[1] end as new_rel, size, fp from planned",
 )
 def repair_plan(spark, d):
-    return tags.repair_plan(fx.stale_entries(spark, d), fx.disk(spark, d)).withColumn("candidates", F.array_join("candidates", ","))
+    return tags.repair_plan(fx.stale_entries(spark, d), fx.disk(spark, d))
+
+
+@query("repair_candidates", _sql("").rstrip() + "," + _REPAIR + "select size, fp, unnest(candidates) as candidate from (select distinct size, fp, candidates from planned where status = 'ambiguous') a")
+def repair_candidates(spark, d):
+    return tags.repair_candidates(fx.stale_entries(spark, d), fx.disk(spark, d))
 
 
 @query("repair_refreshed", _sql("select s.rel, t.size, t.mtime_ns, t.fp from stale s join disk t on s.rel = t.rel where s.size <> t.size or s.mtime_ns <> t.mtime_ns"))
@@ -451,7 +456,7 @@ grams as (select distinct id, substr(hex(encode(c)), 2 * i - 1, 6) as trigram fr
 @query("trigram_postings", _sql("").rstrip() + "," + _GRAMS + "select trigram, count(*) as n, min(id) as first_id from grams group by trigram")
 def trigram_postings(spark, d):
     lists = index.posting_lists(index.postings(fx.with_id(fx.catalog(spark, d))))
-    return lists.select(F.hex("trigram").alias("trigram"), F.size("ids").cast("long").alias("n"), F.col("ids")[0].alias("first_id"))
+    return lists.groupBy(F.hex("trigram").alias("trigram")).agg(F.sum(F.size("ids")).alias("n"), F.min(F.col("ids")[0]).alias("first_id"))
 
 
 @query("trigram_rows", _sql("").rstrip() + "," + _GRAMS + "select id, trigram from grams")
@@ -490,6 +495,19 @@ def indexed_search(spark, d):
     return index.search_indexed(rows, index.postings(rows), "blue_gear").select("path")
 
 
+@query("indexed_glob", _sql("select path from catalog where regexp_matches(name, '(?s)^.*blue.gear-[0-9]*5.*$') or regexp_matches(path, '(?s)^.*blue.gear-[0-9][^/]*5.*$')"))
+def indexed_glob(spark, d):
+    rows = fx.with_id(fx.catalog(spark, d))
+    return index.search_indexed(rows, index.postings(rows), "blue?gear-[0-9]*5").select("path")
+
+
+@query("indexed_fuzzy", _sql("""select path from catalog where contains(lower(name), 'blue_gaer') or case when length(stem) < 9 then levenshtein('blue_gaer', lower(stem)) <= 2
+    else len(list_filter(range(7, least(11, length(stem)) + 1), lambda w: len(list_filter(range(0, length(stem) - w + 1), lambda i: levenshtein('blue_gaer', substr(lower(stem), i + 1, w)) <= 2)) > 0)) > 0 end"""))
+def indexed_fuzzy(spark, d):
+    rows = fx.with_id(fx.catalog(spark, d))
+    return index.search_indexed(rows, index.postings(rows), "~blue_gaer").select("path")
+
+
 @query("index_stats", _sql("").rstrip() + "," + _GRAMS + "select (select count(*) from catalog) as files, (select count(distinct trigram) from grams) as trigrams, cast(3 as bigint) as roots")
 def index_stats(spark, d):
     rows = fx.with_id(fx.catalog(spark, d))
@@ -675,7 +693,12 @@ def directory_preview(spark, d):
     return previews.folder_lines(_children(fx.catalog(spark, d)))
 
 
-@query("json_results", None)
+@query(
+    "json_results",
+    _sql("select concat('{\"results\":[', string_agg(row_text, ',' order by rank), '],\"total_indexed\":0,\"search_time_ms\":0}') as json from ("
+         "select rank, concat('{\"path\":\"', path, '\",\"is_dir\":', is_dir, ',\"mtime\":', mtime, ',\"size\":', size, ',\"bookmark\":\"', bookmark, '\"}') as row_text from ("
+         "select row_number() over (order by mtime desc, path) as rank, * from catalog where contains(lower(path), 'gear') and lower(ext) = 'md' and bookmark is not null) a where rank <= 20) b"),
+)
 def json_results(spark, d):
     return search.answer(_all(spark, d, "gear *.md", most=20), 0, 0)
 
@@ -688,30 +711,33 @@ def fingerprint_b2(spark, d):
     return docs.select("doc_id", fingerprint.content_fingerprint(F.encode("text", "UTF-8")).alias("fp"))
 
 
-@query("archive_listing", None)
+@query(
+    "archive_listing",
+    "select concat('/z/', doc_id, '.zip') as path, 'archive' as preview_type, concat('ZIP Archive: 2 entries', chr(10), chr(10), '  [dir]     ', lang, '/', chr(10), '  ', lpad(concat(length(cast(doc_id as varchar)) + 4, ' B'), 8, ' '), '  ', lang, '/', doc_id, '.txt') as text from documents",
+)
 def archive_listing(spark, d):
-    """A zip of each source's document names, listed again."""
+    """A zip for each document, with a folder and a file that holds its own name, listed again."""
     import io
     import zipfile
 
     @F.pandas_udf("binary")
-    def packed(names: pd.Series) -> pd.Series:
-        def one(listed):
+    def packed(folder: pd.Series, name: pd.Series) -> pd.Series:
+        def one(f, n):
             out = io.BytesIO()
             with zipfile.ZipFile(out, "w") as z:
-                for n in sorted(listed):
-                    z.writestr(zipfile.ZipInfo(n), n)
+                z.writestr(zipfile.ZipInfo(f + "/"), "")
+                z.writestr(zipfile.ZipInfo(f + "/" + n), n)
             return out.getvalue()
 
-        return names.map(one)
+        return pd.Series([one(f, n) for f, n in zip(folder, name)])
 
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    zips = docs.groupBy("source").agg(F.collect_list(F.concat("doc_id", F.lit(".txt"))).alias("names"))
-    rows = zips.select(F.concat(F.lit("/z/"), "source", F.lit(".zip")).alias("path"), F.lit(False).alias("is_dir"), F.lit(0).cast("long").alias("size"), packed("names").alias("content"))
-    return previews.previews(rows)
+    content = packed("lang", F.concat("doc_id", F.lit(".txt")))
+    rows = docs.select(F.concat(F.lit("/z/"), "doc_id", F.lit(".zip")).alias("path"), F.lit(False).alias("is_dir"), F.lit(0).cast("long").alias("size"), content.alias("content"))
+    return previews.previews(rows).select("path", "preview_type", "text")
 
 
-@query("benchmark_statistics", None)
+@query("benchmark_statistics", _sql("select min(n) as least, quantile_disc(n, 0.5) as median, quantile_disc(n, 0.95) as p95, quantile_disc(n, 0.99) as p99, max(n) as most from (select length(name) as n from catalog) c"))
 def benchmark_statistics(spark, d):
     """Name lengths as a sample: minimum, median, 95th and 99th in a hundred, maximum, by position in order."""
     n = fx.catalog(spark, d).select(F.length(paths.name(F.col("path"))).alias("n"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import paths
 from ..operators import catalog as ops
+from .snapshots import Snapshots
 
 EVENTS = "seq long, ts timestamp, kind string, path string, is_dir boolean, mtime long, size long"
 OPENS = "seq long, ts timestamp, file string"
@@ -33,42 +37,19 @@ def apply_events(catalog: DataFrame, events: DataFrame) -> DataFrame:
     return ops.upsert(kept, last.filter("kind = 'upsert'").select("path", F.coalesce("is_dir", F.lit(False)).alias("is_dir"), "mtime", "size"))
 
 
-class Snapshots:
-    """A table as numbered versions below a folder, each written whole; the newest whole one counts."""
-
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        top = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(top):
-            return []
-        found = [s.getPath() for s in fs.listStatus(top)]
-        done = lambda p: fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        return sorted(int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and done(p))
-
-    def version(self) -> int:
-        return max(self._versions(), default=-1)
-
-    def read(self) -> DataFrame:
-        at = self.version()
-        return self.spark.createDataFrame([], self.schema) if at < 0 else self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={at}")
-
-    def write(self, rows: DataFrame, version: int | None = None) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/v={self.version() + 1 if version is None else version}")
-
-
 def follow(events: DataFrame, table: Snapshots, checkpoint: str, **trigger) -> StreamingQuery:
-    """Apply a stream of events batch by batch. A batch that is run again writes the same version again."""
-    first = table.version() + 1
+    """Apply a stream of events batch by batch; a batch rewrites only the parts of the table that its paths fall in.
+
+    The table remembers the last batch of each stream (by its checkpoint), so a
+    batch that is run again after a failure or a restart changes nothing.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
-        target = first + number
-        if target <= table.version():
+        if number <= table.applied(checkpoint):
             return
-        table.write(apply_events(table.read(), batch), target)
+        last = batch.select("path").filter("path is not null").select(table.part_of(F.col("path")).alias("part")).distinct()
+        touched = sorted(r.part for r in last.collect())  # at most the table's number of parts
+        table.write(apply_events(table.read(touched), batch), touched, checkpoint, number)
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -99,6 +80,53 @@ def sweep(catalog: DataFrame, scanned: DataFrame, number: int, sweeps: int, abse
     return ops.delete(catalog, gone)
 
 
+def sweeps_for(n_files: int, share: int = 5000) -> int:
+    """How many sweeps reach all files when each looks at about `share` of them."""
+    return max(1, -(-n_files // share))
+
+
+def every(spark: SparkSession, seconds: float, job: Callable[[int], None], checkpoint: str | None = None) -> StreamingQuery:
+    """Run a job (given the number of the turn) again and again, as a streaming query that can be stopped and watched."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    out = clock.writeStream.foreachBatch(lambda _, number: job(number)).trigger(processingTime=f"{seconds} seconds")
+    return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
+
+
+def integrity_job(table: Snapshots, scan: Callable[[str], DataFrame], roots: list[str], there: Callable[[str], bool] = os.path.exists, share: int = 5000) -> Callable[[int], None]:
+    """A job for `every` (60 seconds): one share of the table's rows a turn; rows whose file is gone go.
+
+    Rows below a root that can't be reached now are left alone.
+    """
+
+    def turn(number: int) -> None:
+        catalog = table.read()
+        absent = [r for r in roots if not there(r)]
+        found = [scan(r).select("path") for r in roots if r not in absent]
+        if not found:
+            return
+        scanned = found[0]
+        for more in found[1:]:
+            scanned = scanned.unionByName(more)
+        inside = catalog.filter(paths.under_any(F.col("path"), roots))
+        gone = ops.vanished(ops.sweep_share(inside, number, sweeps_for(catalog.count(), share)), scanned, absent).select("path").persist()
+        touched = sorted(r.part for r in gone.select(table.part_of(F.col("path")).alias("part")).distinct().collect())  # at most the table's parts
+        if touched:
+            table.write(ops.delete(table.read(touched), gone), touched)
+        gone.unpersist()
+
+    return turn
+
+
+def network_job(table: Snapshots, scan: Callable[[str], DataFrame], roots: list[str], there: Callable[[str], bool] = os.path.exists) -> Callable[[int], None]:
+    """A job for `every` (300 seconds): scan network roots again, those that are absent left out. Nothing is deleted by it."""
+
+    def turn(number: int) -> None:
+        for root in filter(there, roots):
+            table.write(rescan(table.read(), scan(root), root))
+
+    return turn
+
+
 def rescan(catalog: DataFrame, scanned: DataFrame, root: str) -> DataFrame:
     """Catalog with a root's scan put in. Nothing is deleted by it."""
     return ops.upsert(catalog, scanned.filter(paths.under(F.col("path"), root)).select(*ops.FIELDS))

@@ -1,0 +1,92 @@
+"""A table kept as numbered versions: dealt by path to parts, of which a change writes only those it touches."""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class Snapshots:
+    """Versions below a folder. A version is a small manifest, put in place by a rename: which data folder holds each part, and how far each stream was applied.
+
+    Readers see whole versions only. A writer that is stopped leaves data that
+    no manifest names; `tidy` removes it, and versions before the last `keep`.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, parts: int = 16, keep: int = 2):
+        self.spark, self.folder, self.schema, self.parts, self.keep = spark, folder.rstrip("/"), schema, parts, keep
+
+    def _path(self, *names: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *names]))
+
+    def _fs(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, *folder: str) -> list[str]:
+        fs, top = self._fs(), self._path(*folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(top)) if fs.exists(top) else []
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n[: -len(".json")]) for n in self._names("manifests") if n.endswith(".json"))
+
+    def version(self) -> int:
+        return max(self._versions(), default=-1)
+
+    def _manifest(self, version: int | None = None) -> dict:
+        version = self.version() if version is None else version
+        if version < 0:
+            return {"version": -1, "parts": {}, "streams": {}}
+        return json.loads(self.spark.read.text(f"{self.folder}/manifests/{version:010}.json", wholetext=True).first()[0])
+
+    def applied(self, stream: str) -> int:
+        """The last batch of a stream that the newest version holds, or -1."""
+        return self._manifest()["streams"].get(stream, -1)
+
+    def part_of(self, path: Column) -> Column:
+        return F.pmod(F.xxhash64(path), F.lit(self.parts)).cast("int")
+
+    def _load(self, parts: dict[str, str]) -> DataFrame:
+        folders = [f"{self.folder}/{p}" for p in parts.values()]
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
+
+    def read(self, parts: list[int] | None = None) -> DataFrame:
+        """The newest version, or the given parts of it."""
+        held = self._manifest()["parts"]
+        return self._load(held if parts is None else {str(p): held[str(p)] for p in parts if str(p) in held})
+
+    def write(self, rows: DataFrame, touched: list[int] | None = None, stream: str | None = None, batch: int = -1) -> int:
+        """A new version: `rows` are all rows of the touched parts (None: of the table); other parts stay as they are."""
+        before = self._manifest()
+        data = f"data/{uuid.uuid4().hex}"
+        if touched is None or touched:
+            # One file a part: a part is as much as one task writes.
+            dealt = rows.withColumn("part", self.part_of(F.col("path"))).repartition(self.parts if touched is None else len(touched), "part")
+            dealt.write.partitionBy("part").parquet(f"{self.folder}/{data}")
+        parts = {p: d for p, d in before["parts"].items() if touched is not None and int(p) not in touched}
+        parts |= {n.removeprefix("part="): f"{data}/{n}" for n in self._names(data) if n.startswith("part=")}
+        streams = before["streams"] | ({stream: batch} if stream is not None else {})
+        version = before["version"] + 1
+        self._put(version, {"version": version, "parts": parts, "streams": streams})
+        self.tidy()
+        return version
+
+    def _put(self, version: int, manifest: dict) -> None:
+        fs, draft = self._fs(), self._path("manifests", f".{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if not fs.rename(draft, self._path("manifests", f"{version:010}.json")):
+            fs.delete(draft, False)
+            raise RuntimeError(f"version {version} was written by someone else")
+
+    def tidy(self) -> None:
+        fs, versions = self._fs(), self._versions()
+        for old in versions[: -self.keep]:
+            fs.delete(self._path("manifests", f"{old:010}.json"), False)
+        used = {d.split("/")[1] for v in versions[-self.keep :] for d in self._manifest(v)["parts"].values()}
+        for name in self._names("data"):
+            if name not in used:
+                fs.delete(self._path("data", name), True)

@@ -133,6 +133,70 @@ def test_engine_refines_from_its_cache(small):
     assert engine.bookmarks() == [] and engine.cache.query is None
 
 
+def test_engine_keeps_roots_and_rows(spark, tmp_path, capsys):
+    from pathloom.sources.config import Settings
+    from pathloom.streaming.feed import Snapshots
+
+    for name in ("a/one.md", "b/two.md", "b/three.txt"):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("x")
+    table = Snapshots(spark, str(tmp_path / "t"), ROWS, parts=2)
+    engine = search.Engine(spark.createDataFrame([], ROWS), [], table=table, settings=str(tmp_path / "s.json"))
+    engine.add_bookmark("first", str(tmp_path / "a"))
+    engine.add_bookmark("second", str(tmp_path / "b"), is_network=True)
+    assert engine.file_count() == 5 and table.read().count() == 5
+    assert [(b["name"], b["is_network"]) for b in Settings.load(str(tmp_path / "s.json")).bookmarks] == [("first", False), ("second", True)]
+    (tmp_path / "b/four.md").write_text("x")
+    assert engine.rescan_path(str(tmp_path / "b")) == 4 and engine.rescan_all() == 6
+    assert engine.test_search("*.md") == 3 and "3 found" in capsys.readouterr().out
+    assert engine.record_file_open(str(tmp_path / "b/two.md"), 900) and engine.record_file_open(str(tmp_path / "b/two.md"), 950) and not engine.record_file_open("/none", 1)
+    assert [tuple(r) for r in engine.access.collect()] == [(str(tmp_path / "b/two.md"), 2, 950)]
+    assert engine.search("*.md", 7, now=1000).first().path.endswith("two.md")
+    engine.rename_bookmark("second", "other")
+    engine.remove_bookmark("first")
+    assert engine.bookmarks() == [("other", str(tmp_path / "b"))] and table.read().count() == 4
+
+
+def test_request_lines(spark, small, tmp_path):
+    import json
+    import socket
+
+    from pathloom.operators.requests import answer_line, serve
+
+    (tmp_path / "new").mkdir()
+    (tmp_path / "new/z.md").write_text("x")
+    engine = search.Engine(small, [("pool", "/pool"), ("home", "/home")])
+    ask = lambda line: json.loads(answer_line(engine, line))
+    got = ask('SEARCH {"bookmark_path": "/pool", "mode": "gotofile", "query": "o", "extension": "txt"}')
+    assert [r["path"] for r in got["results"]] == ["/pool/photos-raw/two.txt", "/pool/photos/one.txt"] and got["total_indexed"] == 5
+    assert [r["bookmark"] for r in ask('SEARCH_ALL {"query": "x.txt"}')["results"]] == ["home"]
+    assert [r["path"] for r in ask('SEARCH_ALL {"query": "", "bookmark_paths": ["/home"]}')["results"]] == ["/home/x.txt"]
+    assert ask('SEARCH {"bookmark_path": "/pool", "mode": "gotodir", "query": ""}')["results"] == [{"path": "/pool/photos", "is_dir": True, "mtime": 5, "size": 0}]
+    assert ask("PING") == {"status": "pong"}
+    for wrong in ("", "ping", "SEARCH", "PING x", "NOPE {}"):
+        assert ask(wrong) == {"error": "unknown command"}
+    for wrong in ("SEARCH {", "SEARCH []", 'SEARCH {"mode": "edit"}', 'SEARCH_ALL {"query": 4}'):
+        assert list(ask(wrong)) == ["error"]
+    folder = str(tmp_path / "new")
+    assert ask("ADD_BOOKMARK " + json.dumps({"name": "n", "path": folder, "is_network": False})) == {"status": "ok", "indexed": 7}
+    assert ask(f"RESCAN {folder} ") == {"status": "ok", "indexed": 2} and ask("STATS")["bookmarks"] == 3 and ask("STATS")["files"] == 7
+    server = serve(engine, str(tmp_path / "s"))
+    with socket.socket(socket.AF_UNIX) as client:
+        client.connect(str(tmp_path / "s"))
+        client.sendall(b"PING\nNOPE\n")
+        lines = client.makefile()
+        assert [json.loads(lines.readline()) for _ in range(2)] == [{"status": "pong"}, {"error": "unknown command"}]
+    server.shutdown()
+    server.server_close()
+
+
+def test_index_narrows_fuzzy_and_glob():
+    need = lambda line: index.needed_trigrams(parse(line))
+    assert need("~abcdef") == [[b"abc"], [b"def"]] and need("~abcde") == [] and len(need("~abcdefghi")) == 3
+    assert need("abc*def?g") == [[b"abc", b"def"]] and need("a*b") == [] and need("x[abc]yzw*") == [[b"yzw"]] and need("{abc,def}*") == []
+
+
 def test_top_k_is_planned_as_such(small, capsys):
     search.search_all(small, "txt", [("all", "/")]).explain("formatted")
     assert "TakeOrderedAndProject" in capsys.readouterr().out

@@ -125,8 +125,36 @@ def test_repair_and_check(spark, store, tmp_path):
 def test_ambiguous_copies(spark):
     entries = spark.createDataFrame([("/r", "old", ["t"], 3, 1, "f"), ("/r", "old2", ["t"], 3, 1, "g"), ("/r", "old1", ["u"], 3, 1, "g")], "root string, rel string, tags array<string>, size long, mtime_ns long, fp string")
     disk = spark.createDataFrame([("x", 3, 1, "f"), ("y", 3, 1, "f"), ("z", 3, 1, "g")], "rel string, size long, mtime_ns long, fp string")
-    got = {r.rel: (r.status, r.new_rel, r.candidates) for r in tags.repair_plan(entries, disk).collect()}
-    assert got == {"old": ("ambiguous", None, ["x", "y"]), "old1": ("relinked", "z", []), "old2": ("missing", None, [])}
+    got = {r.rel: (r.status, r.new_rel) for r in tags.repair_plan(entries, disk).collect()}
+    assert got == {"old": ("ambiguous", None), "old1": ("relinked", "z"), "old2": ("missing", None)}
+    assert sorted((r["size"], r.fp, r.candidate) for r in tags.repair_candidates(entries, disk).collect()) == [(3, "f", "x"), (3, "f", "y")]
+
+
+def test_ambiguous_copies_in_a_store(spark, store, tmp_path):
+    a = tmp_path / "a.txt"
+    store.add([str(a)], ["t"])
+    (tmp_path / "sub/copy").write_text("one")
+    os.rename(a, tmp_path / "moved")
+    assert store.repair(spark, dry_run=True) == [("ambiguous", "a.txt", None, ["moved", "sub/copy"])]
+    assert store.find(["t"]) == {"a.txt": ["t"]} and store.find(exclude=["t"]) == {} and store.tag_counts() == {"t": 1}
+    assert [(n, d, t) for n, d, t, _ in store.list_dir(str(tmp_path))] == [("b.txt", False, []), ("moved", False, []), ("sub", True, [])]
+
+
+def test_entries_are_read_again_when_the_file_changes(store, tmp_path):
+    from pathloom.sources import store as module
+
+    store.add([str(tmp_path / "a.txt")], ["t"])
+    held = module._READ[store.file]
+    store.load()["a.txt"]["tags"] = []
+    store.load().clear()
+    assert store.load()["a.txt"]["tags"] == ["t"]
+    store.add([str(tmp_path / "b.txt")], ["u"])
+    assert sorted(store.load()) == ["a.txt", "b.txt"] and module._READ[store.file] is not held
+    (tmp_path / "sub/.tagstore").mkdir()
+    assert TagStore.discover(str(tmp_path / "sub")).root == store.root
+    TagStore.init(str(tmp_path / "sub"))
+    assert TagStore.discover(str(tmp_path / "sub")).root == store.root  # as found a moment ago
+    assert TagStore.discover(str(tmp_path / "sub"), lifetime=-1).root == str(tmp_path / "sub")
 
 
 def test_lock(tmp_path):
@@ -213,7 +241,57 @@ def test_stream_as_batch(spark, tmp_path):
     batch = feed.apply_events(start, spark.read.schema(feed.EVENTS).json(str(tmp_path / "log")))
     got = sorted(map(tuple, table.read().select("path", "is_dir", "mtime", "size").collect()))
     assert got == sorted(map(tuple, batch.select("path", "is_dir", "mtime", "size").collect())) == [("/c", False, 6, 7)]
-    assert table.version() == 3
+    assert table.version() == 3 and table.applied(str(tmp_path / "cp")) == 2
+    # A batch that comes again changes nothing; parts that no event touches are taken over as they are.
+    before = table._manifest()
+    again = feed.follow(feed.event_stream(spark, str(tmp_path / "log"), maxFilesPerTrigger=1), table, str(tmp_path / "cp"))
+    assert again.awaitTermination(120) and table._manifest() == before
+    assert table.write(spark.createDataFrame([("/c", False, 9, 9)], ROWS), [table.read().select(table.part_of(F.col("path"))).first()[0]]) == 4
+    assert [tuple(r) for r in table.read().select("path", "mtime").collect()] == [("/c", 9)] and len(table._versions()) == 2
+
+
+def test_table_parts(spark, tmp_path):
+    table = feed.Snapshots(spark, str(tmp_path / "t"), ROWS, parts=4)
+    rows = spark.createDataFrame([(f"/p{i}", False, i, i) for i in range(40)], ROWS)
+    table.write(rows)
+    held = table._manifest()["parts"]
+    table.write(table.read([1]).filter("mtime % 2 = 0"), [1])
+    now = table._manifest()["parts"]
+    assert {p for p in held if held[p] != now.get(p)} == {"1"}
+    gone = {r.path for r in rows.filter((table.part_of(F.col("path")) == 1) & (F.col("mtime") % 2 == 1)).collect()}
+    assert {r.path for r in table.read().collect()} == {f"/p{i}" for i in range(40)} - gone
+    table.write(table.read([1]).filter("false"), [1])
+    assert "1" not in table._manifest()["parts"] and table.read([1]).count() == 0
+    (tmp_path / "t/data/left").mkdir()
+    table.tidy()
+    assert not (tmp_path / "t/data/left").exists()
+
+
+def test_jobs(spark, tmp_path):
+    for name in ("here/a", "here/b", "net/c"):
+        path = tmp_path / "disk" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x")
+    disk, away = str(tmp_path / "disk"), "/no/such/root"
+    table = feed.Snapshots(spark, str(tmp_path / "t"), ROWS, parts=4)
+    rows = tree.scan(spark, f"{disk}/here").select("path", "is_dir", "mtime", "size")
+    table.write(rows.unionByName(spark.createDataFrame([(f"{disk}/here/gone{i}", False, 1, 1) for i in range(6)] + [(f"{away}/x", False, 1, 1), ("/elsewhere", False, 1, 1)], ROWS)))
+    names = lambda: {os.path.relpath(r.path, disk) if r.path.startswith(disk) else r.path for r in table.read().collect()}
+    turn = feed.integrity_job(table, lambda r: tree.scan(spark, r), [f"{disk}/here", away], share=4)
+    sweeps = feed.sweeps_for(table.read().count(), 4)
+    assert sweeps == 3
+    for number in range(2 * sweeps):
+        turn(number)
+    assert names() == {"here", "here/a", "here/b", f"{away}/x", "/elsewhere"}
+    feed.network_job(table, lambda r: tree.scan(spark, r), [f"{disk}/net", away])(0)
+    assert names() == {"here", "here/a", "here/b", "net", "net/c", f"{away}/x", "/elsewhere"}
+    turns = []
+    query = feed.every(spark, 0.2, turns.append, str(tmp_path / "cp"))
+    until = time.monotonic() + 60
+    while len(turns) < 2 and time.monotonic() < until:
+        time.sleep(0.1)
+    query.stop()
+    assert turns[:2] == [0, 1]
 
 
 def test_previews(spark):
