@@ -31,6 +31,7 @@ from .graph import components
 from .session import discard, fresh, n_partitions, stage, view
 
 ROWS, BANDS, STEP = 4, 28, 16
+SPREAD = 16
 _SEED = np.random.default_rng(20240229)
 _MULT = _SEED.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _SEED.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
@@ -271,9 +272,12 @@ def _known(docs: DataFrame, n: int, threshold: float, tolerance: float, tile: in
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # ids hold once they are written
     comp = _candidates(nodes, floors, bucket)
 
-    # Few rows: nodes / tile at most. A table of its own, so that its join is a broadcast by Spark's size check, or one whose large keys are split.
-    large = stage(comp.groupBy("comp").agg(F.count("*").alias("size")).filter(F.col("size") > tile), "large-components")
-    tiled = comp.join(large, "comp", "left").withColumn("n_tiles", F.ceil(F.coalesce("size", F.lit(1)) / tile).cast("int"))
+    # Small tiles spread a component over more tasks; more than SPREAD of them only where a tile would be too large, as each text is sent once a tile.
+    least = max(1, tile // 8)
+    # Few rows: nodes / least at most. A table of its own, so that its join is a broadcast by Spark's size check, or one whose large keys are split.
+    large = stage(comp.groupBy("comp").agg(F.count("*").alias("size")).filter(F.col("size") > least), "large-components")
+    n_tiles = F.least(F.ceil(F.col("size") / least), F.greatest(F.lit(SPREAD), F.ceil(F.col("size") / tile)))
+    tiled = comp.join(large, "comp", "left").withColumn("n_tiles", F.coalesce(n_tiles, F.lit(1)).cast("int"))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node", F.lit("tile")), F.col("n_tiles")).cast("int"))
     own = nodes.select("node", "t1", "t2", "first_id", F.col("n_copies").alias("weight"), "sig")
     picked = stage(tiled.select("node", "comp", "n_tiles", "tile").join(own, "node"), "candidates")
@@ -311,7 +315,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
 
     A pair of similarity 0.8 shares no band with probability 4e-7 and is pruned
     with at most the tolerance; no pair is accepted without exact verification.
-    tile: texts of a component that are compared in one go; bucket: the most
+    tile: most texts of a component that are compared in one go with as many others; bucket: the most
     texts of a band's bucket that are compared there. Neither changes the result.
     """
     signed, known = _known(docs, n, threshold, tolerance, tile, bucket)
