@@ -36,7 +36,8 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    rule = lambda r: F.struct(*(F.lit(x).alias(n) for n, x in zip(("host", "path", "verdict"), r)))
+    rules = spark.range(1).select(F.inline(F.array(*map(rule, URL_RULES))))
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_LEFT: dict[str, SparkSession] = {}  # staged tables that are still there
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """The folder named in spark.checkpoint.dir; only where that is unset and all is one machine (tests), a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN:
         own = tempfile.TemporaryDirectory(prefix="pathloom-")
         atexit.register(own.cleanup)
@@ -41,6 +47,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(option, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    _LEFT[path] = spark
     return out
 
 
@@ -53,9 +60,24 @@ def view(staged: DataFrame, out: DataFrame) -> DataFrame:
 def discard(*staged: DataFrame) -> None:
     """Delete staged tables that nothing reads any more: what was made of them must be staged itself."""
     for df in staged:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._staged_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _LEFT.pop(path, None)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy() -> None:
+    """Delete all tables that are still staged: once the results that read them have been written. Done when the driver ends, too."""
+    for path, spark in list(_LEFT.items()):
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone
+                _delete(spark, path)
+
+
+atexit.register(tidy)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

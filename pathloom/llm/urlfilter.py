@@ -64,13 +64,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", salts
     of the longer host), else null; verdict: the rule's, else `default`. A null
     url has empty host and path and fits no rule. Without rules all urls get
     `default`. Rows that repeat stay. Urls are dealt by hash to `salts` sweeps,
-    each with all interval bounds, so a host that holds most rows is split.
+    each with all interval bounds, so a host that holds most rows is split. By
+    default there are so many that the bounds' copies aren't more than the urls,
+    but a sweep for each partition at least.
     """
-    salts = salts or max(1024, 8 * n_partitions(pages.sparkSession))
+    found = active_stacks(rules)
+    if salts is None:
+        parts = n_partitions(pages.sparkSession)
+        salts = min(max(1024, 8 * parts), max(parts, pages.count() // max(1, found.count())))
     host, path = split_url(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int").alias("salt"))
     urls = urls.withColumn("key", host_key(F.col("host"))).withColumn("is_url", F.lit(True))
-    bounds = active_stacks(rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("is_url", F.lit(False))
+    bounds = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("is_url", F.lit(False))
     both = urls.unionByName(bounds, allowMissingColumns=True)
     sweep = Window.partitionBy("salt").orderBy("key", "is_url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = both.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).filter("is_url")

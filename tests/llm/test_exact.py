@@ -455,26 +455,23 @@ def spark_hash(*values):
     return h - 2**64 if h >= 2**63 else h
 
 
-@pytest.mark.parametrize("shards, blocks, buckets", [(4, 16, 4096), (64, 512, 3), (1, 3, 7)])
-def test_taken_as_brute_force(spark, shards, blocks, buckets):
-    rows = mix_rows(random.Random(shards), 300) + [(900, "a few words only", "tiny"), (901, "w " * 3000, "b"), (901, "w " * 3000, "b")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = Counter((r.doc_id, r["size"], r.source, r.taken) for r in mix_sources(frame, shards=shards, blocks_per_shard=blocks, buckets=buckets).collect())
+def brute_taken(rows, shards=64, blocks=512, buckets=4096):
+    """(words taken, by place in rows; seats by source and shard) from plain lists of words."""
     line = defaultdict(list)
-    for i, t, s in rows:
-        h = spark_hash(17, ("long", i), t)
-        line[s].append(((h % 2**64 >> 20) % buckets, h, i, len((t or "").split())))
-    target = brute_targets({s: sum(d[3] for d in x) for s, x in line.items()})
+    for place, (i, t, s) in enumerate(rows):
+        h = spark_hash(17, None if i is None else ("long", i), t)
+        line[s].append(((h % 2**64 >> 20) % buckets, h, i is not None, i or 0, len(word_list(t)), place))
+    target = brute_targets({s: sum(d[4] for d in x) for s, x in line.items()})
     order = sorted(line, key=lambda s: (s is None, (s or "").encode()))
-    seats, won, total = Counter(), Counter(), sum(d[3] for x in line.values() for d in x)
-    for seat in range(shards * blocks):
+    seats, won, total = Counter(), Counter(), sum(d[4] for x in line.values() for d in x)
+    for seat in range(shards * blocks if total else 0):
         s = max(order, key=lambda s: (target[s] / (2 * won[s] + 1), -order.index(s)))
         won[s] += 1
         seats[s, seat // blocks] += 1
-    want = Counter()
+    out = [0] * len(rows)
     for rank, s in enumerate(order, 1):
         docs = sorted(line[s])
-        words = [d for d, x in enumerate(docs) for _ in range(x[3])]
+        words = [d[5] for d in docs for _ in range(d[4])]
         share = [seats[s, j] for j in range(shards)] if won[s] else [int(spark_hash(17, rank) % shards == j) for j in range(shards)]
         taken, goal = Counter(), round(target[s])
         edge = [math.floor(len(words) * (sum(share[:j]) / sum(share))) for j in range(shards + 1)]
@@ -494,13 +491,24 @@ def test_taken_as_brute_force(spark, shards, blocks, buckets):
             rest = part - len(mine) * length
             taken.update(stretch[min(b for b in range(n + 1) if b not in mine) * length :][:rest])
         assert sum(taken.values()) == goal
-        for d, (_, _, i, n) in enumerate(docs):
-            assert taken[d] <= 3 * n
-            want[i, n, s, taken[d]] += 1
-    assert got == want
-    sizes = spark.createDataFrame([(s, sum(d[3] for d in x)) for s, x in line.items()], "source string, source_size long")
-    plan = {(r.source, r.shard): r.seats for r in shard_plan(source_targets(sizes), shards, blocks).collect()}
-    assert plan == {(s, j): seats[s, j] for s in order for j in range(shards)}
+        for *_, n, place in docs:
+            assert taken[place] <= 3 * n
+            out[place] = taken[place]
+    return out, seats
+
+
+@pytest.mark.parametrize("shards, blocks, buckets", [(4, 16, 4096), (64, 512, 3), (1, 3, 7)])
+def test_taken_as_brute_force(spark, shards, blocks, buckets):
+    rows = mix_rows(random.Random(shards), 300) + [(900, "a few words only", "tiny"), (901, "w " * 3000, "b"), (901, "w " * 3000, "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r.doc_id, r["size"], r.source, r.taken) for r in mix_sources(frame, shards=shards, blocks_per_shard=blocks, buckets=buckets).collect())
+    taken, seats = brute_taken(rows, shards, blocks, buckets)
+    assert got == Counter((i, len(word_list(t)), s, n) for (i, t, s), n in zip(rows, taken))
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(word_list(t))
+    plan = {(r.source, r.shard): r.seats for r in shard_plan(source_targets(spark.createDataFrame(list(size.items()), "source string, source_size long")), shards, blocks).collect()}
+    assert plan == {(s, j): seats[s, j] for s in size for j in range(shards)}
 
 
 def test_apply_mix_repeats_documents(spark):
@@ -524,8 +532,8 @@ def test_jump_hash_moves_rows_only_into_the_new_shard(spark):
         assert keys.groupby(f"s{n}").size().min() > 0.8 * 3000 / n
 
 
-def test_shards_and_slots_as_brute_force(spark):
-    rows = [(i % 97 if i % 13 else None, None if i % 7 == 0 else "é" * (i % 5)) for i in range(400)]
+def brute_shards(rows, shards, buckets):
+    """(doc_id, size, text_crc32, shard, slot, grown_shard), counted, of rows (doc_id, text)."""
 
     def jump(doc_id, n):
         key, at, to, draw = spark_hash("shard", None if doc_id is None else ("long", doc_id)), -1, 0, 0
@@ -534,18 +542,20 @@ def test_shards_and_slots_as_brute_force(spark):
             at, to = to, (to + 1) * 2**31 // ((spark_hash(("long", key), draw) % 2**64 >> 33) + 1)
         return at
 
+    line = defaultdict(list)
+    for i, t in rows:
+        raw = (t or "").encode()
+        size, crc = len(raw) + 1, zlib.crc32(raw)
+        bucket = spark_hash(None if i is None else ("long", i), ("long", crc), ("long", size)) % buckets
+        line[jump(i, shards)].append((bucket, i is not None, i or 0, crc, size, jump(i, shards + 1)))
+    return Counter((i if known else None, size, crc, shard, slot, grown) for shard, x in line.items() for slot, (_, known, i, crc, size, grown) in enumerate(sorted(x)))
+
+
+def test_shards_and_slots_as_brute_force(spark):
+    rows = [(i % 97 if i % 13 else None, None if i % 7 == 0 else "é" * (i % 5)) for i in range(400)]
     for shards in (1, 8, 11):
-        line = defaultdict(list)
-        for i, t in rows:
-            raw = (t or "").encode()
-            size, crc = len(raw) + 1, zlib.crc32(raw)
-            bucket = spark_hash(None if i is None else ("long", i), ("long", crc), ("long", size)) % 16
-            line[jump(i, shards)].append((bucket, i is not None, i or 0, crc, size, jump(i, shards + 1)))
-        want = Counter()
-        for shard, x in line.items():
-            want.update((i if known else None, size, crc, shard, slot, grown) for slot, (_, known, i, crc, size, grown) in enumerate(sorted(x)))
         got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards, buckets=16).collect()
-        assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot, r.grown_shard) for r in got) == want
+        assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot, r.grown_shard) for r in got) == brute_shards(rows, shards, 16)
 
 
 def test_slots_are_gapless(spark):
@@ -580,6 +590,19 @@ def test_counts_as_the_tokenizer(spark, scores):
         assert {r.doc_id: r.n_tokens for r in got} == {i: counter.text(t or "") for i, t in enumerate([*texts, None])}
 
 
+@pytest.mark.parametrize("fallback", [True, False])
+def test_long_words_are_walked_as_short_ones(fallback):
+    rng = random.Random(4)
+    pieces = [("▁", -2.0), ("▁a", -2.5), *(("".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))), -float(rng.randint(1, 9))) for _ in range(60))]
+    pieces += [(f"<0x{b:02X}>", -12.0) for b in range(256)] if fallback else []
+    counter = TokenCounter(pieces)
+    assert counter.byte_fallback is fallback
+    for _ in range(40):
+        word = "▁" + "".join(rng.choice("abcdeé😀") for _ in range(rng.randint(0, 150)))
+        chars = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64)
+        assert counter._alone(chars) == counter._together(chars, np.array([0]), np.array([len(chars)]))[0]
+
+
 # -- toxicity
 
 
@@ -720,6 +743,67 @@ def test_top_k_is_exact_for_large_components(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
 
 
+# -- the pipeline
+
+
+def test_pipeline_as_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    vocabulary = [f"word{i}" for i in range(300)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [prose(n) for n in (30, 12, 9, 2, 25)]
+    docs, labels = [], []
+    for i in range(260):
+        text = prose(rng.randint(10, 60))
+        if i % 9 == 0:
+            for word in ("vile", "nasty", "scummy"):
+                text.insert(rng.randrange(len(text)), word)
+        elif i % 11 == 0:
+            item = list(rng.choice(items))
+            if len(item) > 10:
+                item[5] = "changed"
+            text[3:3] = item
+        elif i % 5 == 0 and docs:
+            text = docs[rng.randrange(len(docs))][1].split()
+            if rng.random() < 0.5:
+                text[len(text) // 2] = "other"
+        docs.append((i, " ".join(text), "en", rng.choice(["a", "b", "c", None]), 1))
+        if i % 4:
+            labels.append((i, int("vile" in text)))
+    docs += [(900, None, None, "a", None), (901, "", None, None, 1), (None, "no id and vile nasty scummy", None, "b", 1), (None, "no id but fine", None, "b", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    key = lambda d: (d[0], d[1])
+    kept = [d for d in docs]
+    scores = brute_toxicity([(j, d[1]) for j, d in enumerate(docs[:260])], labels)
+    kept = [d for d in docs if not {"vile", "nasty", "scummy"} <= set((d[1] or "").split())]
+    assert all((scores[d[0]][0] < 0.5) == (d in kept) for d in docs[:260])
+    with_words = [d for d in kept if word_list(d[1])]
+    classes = brute_classes([(j, d[1]) for j, d in enumerate(with_words)])
+    first = {}
+    for j, d in enumerate(with_words):
+        known = first.get(classes[j][0])
+        if known is None or (d[0] is None, d[0] or 0) < (known[0] is None, known[0] or 0):
+            first[classes[j][0]] = d
+    kept = list(first.values()) + [d for d in kept if not word_list(d[1])]
+    plain = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    found = lambda d: any(brute_align(x, plain(d[1])) >= max(0.5 * len(x), min(8, len(x))) for x in items)
+    clean = [d for d in kept if not found(d)]
+    assert 0 < len(clean) < len(kept) < len(docs)
+    taken, _ = brute_taken([(d[0], d[1], d[3]) for d in clean])
+    out = []
+    for d, n in zip(clean, taken):
+        size = len(word_list(d[1]))
+        same = [m for e, m in zip(clean, taken) if e[0] == d[0] and len(word_list(e[1])) == size]
+        draw = spark_hash(17, "draw", None if d[0] is None else ("long", d[0])) % (1 << 20) / (1 << 20)
+        out += [key(d)] * (math.floor(sum(same) / len(same) / size + draw) if size else 0)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot, r.grown_shard) for r in got) == brute_shards(out, 8, 4096)
+
+
 def test_words_and_shingles():
     import pyarrow as pa
 
