@@ -127,14 +127,12 @@ def survivors(sig: np.ndarray, a: np.ndarray, b: np.ndarray, floors: dict) -> tu
     return a, b
 
 
-def link_group(nodes: np.ndarray, weights: np.ndarray, tiles: np.ndarray, same: bool, sets: list, sig: np.ndarray, share: Fraction, floors: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(links, root) of each node from the pairs of one group. same: all pairs; else those across the two tiles."""
+def link_group(nodes: np.ndarray, weights: np.ndarray, tiles: np.ndarray, pair: tuple[int, int], sets: list, sig: np.ndarray, share: Fraction, floors: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(links, root) of each node from the pairs of one group: all pairs of a tile with itself, else those across the two tiles."""
     n = len(nodes)
     links, root = np.zeros(n, dtype=np.int64), np.arange(n)
-    if same:
-        left, right = np.arange(n), np.arange(n)
-    else:
-        left, right = np.flatnonzero(tiles == tiles.min()), np.flatnonzero(tiles == tiles.max())
+    same = pair[0] == pair[1]
+    left, right = (np.flatnonzero(tiles == t) for t in pair)  # either may be empty
     for s in range(0, len(left), 256):
         a, b = np.repeat(left[s : s + 256], len(right)), np.tile(right, len(left[s : s + 256]))
         if same:
@@ -199,7 +197,7 @@ def _compare(batches, n: int, share: Fraction, floors: dict):
 
     def close():
         nodes = np.array([h[0] for h in held], dtype=np.int64)
-        links, root = link_group(nodes, np.array([h[1] for h in held], dtype=np.int64), np.array([h[2] for h in held]), key_held[1] == key_held[2], [h[3] for h in held], np.array([h[4] for h in held]), share, floors)
+        links, root = link_group(nodes, np.array([h[1] for h in held], dtype=np.int64), np.array([h[2] for h in held]), key_held[1:], [h[3] for h in held], np.array([h[4] for h in held]), share, floors)
         return nodes, links, root
 
     out: list[tuple] = []
