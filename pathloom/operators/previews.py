@@ -6,6 +6,7 @@ import io
 import re
 import tarfile
 import zipfile
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, paths
 
-MOST_BYTES = 50_000  # fixed values: how much of a text, archive and folder is shown
+# How much of a text, archive and folder is shown. The headings and the lines on what was left out, below, are fixed texts too.
+MOST_BYTES = 50_000
 MOST_MEMBERS = 50
 MOST_CHILDREN = 80
 
@@ -73,13 +75,17 @@ def text_of(content: bytes, total: int | None = None) -> str:
     return f"{text}\n\n--- Truncated (showing 50KB of {_size_text(total)}) ---" if total > MOST_BYTES else text
 
 
+def _opened(content: bytes | BinaryIO) -> BinaryIO:
+    return io.BytesIO(content) if isinstance(content, bytes) else content
+
+
 def _member(name: str, size: int, is_dir: bool) -> str:
     return f"  [dir]     {name}" if is_dir else f"  {_size_text(size):>8}  {name}"
 
 
-def zip_listing(content: bytes) -> str:
+def zip_listing(content: bytes | BinaryIO) -> str:
     try:
-        members = zipfile.ZipFile(io.BytesIO(content)).infolist()
+        members = zipfile.ZipFile(_opened(content)).infolist()
     except (zipfile.BadZipFile, OSError, ValueError) as problem:
         return f"Unable to read ZIP archive: {problem}"
     lines = [f"ZIP Archive: {len(members)} entries\n"]
@@ -89,10 +95,10 @@ def zip_listing(content: bytes) -> str:
     return "\n".join(lines)
 
 
-def tar_listing(content: bytes, label: str) -> str:
+def tar_listing(content: bytes | BinaryIO, label: str) -> str:
     lines, n = [f"{label.upper()} Archive:\n"], 0
     try:
-        with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz" if label == "tar.gz" else "r|") as archive:
+        with tarfile.open(fileobj=_opened(content), mode="r|gz" if label == "tar.gz" else "r|") as archive:
             for member in archive:
                 if n == MOST_MEMBERS:
                     break
@@ -108,7 +114,7 @@ def tar_listing(content: bytes, label: str) -> str:
     return "\n".join(lines)
 
 
-def archive_listing(path: str, content: bytes) -> str:
+def archive_listing(path: str, content: bytes | BinaryIO) -> str:
     ext = path.rsplit("/", 1)[-1].rpartition(".")[2].lower()
     if ext in ZIPS:
         return zip_listing(content)
@@ -165,30 +171,59 @@ def markdown_html(text: str, base: str = "", width: int = 400) -> str:
     return "\n".join(out)
 
 
-def previews(files: DataFrame) -> DataFrame:
-    """path, preview_type, text, image_path of rows (path, is_dir, size, content); folders get their text from folder_text."""
+def _shown(path: str, label: str, size: int, content: bytes | BinaryIO) -> str:
+    if label == "archive":
+        return archive_listing(path, content)
+    head = content if isinstance(content, bytes) else content.read(MOST_BYTES + 1)
+    if label == "markdown":
+        return markdown_html(head.decode("utf-8", errors="replace"), path.rpartition("/")[0])
+    return text_of(head, size)
+
+
+def _unreadable(label: str, problem: OSError) -> str:
+    return f"Unable to read file: {problem.strerror or problem}"
 
-    @F.pandas_udf("string")
-    def shown(path: pd.Series, label: pd.Series, size: pd.Series, content: pd.Series) -> pd.Series:
-        out = []
-        for p, k, n, c in zip(path, label, size, content):
-            c = b"" if c is None else bytes(c)
-            if k == "archive":
-                out.append(archive_listing(p, c))
-            elif k == "markdown":
-                out.append(markdown_html(c.decode("utf-8", errors="replace"), p.rpartition("/")[0]))
-            else:
-                out.append(text_of(c, int(n)))
-        return pd.Series(out)
 
+def _finished(files: DataFrame, read) -> DataFrame:
     labelled = files.withColumn("preview_type", kind(F.col("path"), F.col("is_dir")))
     plain = labelled.filter(F.col("preview_type").isin("image", "pdf", "binary", "audio", "video"))
     plain = plain.withColumn("text", F.coalesce(info_text(F.col("path"), F.col("size"), F.col("preview_type")), F.concat(F.lit("Media file: "), "path")))
-    read = labelled.filter(F.col("preview_type").isin("archive", "markdown", "text")).withColumn("text", shown("path", "preview_type", "size", "content"))
-    out = plain.unionByName(read).withColumn("image_path", F.when(F.col("preview_type") == "image", F.col("path")).otherwise(F.lit("")))
+    texts = labelled.filter(F.col("preview_type").isin("archive", "markdown", "text")).withColumn("text", read)
+    out = plain.unionByName(texts).withColumn("image_path", F.when(F.col("preview_type") == "image", F.col("path")).otherwise(F.lit("")))
     return out.select("path", "preview_type", "text", "image_path")
 
 
+def previews(files: DataFrame) -> DataFrame:
+    """path, preview_type, text, image_path of rows (path, is_dir, size, content); folders get their text from folder_text."""
+
+    @F.pandas_udf("string")
+    def shown(path: pd.Series, label: pd.Series, size: pd.Series, content: pd.Series) -> pd.Series:
+        return pd.Series([_shown(p, k, int(n), b"" if c is None else bytes(c)) for p, k, n, c in zip(path, label, size, content)])
+
+    return _finished(files, shown("path", "preview_type", "size", "content"))
+
+
+def preview_files(files: DataFrame) -> DataFrame:
+    """As previews, for rows (path, is_dir, size) of files that the executors can open.
+
+    Of a text only its beginning is read, of an archive its directory or first
+    members; no content travels through the plan.
+    """
+
+    @F.pandas_udf("string")
+    def shown(path: pd.Series, label: pd.Series, size: pd.Series) -> pd.Series:
+        def one(p: str, k: str, n: int) -> str:
+            try:
+                with open(p, "rb") as f:
+                    return _shown(p, k, n, f)
+            except OSError as problem:
+                return _unreadable(k, problem)
+
+        return pd.Series([one(p, k, int(n)) for p, k, n in zip(path, label, size)])
+
+    return _finished(files, shown("path", "preview_type", "size"))
+
+
 def folder_lines(children: DataFrame) -> DataFrame:
     """(folder, place, line, total): a folder's children (folder, name, is_dir, size), folders first, each kind by its lower-cased line; 80 at most."""
     from pyspark.sql import Window

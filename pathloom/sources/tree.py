@@ -1,14 +1,17 @@
 """File trees as a Spark data source: spark.read.format("filetree").option("path", ...).
 
-Hidden files are listed too, which Spark's own file sources leave out. Each
-folder right below the root is a partition of its own; excluded folders are not
-descended into; what can't be read is left out.
+Hidden files are listed too, which Spark's own file sources leave out. Planning
+opens folders, the root first, level by level until there are enough of them:
+each opened folder's own files are a partition, and so is the whole tree below
+each folder that wasn't opened. So a tree with one large folder is split below
+it. Excluded folders are not descended into; what can't be read is left out.
 """
 
 from __future__ import annotations
 
 import os
 import stat
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -51,8 +54,8 @@ class _Part(InputPartition):
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, root: str, exclude: bool, user: tuple[str, ...]):
-        self.root, self.exclude, self.user = root.rstrip("/") or "/", exclude, user
+    def __init__(self, root: str, exclude: bool, user: tuple[str, ...], most: int):
+        self.root, self.exclude, self.user, self.most = root.rstrip("/") or "/", exclude, user, most
 
     def _children(self, folder: str):
         try:
@@ -70,8 +73,12 @@ class TreeReader(DataSourceReader):
                 yield path, is_dir
 
     def partitions(self):
-        below = [p for p, is_dir in self._children(self.root) if is_dir]
-        return [_Part(self.root, False), *(_Part(p, True) for p in below)]
+        opened, waiting = [], deque([self.root])
+        while waiting and len(waiting) + len(opened) < self.most:
+            folder = waiting.popleft()
+            opened.append(folder)
+            waiting += [p for p, is_dir in self._children(folder) if is_dir]
+        return [*(_Part(p, False) for p in opened), *(_Part(p, True) for p in waiting)]
 
     def read(self, partition):
         if (row := _row(partition.path)) is not None:
@@ -88,7 +95,7 @@ class TreeReader(DataSourceReader):
 
 
 class TreeSource(DataSource):
-    """Options: path; exclude ("true": built-in names and `exclude_paths`); exclude_paths, parted by line feeds."""
+    """Options: path; exclude ("true": built-in names and `exclude_paths`); exclude_paths, parted by line feeds; partitions: about how many."""
 
     @classmethod
     def name(cls) -> str:
@@ -99,7 +106,7 @@ class TreeSource(DataSource):
 
     def reader(self, schema) -> TreeReader:
         user = tuple(p for p in self.options.get("exclude_paths", "").split("\n") if p)
-        return TreeReader(self.options["path"], self.options.get("exclude", "true").lower() == "true", user)
+        return TreeReader(self.options["path"], self.options.get("exclude", "true").lower() == "true", user, int(self.options.get("partitions", "64")))
 
 
 def scan(spark: SparkSession, root: str, exclude: bool = True, exclude_paths: list[str] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -127,6 +127,32 @@ def network_job(table: Snapshots, scan: Callable[[str], DataFrame], roots: list[
     return turn
 
 
+def changes(catalog: DataFrame, scanned: DataFrame, root: str, at: Column | None = None) -> DataFrame:
+    """What happened below a root between a catalog and a scan, as events: create, modify (kind, time or size differ) and remove.
+
+    at: when, by default now. The order of such events doesn't matter: each path has one.
+    """
+    own = lambda rows: rows.filter(paths.under(F.col("path"), root)).select("path", F.struct("is_dir", "mtime", "size").alias("is"))
+    both = own(catalog).withColumnRenamed("is", "was").join(own(scanned), "path", "full_outer")
+    kind = F.when(F.col("was").isNull(), "create").when(F.col("is").isNull(), "remove").when(F.col("was") != F.col("is"), "modify")
+    out = both.withColumn("kind", kind).filter("kind is not null").withColumn("file", F.coalesce("is", "was"))
+    return out.select(F.xxhash64("path").alias("seq"), (F.current_timestamp() if at is None else at).alias("ts"), "kind", "path", "file.is_dir", F.col("is.mtime").alias("mtime"), F.col("is.size").alias("size"))
+
+
+def watch_job(table: Snapshots, scan: Callable[[str], DataFrame], roots: list[str], there: Callable[[str], bool] = os.path.exists) -> Callable[[int], None]:
+    """A job for `every`: local roots watched by scanning them, as a change feed that is applied at once. Absent roots are left alone."""
+
+    def turn(number: int) -> None:
+        for root in filter(there, roots):
+            seen = changes(table.read(), scan(root), root).persist()
+            touched = sorted(r.part for r in seen.select(table.part_of(F.col("path")).alias("part")).distinct().collect())  # at most the table's parts
+            if touched:
+                table.write(apply_events(table.read(touched), seen), touched)
+            seen.unpersist()
+
+    return turn
+
+
 def rescan(catalog: DataFrame, scanned: DataFrame, root: str) -> DataFrame:
     """Catalog with a root's scan put in. Nothing is deleted by it."""
     return ops.upsert(catalog, scanned.filter(paths.under(F.col("path"), root)).select(*ops.FIELDS))

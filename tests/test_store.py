@@ -321,6 +321,67 @@ def test_previews(spark):
     assert text.startswith("91 items\n\n[dir]  n00/\n     1 B  n01") and text.endswith("\n\n... and 11 more items")
 
 
+def test_previews_of_files_read_only_what_they_show(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "long.txt").write_bytes(b"y" * 70000)
+    (tmp_path / "a.md").write_text("# T")
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("inside", "12")
+    rows = [(str(tmp_path / n), False, s) for n, s in (("long.txt", 70000), ("a.md", 3), ("z.zip", 1), ("none.txt", 5), ("p.png", 3))]
+    frame = spark.createDataFrame(rows, "path string, is_dir boolean, size long")
+    got = {os.path.basename(r.path): (r.preview_type, r.text) for r in previews.preview_files(frame).collect()}
+    assert got["long.txt"][1].startswith("y" * 50000 + "\n\n--- Truncated") and got["a.md"] == ("markdown", "<h1>T</h1>")
+    assert got["z.zip"][1] == "ZIP Archive: 1 entries\n\n       2 B  inside"
+    assert got["none.txt"][1].startswith("Unable to read file") and got["p.png"] == ("image", "p.png\nSize: 3 B")
+
+
+def test_a_deep_tree_is_split(spark, tmp_path):
+    for i in range(40):
+        path = tmp_path / "only" / f"d{i % 8}" / f"e{i}" / "f"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x")
+    whole = sorted(r.path for r in tree.scan(spark, str(tmp_path)).collect())
+    assert len(whole) == 1 + 1 + 8 + 40 + 40
+    for most in (1, 3, 12, 500):
+        reader = tree.TreeReader(str(tmp_path), True, (), most)
+        parts = reader.partitions()
+        assert sorted(row[0] for p in parts for row in reader.read(p)) == whole and len(parts) >= min(most, 50)
+
+
+def test_tables_of_roots_and_opens(spark, tmp_path):
+    from pathloom.sources import tables
+
+    assert tables.load_roots(spark, str(tmp_path / "none")).collect() == [] and tables.load_access(spark, str(tmp_path / "none")).count() == 0
+    spark.createDataFrame([(1, "b", "/b", False), (0, "a", "/a", True), (2, None, "/c", False)], tables.ROOTS).write.parquet(str(tmp_path / "r"))
+    assert tables.roots_of(tables.load_roots(spark, str(tmp_path / "r"))) == [("a", "/a"), ("b", "/b")]
+    spark.createDataFrame([("/a", 2, 5), ("/a", 1, 9), ("/gone", 1, 1), (None, 1, 1)], tables.ACCESS).write.parquet(str(tmp_path / "o"))
+    rows = spark.createDataFrame([("/a", False, 1, 1)], ROWS)
+    assert [tuple(r) for r in tables.load_access(spark, str(tmp_path / "o"), rows).collect()] == [("/a", 3, 9)]
+
+
+def test_a_watched_root(spark, tmp_path):
+    for name in ("kept", "old", "sub/x"):
+        path = tmp_path / "top" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("1")
+    root, table = str(tmp_path / "top"), feed.Snapshots(spark, str(tmp_path / "t"), ROWS, parts=4)
+    scan = lambda r: tree.scan(spark, r).select("path", "is_dir", "mtime", "size")
+    table.write(scan(root).unionByName(spark.createDataFrame([("/other", False, 1, 1)], ROWS)))
+    os.remove(tmp_path / "top/old")
+    (tmp_path / "top/new").write_text("22")
+    (tmp_path / "top/sub/x").write_text("333")
+    kinds = {os.path.basename(r.path): r.kind for r in feed.changes(table.read(), scan(root), root).collect() if not r.is_dir}
+    assert kinds == {"old": "remove", "new": "create", "x": "modify"}
+    turn = feed.watch_job(table, scan, [root, "/absent"])
+    turn(0)
+    want = sorted(map(tuple, scan(root).collect())) + [("/other", False, 1, 1)]
+    assert sorted(map(tuple, table.read().collect())) == sorted(want)
+    before = table.version()
+    turn(1)
+    assert table.version() == before
+
+
 def test_formats(spark):
     sizes = [(0, "0 B", "0"), (1023, "1023 B", "1023"), (1024, "1.0 KiB", "1.0K"), (1025, "1.0 KiB", "1.1K"), (5 << 20, "5.0 MiB", "5.0M"), (3 << 30, "3.0 GiB", "3.0G"), (583680, "570.0 KiB", "570K"), (10239, "10.0 KiB", "10K")]
     frame = spark.createDataFrame(sizes, "n long, a string, b string")
