@@ -1,10 +1,14 @@
 """Nulls, empty tables, long texts, ties, repeated rows and clashing names, for every operator and stage."""
 
+import hashlib
+import random
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pathloom.llm import queries
+from pathloom.llm import queries, tokencount
 
 LONG = "lorem ipsum dolor sit amet consectetur " * 4000
 EXTRA = "size long, node long, key long, label int, shard int, score double, rank int, kind string"
@@ -90,3 +94,44 @@ def test_pipeline_on_small_tables(spark):
         slots = sorted(r.slot for r in rows if r.shard == shard)
         assert slots == list(range(len(slots)))
     assert kept.filter(F.col("doc_id").isNull()).count() == 0
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """Two texts of 4 MB that differ in one word, and a short one."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(700_000)]
+    words[400_000] = "hello"
+    other = [*words[:400_000], "#####", *words[400_001:]]
+    texts = [" ".join(words), " ".join(other), "short and plain"]
+    top = str(tmp_path_factory.mktemp("long"))
+    spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame([(i, 0, i % 2) for i in range(3)], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    spark.createDataFrame([(7, " ".join(words[399_990:400_030]))], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+    return top, words, texts
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(queries.queries()) if n.split("_")[0] not in ("op3", "op10")])
+def test_very_long_texts(spark, long_texts, name):
+    top, words, texts = long_texts
+    rows = {r.doc_id: r for r in queries.queries()[name](spark, top).collect()}
+    n = len(texts[0])
+    if name.startswith("op1_"):
+        assert [(rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans) for i in range(3)] == [(n, 0, 0), (n, n - 5, 2), (15, 0, 0)]
+        assert rows[1].kept_sha256 == hashlib.sha256(b"#####").hexdigest()
+    elif name.startswith("op2_"):
+        assert [(rows[i].class_id, rows[i].n_links) for i in range(3)] == [(0, 1), (0, 1), (2, 0)]
+    elif name.startswith("op4_"):
+        assert {(i, r.item_id, r.score) for i, r in rows.items()} == {(0, 7, 1.0), (1, 7, 38 / 40)}
+    elif name.startswith("op5_"):
+        assert [rows[i].n_tokens for i in range(3)] == [len(words) + 1, len(words) + 1, 4] and all(r.score < 0 and r.n_known <= r.n_tokens for r in rows.values())
+    elif name.startswith("op6_"):
+        assert [rows[i]["size"] for i in range(3)] == [len(words), len(words), 3] and sum(r.taken for r in rows.values()) == 2 * len(words) + 3
+    elif name.startswith("op7_"):
+        assert [(rows[i]["size"], rows[i].text_crc32) for i in range(3)] == [(len(t) + 1, zlib.crc32(t.encode())) for t in texts]
+    elif name.startswith("op8_"):
+        counter = tokencount.Counter(tokencount.load_pieces("/opt/tokenizers/piece_bpe_32k.model"))
+        parts = [counter.text(" ".join(words[s : s + 70_000])) for s in range(0, len(words), 70_000)]
+        assert rows[0].n_tokens == sum(parts)
+    else:
+        assert set(rows) == {0, 1, 2} and all(0 <= r.score <= 1 for r in rows.values())
