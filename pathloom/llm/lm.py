@@ -297,7 +297,9 @@ def _log_probabilities(key, n, rows, top: Top):
 
 
 def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    return values[np.searchsorted(keys, asked)]
+    """Values of keys that are all there. Each is looked for once, in order: a search at random places costs several times as much."""
+    own, which = np.unique(asked, return_inverse=True)
+    return values[np.searchsorted(keys, own)][which]
 
 
 def _score_chunk(docs: pa.Table, known: pa.Table, n_train: int, n_types: int) -> pa.Table:
