@@ -1,8 +1,12 @@
 """Headline searches over the derived catalog; prints one JSON line.
 
-The catalog is held in memory, as a finder does: building it is timed on its own
-(catalog_load). Every search has warm-up runs and then timed ones; its figure is
-the median. BENCH_SF_DIR: the tables (default sf0.1); BENCH_CPUS: threads.
+The catalog and the trigram index are made and stored once (catalog_build,
+index_build), then loaded and held in memory, as a finder does (catalog_load,
+index_load). Every search has warm-up runs and then timed ones; its figure is
+the median. "index": the same selective search with and without the index, not
+part of the total. "scaling": files and total of the searches at the next
+smaller size, if it is there. BENCH_SF_DIR: the tables (default sf0.1);
+BENCH_CPUS: threads.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ import json
 import os
 import re
 import statistics
+import tempfile
 import time
 
 os.environ.setdefault("PYTHONPATH", os.path.dirname(os.path.abspath(__file__)))
@@ -57,6 +62,33 @@ def timed(run, warm: int = WARM, runs: int = RUNS) -> dict[str, float]:
     return {k: round(v, 4) for k, v in {"min": took[0], "median": statistics.median(took), "p95": at(0.95), "p99": at(0.99), "max": took[-1]}.items()}
 
 
+def searches(spark: SparkSession, catalog, folder: str, runs: int = RUNS) -> dict[str, dict[str, float]]:
+    rows, stats = catalog.drop("id"), {}
+    entries, access = fx.tag_entries(spark, folder).cache(), frecency.roll_up(fx.opens(spark, folder)).cache()
+    entries.count(), access.count()
+    for name, line in LINES.items():
+        stats[name] = timed(lambda line=line: search.search_all(rows, line, fx.ROOTS).collect(), runs=runs)
+    stats["frecency_top"] = timed(lambda: search.search_all(rows, parse("doc", 7), fx.ROOTS, access=access, now=fx.NOW).collect(), runs=runs)
+    stats["tag"] = timed(lambda: search.search_tagged(entries, rows, "t:toxic&en", fx.ROOTS).collect(), runs=runs)
+    stats["tag_counts"] = timed(lambda: tags.counts(entries).collect(), runs=runs)
+    entries.unpersist()
+    access.unpersist()
+    return stats
+
+
+def clocked(run):
+    began = time.perf_counter()
+    out = run()
+    return out, {"median": round(time.perf_counter() - began, 4)}
+
+
+def held(spark: SparkSession, folder: str, store: str):
+    """(catalog in memory, seconds to make and store it, seconds to load it)"""
+    _, made = clocked(lambda: fx.with_id(fx.catalog(spark, folder)).write.parquet(store))
+    catalog = spark.read.parquet(store).repartition(int(CPUS)).cache()
+    return catalog, made, clocked(catalog.count)[1]
+
+
 def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]")
@@ -68,31 +100,35 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    began = time.perf_counter()
-    catalog = fx.with_id(fx.catalog(spark, DIR)).repartition(int(CPUS)).cache()
-    n = catalog.count()
-    stats = {"catalog_load": {"median": round(time.perf_counter() - began, 4)}}
-    began = time.perf_counter()
-    postings = index.postings(catalog).repartition(int(CPUS), "trigram").sortWithinPartitions("trigram").cache()
-    postings.count()
-    stats["index_load"] = {"median": round(time.perf_counter() - began, 4)}
-    entries, access = fx.tag_entries(spark, DIR).cache(), frecency.roll_up(fx.opens(spark, DIR)).cache()
-    entries.count(), access.count()
-    rows = catalog.drop("id")
-    for name, line in LINES.items():
-        stats[name] = timed(lambda line=line: search.search_all(rows, line, fx.ROOTS).collect())
-    stats["frecency_top"] = timed(lambda: search.search_all(rows, parse("doc", 7), fx.ROOTS, access=access, now=fx.NOW).collect())
-    stats["tag"] = timed(lambda: search.search_tagged(entries, rows, "t:toxic&en", fx.ROOTS).collect())
-    stats["tag_counts"] = timed(lambda: tags.counts(entries).collect())
-    stats["prefilter_selective"] = timed(lambda: index.search_indexed(catalog, postings, "blue_gear").agg(F.count("*")).collect(), 1, 3)
-    stats["scan_selective"] = timed(lambda: catalog.filter(F.contains(F.lower("path"), F.lit("blue_gear"))).agg(F.count("*")).collect(), 1, 3)
-    stats["upsert"] = timed(lambda: cat.upsert(rows, rows.filter("size % 3 = 0")).agg(F.sum("size")).collect(), 1, 3)
-    stats["events_replay"] = timed(lambda: feed.apply_events(rows, fx.fs_events(spark, DIR)).agg(F.sum("size")).collect(), 1, 3)
-    queries = {k: v["median"] for k, v in stats.items()}
-    scale = re.search(r"sf([\d.]+)", DIR)
-    line = {"metric": "catalog_search_total", "value": round(sum(queries.values()), 4), "unit": "sec", "queries": queries, "sf": float(scale[1]) if scale else None, "files": n, "statistics": stats}
-    print(json.dumps(line))
-    spark.stop()
+    with tempfile.TemporaryDirectory(prefix="pathloom-bench-") as top:
+        stats = {}
+        catalog, stats["catalog_build"], stats["catalog_load"] = held(spark, DIR, f"{top}/catalog")
+        n = catalog.count()
+        _, stats["index_build"] = clocked(lambda: index.save(index.postings(catalog), catalog, f"{top}/index"))
+        postings, stats["index_load"] = clocked(lambda: index.load(catalog, f"{top}/index").cache())
+        loaded = clocked(postings.count)[1]["median"]
+        stats["index_load"]["median"] = round(stats["index_load"]["median"] + loaded, 4)
+        own = searches(spark, catalog, DIR)
+        stats |= own
+        rows = catalog.drop("id")
+        stats["upsert"] = timed(lambda: cat.upsert(rows, rows.filter("size % 3 = 0")).agg(F.sum("size")).collect(), 1, 3)
+        stats["events_replay"] = timed(lambda: feed.apply_events(rows, fx.fs_events(spark, DIR)).agg(F.sum("size")).collect(), 1, 3)
+        beside = {
+            "with_index": timed(lambda: index.search_indexed(catalog, postings, "blue_gear").agg(F.count("*")).collect(), 1, 3)["median"],
+            "scan": timed(lambda: catalog.filter(F.contains(F.lower("path"), F.lit("blue_gear"))).agg(F.count("*")).collect(), 1, 3)["median"],
+        }
+        postings.unpersist()
+        catalog.unpersist()
+        scale = re.search(r"sf([\d.]+)", DIR)
+        scaling, smaller = {}, DIR.replace("sf0.1", "sf0.01")
+        if smaller != DIR and os.path.isdir(smaller):
+            few, _, _ = held(spark, smaller, f"{top}/few")
+            total = lambda x: round(sum(v["median"] for v in x.values()), 4)
+            scaling = {"files": [few.count(), n], "searches": [total(searches(spark, few, smaller, 3)), total(own)]}
+        queries = {k: v["median"] for k, v in stats.items()}
+        line = {"metric": "catalog_search_total", "value": round(sum(queries.values()), 4), "unit": "sec", "queries": queries, "sf": float(scale[1]) if scale else None, "files": n, "index": beside, "scaling": scaling, "statistics": stats}
+        print(json.dumps(line))
+        spark.stop()
 
 
 if __name__ == "__main__":

@@ -47,15 +47,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(parts).unionByName(pages).unionByName(suppliers).unionByName(nations)
 
 
-def dirs(files_: DataFrame) -> DataFrame:
-    up = files_.select(F.explode(paths.ancestors(F.col("path"))).alias("path"), "mtime")
-    up = up.groupBy("path").agg(F.max("mtime").alias("mtime")).join(files_.select("path"), "path", "left_anti")
-    return up.select("path", F.lit(True).alias("is_dir"), "mtime", F.lit(0).cast("long").alias("size"))
-
-
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = files(spark, sf_dir)
-    return own.unionByName(dirs(own))
+    """Files and the folders above them, from one reading of the files; a folder's time is the latest below it."""
+    row = lambda path, is_dir, size, own: F.struct(path.alias("path"), is_dir.alias("is_dir"), F.col("mtime").alias("mtime"), size.alias("size"), F.lit(own).alias("own"))
+    above = F.transform(paths.ancestors(F.col("path")), lambda p: row(p, F.lit(True), F.lit(0).cast("long"), False))
+    rows = files(spark, sf_dir).select(F.inline(F.concat(F.array(row(F.col("path"), F.col("is_dir"), F.col("size"), True)), above)))
+    best = F.max_by(F.struct("is_dir", "mtime", "size"), F.struct("own", "mtime")).alias("best")
+    return rows.groupBy("path").agg(best).select("path", "best.*")
 
 
 def with_id(rows: DataFrame) -> DataFrame:
