@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import io
+import itertools
+import os
 import re
+import shutil
+import subprocess
 import tarfile
 import zipfile
 from typing import BinaryIO
@@ -30,6 +34,7 @@ KINDS = {
     "markdown": "md markdown",
 }
 ZIPS, TARS = ("zip", "jar", "war", "apk"), {"tar": "tar", "gz": "tar.gz", "tgz": "tar.gz"}
+TOOLS = {"7z": "7z", "rar": "unrar"}
 
 
 def kind(path: Column, is_dir: Column) -> Column:
@@ -114,11 +119,44 @@ def tar_listing(content: bytes | BinaryIO, label: str) -> str:
     return "\n".join(lines)
 
 
+def zstd_listing(content: bytes | BinaryIO) -> str:
+    """Of a compressed tar: its first members."""
+    try:
+        import zstandard
+    except ImportError:
+        return "This archive needs the zstandard package to be listed"
+    lines = ["ZSTD Archive:\n"]
+    try:
+        with zstandard.ZstdDecompressor().stream_reader(_opened(content)) as plain, tarfile.open(fileobj=plain, mode="r|") as archive:
+            for member in itertools.islice(archive, MOST_MEMBERS):
+                lines.append(_member(member.name + "/" * member.isdir(), member.size, member.isdir()))
+    except (tarfile.TarError, zstandard.ZstdError, OSError, EOFError):
+        pass  # what was read until then is shown
+    return "\n".join(lines)
+
+
+def listed_by_tool(path: str, tool: str) -> str:
+    """What an installed program lists of an archive on disk."""
+    if not os.path.exists(path) or shutil.which(tool) is None:
+        return f"This archive needs {tool} to be listed"
+    try:
+        done = subprocess.run([tool, "l", path], capture_output=True, timeout=30, check=False)
+    except (OSError, subprocess.TimeoutExpired) as problem:
+        return f"{tool} failed: {problem}"
+    if done.returncode:
+        return f"{tool} failed: {done.stderr.decode('utf-8', 'replace').strip()}"
+    return "\n".join(done.stdout.decode("utf-8", "replace").splitlines()[: MOST_MEMBERS + 5])
+
+
 def archive_listing(path: str, content: bytes | BinaryIO) -> str:
     ext = path.rsplit("/", 1)[-1].rpartition(".")[2].lower()
     if ext in ZIPS:
         return zip_listing(content)
-    return tar_listing(content, TARS[ext]) if ext in TARS else "Unsupported archive format"
+    if ext in TARS:
+        return tar_listing(content, TARS[ext])
+    if ext == "zst":
+        return zstd_listing(content)
+    return listed_by_tool(path, TOOLS[ext]) if ext in TOOLS else f"Unsupported archive format: .{ext}"
 
 
 def markdown_html(text: str, base: str = "", width: int = 400) -> str:

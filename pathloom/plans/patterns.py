@@ -17,8 +17,10 @@ def java_regex(pattern: str) -> str | None:
         return None
     java = re.sub(r"\[:(\w+):\]", lambda m: _POSIX.get(m[1], m[0]), pattern)
     java = java.replace("(?P<", "(?<")
+    java = re.sub(r"(?<!\\)((?:\\\\)*)\\[uU]\{([0-9A-Fa-f]+)\}", r"\1\\x{\2}", java)  # a character by its number
     java = re.sub(r"(?<!\\)([*+?}])\+", r"\1", java)  # a repeated "+" changes nothing for a test; the JVM would read it as possessive
-    probe = re.sub(r"\\[pP](?:\{\^?[\w=:]+\}|[A-Z])", "x", java).replace(r"\z", r"\Z").replace("(?<", "(?P<")
+    probe = re.sub(r"\\x\{[0-9A-Fa-f]{1,6}\}", "x", java)
+    probe = re.sub(r"\\[pP](?:\{\^?[\w=:]+\}|[A-Z])", "x", probe).replace(r"\z", r"\Z").replace("(?<", "(?P<")
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")

@@ -138,6 +138,11 @@ def test_globs(glob, yes, no):
     assert all(regex.match(x) for x in yes) and not any(regex.match(x) for x in no)
 
 
+def test_characters_by_number():
+    assert patterns.java_regex(r"a\x{41}") == r"(?idU)a\x{41}" and patterns.java_regex(r"\u{e9}$") == r"(?idU)\x{e9}$"
+    assert patterns.java_regex(r"\x{zz}[") is None and parse(r"/\x{41}b").mode == REGEX
+
+
 def test_open_globs_are_invalid():
     assert [patterns.glob_regex(g) for g in ("[a", "{a", "a}", "a\\", "[z-a]")] == [None] * 5
 

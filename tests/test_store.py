@@ -313,7 +313,7 @@ def test_previews(spark):
     got = {r.path: (r.preview_type, r.text) for r in previews.previews(frame).collect()}
     assert got["/a.zip"] == ("archive", "ZIP Archive: 2 entries\n\n  [dir]     plans/\n       7 B  plans/roof.csv")
     assert got["/b.tar.gz"] == ("archive", "TAR.GZ Archive:\n\n   2.0 KiB  logs/day1")
-    assert got["/c.txt"] == ("text", "text �") and got["/d"][1].startswith("Binary file (18 B)") and got["/e.bz2"] == ("archive", "Unsupported archive format")
+    assert got["/c.txt"] == ("text", "text �") and got["/d"][1].startswith("Binary file (18 B)") and got["/e.bz2"] == ("archive", "Unsupported archive format: .bz2")
     assert got["/f.md"] == ("markdown", "<h1>A <em>b</em></h1>\n<ul><li>c</li></ul>") and got["/g.png"] == ("image", "g.png\nSize: 3 B")
     assert got["/h.txt"][1].endswith("\n\n--- Truncated (showing 50KB of 58.6 KiB) ---")
     children = spark.createDataFrame([("/f", f"n{i:02}", i == 0, i) for i in range(91)], "folder string, name string, is_dir boolean, size long")
@@ -321,6 +321,30 @@ def test_previews(spark):
     assert text.startswith("91 items\n\n[dir]  n00/\n     1 B  n01") and text.endswith("\n\n... and 11 more items")
 
 
+def test_other_archives(tmp_path):
+    import io
+    import tarfile
+
+    import zstandard
+
+    t = io.BytesIO()
+    with tarfile.open(fileobj=t, mode="w") as out:
+        folder = tarfile.TarInfo("in")
+        folder.type = tarfile.DIRTYPE
+        out.addfile(folder)
+        info = tarfile.TarInfo("in/x")
+        info.size = 3
+        out.addfile(info, io.BytesIO(b"abc"))
+    packed = zstandard.ZstdCompressor().compress(t.getvalue())
+    assert previews.archive_listing("/a.tar.zst", packed) == "ZSTD Archive:\n\n  [dir]     in/\n       3 B  in/x"
+    assert previews.archive_listing("/a.zst", b"no archive") == "ZSTD Archive:\n"
+    assert previews.archive_listing("/none.7z", b"") == "This archive needs 7z to be listed"
+    tool = tmp_path / "tool"
+    tool.write_text("#!/bin/sh\nseq 100\n")
+    tool.chmod(0o755)
+    assert previews.listed_by_tool(str(tool), str(tool)).splitlines() == [str(i) for i in range(1, 56)]
+
+
 def test_previews_of_files_read_only_what_they_show(spark, tmp_path):
     import zipfile
 
