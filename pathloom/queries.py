@@ -495,7 +495,7 @@ def indexed_search(spark, d):
     return index.search_indexed(rows, index.postings(rows), "blue_gear").select("path")
 
 
-@query("indexed_glob", _sql("select path from catalog where regexp_matches(name, '(?s)^.*blue.gear-[0-9]*5.*$') or regexp_matches(path, '(?s)^.*blue.gear-[0-9][^/]*5.*$')"))
+@query("indexed_glob", _sql("select path from catalog where regexp_matches(name, '(?s)^.*blue.gear-[0-9].*5.*$') or regexp_matches(path, '(?s)^.*blue.gear-[0-9].*5.*$')"))
 def indexed_glob(spark, d):
     rows = fx.with_id(fx.catalog(spark, d))
     return index.search_indexed(rows, index.postings(rows), "blue?gear-[0-9]*5").select("path")
