@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from .session import fresh
 
 
+AT_ONCE = 64  # draws
+
+
 def jump_hash(key: Column, shards: int) -> Column:
     """Shard of a 64-bit key, 0 to shards - 1.
 
     Each draw is a hash of (key, number of the draw), so it doesn't depend on
     `shards`: the jumps for n and n + 1 shards are the same as long as both
     stay below n. A jump goes forward by one at least, so `shards` steps are
-    enough; once a jump has passed the last shard the other steps only hand on.
+    enough; about their logarithm are made, and steps beyond the first 64 are
+    only walked through by keys that need them.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
@@ -36,8 +40,11 @@ def jump_hash(key: Column, shards: int) -> Column:
         )
 
     start = F.struct(key.cast("long").alias("key"), F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("next"))
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step)
-    return walked["at"].cast("int")
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(min(shards, AT_ONCE))), start, step)
+    if shards <= AT_ONCE:
+        return walked["at"].cast("int")
+    on = F.aggregate(F.sequence(F.lit(AT_ONCE + 1), F.lit(shards)), walked, step)
+    return F.when(walked["next"] >= shards, walked["at"]).otherwise(on["at"]).cast("int")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, buckets: int | None = None) -> DataFrame:

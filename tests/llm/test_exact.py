@@ -553,11 +553,20 @@ def brute_shards(rows, shards, buckets):
 
 def test_shards_and_slots_as_brute_force(spark):
     rows = [(i % 97 if i % 13 else None, None if i % 7 == 0 else "é" * (i % 5)) for i in range(400)]
-    for shards in (1, 8, 11):
+    for shards in (1, 8, 11, 64, 300):
         got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards, buckets=16).collect()
         assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot, r.grown_shard) for r in got) == brute_shards(rows, shards, 16)
 
 
+def test_jumps_beyond_the_first_draws(spark, monkeypatch):
+    from pathloom.llm import sharding
+
+    keys = spark.range(500)
+    want = [r[0] for r in keys.select(jump_hash(F.col("id"), 50)).collect()]
+    monkeypatch.setattr(sharding, "AT_ONCE", 2)
+    assert [r[0] for r in keys.select(jump_hash(F.col("id"), 50)).collect()] == want
+
+
 def test_slots_are_gapless(spark):
     rows = [(i % 97 if i % 13 else None, None if i % 7 == 0 else "é" * (i % 5)) for i in range(700)]
     got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8, buckets=16).toPandas()
