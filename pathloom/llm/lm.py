@@ -21,6 +21,8 @@ Only the nodes of depth 0 to 2 are gathered on the driver: at most
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +55,20 @@ def byte_strings(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return key[use].view(np.int64), first
 
 
+def gram_pieces(buf: np.ndarray, offsets: np.ndarray, target: int):
+    """byte_strings of all documents at once, or of a single long one in pieces: (keys, index of each document's first, as far as they are here)."""
+    if len(offsets) != 2 or len(buf) <= 4 * target:
+        yield byte_strings(buf, offsets)
+        return
+    for at in range(0, len(buf), target):
+        before = min(at, DEPTH)  # bytes that are there as context only
+        piece = buf[at - before : at + target]
+        key = byte_strings(piece, np.array([0, len(piece)]))[0][before:]
+        if at + target < len(buf):
+            key = key[:-1]  # no end yet
+        yield key, np.array([0, len(key)])
+
+
 def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key of each word and end token, index of each document's first)."""
     h, first = tk.word_hashes(buf, offsets)
@@ -90,8 +106,7 @@ def _asked(batches, most: int = 1 << 22):
             for part in tk.slices(own, "text", SLICE):
                 flat = tk.flat(part.column("text"))
                 training = ~part.column("held_out").to_numpy(zero_copy_only=False)
-                for kind, make in ((GRAM, byte_strings), (WORD, tokens)):
-                    key, first = make(*flat)
+                for kind, (key, first) in chain(((GRAM, x) for x in gram_pieces(*flat, SLICE)), ((WORD, x) for x in (tokens(*flat),))):
                     learn = np.repeat(training, np.diff(first))
                     seen, n = np.unique(key[learn], return_counts=True)
                     rest = np.unique(key[~learn])
@@ -312,8 +327,9 @@ def _score_chunk(docs: pa.Table, known: pa.Table, n_train: int, n_types: int) ->
     for batch in docs.combine_chunks().to_batches():
         for part in tk.slices(batch, "text", SLICE):
             flat = tk.flat(part.column("text"))
-            key, first = byte_strings(*flat)
-            score = np.add.reduceat(_look_up(*tables[GRAM], key), first[:-1])
+            score = np.zeros(part.num_rows)
+            for key, first in gram_pieces(*flat, SLICE):
+                score += np.add.reduceat(_look_up(*tables[GRAM], key), first[:-1])
             key, first = tokens(*flat)
             count = _look_up(*tables[WORD], key)
             base = np.add.reduceat(np.log10((count + 0.5) / (n_train + 0.5 * (n_types + 1))), first[:-1])

@@ -126,6 +126,21 @@ def pieces(batch: pa.RecordBatch, column: str, target: int, overlap: int):
         row += part.num_rows
 
 
+def word_pieces(buf: np.ndarray, offsets: np.ndarray, target: int = 1 << 20, space=_IS_SPACE):
+    """(first document, bytes, offsets): all at once, or where it is over twice the target, each document in pieces that end before a space."""
+    if len(buf) <= 2 * target:
+        yield 0, buf, offsets
+        return
+    for doc, (at, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        while at < end:
+            stop = at + target
+            while stop < end and not (found := np.flatnonzero(space[buf[stop : min(end, stop + 4096)]])).size:
+                stop += 4096
+            stop = end if stop >= end or end - at <= 2 * target else stop + int(found[0])
+            yield doc, buf[at:stop], np.array([0, stop - at], dtype=np.int64)
+            at = stop
+
+
 def lower(buf: np.ndarray) -> np.ndarray:
     """A-Z as a-z; other bytes stay."""
     return _LOWER[buf]
@@ -151,8 +166,12 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each lower-cased word, index of each document's first word)."""
-    start, end, first = words(buf, offsets)
-    return span_hash(prefix_hash(lower(buf)), start, end), first
+    parts, count = [np.zeros(0, dtype=np.uint64)], np.zeros(len(offsets) - 1, dtype=np.int64)
+    for doc, piece, at in word_pieces(buf, offsets):
+        start, end, first = words(piece, at)
+        parts.append(span_hash(prefix_hash(lower(piece)), start, end))
+        count[doc : doc + len(at) - 1] += np.diff(first)
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(count)])
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, n: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:

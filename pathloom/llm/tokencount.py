@@ -24,6 +24,7 @@ from . import textkit as tk
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value: what an unknown character scores below the worst piece
 LONG = 64  # characters
+_BLANK = np.arange(256) == 0x20
 TOGETHER = 1 << 19  # cells of the table of best scores
 
 
@@ -181,6 +182,12 @@ class Counter:
     def texts(self, texts) -> np.ndarray:
         """Pieces of each text (an Arrow array of strings)."""
         buf, offsets = tk.flat(texts)
+        out = np.zeros(len(offsets) - 1, dtype=np.int64)
+        for doc, piece, at in tk.word_pieces(buf, offsets, space=_BLANK):
+            out[doc : doc + len(at) - 1] += self._texts(piece, at)
+        return out
+
+    def _texts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         if not len(buf):
             return np.zeros(n, dtype=np.int64)

@@ -31,37 +31,43 @@ for _a, _b in ((48, 58), (97, 123)):
 _PLAIN[65:91] = np.arange(97, 123)
 
 
-def features(texts) -> tuple[np.ndarray, np.ndarray, int]:
-    """(document index, feature hash) of each word and word beginning, and the number of documents."""
+def features(texts):
+    """(document index, feature hash) of each word and word beginning, as arrays, in pieces of the texts."""
     raw, offsets = tk.flat(texts)
-    buf = _PLAIN[raw]
-    start, end, first = tk.words(buf, offsets)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    prefix = tk.prefix_hash(buf)
-    docs, hashes = [doc], [tk.span_hash(prefix, start, end)]
-    for n in BEGINNINGS:
-        longer = np.flatnonzero(end - start > n)
-        docs.append(doc[longer])
-        hashes.append(tk.span_hash(prefix, start[longer], start[longer] + n) ^ np.uint64(n))
-    return np.concatenate(docs), np.concatenate(hashes), len(offsets) - 1
+    for base, buf, at in tk.word_pieces(_PLAIN[raw], offsets):
+        start, end, first = tk.words(buf, at)
+        doc = np.repeat(np.arange(base, base + len(at) - 1), np.diff(first))
+        prefix = tk.prefix_hash(buf)
+        docs, hashes = [doc], [tk.span_hash(prefix, start, end)]
+        for n in BEGINNINGS:
+            longer = np.flatnonzero(end - start > n)
+            docs.append(doc[longer])
+            hashes.append(tk.span_hash(prefix, start[longer], start[longer] + n) ^ np.uint64(n))
+        yield np.concatenate(docs), np.concatenate(hashes)
+
+
+def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs by feature and document, each once."""
+    order = np.lexsort((doc, h))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return doc[new], h[new]
 
 
 def _document_frequencies(batches):
     for batch in batches:
         for part in tk.slices(batch, "text"):
-            doc, h, _ = features(part.column("text"))
             label = part.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.lexsort((doc, h))
-            doc, h = doc[order], h[order]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            doc, h = doc[new], h[new]
+            pieces = [_distinct(*x) for x in features(part.column("text"))]
+            doc, h = _distinct(*(np.concatenate(x) for x in zip(*pieces))) if len(pieces) > 1 else pieces[0]
             at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
             if len(at):
                 y = label[doc]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[at].view(np.int64)), pa.array(np.add.reduceat(y, at)), pa.array(np.add.reduceat(1 - y, at))], names=["feature", "df1", "df0"]
                 )
+    tk.release()
 
 
 def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -87,15 +93,16 @@ class Vocabulary:
 
     def counts(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(document, column, number of times), by document and column; and the number of documents."""
-        doc, h, n = features(texts)
-        if not len(self.hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), n
-        maybe = np.flatnonzero(self.table[h >> np.uint64(46)])
-        doc, h = doc[maybe], h[maybe]
-        col = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        hit = self.hashes[col] == h
-        cell, tf = np.unique(doc[hit] * len(self.hashes) + col[hit], return_counts=True)
-        return cell // len(self.hashes), cell % len(self.hashes), tf, n
+        cells, n = [np.zeros(0, np.int64)], len(texts)
+        for doc, h in features(texts) if len(self.hashes) else ():
+            maybe = np.flatnonzero(self.table[h >> np.uint64(46)])
+            doc, h = doc[maybe], h[maybe]
+            col = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = self.hashes[col] == h
+            cells.append(doc[hit] * len(self.hashes) + col[hit])
+        cell, tf = np.unique(np.concatenate(cells), return_counts=True)
+        width = max(len(self.hashes), 1)
+        return cell // width, cell % width, tf, n
 
     def vectors(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """Normalised TF-IDF in parts (document, column, weight), by document and column; and the number of documents."""

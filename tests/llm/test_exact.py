@@ -813,6 +813,32 @@ def test_pipeline_as_brute_force(spark, tmp_path):
     assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot, r.grown_shard) for r in got) == brute_shards(out, 8, 4096)
 
 
+def test_long_texts_in_pieces_are_as_whole(monkeypatch):
+    import pyarrow as pa
+
+    from pathloom.llm import toxicity
+
+    rng = random.Random(2)
+    texts = ["", "ab  cd " * 3, " ".join("x" * rng.randint(1, 30) + rng.choice(["", "é", "\t"]) for _ in range(900)), "y" * 5000, None, "  tail ", "last one"]
+    raw, offsets = textkit.flat(pa.array(texts))
+    whole = textkit.word_hashes(raw, offsets)
+    counter = TokenCounter(load_pieces(PIECES))
+    counts = counter.texts(pa.array(texts))
+    doc, h = (np.concatenate(x) for x in zip(*toxicity.features(pa.array(texts))))
+    keys = [lm.byte_strings(raw[s:e], np.array([0, e - s]))[0] for s, e in zip(offsets[:-1], offsets[1:])]
+    for target in (50, 700):
+        monkeypatch.setattr(textkit.word_pieces, "__defaults__", (target, textkit._IS_SPACE))
+        assert len(list(textkit.word_pieces(raw, offsets))) > 10 and b"".join(bytes(b) for _, b, _ in textkit.word_pieces(raw, offsets)) == bytes(raw)
+        for x, y in zip(textkit.word_hashes(raw, offsets), whole):
+            assert (x == y).all()
+        assert (counter.texts(pa.array(texts)) == counts).all()
+        parts = [np.concatenate(x) for x in zip(*toxicity.features(pa.array(texts)))]
+        assert sorted(zip(parts[0].tolist(), parts[1].tolist())) == sorted(zip(doc.tolist(), h.tolist()))
+        for i, key in enumerate(keys):
+            pieces = list(lm.gram_pieces(raw[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), target))
+            assert (np.concatenate([x[0] for x in pieces]) == key).all() and all(x[1][-1] == len(x[0]) for x in pieces)
+
+
 def test_words_and_shingles():
     import pyarrow as pa
 
