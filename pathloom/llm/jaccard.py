@@ -299,7 +299,7 @@ def _known(docs: DataFrame, n: int, threshold: float, tolerance: float, tile: in
     return signed.select("doc_id", "t1", "t2", "has"), known
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, tile: int = 1024, bucket: int = 512) -> DataFrame:
+def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, tile: int = 1024, bucket: int = 256) -> DataFrame:
     """doc_id, class_id, n_links, n_copies: one row for each row of docs.
 
     Similarity: Jaccard of the sets of n-word shingles, words split at white
@@ -323,7 +323,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     return out.unionByName(alone)
 
 
-def one_per_class(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, tile: int = 1024, bucket: int = 512) -> DataFrame:
+def one_per_class(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, tile: int = 1024, bucket: int = 256) -> DataFrame:
     """The rows of docs, with all their columns, that lead their class (see jaccard_classes); one of rows that repeat.
 
     Rows without any word, null texts among them, link to nothing and all stay.
