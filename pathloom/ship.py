@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -20,6 +21,7 @@ def ship(spark: SparkSession) -> None:
     top = Path(__file__).resolve().parent
     handle, path = tempfile.mkstemp(prefix="pathloom-", suffix=".zip")
     os.close(handle)
+    atexit.register(lambda: os.path.exists(path) and os.remove(path))  # executors fetch it from here while the driver runs
     with zipfile.ZipFile(path, "w") as z:
         for file in sorted(top.rglob("*.py")):
             z.write(file, file.relative_to(top.parent))
