@@ -386,33 +386,36 @@ def repeated_ranges(docs: DataFrame, length: int = 100, k: int = 20, most_bytes:
     level = stage(content.withColumn("anchor", F.col("key")).withColumns(hashed), "segments")
     discard(often)
 
-    out, staged = None, []
+    # What a join gives and what a sort gives are tables of their own: a join's large keys are split over tasks, a sort's groups are bounded.
+    out = []
     for width in (*CUTS, None):
         here = F.struct("did", "th", "start")
         first = level.groupBy(*same).agg(F.min(F.struct("did", "th", "start", "content")).alias("f"), F.max("twice").alias("twice"), F.first("anchor").alias("anchor"))
         first = stage(first.select(*same, "f.*", "twice", "anchor"), "first-segments")
         lead = first.select(*same, here.alias("lead"))
         later = level.select(*same, "did", "th", "start", "n").join(lead, same).filter(here != F.col("lead"))
-        later = later.select("did", "th", *_range(F.col("start"), F.col("start") + F.col("n") + (length - 1)))
-        out = later if out is None else out.unionByName(later)
-        staged += [level, first]
+        out.append(stage(later.select("did", "th", *_range(F.col("start"), F.col("start") + F.col("n") + (length - 1))), "ranges"))
+        discard(level)
         if width is None:  # single strings: all that are equal have met
+            discard(first)
             break
         held = first.groupBy("key").agg(F.count("*").alias("width"), F.max("twice").alias("self"), F.sum(F.octet_length("content")).alias("bytes"))
         held = stage(held.filter("width > 1 or self"), "anchor-widths")
-        staged.append(held)
         small = F.col("bytes") <= most_bytes
         sortable = first.join(held.filter(small).select("key"), "key").select("key", "did", "th", "start", "content")
         # Dealt by another value than the join's, else Spark drops the exchange and may split a skewed key over tasks.
         sortable = sortable.repartition(parts, F.xxhash64("key")).sortWithinPartitions("key")
-        out = out.unionByName(sortable.mapInArrow(lambda it: _sort_groups(it, length), "did long, th long, s long, e long"))
+        out.append(stage(sortable.mapInArrow(lambda it: _sort_groups(it, length), "did long, th long, s long, e long"), "ranges"))
         if not held.filter(~small).limit(1).count():
+            discard(first, held)
             break
         large = first.join(held.filter(~small).select("key"), "key").select("key", "anchor", "did", "th", "start", "content")
         large = large.mapInArrow(lambda it, width=width: _cut(it, length, k, width), f"{SEGMENT}, anchor long")
         level = stage(large.withColumns(hashed), "segments")
-    ranges = stage(out, "ranges")
-    discard(*staged)
+        discard(first, held)
+    ranges = out[0]
+    for more in out[1:]:
+        ranges = ranges.unionByName(more)
     return ranges
 
 
