@@ -64,7 +64,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, model: str = "/opt/tokeni
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("evidence", F.to_json("evidence"))
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
