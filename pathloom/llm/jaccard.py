@@ -32,6 +32,7 @@ from .session import discard, fresh, n_partitions, stage, view
 
 ROWS, BANDS, STEP = 4, 28, 16
 SPREAD = 16
+SENT = np.uint16  # the bits of a MinHash value that are sent: values that differ seem equal once in 65536, and such a pair is only compared further
 _SEED = np.random.default_rng(20240229)
 _MULT = _SEED.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _SEED.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
@@ -151,7 +152,7 @@ def link_group(nodes: np.ndarray, weights: np.ndarray, tiles: np.ndarray, pair:
 
 def _signatures_of(column: pa.Array) -> np.ndarray:
     raw, offsets = tk.flat(column)
-    return np.frombuffer(raw.tobytes(), dtype=np.uint32).reshape(len(offsets) - 1, -1)
+    return np.frombuffer(raw.tobytes(), dtype=SENT).reshape(len(offsets) - 1, -1)
 
 
 def _refine(batches, floors: dict, at_once: int = 1 << 18):
@@ -260,7 +261,8 @@ def _known(docs: DataFrame, n: int, threshold: float, tolerance: float, tile: in
                 sig = signatures(h, at)
                 upto = lambda size: pa.array(np.concatenate([[0], np.cumsum(has * size)]), pa.int32())  # noqa: B023, E731
                 buckets = pa.ListArray.from_arrays(upto(BANDS), pa.array(bands(sig).view(np.int64)[has].ravel()))
-                sig = pa.Array.from_buffers(pa.binary(), len(has), [None, upto(4 * sig.shape[1]).buffers()[1], pa.py_buffer(np.ascontiguousarray(sig[has]))])
+                sig = sig[has].astype(SENT)
+                sig = pa.Array.from_buffers(pa.binary(), len(has), [None, upto(sig.itemsize * sig.shape[1]).buffers()[1], pa.py_buffer(sig)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t1"), part.column("t2"), pa.array(has), buckets, sig], names=["doc_id", "t1", "t2", "has", "buckets", "sig"])
         tk.release()
 
@@ -268,6 +270,8 @@ def _known(docs: DataFrame, n: int, threshold: float, tolerance: float, tile: in
     signed = stage(rows.mapInArrow(sign, f"doc_id {kind}, t1 long, t2 long, has boolean, buckets array<long>, sig binary"), "signatures")
     nodes = signed.filter("has").groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # ids hold once they are written
+    whole, signed = signed, stage(signed.select("doc_id", "t1", "t2", "has"), "texts")
+    discard(whole)
     comp = _candidates(nodes, floors, bucket)
 
     # Small tiles spread a component over more tasks; more than SPREAD of them only where a tile would be too large, as each text is sent once a tile.
@@ -283,10 +287,13 @@ def _known(docs: DataFrame, n: int, threshold: float, tolerance: float, tile: in
     texts = rows.select("doc_id", F.col("t1").alias("own1"), F.col("t2").alias("own2"), "text")
     # Always a merge join: a broadcast of the candidates would fit small inputs only.
     texts = picked.hint("merge").join(texts, (F.col("t1") == F.col("own1")) & (F.col("t2") == F.col("own2")) & F.col("first_id").eqNullSafe(F.col("doc_id")))
+    # A table of its own, so that the shuffle of all texts is gone when those of the candidates are sent to their tiles.
+    texts = stage(texts.select("comp", "n_tiles", "tile", "node", "weight", "sig", "text"), "candidate-texts")
+    discard(picked)
     grouped = texts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1))).select("comp", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "node", "weight", "tile", "sig", "text")
     grouped = grouped.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node")
     linked = stage(grouped.mapInArrow(lambda it: _compare(it, n, share, floors), "node long, links long, root long"), "links")
-    discard(picked)
+    discard(texts)
     label = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     lead = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", F.col("node").alias("lead"))).alias("l")
     leads = label.join(nodes.select("node", "first_id"), "node").groupBy("label").agg(lead)
@@ -296,7 +303,7 @@ def _known(docs: DataFrame, n: int, threshold: float, tolerance: float, tile: in
     known = nodes.select("node", "t1", "t2", "first_id", "n_copies").join(linked_to, "node", "left")
     own = lambda name, alone: F.when(F.col("linked"), F.col(name)).otherwise(alone).alias(name)
     known = known.select("node", "t1", "t2", "first_id", own("class_id", F.col("first_id")), own("lead", F.col("node")), own("links", F.lit(0)), "n_copies")
-    return signed.select("doc_id", "t1", "t2", "has"), known
+    return signed, known
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, tile: int = 1024, bucket: int = 256) -> DataFrame:
