@@ -191,7 +191,22 @@ def _refine(batches, floors: dict, at_once: int = 1 << 18):
     tk.release()
 
 
-def _compare(batches, n: int, share: Fraction, floors: dict):
+SETS = "comp long, n_tiles int, tile int, node long, weight long, sig binary, shingles binary"
+
+
+def _sets(batches, n: int):
+    """The distinct shingles of each text, in order, in place of the text: a text is hashed once, however many tiles it goes to."""
+    for batch in batches:
+        for part in tk.slices(batch, "text"):
+            h, at = tk.shingles(*tk.word_hashes(*tk.flat(part.column("text"))), n)
+            sets = [np.unique(h[s:e]) for s, e in zip(at[:-1], at[1:])]
+            upto = np.concatenate([[0], np.cumsum([8 * len(x) for x in sets])]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer(upto), pa.py_buffer(np.concatenate([*sets, np.zeros(0, np.uint64)]))])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("comp", "n_tiles", "tile", "node", "weight", "sig")), packed], names=["comp", "n_tiles", "tile", "node", "weight", "sig", "shingles"])
+    tk.release()
+
+
+def _compare(batches, share: Fraction, floors: dict):
     """Rows sorted by group (comp, i, j), nodes ascending; a group may go on in the next batch."""
     held: list[tuple] = []
     key_held = None
@@ -203,8 +218,8 @@ def _compare(batches, n: int, share: Fraction, floors: dict):
 
     out: list[tuple] = []
     for batch in batches:
-        for part in tk.slices(batch, "text"):
-            h, at = tk.shingles(*tk.word_hashes(*tk.flat(part.column("text"))), n)
+        for part in tk.slices(batch, "shingles"):
+            raw, at = tk.flat(part.column("shingles"))
             sig = _signatures_of(part.column("sig"))
             cols = [part.column(c).to_numpy(zero_copy_only=False) for c in ("comp", "i", "j", "node", "weight", "tile")]
             for r, (comp, i, j, node, weight, tile) in enumerate(zip(*cols)):
@@ -214,7 +229,7 @@ def _compare(batches, n: int, share: Fraction, floors: dict):
                     held, key_held = [], (comp, i, j)
                 if held and held[-1][0] == node:
                     continue  # a row that repeats
-                held.append((node, weight, tile, np.unique(h[at[r] : at[r + 1]]), sig[r]))
+                held.append((node, weight, tile, np.frombuffer(raw[at[r] : at[r + 1]].tobytes(), dtype=np.uint64), sig[r]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["node", "links", "root"])
                 out = []
@@ -288,12 +303,13 @@ def _known(docs: DataFrame, n: int, threshold: float, tolerance: float, tile: in
     # Always a merge join: a broadcast of the candidates would fit small inputs only.
     texts = picked.hint("merge").join(texts, (F.col("t1") == F.col("own1")) & (F.col("t2") == F.col("own2")) & F.col("first_id").eqNullSafe(F.col("doc_id")))
     # A table of its own, so that the shuffle of all texts is gone when those of the candidates are sent to their tiles.
-    texts = stage(texts.select("comp", "n_tiles", "tile", "node", "weight", "sig", "text"), "candidate-texts")
+    texts = texts.select("comp", "n_tiles", "tile", "node", "weight", "sig", "text").mapInArrow(lambda it: _sets(it, n), SETS)
+    sets = stage(texts, "candidate-sets")
     discard(picked)
-    grouped = texts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1))).select("comp", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "node", "weight", "tile", "sig", "text")
+    grouped = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1))).select("comp", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "node", "weight", "tile", "sig", "shingles")
     grouped = grouped.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node")
-    linked = stage(grouped.mapInArrow(lambda it: _compare(it, n, share, floors), "node long, links long, root long"), "links")
-    discard(texts)
+    linked = stage(grouped.mapInArrow(lambda it: _compare(it, share, floors), "node long, links long, root long"), "links")
+    discard(sets)
     label = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     lead = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", F.col("node").alias("lead"))).alias("l")
     leads = label.join(nodes.select("node", "first_id"), "node").groupBy("label").agg(lead)
