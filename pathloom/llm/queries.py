@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontam import contaminated
+from .divergence import source_divergence
 from .jaccard import jaccard_classes
 from .lm import score_documents
 from .mixing import mix_sources
+from .neardup import near_duplicates
 from .session import table
 from .sharding import shard_documents
 from .suffix import remove_repeats
@@ -72,6 +74,14 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -127,6 +137,35 @@ ORACLE = {
         r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 20
     """,
+    "op11_source_divergence": r"""
+        with d as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+        t as (select row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+        k as (select lang, term, count(*) as n from t group by lang, term having count(distinct row) >= 3),
+        g as (select distinct lang, source from d),
+        c as (select lang, source, term, count(*) as n from t group by lang, source, term),
+        x as (select g.lang, g.source, k.term, k.n as lang_n, coalesce(c.n, 0) as n from g join k on g.lang = k.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+        s as (select *, sum(n) over (partition by lang, source) as total, sum(lang_n) over (partition by lang, source) as lang_total, count(*) over (partition by lang, source) as v from x),
+        p as (select lang, source, term, n, cast(1 + (cast(1000000000 as hugeint) * (n + 1)) // (total + v) as hugeint) as p, cast(1 + (cast(1000000000 as hugeint) * (lang_n + 1)) // (lang_total + v) as hugeint) as q from s),
+        a as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+        r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(v.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+              left join a v on v.lang = a.lang and v.source = a.source and v.item = b.source
+              union all select lang, source, 'term', term, (p - q) * (p - q) // q from p where n > 0 and p > q),
+        o as (select lang, source, part, item, cast(value as bigint) as value, cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as int) as rank from r)
+        select lang, source, part, item, value, rank from o where part = 'pair' or rank <= 200
+    """,
+    "op13_near_dedup": r"""
+        with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+              else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as shingle from t),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+        l as (select x, y from p join n nx on x = nx.doc_id join n ny on y = ny.doc_id where 100 * c >= 85 * (nx.n + ny.n - c)),
+        e as (select x, y from l union all select y, x from l),
+        reach as (select x, y from e union select r.x, e.y from reach r join e on r.y = e.x),
+        c as (select x, min(y) as least from reach group by x)
+        select t.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, least(t.doc_id, coalesce(c.least, t.doc_id)) as component_id, t.doc_id = least(t.doc_id, coalesce(c.least, t.doc_id)) as kept
+        from t left join n on t.doc_id = n.doc_id left join c on t.doc_id = c.x
+    """,
 }
 
 
