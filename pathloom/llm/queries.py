@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .neardup import near_duplicates
 from .session import table
 from .sharding import shard_documents
+from .spelling import spelling_variants
 from .suffix import remove_repeats
 from .tokencount import count_tokens, load_pieces
 from .topk import top_k
@@ -78,6 +79,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
