@@ -158,6 +158,26 @@ ORACLE = {
         o as (select lang, source, part, item, cast(value as bigint) as value, cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as int) as rank from r)
         select lang, source, part, item, value, rank from o where part = 'pair' or rank <= 200
     """,
+    "op12_spelling_variants": r"""
+        with recursive bits as (select i, 0 as k, i as v from range(256) x(i) union all select i, k + 1, xor(v >> 1, case when v & 1 = 1 then 3988292384 else 0 end) from bits where k < 8),
+        steps as (select list(v order by i) as t from bits where k = 8),
+        r as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) as run from documents),
+        c as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w, count(*) as n from r group by 1, 2),
+        e as (select w, n, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || w)) as x from c),
+        h as (select w, n, xor(4294967295, list_reduce(list_transform(range(1, len(x), 2), lambda i: cast((instr('123456789ABCDEF', x[i]) * 16 + instr('123456789ABCDEF', x[i + 1])) as bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295)) as h from e, steps),
+        s as (select case when h % 97 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, n from h),
+        v as (select word, cast(sum(n) as bigint) as n from s where length(word) >= 5 group by word having sum(n) >= 3),
+        g as (select word, n, length(word) as size, unnest(range(1, length(word) + 1)) as i from v),
+        d as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as less, substr(word, 1, i - 1) || chr(0) || substr(word, i + 1) as gap from g),
+        p as (select a.word as a, b.word as b from d a join d b on a.gap = b.gap and a.word <> b.word
+              union select a.word, b.word from d a join v b on a.less = b.word union select b.word, a.word from d a join v b on a.less = b.word),
+        m as (select p.a as word, count(*) as n_near, max(b.n) as most from p join v b on p.b = b.word group by p.a),
+        f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when most >= 2 * v.n then most end as form_n,
+              (select min(p.b) from p join v b on p.b = b.word where p.a = v.word and b.n = m.most and m.most >= 2 * v.n) as form from v left join m on v.word = m.word),
+        u as (select word, form as root, 1 as k from f where form is not null union all select u.word, f.form, k + 1 from u join f on u.root = f.word where f.form is not null),
+        o as (select word, arg_max(root, k) as root from u group by word)
+        select f.word, form, coalesce(o.root, f.word) as root, n, cast(n_near as bigint) as n_near, cast(form_n as bigint) as form_n from f left join o on f.word = o.word
+    """,
     "op13_near_dedup": r"""
         with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
         s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
