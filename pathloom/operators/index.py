@@ -27,7 +27,10 @@ def postings(catalog: DataFrame) -> DataFrame:
     return catalog.select("id", F.explode(path_trigrams(F.col("path"))).alias("trigram")).select("trigram", "id")
 
 
-def posting_lists(rows: DataFrame, part_ids: int = 1 << 16) -> DataFrame:
+PART_IDS = 1 << 16
+
+
+def posting_lists(rows: DataFrame, part_ids: int = PART_IDS) -> DataFrame:
     """(trigram, part, ids sorted): a part holds the ids from part * part_ids on, so no list grows with the catalog."""
     part = F.floor(F.col("id") / part_ids).cast("long")
     return rows.groupBy("trigram", part.alias("part")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
@@ -44,8 +47,11 @@ def cache_is_usable(n_files: int, cached_files: int) -> bool:
 
 
 def save(rows: DataFrame, catalog: DataFrame, folder: str) -> None:
-    """Postings, with the number of files and the next free id they stand for. The facts are written last: without them nothing is there."""
-    rows.repartition("trigram").sortWithinPartitions("trigram").write.mode("overwrite").parquet(f"{folder}/postings")
+    """Postings, with the number of files and the next free id they stand for. The facts are written last: without them nothing is there.
+
+    Dealt by trigram and stretch of ids, so that a trigram of all paths isn't one task's.
+    """
+    rows.repartition("trigram", F.floor(F.col("id") / PART_IDS)).sortWithinPartitions("trigram").write.mode("overwrite").parquet(f"{folder}/postings")
     facts = catalog.agg(F.count("*").alias("files"), (F.coalesce(F.max("id"), F.lit(0)) + 1).alias("next_id"))
     facts.write.mode("overwrite").parquet(f"{folder}/facts")
 
@@ -81,13 +87,6 @@ def union(rows: DataFrame, trigrams: list[bytes]) -> DataFrame:
     return rows.filter(F.col("trigram").isin(*trigrams)).select("id").distinct()
 
 
-def _fuzzy_pieces(query: Query) -> list[str]:
-    """distance + 1 pieces of the text: that many typos leave one of them as it is."""
-    n, text = query.distance + 1, query.text.lower()
-    cuts = [i * len(text) // n for i in range(n + 1)]
-    return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-
-
 def needed_trigrams(query: Query) -> list[list[bytes]]:
     """Alternatives: a matching path's components have all trigrams of one of them. None at all: the index can't help."""
     if query.mode == SUBSTRING:
@@ -97,7 +96,7 @@ def needed_trigrams(query: Query) -> list[list[bytes]]:
     elif query.mode == GLOB:
         alternatives = [glob_literals(query.text)]
     else:
-        alternatives = [[piece] for piece in _fuzzy_pieces(query)] if "/" not in query.text else [[]]
+        alternatives = [[piece] for piece in plan.typo_pieces(query.text.lower(), query.distance)] if "/" not in query.text else [[]]
     out = [list(dict.fromkeys(t for text in texts for t in query_trigrams(text))) for texts in alternatives]
     return out if all(out) else []
 

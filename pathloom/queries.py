@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import formats, frecency, paths
 from .operators import catalog as cat
-from .operators import index, previews, search, tags
+from .operators import bitmaps, blocks, index, many, previews, search, tags
 from .plans import compile as plan
 from .plans.language import EDIT, FILES, Query, parse
 from .streaming import feed
@@ -74,6 +78,23 @@ def _found(where: str, order: str = "mtime desc", most: int = 500, table: str =
     )
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a table that a query makes: below spark.checkpoint.dir, or in local mode a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _OWN:
+            own = tempfile.TemporaryDirectory(prefix="pathloom-")
+            atexit.register(own.cleanup)
+            _OWN.append(own.name)
+        named = _OWN[0]
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_OWN: list[str] = []
+
+
 def query(name: str, sql: str | None = None):
     def keep(make):
         QUERIES[name] = make
@@ -514,6 +535,84 @@ def index_stats(spark, d):
     return index.statistics(rows, index.postings(rows), len(fx.ROOTS))
 
 
+def _blocks(spark, d, rows: DataFrame) -> blocks.Blocks:
+    return blocks.Blocks.create(rows, scratch(spark, "blocks"), block_rows=512)
+
+
+@query("block_search", ORACLE["indexed_search"])
+def block_search(spark, d):
+    return _blocks(spark, d, fx.catalog(spark, d)).search("blue_gear").select("path")
+
+
+@query("block_glob", ORACLE["indexed_glob"])
+def block_glob(spark, d):
+    return _blocks(spark, d, fx.catalog(spark, d)).search("blue?gear-[0-9]*5").select("path")
+
+
+@query("block_fuzzy", ORACLE["indexed_fuzzy"])
+def block_fuzzy(spark, d):
+    return _blocks(spark, d, fx.catalog(spark, d)).search("~blue_gaer").select("path")
+
+
+@query("block_backfill", _sql("select path, is_dir, mtime, size from catalog where contains(lower(path), 'hot_ring')"))
+def block_backfill(spark, d):
+    """Half of the catalog in blocks, the other half appended: the signatures of the first stay as they are."""
+    rows = fx.catalog(spark, d)
+    out = _blocks(spark, d, rows.filter("mtime % 2 = 0"))
+    out.append(rows.filter("mtime % 2 = 1"))
+    return out.search("HOT_ring")
+
+
+def _containers(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = cat.assign_ids(fx.catalog(spark, d), 0)
+    return rows, bitmaps.containers(index.postings(rows))
+
+
+@query("bitmap_counts", _sql("").rstrip() + "," + _GRAMS + "select trigram, count(*) as n from grams group by trigram")
+def bitmap_counts(spark, d):
+    return bitmaps.counts(_containers(spark, d)[1]).select(F.hex("trigram").alias("trigram"), "n")
+
+
+@query("bitmap_intersection", _sql("").rstrip() + "," + _GRAMS + "select path from catalog where id in (select id from grams where trigram in ('676561', '656172', '617264') group by id having count(*) = 3)")
+def bitmap_intersection(spark, d):
+    rows, lists = _containers(spark, d)
+    return rows.join(bitmaps.intersect(lists, [b"gea", b"ear", b"ard"]), "id", "left_semi").select("path")
+
+
+@query("bitmap_dense_intersection", _sql("").rstrip() + "," + _GRAMS + "select path from catalog where id in (select id from grams where trigram in ('646F63', '6F632D') group by id having count(*) = 2)")
+def bitmap_dense_intersection(spark, d):
+    rows, lists = _containers(spark, d)
+    return rows.join(bitmaps.intersect(lists, [b"doc", b"oc-"]), "id", "left_semi").select("path")
+
+
+@query("bitmap_union", _sql("").rstrip() + "," + _GRAMS + "select path from catalog where id in (select id from grams where trigram in ('676561', '646F63', '7A7A7A'))")
+def bitmap_union(spark, d):
+    rows, lists = _containers(spark, d)
+    return rows.join(bitmaps.union(lists, [b"gea", b"doc", b"zzz"]), "id", "left_semi").select("path")
+
+
+_LINES = """
+part_names as (select distinct replace(p_name, ' ', '_') as t from part), brands as (select distinct p_brand as t from part), langs as (select distinct lang as t from documents),
+lines as (select t as line, lower(t) as low, '' as dir, '' as want from part_names union all select t || ' *.md', lower(t), '', 'md' from brands union all select '*.JSON ' || t, lower(t), '', 'json' from brands
+          union all select distinct p_type || '/' || replace(p_name, ' ', '_'), lower(replace(p_name, ' ', '_')), lower(p_type), '' from part union all select t || '/doc-', 'doc-', lower(t), '' from langs),
+hits as (select line, path, is_dir, mtime, size, bookmark from lines join catalog on contains(lower(path), low) and (want = '' or lower(ext) = want)
+         and (dir = '' or (contains(lower(name), low) and regexp_matches(lower(path), '/[^/]*' || dir || '[^/]*/'))) where bookmark is not null)
+"""
+
+
+@query(
+    "requests_in_one_scan",
+    _sql("").rstrip() + "," + _LINES + "select * from (select line as request, cast(row_number() over (partition by line order by mtime desc, path) as int) as rank, path, is_dir, mtime, size, bookmark from hits) r where rank <= 50",
+)
+def requests_in_one_scan(spark, d):
+    """Some hundred lines from the part and document tables, all answered in one pass."""
+    part, docs = spark.read.parquet(f"{d}/part.parquet"), spark.read.parquet(f"{d}/documents.parquet")
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    parts = [F.concat(name), F.concat("p_brand", F.lit(" *.md")), F.concat(F.lit("*.JSON "), "p_brand"), F.concat("p_type", F.lit("/"), name)]
+    lines = part.select(F.explode(F.array(*parts)).alias("line")).unionByName(docs.select(F.concat("lang", F.lit("/doc-")).alias("line"))).distinct()
+    return many.search_many(fx.catalog(spark, d), lines.select(F.col("line").alias("request"), "line"), fx.ROOTS, 50)
+
+
 # -- change feed
 
 _EVENTS = f"""
