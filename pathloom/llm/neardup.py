@@ -1,7 +1,8 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
 1. A node is a distinct text (128-bit hash). MinHash bands of its shingles give
-   buckets; a bucket of too many nodes is split by each of the other bands.
+   buckets; a bucket of too many nodes is a candidate group as it stands if they
+   share more buckets, else it is split by the next bands.
 2. Nodes of a bucket are compared on their signatures, batch by batch; a pair
    goes as soon as the posterior probability that its similarity reaches the
    threshold is under the chosen miss probability. A forest of the pairs that
@@ -31,6 +32,7 @@ from .jaccard import BANDS, ROWS, SENT, STEP, _refine, _signatures_of, _text_id,
 from .session import discard, n_partitions, stage, view
 
 NEXT = 4  # bands that a large bucket is split by: texts of similarity 0.85 share no two bands that near with a probability of 4e-6
+FAMILY = 4  # buckets that nodes of a large bucket share with its head on average, from which it isn't split
 SETS = "node long, comp long, sig binary, shingles binary"
 
 
@@ -155,23 +157,28 @@ def _candidates(nodes: DataFrame, floors: dict, most: int) -> DataFrame:
     """Staged (node, comp): nodes that may be similar to another one, by component."""
     spark = nodes.sparkSession
     placed = nodes.select("node", F.posexplode("buckets").alias("band", "bucket"))
-    held = _buckets(placed, most, "buckets")
-    # A large bucket is split by the next bands of its nodes: what is similar shares two bands that near.
-    again = placed.join(held.filter("large").select("bucket").hint("merge"), "bucket").join(nodes.select("node", "buckets"), "node")
-    again = again.select("node", "bucket", F.explode(F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda d: F.get("buckets", (F.col("band") + d) % BANDS))).alias("further"))
-    again = stage(again.select("node", F.xxhash64("bucket", "further").alias("bucket")), "split-buckets")
-    placed = placed.drop("band")
-    finer = _buckets(again, most, "finer-buckets")
-    small = lambda where, which: where.join(which.filter("not large").select("bucket").hint("merge"), "bucket")
-    met = small(placed, held).unionByName(small(again, finer)).join(nodes.select("node", "sig"), "node")
+    held = _buckets(placed.drop("band"), most, "buckets")
+    crowd = stage(placed.join(held.filter("large").select("bucket", "head").hint("merge"), "bucket").select("node", "band", "bucket", "head"), "large-buckets")
+    # Nodes that share some buckets each with the head are a family of near copies, and candidates as they stand: other ones share one bucket or two.
+    shared = crowd.groupBy("node", "head").agg(F.count("*").alias("shared")).groupBy("head").agg((F.avg("shared") >= FAMILY).alias("family"))
+    shared = stage(shared, "heads")
+    # A large bucket of others is split by the next bands of its nodes: what is similar shares two bands that near.
+    split = crowd.join(shared.filter("not family"), "head").join(nodes.select("node", "buckets"), "node")
+    split = split.select("node", "bucket", F.explode(F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda d: F.get("buckets", (F.col("band") + d) % BANDS))).alias("further"))
+    split = stage(split.select("node", F.xxhash64("bucket", "further").alias("bucket")), "split-buckets")
+    finer = _buckets(split, most, "finer-buckets")
+    small = lambda where, which: where.join(which.filter("not large").select("bucket").hint("merge"), "bucket").select("bucket", "node")
+    met = small(placed, held).unionByName(small(split, finer)).join(nodes.select("node", "sig"), "node")
     met = met.select("bucket", "node", "sig").repartition(n_partitions(spark), F.xxhash64("bucket")).sortWithinPartitions("bucket")
     edges = met.mapInArrow(lambda it: _refine(it, floors), "a long, b long")
-    # What shares two bands with so many others is a candidate as it stands. A node goes to the smallest of its heads, and its other heads go there too.
-    headed = again.join(finer.filter("large").select("bucket", "head").hint("merge"), "bucket").groupBy("node").agg(F.array_sort(F.collect_set("head")).alias("heads"))
+    # So is what shares two bands with so many others. A node goes to the smallest of its heads, and its other heads go there too.
+    headed = crowd.join(shared.filter("family"), "head").select("node", "head")
+    headed = headed.unionByName(split.join(finer.filter("large").select("bucket", "head").hint("merge"), "bucket").select("node", "head"))
+    headed = headed.groupBy("node").agg(F.array_sort(F.collect_set("head")).alias("heads"))
     to = F.col("heads")[0].alias("b")
     star = headed.select(F.col("node").alias("a"), to).unionByName(headed.select(F.explode("heads").alias("a"), to).distinct())
     label = components(edges.unionByName(star.filter("a <> b")))
-    discard(held, again, finer)
+    discard(held, crowd, shared, split, finer)
     return view(label, label.withColumnRenamed("label", "comp"))
 
 
