@@ -88,8 +88,18 @@ def duration_text(seconds: Column) -> Column:
     return F.concat(F.floor(seconds / 60).cast("string"), F.lit(":"), F.lpad(F.floor(seconds % 60).cast("string"), 2, "0"))
 
 
-def owner_name(uid: Column, names: dict[int, str]) -> Column:
-    """Name of a numeric owner or group, or the number itself."""
+def system_names(groups: bool = False) -> dict[int, str]:
+    """The users, or groups, that this machine knows, by number; the first name of a number holds."""
+    import grp
+    import pwd
+
+    known = [(g.gr_gid, g.gr_name) for g in grp.getgrall()] if groups else [(u.pw_uid, u.pw_name) for u in pwd.getpwall()]
+    return dict(reversed(known))
+
+
+def owner_name(uid: Column, names: dict[int, str] | None = None, groups: bool = False) -> Column:
+    """Name of a numeric owner or group, or the number itself; names: by number, by default those the system knows."""
+    names = system_names(groups) if names is None else names
     if not names:
         return uid.cast("string")
     pairs = [F.lit(x) for item in names.items() for x in item]

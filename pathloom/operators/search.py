@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from dataclasses import dataclass, field, replace
 
@@ -42,6 +43,8 @@ def cut(rows: DataFrame, sort: Sort, most: int = DEFAULT_RESULTS, access: DataFr
         now = int(time.time()) if now is None else now
         if access is None:
             rows = rows.withColumn("score", F.lit(0.0))
+        elif (led := _led_by_use(rows, access, now, max(1, min(most, MOST_RESULTS)))) is not None:
+            rows = led
         else:
             known = access.select(F.col("file").alias("__file"), frecency.score(F.col("open_count"), F.col("last_opened"), now).alias("score"))
             rows = rows.join(known, F.col("path") == F.col("__file"), "left").drop("__file").withColumn("score", F.coalesce("score", F.lit(0.0)))
@@ -50,6 +53,31 @@ def cut(rows: DataFrame, sort: Sort, most: int = DEFAULT_RESULTS, access: DataFr
     return ranked.select("rank", *columns)
 
 
+USED = 8192  # of the most used files, how many are looked for by name
+
+
+def _led_by_use(rows: DataFrame, access: DataFrame, now: int, most: int) -> DataFrame | None:
+    """Rows with their `score` that hold the first `most` by use: from the side of the uses, without a join of all rows.
+
+    The most used files, in the order of the result, are looked for by name. If
+    they give enough rows, these are the result; if no more files were ever
+    used, all others have no score and the first of them by path fill up. Else
+    None: the rows have to be joined.
+    """
+    score = frecency.score(F.col("open_count"), F.col("last_opened"), now)
+    used = access.select("file", score.alias("score")).filter("score > 0 and file is not null").groupBy("file").agg(F.max("score").alias("score"))
+    best = used.orderBy(F.desc("score"), "file").limit(USED).collect()  # at most USED names
+    if not best:
+        return rows.orderBy("path").limit(most).withColumn("score", F.lit(0.0))
+    known = rows.sparkSession.createDataFrame([(r.file, r.score) for r in best], "__file string, score double")
+    names = [r.file for r in best]
+    hits = rows.filter(F.col("path").isin(names)).join(F.broadcast(known), F.col("path") == F.col("__file")).drop("__file")
+    if len(best) < USED:
+        others = rows.filter(~F.col("path").isin(names)).orderBy("path").limit(most)
+        return hits.unionByName(others.withColumn("score", F.lit(0.0)))
+    return hits if hits.limit(most).count() == most else None
+
+
 def attribute(rows: DataFrame, roots: Roots, outside: bool = False) -> DataFrame:
     """Rows with the name of the first root that holds them, as `bookmark`.
 
@@ -59,12 +87,13 @@ def attribute(rows: DataFrame, roots: Roots, outside: bool = False) -> DataFrame
     if len(roots) <= LITERAL_ROOTS:
         out = rows.withColumn("bookmark", paths.first_root(F.col("path"), roots))
     else:
+        from .catalog import small
+
         spark = rows.sparkSession
-        # a list of the caller, in memory anyway
         listed = spark.createDataFrame([(i, n, p.rstrip("/") or "/") for i, (n, p) in enumerate(roots) if p], "ord int, bookmark string, __root string")
         own = F.array_union(F.array(F.col("path"), F.lit("/")), paths.ancestors(F.col("path")))
         held = rows.select("path").distinct().select("path", F.explode(own).alias("__root")).filter("__root <> '/' or startswith(path, '/')")
-        first = held.join(F.broadcast(listed), "__root").groupBy("path").agg(F.min_by("bookmark", "ord").alias("bookmark"))
+        first = held.join(small(listed), "__root").groupBy("path").agg(F.min_by("bookmark", "ord").alias("bookmark"))
         out = rows.join(first, "path", "left")
     return out.withColumn("bookmark", F.coalesce("bookmark", F.lit(""))) if outside else out.filter("bookmark is not null")
 
@@ -150,8 +179,8 @@ class RefinementCache:
 class Engine:
     """A catalog with its roots: the public face of the searches.
 
-    table: a Snapshots table that holds the catalog; changes are written to it,
-    and later searches read what was written. settings: a file that the roots
+    table: a PartTable that holds the catalog; changes are written to the parts
+    they touch, and later searches read what was written. settings: a file that the roots
     are saved to. scan: how a root is scanned, (root) -> rows; by default the
     file tree source.
     """
@@ -163,6 +192,7 @@ class Engine:
         self.network: set[str] = set()
         self.cache = RefinementCache() if cache else None
         self.table, self.settings, self._scan = table, settings, scan
+        self._lock = threading.RLock()  # of changes: a server's threads share the engine
 
     def search(self, raw: str, sort: int = 0, now: int | None = None) -> DataFrame:
         query = parse(raw, sort)
@@ -196,12 +226,15 @@ class Engine:
     def bookmarks(self) -> Roots:
         return list(self.roots)
 
-    def _changed(self, catalog: DataFrame | None = None) -> None:
-        if catalog is not None and self.table is not None:
-            self.table.write(catalog)
-            catalog = self.table.read()
-        self.catalog = self.catalog if catalog is None else catalog
-        self.clear_search_cache()
+    def _changed(self, paths_of: DataFrame, change) -> None:
+        """Apply a change of rows: to the parts of the table that the paths fall in, or to the catalog itself."""
+        with self._lock:
+            if self.table is not None:
+                self.table.update(paths_of, change)
+                self.catalog = self.table.read()
+            else:
+                self.catalog = change(self.catalog)
+            self.clear_search_cache()
 
     def _save_roots(self) -> None:
         if self.settings is not None:
@@ -224,7 +257,7 @@ class Engine:
 
         found = self.scan(root).select(*FIELDS).persist()
         n = found.count()
-        self._changed(upsert(self.catalog, found))
+        self._changed(found, lambda rows: upsert(rows, found))
         if self.table is not None:  # else the catalog still reads it
             found.unpersist()
         return n
@@ -236,13 +269,14 @@ class Engine:
         """A root with its rows, scanned unless given; an old one of that path is replaced."""
         from .catalog import upsert
 
-        self.roots = [r for r in self.roots if r[1] != path] + [(name, path)]
-        self.network = self.network | {path} if is_network else self.network - {path}
-        self._save_roots()
+        with self._lock:
+            self.roots = [r for r in self.roots if r[1] != path] + [(name, path)]
+            self.network = self.network | {path} if is_network else self.network - {path}
+            self._save_roots()
         if rows is None:
             self.rescan_path(path)
         else:
-            self._changed(upsert(self.catalog, rows))
+            self._changed(rows, lambda held: upsert(held, rows))
 
     def _root_of(self, which: str) -> str:
         """The path of a root given by name, or by path."""
@@ -250,15 +284,18 @@ class Engine:
 
     def remove_bookmark(self, which: str) -> None:
         path = self._root_of(which)
-        self.roots = [r for r in self.roots if r[1] != path]
-        self._save_roots()
-        self._changed(self.catalog.filter(~paths.under(F.col("path"), path)))
+        with self._lock:
+            self.roots = [r for r in self.roots if r[1] != path]
+            self._save_roots()
+        own = paths.under(F.col("path"), path)
+        self._changed(self.catalog.filter(own), lambda rows: rows.filter(~own))
 
     def rename_bookmark(self, which: str, name: str) -> None:
         path = self._root_of(which)
-        self.roots = [(name, p) if p == path else (n, p) for n, p in self.roots]
-        self._save_roots()
-        self.clear_search_cache()
+        with self._lock:
+            self.roots = [(name, p) if p == path else (n, p) for n, p in self.roots]
+            self._save_roots()
+            self.clear_search_cache()
 
     def record_file_open(self, path: str, now: int | None = None) -> bool:
         """Count an open of a file that the catalog has, for the order by use; whether it has it."""

@@ -34,3 +34,15 @@ def load_access(spark: SparkSession, path: str, catalog: DataFrame | None = None
     rows = _load(spark, path, ACCESS).filter("file is not null")
     rows = rows.groupBy("file").agg(F.sum("open_count").alias("open_count"), F.max("last_opened").alias("last_opened"))
     return rows if catalog is None else rows.join(catalog.select(F.col("path").alias("file")), "file", "left_semi")
+
+
+def save_bucketed(rows: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Save rows as a table dealt to buckets by a key and sorted by it in each; the table.
+
+    Two such tables with the same number of buckets are joined on their keys
+    without a shuffle: catalog and tag entries by path, catalog and postings by id.
+    A table of another layout is dealt to the buckets of the larger one alone.
+    """
+    writer = rows.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return rows.sparkSession.table(name)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import paths
 from ..operators import catalog as ops
-from .snapshots import Snapshots
+from .parts import PartTable
 
 EVENTS = "seq long, ts timestamp, kind string, path string, is_dir boolean, mtime long, size long"
 OPENS = "seq long, ts timestamp, file string"
@@ -37,19 +37,16 @@ def apply_events(catalog: DataFrame, events: DataFrame) -> DataFrame:
     return ops.upsert(kept, last.filter("kind = 'upsert'").select("path", F.coalesce("is_dir", F.lit(False)).alias("is_dir"), "mtime", "size"))
 
 
-def follow(events: DataFrame, table: Snapshots, checkpoint: str, **trigger) -> StreamingQuery:
+def follow(events: DataFrame, table: PartTable, checkpoint: str, **trigger) -> StreamingQuery:
     """Apply a stream of events batch by batch; a batch rewrites only the parts of the table that its paths fall in.
 
-    The table remembers the last batch of each stream (by its checkpoint), so a
-    batch that is run again after a failure or a restart changes nothing.
+    A batch that is run again after a failure or a restart makes the same changes
+    once more, which alters nothing. A batch counts as later than those before
+    it; where events may come late, `keyed.follow` holds their order.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        if number <= table.applied(checkpoint):
-            return
-        last = batch.select("path").filter("path is not null").select(table.part_of(F.col("path")).alias("part")).distinct()
-        touched = sorted(r.part for r in last.collect())  # at most the table's number of parts
-        table.write(apply_events(table.read(touched), batch), touched, checkpoint, number)
+        table.update(batch, lambda rows: apply_events(rows, batch))
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -92,37 +89,44 @@ def every(spark: SparkSession, seconds: float, job: Callable[[int], None], check
     return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
 
 
-def integrity_job(table: Snapshots, scan: Callable[[str], DataFrame], roots: list[str], there: Callable[[str], bool] = os.path.exists, share: int = 5000) -> Callable[[int], None]:
-    """A job for `every` (60 seconds): one share of the table's rows a turn; rows whose file is gone go.
+def integrity_job(table: PartTable, roots: list[str], look: Callable[[DataFrame], DataFrame] | None = None, there: Callable[[str], bool] = os.path.exists, share: int = 5000) -> Callable[[int], None]:
+    """A job for `every` (60 seconds): one share of the table's rows a turn is looked up on disk; rows whose file is gone go.
 
-    Rows below a root that can't be reached now are left alone.
+    look: the rows of a table of paths that are there, by default a stat of each
+    path in the tasks; nothing else of the tree is read. Rows below a root that
+    can't be reached now are left alone.
     """
+    from ..sources.tree import look_up
 
     def turn(number: int) -> None:
         catalog = table.read()
-        absent = [r for r in roots if not there(r)]
-        found = [scan(r).select("path") for r in roots if r not in absent]
-        if not found:
+        reached = [r for r in roots if there(r)]
+        if not reached:
             return
-        scanned = found[0]
-        for more in found[1:]:
-            scanned = scanned.unionByName(more)
-        inside = catalog.filter(paths.under_any(F.col("path"), roots))
-        gone = ops.vanished(ops.sweep_share(inside, number, sweeps_for(catalog.count(), share)), scanned, absent).select("path").persist()
-        touched = sorted(r.part for r in gone.select(table.part_of(F.col("path")).alias("part")).distinct().collect())  # at most the table's parts
-        if touched:
-            table.write(ops.delete(table.read(touched), gone), touched)
+        absent = [r for r in roots if r not in reached]
+        mine = ops.sweep_share(catalog.filter(paths.under_any(F.col("path"), roots)), number, sweeps_for(catalog.count(), share))
+        mine = mine.filter(~paths.under_any(F.col("path"), absent)) if absent else mine
+        gone = ops.vanished(mine, (look or look_up)(mine.select("path"))).select("path").persist()
+        if gone.limit(1).count():
+            table.update(gone, lambda rows: ops.delete(rows, gone))
         gone.unpersist()
 
     return turn
 
 
-def network_job(table: Snapshots, scan: Callable[[str], DataFrame], roots: list[str], there: Callable[[str], bool] = os.path.exists) -> Callable[[int], None]:
-    """A job for `every` (300 seconds): scan network roots again, those that are absent left out. Nothing is deleted by it."""
+def network_job(table: PartTable, scan: Callable[[str], DataFrame], roots: list[str], there: Callable[[str], bool] = os.path.exists) -> Callable[[int], None]:
+    """A job for `every` (300 seconds): scan network roots again, those that are absent left out, and write what they touch once. Nothing is deleted by it."""
 
     def turn(number: int) -> None:
+        found = None
         for root in filter(there, roots):
-            table.write(rescan(table.read(), scan(root), root))
+            rows = scan(root).filter(paths.under(F.col("path"), root)).select(*ops.FIELDS)
+            found = rows if found is None else found.unionByName(rows)
+        if found is None:
+            return
+        found = found.dropDuplicates(["path"]).persist()  # roots may lie in one another
+        table.update(found, lambda rows: ops.upsert(rows, found))
+        found.unpersist()
 
     return turn
 
@@ -139,15 +143,28 @@ def changes(catalog: DataFrame, scanned: DataFrame, root: str, at: Column | None
     return out.select(F.xxhash64("path").alias("seq"), (F.current_timestamp() if at is None else at).alias("ts"), "kind", "path", "file.is_dir", F.col("is.mtime").alias("mtime"), F.col("is.size").alias("size"))
 
 
-def watch_job(table: Snapshots, scan: Callable[[str], DataFrame], roots: list[str], there: Callable[[str], bool] = os.path.exists) -> Callable[[int], None]:
+def watch_job(table: PartTable, scan: Callable[[str], DataFrame], roots: list[str], there: Callable[[str], bool] = os.path.exists) -> Callable[[int], None]:
     """A job for `every`: local roots watched by scanning them, as a change feed that is applied at once. Absent roots are left alone."""
 
     def turn(number: int) -> None:
         for root in filter(there, roots):
             seen = changes(table.read(), scan(root), root).persist()
-            touched = sorted(r.part for r in seen.select(table.part_of(F.col("path")).alias("part")).distinct().collect())  # at most the table's parts
-            if touched:
-                table.write(apply_events(table.read(touched), seen), touched)
+            if seen.limit(1).count():
+                table.update(seen, lambda rows, seen=seen: apply_events(rows, seen))
+            seen.unpersist()
+
+    return turn
+
+
+def led_job(table: PartTable, roots: list[str], there: Callable[[str], bool] = os.path.exists) -> Callable[[int], None]:
+    """As watch_job, led by the table: only folders whose time differs from the table's are listed again (sources.tree.changed_below)."""
+    from ..sources.tree import changed_below
+
+    def turn(number: int) -> None:
+        for root in filter(there, roots):
+            seen = changed_below(table.read(), root)
+            if seen.limit(1).count():
+                table.update(seen, lambda rows, seen=seen: apply_events(rows, seen))
             seen.unpersist()
 
     return turn

@@ -135,13 +135,13 @@ def test_engine_refines_from_its_cache(small):
 
 def test_engine_keeps_roots_and_rows(spark, tmp_path, capsys):
     from pathloom.sources.config import Settings
-    from pathloom.streaming.feed import Snapshots
+    from pathloom.streaming.feed import PartTable
 
     for name in ("a/one.md", "b/two.md", "b/three.txt"):
         path = tmp_path / name
         path.parent.mkdir(exist_ok=True)
         path.write_text("x")
-    table = Snapshots(spark, str(tmp_path / "t"), ROWS, parts=2)
+    table = PartTable(spark, str(tmp_path / "t"), ROWS, least=2)
     engine = search.Engine(spark.createDataFrame([], ROWS), [], table=table, settings=str(tmp_path / "s.json"))
     engine.add_bookmark("first", str(tmp_path / "a"))
     engine.add_bookmark("second", str(tmp_path / "b"), is_network=True)

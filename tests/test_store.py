@@ -234,37 +234,39 @@ def test_stream_as_batch(spark, tmp_path):
     for i in range(0, 6, 2):
         (tmp_path / "log" / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(keys, e))) for e in events[i : i + 2]))
         os.utime(tmp_path / "log" / f"{i}.json", (time.time() - 100 + i, time.time() - 100 + i))
-    table = feed.Snapshots(spark, str(tmp_path / "t"), ROWS)
+    table = feed.PartTable(spark, str(tmp_path / "t"), ROWS)
     table.write(start)
     query = feed.follow(feed.event_stream(spark, str(tmp_path / "log"), maxFilesPerTrigger=1), table, str(tmp_path / "cp"))
     assert query.awaitTermination(120)
     batch = feed.apply_events(start, spark.read.schema(feed.EVENTS).json(str(tmp_path / "log")))
     got = sorted(map(tuple, table.read().select("path", "is_dir", "mtime", "size").collect()))
     assert got == sorted(map(tuple, batch.select("path", "is_dir", "mtime", "size").collect())) == [("/c", False, 6, 7)]
-    assert table.version() == 3 and table.applied(str(tmp_path / "cp")) == 2
-    # A batch that comes again changes nothing; parts that no event touches are taken over as they are.
-    before = table._manifest()
-    again = feed.follow(feed.event_stream(spark, str(tmp_path / "log"), maxFilesPerTrigger=1), table, str(tmp_path / "cp"))
-    assert again.awaitTermination(120) and table._manifest() == before
-    assert table.write(spark.createDataFrame([("/c", False, 9, 9)], ROWS), [table.read().select(table.part_of(F.col("path"))).first()[0]]) == 4
-    assert [tuple(r) for r in table.read().select("path", "mtime").collect()] == [("/c", 9)] and len(table._versions()) == 2
+    # Batches that come again, by another checkpoint, change nothing.
+    again = feed.follow(feed.event_stream(spark, str(tmp_path / "log"), maxFilesPerTrigger=1), table, str(tmp_path / "cp2"))
+    assert again.awaitTermination(120) and sorted(map(tuple, table.read().select("path", "is_dir", "mtime", "size").collect())) == got
 
 
 def test_table_parts(spark, tmp_path):
-    table = feed.Snapshots(spark, str(tmp_path / "t"), ROWS, parts=4)
-    rows = spark.createDataFrame([(f"/p{i}", False, i, i) for i in range(40)], ROWS)
+    table = feed.PartTable(spark, str(tmp_path / "t"), ROWS, part_rows=10, least=4)
+    assert table.parts() == 0 and table.read().count() == 0
+    rows = spark.createDataFrame([(f"/d{i % 20}/p{i}", False, i, i) for i in range(40)], ROWS)
     table.write(rows)
-    held = table._manifest()["parts"]
-    table.write(table.read([1]).filter("mtime % 2 = 0"), [1])
-    now = table._manifest()["parts"]
-    assert {p for p in held if held[p] != now.get(p)} == {"1"}
-    gone = {r.path for r in rows.filter((table.part_of(F.col("path")) == 1) & (F.col("mtime") % 2 == 1)).collect()}
-    assert {r.path for r in table.read().collect()} == {f"/p{i}" for i in range(40)} - gone
-    table.write(table.read([1]).filter("false"), [1])
-    assert "1" not in table._manifest()["parts"] and table.read([1]).count() == 0
-    (tmp_path / "t/data/left").mkdir()
-    table.tidy()
-    assert not (tmp_path / "t/data/left").exists()
+    assert table.parts() == 4
+    files = lambda: {os.path.relpath(os.path.join(d, f), tmp_path) for d, _, names in os.walk(tmp_path / "t") for f in names if f.startswith("part-")}
+    before, one = files(), table.touched(rows.filter("path = '/d3/p3'"))
+    assert len(one) == 1
+    parts = table.update(rows.filter("path = '/d3/p3'"), lambda held: held.filter("mtime % 2 = 0"))
+    assert parts == one and {f for f in before - files()} and all(f"part={one[0]}/" in f for f in before ^ files())
+    inside = {r.path for r in rows.filter(table.part_of(F.col("path")) == one[0]).collect()}
+    gone = {p for p in inside if int(p.rsplit("p", 1)[1]) % 2}
+    assert {r.path for r in table.read().collect()} == {f"/d{i % 20}/p{i}" for i in range(40)} - gone
+    table.write(table.read(one).filter("false"), one)  # a part without rows goes
+    assert {r.path for r in table.read().collect()} == {f"/d{i % 20}/p{i}" for i in range(40)} - inside
+    table.write(spark.range(170).selectExpr("concat('/x/', id) as path", "false as is_dir", "id as mtime", "id as size"))
+    assert table.parts() == 32 and table.read().count() == 170 and sorted(os.listdir(tmp_path / "t")) == ["of=32"]
+    table.write(table.read().filter("size < 100"))  # a table may be rewritten from itself
+    assert table.parts() == 16 and table.read().count() == 100
+    assert table.touched(spark.range(60).selectExpr("concat('/x/', id) as path")) == table.touched(table.read().limit(1))
 
 
 def test_jobs(spark, tmp_path):
@@ -273,16 +275,19 @@ def test_jobs(spark, tmp_path):
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text("x")
     disk, away = str(tmp_path / "disk"), "/no/such/root"
-    table = feed.Snapshots(spark, str(tmp_path / "t"), ROWS, parts=4)
+    table = feed.PartTable(spark, str(tmp_path / "t"), ROWS, least=4)
     rows = tree.scan(spark, f"{disk}/here").select("path", "is_dir", "mtime", "size")
     table.write(rows.unionByName(spark.createDataFrame([(f"{disk}/here/gone{i}", False, 1, 1) for i in range(6)] + [(f"{away}/x", False, 1, 1), ("/elsewhere", False, 1, 1)], ROWS)))
     names = lambda: {os.path.relpath(r.path, disk) if r.path.startswith(disk) else r.path for r in table.read().collect()}
-    turn = feed.integrity_job(table, lambda r: tree.scan(spark, r), [f"{disk}/here", away], share=4)
+    looked = []
+    look = lambda rows: looked.append(rows.count()) or tree.look_up(rows)
+    turn = feed.integrity_job(table, [f"{disk}/here", away], look, share=4)
     sweeps = feed.sweeps_for(table.read().count(), 4)
     assert sweeps == 3
     for number in range(2 * sweeps):
         turn(number)
     assert names() == {"here", "here/a", "here/b", f"{away}/x", "/elsewhere"}
+    assert sum(looked[:3]) <= 9 and max(looked) < 9  # a turn looks at its own share, and all shares at each row once
     feed.network_job(table, lambda r: tree.scan(spark, r), [f"{disk}/net", away])(0)
     assert names() == {"here", "here/a", "here/b", "net", "net/c", f"{away}/x", "/elsewhere"}
     turns = []
@@ -389,7 +394,7 @@ def test_a_watched_root(spark, tmp_path):
         path = tmp_path / "top" / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text("1")
-    root, table = str(tmp_path / "top"), feed.Snapshots(spark, str(tmp_path / "t"), ROWS, parts=4)
+    root, table = str(tmp_path / "top"), feed.PartTable(spark, str(tmp_path / "t"), ROWS, least=4)
     scan = lambda r: tree.scan(spark, r).select("path", "is_dir", "mtime", "size")
     table.write(scan(root).unionByName(spark.createDataFrame([("/other", False, 1, 1)], ROWS)))
     os.remove(tmp_path / "top/old")
@@ -401,9 +406,10 @@ def test_a_watched_root(spark, tmp_path):
     turn(0)
     want = sorted(map(tuple, scan(root).collect())) + [("/other", False, 1, 1)]
     assert sorted(map(tuple, table.read().collect())) == sorted(want)
-    before = table.version()
+    files = lambda: sorted(os.path.join(d, f) for d, _, names in os.walk(tmp_path / "t") for f in names)
+    before = files()
     turn(1)
-    assert table.version() == before
+    assert files() == before
 
 
 def test_formats(spark):
