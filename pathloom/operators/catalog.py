@@ -73,8 +73,12 @@ def sweep_share(catalog: DataFrame, sweep: int, sweeps: int) -> DataFrame:
     return catalog.filter(F.pmod(F.xxhash64("path"), F.lit(sweeps)) == sweep % sweeps)
 
 
-def assign_ids(rows: DataFrame, above: int, buckets: int = 1024) -> DataFrame:
-    """Rows with `id` from above + 1 on, gapless, by hash bucket and path: no task numbers all rows."""
+def assign_ids(rows: DataFrame, above: int, buckets: int | None = None) -> DataFrame:
+    """Rows with `id` from above + 1 on, gapless, by hash bucket and path: no task numbers all rows.
+
+    buckets: by default some for each task of a shuffle, of which a job over more rows has more.
+    """
+    buckets = buckets or max(1024, 16 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)))
     held = dealt.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # over `buckets` rows

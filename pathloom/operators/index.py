@@ -90,7 +90,7 @@ def union(rows: DataFrame, trigrams: list[bytes]) -> DataFrame:
 def needed_trigrams(query: Query) -> list[list[bytes]]:
     """Alternatives: a matching path's components have all trigrams of one of them. None at all: the index can't help."""
     if query.mode == SUBSTRING:
-        alternatives = [query.text.split("/")]
+        alternatives = [[*query.text.split("/"), *(query.segments or ())]]  # a segment lies in one component
     elif query.mode == REGEX:
         alternatives = [required_literals(query.text)]
     elif query.mode == GLOB:

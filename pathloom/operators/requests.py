@@ -69,9 +69,11 @@ def _rescan(engine: Engine, path: str) -> str:
 
 
 def _stats(engine: Engine, _: str) -> str:
-    numbered = engine.catalog.selectExpr("path", "xxhash64(path) as id")
-    row = statistics(numbered, postings(numbered), len(engine.roots)).first()
-    return json.dumps({"files": row.files, "trigrams": row.trigrams, "bookmarks": row.roots})
+    if engine.counted is None or engine.counted[0] is not engine.catalog:  # once for each state of the catalog
+        numbered = engine.catalog.selectExpr("path", "xxhash64(path) as id")
+        engine.counted = (engine.catalog, statistics(numbered, postings(numbered), len(engine.roots)).first())
+    row = engine.counted[1]
+    return json.dumps({"files": row.files, "trigrams": row.trigrams, "bookmarks": len(engine.roots)})
 
 
 def _ping(engine: Engine, _: str) -> str:

@@ -6,12 +6,14 @@ import threading
 import time
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import frecency, paths
 from ..plans import compile as plan
 from ..plans.language import FOLDERS, FUZZY, Query, Sort, parse, refines
+from .intervals import holder
 
 MOST_RESULTS = 2000  # fixed values: the hard cap and the default
 DEFAULT_RESULTS = 500
@@ -44,6 +46,8 @@ def cut(rows: DataFrame, sort: Sort, most: int = DEFAULT_RESULTS, access: DataFr
         if access is None:
             rows = rows.withColumn("score", F.lit(0.0))
         elif (led := _led_by_use(rows, access, now, max(1, min(most, MOST_RESULTS)))) is not None:
+            if "rank" in led.columns:
+                return led.select("rank", *columns)
             rows = led
         else:
             known = access.select(F.col("file").alias("__file"), frecency.score(F.col("open_count"), F.col("last_opened"), now).alias("score"))
@@ -53,11 +57,11 @@ def cut(rows: DataFrame, sort: Sort, most: int = DEFAULT_RESULTS, access: DataFr
     return ranked.select("rank", *columns)
 
 
-USED = 8192  # of the most used files, how many are looked for by name
+USED = 4  # times as many of the most used files as rows are asked for are looked for by name
 
 
 def _led_by_use(rows: DataFrame, access: DataFrame, now: int, most: int) -> DataFrame | None:
-    """Rows with their `score` that hold the first `most` by use: from the side of the uses, without a join of all rows.
+    """Rows with their `score` that hold the first `most` by use, or just these with their `rank`: from the side of the uses, without a join of all rows.
 
     The most used files, in the order of the result, are looked for by name. If
     they give enough rows, these are the result; if no more files were ever
@@ -65,36 +69,34 @@ def _led_by_use(rows: DataFrame, access: DataFrame, now: int, most: int) -> Data
     None: the rows have to be joined.
     """
     score = frecency.score(F.col("open_count"), F.col("last_opened"), now)
-    used = access.select("file", score.alias("score")).filter("score > 0 and file is not null").groupBy("file").agg(F.max("score").alias("score"))
-    best = used.orderBy(F.desc("score"), "file").limit(USED).collect()  # at most USED names
-    if not best:
+    spark, n = rows.sparkSession, USED * most
+    used = access.select(F.col("file").alias("__file"), score.alias("score")).filter("score > 0 and __file is not null")
+    best = used.orderBy(F.desc("score"), "__file").limit(n).toArrow()  # n names at most
+    if not best.num_rows:
         return rows.orderBy("path").limit(most).withColumn("score", F.lit(0.0))
-    known = rows.sparkSession.createDataFrame([(r.file, r.score) for r in best], "__file string, score double")
-    names = [r.file for r in best]
-    hits = rows.filter(F.col("path").isin(names)).join(F.broadcast(known), F.col("path") == F.col("__file")).drop("__file")
-    if len(best) < USED:
-        others = rows.filter(~F.col("path").isin(names)).orderBy("path").limit(most)
+    known = F.broadcast(spark.createDataFrame(best))
+    hits = rows.join(known, F.col("path") == F.col("__file")).drop("__file")
+    if best.num_rows < n:
+        others = rows.join(known, F.col("path") == F.col("__file"), "left_anti").orderBy("path").limit(most)
         return hits.unionByName(others.withColumn("score", F.lit(0.0)))
-    return hits if hits.limit(most).count() == most else None
+    found = hits.orderBy(F.desc("score"), "path").limit(most).toArrow()  # MOST_RESULTS rows at most
+    if found.num_rows < most:
+        return None
+    ranks = pa.array(range(1, most + 1), pa.int32())
+    return spark.createDataFrame(found.append_column("rank", ranks))
 
 
 def attribute(rows: DataFrame, roots: Roots, outside: bool = False) -> DataFrame:
     """Rows with the name of the first root that holds them, as `bookmark`.
 
     Others are dropped, or keep an empty name (outside). Few roots become one
-    expression; many become a join on ancestors, the first root by order.
+    expression; many become a sweep over the sorted paths (intervals.py).
     """
     if len(roots) <= LITERAL_ROOTS:
         out = rows.withColumn("bookmark", paths.first_root(F.col("path"), roots))
     else:
-        from .catalog import small
-
-        spark = rows.sparkSession
-        listed = spark.createDataFrame([(i, n, p.rstrip("/") or "/") for i, (n, p) in enumerate(roots) if p], "ord int, bookmark string, __root string")
-        own = F.array_union(F.array(F.col("path"), F.lit("/")), paths.ancestors(F.col("path")))
-        held = rows.select("path").distinct().select("path", F.explode(own).alias("__root")).filter("__root <> '/' or startswith(path, '/')")
-        first = held.join(small(listed), "__root").groupBy("path").agg(F.min_by("bookmark", "ord").alias("bookmark"))
-        out = rows.join(first, "path", "left")
+        listed = rows.sparkSession.createDataFrame([(i, n, p) for i, (n, p) in enumerate(roots)], "ord int, value string, path string")
+        out = holder(rows, listed, "bookmark")
     return out.withColumn("bookmark", F.coalesce("bookmark", F.lit(""))) if outside else out.filter("bookmark is not null")
 
 
@@ -192,6 +194,7 @@ class Engine:
         self.network: set[str] = set()
         self.cache = RefinementCache() if cache else None
         self.table, self.settings, self._scan = table, settings, scan
+        self.counted: tuple | None = None  # the catalog and its statistics, once they were asked for
         self._lock = threading.RLock()  # of changes: a server's threads share the engine
 
     def search(self, raw: str, sort: int = 0, now: int | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import formats, frecency, paths
 from .operators import catalog as cat
-from .operators import bitmaps, blocks, index, many, previews, search, tags
+from .operators import bitmaps, blocks, index, intervals, many, previews, search, statistics, tags
 from .plans import compile as plan
 from .plans.language import EDIT, FILES, Query, parse
 from .streaming import feed
@@ -186,6 +186,26 @@ def scope_many_roots(spark, d):
     return search.attribute(fx.catalog(spark, d), fx.ROOTS + [(f"none{i}", f"/none/{i}") for i in range(search.LITERAL_ROOTS)]).select("path", "bookmark")
 
 
+_NESTED = "roots as (select path as root, id as ord from catalog where starts_with(path, '/data/parts/') or starts_with(path, '/mnt/web/') or path in ('/data/docs/en', '/data'))"
+
+
+def _nested(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The catalog, and some thousand roots in one another: files and folders of it, in the order of their ids."""
+    rows = fx.with_id(fx.catalog(spark, d))
+    inside = F.startswith("path", F.lit("/data/parts/")) | F.startswith("path", F.lit("/mnt/web/")) | F.col("path").isin("/data/docs/en", "/data")
+    return rows.drop("id"), rows.filter(inside).select(F.col("id").alias("ord"), F.col("path").alias("value"), "path")
+
+
+@query("scope_nested_roots", _sql("").rstrip() + "," + _NESTED + "select c.path, min_by(root, ord) as bookmark from catalog c left join roots on c.path = root or starts_with(c.path, root || '/') group by c.path")
+def scope_nested_roots(spark, d):
+    return intervals.holder(*_nested(spark, d), "bookmark").select("path", "bookmark")
+
+
+@query("scope_innermost_root", _sql("").rstrip() + "," + _NESTED + "select c.path, max_by(root, length(root)) as bookmark from catalog c left join roots on c.path = root or starts_with(c.path, root || '/') group by c.path")
+def scope_innermost_root(spark, d):
+    return intervals.holder(*_nested(spark, d), "bookmark", innermost=True).select("path", "bookmark")
+
+
 @query("scope_single_root", _found("true", most=2000, scope="path = '/data/docs' or starts_with(path, '/data/docs/')", columns="path, is_dir, mtime, size"))
 def scope_single_root(spark, d):
     return search.search_root(fx.catalog(spark, d), "", "/data/docs/", 2000)
@@ -196,6 +216,11 @@ def sort_frecency(spark, d):
     return _all(spark, d, "", 7, 300, access=frecency.roll_up(fx.opens(spark, d)), now=fx.NOW)
 
 
+@query("frecency_of_search", _found("contains(lower(path), 'doc-1') and lower(ext) = 'md'", "score desc", 60, "(select c.*, coalesce(s.score, 0.0) as score from catalog c left join scores s on c.path = s.file)"))
+def frecency_of_search(spark, d):
+    return _all(spark, d, "doc-1 *.md", 7, 60, access=frecency.roll_up(fx.opens(spark, d)), now=fx.NOW)
+
+
 @query("request_search", _found("contains(lower(path), 'gear') and lower(ext) = 'txt'", scope="path = '/data' or starts_with(path, '/data/')", columns="path, is_dir, mtime, size"))
 def request_search(spark, d):
     return search.request_search(fx.catalog(spark, d), "folder:gear *.md t:toxic", "/data", "txt")
@@ -434,11 +459,17 @@ def delete_paths(spark, d):
     return cat.delete(rows, gone).select("path")
 
 
-@query("roots_merge", "select * from (values ('docs', '/stored/docs', 'kept'), ('web', '/mnt/web', 'new')) t(name, path, state)")
+_LANG_ROOTS = "select distinct lang as name, '/data/docs/' || lang as path from documents"
+_OLD_ROOTS = "select distinct lang as name, '/stored/' || lang as path from documents where lang < 'es' union all select distinct source, '/gone/' || source from documents"
+
+
+@query("roots_merge", f"with c as ({_LANG_ROOTS}), s as ({_OLD_ROOTS}) select name, path, 'kept' as state from s where name in (select name from c) union all select name, path, 'new' from c where name not in (select name from s)")
 def roots_merge(spark, d):
-    configured = spark.createDataFrame([("docs", "/data/docs"), ("web", "/mnt/web")], "name string, path string")
-    stored = spark.createDataFrame([("docs", "/stored/docs"), ("gone", "/gone")], "name string, path string")
-    return cat.merge_roots(configured, stored)
+    """A root for each language is configured; some of these and one for each source are stored."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    root = lambda rows, name, top: rows.select(F.col(name).alias("name"), F.concat(F.lit(top), name).alias("path")).distinct()
+    stored = root(docs.filter("lang < 'es'"), "lang", "/stored/").unionByName(root(docs, "source", "/gone/"))
+    return cat.merge_roots(root(docs, "lang", "/data/docs/"), stored)
 
 
 @query("access_rollup", _sql("select file, open_count, last_opened from access"))
@@ -836,12 +867,14 @@ def archive_listing(spark, d):
     return previews.previews(rows).select("path", "preview_type", "text")
 
 
-@query("benchmark_statistics", _sql("select min(n) as least, quantile_disc(n, 0.5) as median, quantile_disc(n, 0.95) as p95, quantile_disc(n, 0.99) as p99, max(n) as most from (select length(name) as n from catalog) c"))
+@query(
+    "benchmark_statistics",
+    _sql("""select bookmark, count(*) as n, min(size) as least, quantile_disc(size, 0.5) as median, quantile_disc(size, 0.95) as p95, quantile_disc(size, 0.99) as p99, max(size) as most
+            from catalog where bookmark is not null group by bookmark"""),
+)
 def benchmark_statistics(spark, d):
-    """Name lengths as a sample: minimum, median, 95th and 99th in a hundred, maximum, by position in order."""
-    n = fx.catalog(spark, d).select(F.length(paths.name(F.col("path"))).alias("n"))
-    place = lambda p: F.expr(f"percentile_disc({p}) within group (order by n)")
-    return n.agg(F.min("n").alias("least"), place(0.5).alias("median"), place(0.95).alias("p95"), place(0.99).alias("p99"), F.max("n").alias("most"))
+    """The sizes below each root as samples."""
+    return statistics.summary(search.attribute(fx.catalog(spark, d), fx.ROOTS), "size", "bookmark")
 
 
 def queries() -> dict:

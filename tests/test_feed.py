@@ -157,7 +157,7 @@ def test_a_begin_cuts_subtrees(spark, disk):
     assert tree.scan(spark, root).count() == 13 and tree.scan(spark, root, begins="/none").count() == 0
 
 
-@pytest.mark.parametrize("used", [3, 8192])
+@pytest.mark.parametrize("used", [1, 2, 9000])
 def test_order_by_use_from_the_uses(spark, used, monkeypatch, capsys):
     monkeypatch.setattr(search, "USED", used)
     rng = random.Random(used)
@@ -172,7 +172,7 @@ def test_order_by_use_from_the_uses(spark, used, monkeypatch, capsys):
         capsys.readouterr()
         search.search_all(rows, parse("f", 7), [("all", "/")], 5, access=access, now=1000).explain()
         shown = capsys.readouterr().out
-        assert "SortMergeJoin" not in shown and "BroadcastHashJoin" in shown and "INSET" in shown or "path#" in shown
+        assert "SortMergeJoin" not in shown and "BroadcastHashJoin" in shown
     assert search.search_all(rows, parse("f", 7), [("all", "/")], 3, access=access.limit(0), now=1000).count() == 3
 
 
