@@ -88,20 +88,28 @@ class Items:
         self.at = np.searchsorted(self.seed[order], np.arange(len(self.seeds) + 1))
 
 
-def align(item_words: np.ndarray, lengths: np.ndarray, passages: np.ndarray, match: float = 1.0, miss: float = -1.0, gap: float = -1.0) -> np.ndarray:
-    """Smith-Waterman score of each row: words of an item against words of a passage, both padded with 0 (never equal)."""
+def align(item_words: np.ndarray, lengths: np.ndarray, passages: np.ndarray) -> np.ndarray:
+    """The score alone; see align_to."""
+    return align_to(item_words, lengths, passages)[0]
+
+
+def align_to(item_words: np.ndarray, lengths: np.ndarray, passages: np.ndarray, match: float = 1.0, miss: float = -1.0, gap: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(Smith-Waterman score, end) of each row: words of an item against words of a passage, both padded with 0 (never equal); the first end in the passage at which the score is reached."""
     rows, width = passages.shape
     ramp = gap * np.arange(width + 1)
-    above, best = np.zeros((rows, width + 1)), np.zeros(rows)
+    above, best, end = np.zeros((rows, width + 1)), np.zeros(rows), np.zeros(rows, dtype=np.int64)
     for i in range(item_words.shape[1]):
         equal = (passages == item_words[:, i : i + 1]) & (passages != 0)
         now = np.zeros((rows, width + 1))
         now[:, 1:] = np.maximum(0.0, np.maximum(above[:, :-1] + np.where(equal, match, miss), above[:, 1:] + gap))
         now = np.maximum.accumulate(now - ramp, axis=1) + ramp  # gaps along the passage
         now[i >= lengths] = 0.0
-        best = np.maximum(best, now.max(axis=1))
+        at = now.argmax(axis=1)
+        top = now[np.arange(rows), at]
+        better = (top > best) | ((top == best) & (top > 0) & (at < end))
+        best, end = np.where(better, top, best), np.where(better, at, end)
         above = now
-    return best
+    return best, end
 
 
 def _enough(items: Items, seed_of: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -152,12 +160,9 @@ def _passages(items: Items, words: np.ndarray, first: np.ndarray):
     return doc[good], item[good], lo[good], hi[good]
 
 
-def _found(texts, items: Items) -> tuple[np.ndarray, ...]:
-    """(document, item, score, from word, to word) of the best passage of each document and item that is found."""
-    length = items.length
-    words, first = _words(texts)
-    doc, item, lo, hi = _passages(items, words, first)
-    score = np.zeros(len(doc))
+def _aligned(words: np.ndarray, items: Items, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(score, end) of items against words lo to hi; back: both read from behind, so that the end is counted from hi."""
+    score, end, length = np.zeros(len(item)), np.zeros(len(item), dtype=np.int64), items.length
     order = np.argsort(np.maximum(hi - lo, length[item]), kind="stable")
     padded = np.append(words, np.zeros(1, np.uint64))
     own = np.append(items.words, np.zeros(1, np.uint64))
@@ -165,18 +170,31 @@ def _found(texts, items: Items) -> tuple[np.ndarray, ...]:
     for s in range(0, len(order), step):
         mine = order[s : s + step]
         cols = np.arange((hi - lo)[mine].max())
-        at = lo[mine, None] + cols
-        passages = padded[np.where(at < hi[mine, None], at, len(words))]
-        cols = np.arange(length[item[mine]].max())
-        at = items.first[item[mine], None] + cols
-        asked = own[np.where(cols < length[item[mine], None], at, len(items.words))]
-        score[mine] = align(asked, length[item[mine]], passages)
+        at = hi[mine, None] - 1 - cols if back else lo[mine, None] + cols
+        passages = padded[np.where((at >= lo[mine, None]) & (at < hi[mine, None]), at, len(words))]
+        cols, n = np.arange(length[item[mine]].max()), length[item[mine], None]
+        at = items.first[item[mine], None] + (n - 1 - cols if back else cols)
+        asked = own[np.where(cols < n, at, len(items.words))]
+        score[mine], end[mine] = align_to(asked, length[item[mine]], passages)
+    return score, end
+
+
+def _found(texts, items: Items) -> tuple[np.ndarray, ...]:
+    """(document, item, score, from word, to word) of the best passage of each document and item that is found."""
+    length = items.length
+    words, first = _words(texts)
+    doc, item, lo, hi = _passages(items, words, first)
+    score, end = _aligned(words, items, item, lo, hi)
     good = np.flatnonzero(score >= items.need[item])
     order = good[np.lexsort((lo[good], -score[good], item[good], doc[good]))]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (doc[order][1:] != doc[order][:-1]) | (item[order][1:] != item[order][:-1])
     top = order[new]
-    return doc[top], item[top], score[top] / length[item[top]], lo[top] - first[doc[top]], hi[top] - first[doc[top]]
+    doc, item, lo, score = doc[top], item[top], lo[top], score[top]
+    hi = lo + end[top]
+    # No passage that ends earlier has this score, so what is aligned from behind begins at hi; its end is where the alignment begins.
+    _, back = _aligned(words, items, item, lo, hi, back=True)
+    return doc, item, score / length[item], hi - back - first[doc], hi - first[doc]
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, share: float, least: int, block_bytes: int):
@@ -223,7 +241,8 @@ def contaminated(
     a replaced, missing or additional word costs up to 2, 1 or 1 words). At
     least `share` of the item and `least` words (or the whole of a shorter item)
     must align. from_word, to_word: the words of the document that were
-    aligned, counted from 0. Items without words, null texts and empty tables
+    aligned, counted from 0, to_word not included; of several such passages the
+    one that ends first, as short as it can be. Items without words, null texts and empty tables
     give no row. Every document and item that score so much are found. Rows that repeat, in either table, are found each.
     Other columns are left out.
     """
