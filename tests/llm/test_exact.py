@@ -21,7 +21,7 @@ from pathloom.llm.tokencount import Counter as TokenCounter
 from pathloom.llm.tokencount import count_tokens, load_pieces
 from pathloom.llm.topk import top_k
 from pathloom.llm.toxicity import Index, drop_toxic, score_toxicity
-from pathloom.llm.urlfilter import judge_urls
+from pathloom.llm.urlfilter import host_bounds, judge_urls, path_bounds, rule_table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -176,6 +176,39 @@ def test_urls_as_brute_force(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, best[2], best[3]), url
 
 
+def test_nested_rules_as_brute_force(spark):
+    rng = random.Random(9)
+    hosts = ["com", "a.com", "b.a.com", "ab.com", "net", "x.b.a.com", "é.com"]
+    path = lambda: "".join(rng.choice(["/", "a", "b", "é", "/a", ""]) for _ in range(rng.randint(0, 5)))
+    rules = [(rng.choice(hosts), path(), rng.choice(["allow", "block"])) for _ in range(120)] + [("com", None, "block"), (None, "/", "block"), ("", "/", "block"), ("NET", "/a", "block")]
+    urls = [f"h://{rng.choice([*hosts, 'y.net', 'org'])}{'/' if (p := path()) else ''}{p}" for _ in range(400)]
+    urls += urls[:3]
+    pages = spark.createDataFrame([(i % 390, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    known = {}
+    for h, p, v in rules:
+        if h and p is not None:
+            known[h.lower(), p] = "block" if "block" in (v, known.get((h.lower(), p))) else v
+    want = []
+    for i, u in enumerate(urls):
+        host, _, p = u.removeprefix("h://").partition("/")
+        p = "/" + p if "/" in u.removeprefix("h://") else ""
+        fits = [(len(h + q), len(h), h + q, v) for (h, q), v in known.items() if (host == h or host.endswith("." + h)) and p.startswith(q)]
+        best = max(fits) if fits else (0, 0, None, "allow")
+        want.append((i % 390, host, p, best[2], best[3]))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_bounds_grow_with_the_rules_alone(spark):
+    rules = [("com", f"/p{i}", "block") for i in range(3000)] + [(f"h{i}.com", "/", "allow") for i in range(3000)]
+    table = rule_table(spark.createDataFrame(rules, "host string, path string, verdict string"))
+    assert host_bounds(table).count() == 2 * 3001 and path_bounds(table).count() == 2 * 6000
+    assert host_bounds(table).filter("size(stack) > 2").count() == 0
+    pages = spark.createDataFrame([(i, f"h://h{i}.com/p{i}/x") for i in range(500)] + [(999, "h://none.com/p2999")], "page_id long, url string")
+    got = {r.page_id: r.rule for r in judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert all(got[i] == (f"h{i}.com/" if len(f"h{i}.com/") >= len(f"com/p{i}") else f"com/p{i}") for i in range(500)) and got[999] == "com/p2999"
+
+
 # -- decontamination
 
 
@@ -274,6 +307,27 @@ def test_all_that_the_threshold_accepts_is_found():
         assert share < 0.5 or {(0, 0), (1, 1), (2, 2), (3, 3)} <= want.keys()
 
 
+def test_the_aligned_words_are_named(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(60)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    item = [f"i{i}" for i in range(20)]
+    cut = item[:5] + item[6:]  # a word is missing
+    more = item[:9] + ["new"] + item[9:]
+    mixed = [prose(30) for _ in range(25)]
+    edited = [prose(rng.randint(0, 9)) + [x if rng.random() < 0.8 else rng.choice(vocabulary) for x in m] + prose(rng.randint(0, 9)) for m in mixed]
+    texts = [prose(50) + item + prose(60), item, prose(7) + cut, more + prose(3), prose(4) + item + prose(9) + item, *edited]
+    items = [item, *mixed]
+    docs = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(texts)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in contaminated(docs, asked).collect()}
+    assert [(got[d, 0].from_word, got[d, 0].to_word) for d in range(5)] == [(50, 70), (0, 20), (7, 26), (0, 21), (4, 24)]
+    assert len(got) > 20
+    for (d, i), r in got.items():
+        inside, best = texts[d][r.from_word : r.to_word], round(r.score * len(items[i]))
+        assert brute_align(items[i], inside) == best > max(brute_align(items[i], inside[1:]), brute_align(items[i], inside[:-1]))
+
+
 def test_gapped_copies_and_short_items_are_found(spark):
     gapped = [f"g{i}" for i in range(40)]
     text = [w for i, x in enumerate(gapped) for w in ([x, f"new{i}"] if i % 3 == 2 else [x])]
