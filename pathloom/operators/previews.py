@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import itertools
 import os
-import re
 import shutil
 import subprocess
 import tarfile
@@ -16,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import formats, paths
+from ..functions import formats, markdown, paths
 
 # How much of a text, archive and folder is shown. The headings and the lines on what was left out, below, are fixed texts too.
 MOST_BYTES = 50_000
@@ -159,62 +158,12 @@ def archive_listing(path: str, content: bytes | BinaryIO) -> str:
     return listed_by_tool(path, TOOLS[ext]) if ext in TOOLS else f"Unsupported archive format: .{ext}"
 
 
-def markdown_html(text: str, base: str = "", width: int = 400) -> str:
-    """A limited converter: headings, lists, fences, emphasis, code, links and images (with a width, and sources below `base`)."""
-    import html
-
-    def inline(line: str) -> str:
-        line = html.escape(line, quote=False)
-        line = re.sub(r"`([^`]+)`", r"<code>\1</code>", line)
-
-        def image(m):
-            source = m[2] if re.match(r"[a-z]+:|/", m[2]) else f"{base.rstrip('/')}/{m[2]}" if base else m[2]
-            return f'<img src="{source}" alt="{m[1]}" width="{width}">'
-
-        line = re.sub(r"!\[([^\]]*)\]\(([^)\s]+)\)", image, line)
-        line = re.sub(r"\[([^\]]+)\]\(([^)\s]+)\)", r'<a href="\2">\1</a>', line)
-        line = re.sub(r"\*\*([^*]+)\*\*", r"<strong>\1</strong>", line)
-        return re.sub(r"\*([^*]+)\*", r"<em>\1</em>", line)
-
-    out, paragraph, items, fence = [], [], [], None
-
-    def flush():
-        if paragraph:
-            out.append(f"<p>{' '.join(paragraph)}</p>")
-            paragraph.clear()
-        if items:
-            out.append("<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>")
-            items.clear()
-
-    for line in text.splitlines():
-        if fence is not None:
-            if line.startswith("```"):
-                out.append("<pre><code>" + html.escape("\n".join(fence), quote=False) + "</code></pre>")
-                fence = None
-            else:
-                fence.append(line)
-        elif line.startswith("```"):
-            flush()
-            fence = []
-        elif m := re.match(r"(#{1,6})\s+(.*)", line):
-            flush()
-            out.append(f"<h{len(m[1])}>{inline(m[2])}</h{len(m[1])}>")
-        elif m := re.match(r"\s*[-*+]\s+(.*)", line):
-            items.append(inline(m[1]))
-        elif line.strip():
-            paragraph.append(inline(line.strip()))
-        else:
-            flush()
-    flush()
-    return "\n".join(out)
-
-
 def _shown(path: str, label: str, size: int, content: bytes | BinaryIO) -> str:
     if label == "archive":
         return archive_listing(path, content)
     head = content if isinstance(content, bytes) else content.read(MOST_BYTES + 1)
     if label == "markdown":
-        return markdown_html(head.decode("utf-8", errors="replace"), path.rpartition("/")[0])
+        return markdown.to_html(head.decode("utf-8", errors="replace"), path.rpartition("/")[0])
     return text_of(head, size)
 
 

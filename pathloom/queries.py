@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import formats, frecency, paths
 from .operators import catalog as cat
-from .operators import bitmaps, blocks, index, intervals, many, previews, search, statistics, tags
+from .operators import bitmaps, blocks, index, intervals, many, previews, requests, search, statistics, tags
 from .plans import compile as plan
-from .plans.language import EDIT, FILES, Query, parse
-from .streaming import feed
+from .plans.language import EDIT, FILES, Query, Sort, parse
+from .sources import changelog, tables, tree
+from .streaming import feed, keyed
+from .streaming.parts import PartTable
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -472,6 +476,53 @@ def roots_merge(spark, d):
     return cat.merge_roots(root(docs, "lang", "/data/docs/"), stored)
 
 
+@query("loaded_roots", "select cast(row_number() over (order by lang) as int) as ord, lang as name, '/data/docs/' || lang as path from (select distinct lang from documents) l")
+def loaded_roots(spark, d):
+    """Roots of a stored table, in order; rows without a name or path don't count."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("lang").distinct()
+    order = F.row_number().over(Window.orderBy("lang"))  # the languages
+    rows = docs.select(order.alias("ord"), F.col("lang").alias("name"), F.concat(F.lit("/data/docs/"), "lang").alias("path"), F.lit(False).alias("is_network"))
+    folder = scratch(spark, "roots")
+    rows.unionByName(rows.withColumn("name", F.lit(None).cast("string"))).write.parquet(folder)
+    return tables.load_roots(spark, folder).select("ord", "name", "path")
+
+
+@query("loaded_access", _sql("select file, open_count, last_opened from access where file in (select path from catalog where lower(ext) = 'md')"))
+def loaded_access(spark, d):
+    """Stored opens, one row an open, of the files that a catalog has."""
+    folder = scratch(spark, "access")
+    fx.opens(spark, d).select("file", F.lit(1).cast("long").alias("open_count"), F.col("ts").alias("last_opened")).write.parquet(folder)
+    return tables.load_access(spark, folder, fx.catalog(spark, d).filter(plan.extension_filter("md")))
+
+
+@query("engine_roots", _sql("select path, is_dir, mtime, size from catalog where path not in ('/data/docs', '/data/docs-archive') and not starts_with(path, '/data/docs/') union all select '/new' || path, is_dir, mtime, size from files where starts_with(path, '/data/parts/')"))
+def engine_roots(spark, d):
+    """A root is added with its rows, another one removed, in a stored table."""
+    rows = fx.catalog(spark, d)
+    table = _kept(spark, rows.filter("path <> '/data/docs-archive'"))
+    engine = search.Engine(table.read(), fx.ROOTS, table=table)
+    engine.add_bookmark("new", "/new", fx.files(spark, d).filter("startswith(path, '/data/parts/')").withColumn("path", F.concat(F.lit("/new"), "path")))
+    engine.remove_bookmark("docs")
+    return engine.catalog.select(*cat.FIELDS)
+
+
+@query("engine_opens", _sql("select path from catalog where starts_with(path, '/data/src/') and not is_dir order by path limit 1"))
+def engine_opens(spark, d):
+    """An open that is recorded puts a file first."""
+    engine = search.Engine(fx.catalog(spark, d), fx.ROOTS, most=1)
+    first = engine.catalog.filter("startswith(path, '/data/src/') and not is_dir").agg(F.min("path")).first()[0]
+    engine.record_file_open(first, fx.NOW)
+    engine.record_file_open("/not/there", fx.NOW)
+    return engine.search("", int(Sort.FRECENCY), fx.NOW).select("path")
+
+
+@query("request_lines", _sql("").rstrip() + ", grams as (select distinct substr(hex(encode(c)), 2 * i - 1, 6) as g from (select c, unnest(range(1, strlen(c) - 1)) as i from (select lower(unnest(string_split(path, '/'))) as c from catalog) a where strlen(c) >= 3) b) "
+       "select 'STATS' as line, '{\"files\": ' || (select count(*) from catalog) || ', \"trigrams\": ' || (select count(*) from grams) || ', \"bookmarks\": 3}' as answer union all select 'PING', '{\"status\": \"pong\"}'")
+def request_lines(spark, d):
+    engine = search.Engine(fx.catalog(spark, d), fx.ROOTS)
+    return spark.createDataFrame([(line, requests.answer_line(engine, line)) for line in ("STATS", "PING")], "line string, answer string")
+
+
 @query("access_rollup", _sql("select file, open_count, last_opened from access"))
 def access_rollup(spark, d):
     return frecency.roll_up(fx.opens(spark, d))
@@ -622,6 +673,29 @@ def bitmap_union(spark, d):
     return rows.join(bitmaps.union(lists, [b"gea", b"doc", b"zzz"]), "id", "left_semi").select("path")
 
 
+@query("block_regex", _sql("select path from catalog where regexp_matches(path, '(?i)hot_gear-[0-9]*7\\.(txt|json)$')"))
+def block_regex(spark, d):
+    return _blocks(spark, d, fx.catalog(spark, d)).search("/hot_gear-[0-9]*7\\.(txt|json)$").select("path")
+
+
+@query("block_path_aware", _sql("select path from catalog where contains(lower(name), 'gear') and regexp_matches(lower(path), '/[^/]*brand#1[^/]*/')"))
+def block_path_aware(spark, d):
+    return _blocks(spark, d, fx.catalog(spark, d)).search("brand#1/gear").select("path")
+
+
+@query("saved_index", _sql("").rstrip() + "," + _GRAMS + "select id, count(*) as n from grams where id % 10 <> 3 group by id")
+def saved_index(spark, d):
+    """Postings of part of the catalog, saved and brought up to date: rows that went, and newer ones."""
+    rows, folder, high = fx.with_id(fx.catalog(spark, d)), scratch(spark, "index"), 1 << 47
+    old = rows.filter((F.col("id") < high) | (F.col("id") % 100 == 3))
+    index.save(index.postings(old), old, folder)
+    spark.read.parquet(f"{folder}/facts").select((F.lit(rows.count())).alias("files"), F.lit(high).alias("next_id")).write.parquet(f"{folder}/facts-new")
+    shutil.rmtree(_local(f"{folder}/facts"))
+    os.rename(_local(f"{folder}/facts-new"), _local(f"{folder}/facts"))
+    now = rows.filter("id % 10 <> 3")
+    return index.load(now, folder).groupBy("id").agg(F.count("*").alias("n"))
+
+
 _LINES = """
 part_names as (select distinct replace(p_name, ' ', '_') as t from part), brands as (select distinct p_brand as t from part), langs as (select distinct lang as t from documents),
 lines as (select t as line, lower(t) as low, '' as dir, '' as want from part_names union all select t || ' *.md', lower(t), '', 'md' from brands union all select '*.JSON ' || t, lower(t), '', 'json' from brands
@@ -667,6 +741,144 @@ def events_replay(spark, d):
     return feed.apply_events(fx.catalog(spark, d), fx.fs_events(spark, d))
 
 
+_CATALOG = "path string, is_dir boolean, mtime long, size long"
+
+
+def _kept(spark, rows: DataFrame, part_rows: int = 2000) -> PartTable:
+    """A table of its own that holds the rows."""
+    table = PartTable(spark, scratch(spark, "table"), _CATALOG, part_rows)
+    table.write(rows)
+    return table
+
+
+def _local(path: str) -> str:
+    return path.removeprefix("file://")
+
+
+@query("stream_in_order", ORACLE["events_replay"])
+def stream_in_order(spark, d):
+    """The events as a stream of JSON files, a batch each, the earlier ones first."""
+    log = scratch(spark, "events")
+    dealt = fx.fs_events(spark, d).repartitionByRange(3, "ts", "seq").withColumn("turn", F.spark_partition_id())
+    dealt.write.partitionBy("turn").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(log)
+    table = _kept(spark, fx.catalog(spark, d))
+    for turn in range(3):
+        one = spark.readStream.schema(feed.EVENTS).option("recursiveFileLookup", "true").json(f"{log}/turn={turn}")
+        feed.follow(one, table, f"{log}/checkpoint-{turn}").awaitTermination()
+    return table.read()
+
+
+@query("stream_in_any_order", ORACLE["events_replay"])
+def stream_in_any_order(spark, d):
+    """The events as growing logs, dealt to three turns by hash: a stream that is stopped and started, with older events in later batches."""
+    log, checkpoint = _local(scratch(spark, "logs")), scratch(spark, "checkpoint")
+    os.makedirs(log)
+    table = _kept(spark, fx.catalog(spark, d))
+    dealt = fx.fs_events(spark, d).withColumn("turn", F.pmod(F.xxhash64("seq"), F.lit(3))).withColumn("line", F.to_json(F.struct(*feed_columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}))
+    lines = scratch(spark, "lines")
+    dealt.select("turn", "line").write.partitionBy("turn").text(lines)
+    for turn in range(3):
+        for i, name in enumerate(sorted(n for n in os.listdir(f"{_local(lines)}/turn={turn}") if n.startswith("part-"))):
+            with open(f"{_local(lines)}/turn={turn}/{name}", "rb") as new, open(f"{log}/{i}.jsonl", "ab") as grown:
+                shutil.copyfileobj(new, grown)
+        keyed.follow(changelog.stream_log(spark, log), table, checkpoint).awaitTermination()
+    return table.read()
+
+
+feed_columns = ("seq", "ts", "kind", "path", "is_dir", "mtime", "size")
+
+_ON_DISK = "select concat(lang, '/', source, '/', doc_id, '.txt') as rel, doc_id, cast(length(cast(doc_id as varchar)) as bigint) as size from documents"
+
+
+def _tree(spark, d, where: str = "true", root: str | None = None) -> str:
+    """A folder with a small file for each document, below folders of its language and source; the documents may be added to one that is there."""
+    root = root or _local(scratch(spark, "tree"))
+
+    def put(batches):
+        for batch in batches:
+            for rel, text in zip(batch.column("rel").to_pylist(), batch.column("text").to_pylist()):
+                os.makedirs(os.path.dirname(f"{root}/{rel}"), exist_ok=True)
+                with open(f"{root}/{rel}", "w") as f:
+                    f.write(text)
+            yield batch.select(["rel"])
+
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter(where)
+    docs.select(F.concat("lang", F.lit("/"), "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("rel"), F.col("doc_id").cast("string").alias("text")).mapInArrow(put, "rel string").count()
+    return root
+
+
+def _below(rows: DataFrame, root: str) -> DataFrame:
+    return rows.filter("not is_dir").select(F.substring("path", F.lit(len(root) + 2), F.length("path")).alias("rel"), "size")
+
+
+@query("tree_scan", f"select rel, size from ({_ON_DISK}) t")
+def tree_scan(spark, d):
+    root = _tree(spark, d)
+    return _below(tree.scan(spark, root), root)
+
+
+@query("tree_scan_of_folders", "select distinct lang as rel from documents union select distinct lang || '/' || source from documents")
+def tree_scan_of_folders(spark, d):
+    root = _tree(spark, d)
+    return tree.scan(spark, root).filter("is_dir and path <> '" + root + "'").select(F.substring("path", F.lit(len(root) + 2), F.length("path")).alias("rel"))
+
+
+@query("tag_tree_scan", f"select rel, size from ({_ON_DISK}) t")
+def tag_tree_scan(spark, d):
+    return tree.tag_tree(spark, _tree(spark, d)).select("rel", "size")
+
+
+@query("tree_led_by_catalog", f"select rel, size from ({_ON_DISK}) t")
+def tree_led_by_catalog(spark, d):
+    """The documents of some languages are known; the others are found by looking at the known folders alone."""
+    root = _tree(spark, d, "lang < 'es'")
+    earlier = F.when(F.col("is_dir"), F.col("mtime") - 1).otherwise(F.col("mtime"))  # the clock may not have moved on
+    known = _kept(spark, tree.scan(spark, root).select("path", "is_dir", earlier.alias("mtime"), "size")).read()
+    _tree(spark, d, "lang >= 'es'", root)
+    return _below(feed.apply_events(known, tree.changed_below(known, root)), root)
+
+
+@query("integrity_turns", f"select rel, size from ({_ON_DISK}) t where doc_id % 3 <> 0")
+def integrity_turns(spark, d):
+    """All documents are in the table, a third of them isn't on disk: after all shares these are gone."""
+    root = _tree(spark, d, "doc_id % 3 <> 0")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    path = F.concat(F.lit(f"{root}/"), "lang", F.lit("/"), "source", F.lit("/"), "doc_id", F.lit(".txt"))
+    table = _kept(spark, docs.select(path.alias("path"), F.lit(False).alias("is_dir"), F.lit(0).cast("long").alias("mtime"), F.length(F.col("doc_id").cast("string")).cast("long").alias("size")))
+    turns = feed.sweeps_for(docs.count(), docs.count() // 3 + 1)
+    job = feed.integrity_job(table, [root], share=docs.count() // 3 + 1)
+    for number in range(2 * turns):  # shares are a little uneven as rows go
+        job(number)
+    return _below(table.read(), root)
+
+
+@query("network_rescan", f"select rel, size from ({_ON_DISK}) t")
+def network_rescan(spark, d):
+    """Two roots in one another and one that is absent, scanned again into a table that has only old sizes."""
+    root = _tree(spark, d)
+    table = _kept(spark, tree.scan(spark, root).filter("not is_dir").select("path", "is_dir", "mtime", (F.col("size") + 9).alias("size")))
+    feed.network_job(table, lambda r: tree.scan(spark, r), [root, f"{root}/en", "/no/such/root"])(0)
+    return _below(table.read(), root)
+
+
+@query("watched_root", f"select rel, size from ({_ON_DISK}) t where not starts_with(rel, 'en/')")
+def watched_root(spark, d):
+    """The table has the English documents alone, which aren't on disk any more."""
+    root = _tree(spark, d, "lang <> 'en'")
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("lang = 'en'")
+    old = docs.select(F.concat(F.lit(f"{root}/en/"), "doc_id").alias("path"), F.lit(False).alias("is_dir"), F.lit(1).cast("long").alias("mtime"), F.lit(1).cast("long").alias("size"))
+    table = _kept(spark, old)
+    feed.watch_job(table, lambda r: tree.scan(spark, r).select(*cat.FIELDS), [root])(0)
+    return _below(table.read(), root)
+
+
+@query("previews_of_files", f"select rel, 'text' as preview_type, cast(doc_id as varchar) as text from ({_ON_DISK}) t")
+def previews_of_files(spark, d):
+    root = _tree(spark, d)
+    shown = previews.preview_files(tree.scan(spark, root).filter("not is_dir").select("path", "is_dir", "size"))
+    return shown.select(F.substring("path", F.lit(len(root) + 2), F.length("path")).alias("rel"), "preview_type", "text")
+
+
 @query("event_rate", _sql("").rstrip() + "," + _EVENTS + "select cast(floor(epoch(ts) / 3600) as bigint) as hour, kind, count(*) as n from fs_events group by 1, 2")
 def event_rate(spark, d):
     return feed.event_rate(fx.fs_events(spark, d), "1 hour").select(F.floor(F.unix_timestamp("start") / 3600).cast("long").alias("hour"), "kind", "n")
@@ -806,6 +1018,28 @@ def media_format_json(spark, d):
     return rows.select("event_id", previews.media_text(probe, F.lit("x")).alias("shown"))
 
 
+@query("text_preview", "select doc_id, text as shown from documents where strlen(text) between 1 and 50000 and not regexp_matches(text, '[\\x00-\\x08\\x0E-\\x1F\\x7F]')")
+def text_preview(spark, d):
+    """Texts of up to 50,000 bytes without control characters are shown as they stand."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("octet_length(text) between 1 and 50000").filter(~F.col("text").rlike(r"[\x00-\x08\x0E-\x1F\x7F]"))
+    rows = docs.select(F.concat(F.lit("/t/"), "doc_id", F.lit(".txt")).alias("path"), F.lit(False).alias("is_dir"), F.octet_length("text").cast("long").alias("size"), F.encode("text", "UTF-8").alias("content"))
+    return previews.previews(rows).select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("doc_id"), F.col("text").alias("shown"))
+
+
+@query("markdown_preview", "select doc_id, '<h2>' || lang || '</h2>' || chr(10) || '<ul><li>' || source || chr(10) || '<ol><li>' || n_chars || '</li></ol></li></ul>' || chr(10) || '<blockquote><p>' || doc_id || '</p></blockquote>' as shown from documents")
+def markdown_preview(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    text = F.format_string("## %s\n- %s\n  1. %s\n\n> %s\n", "lang", "source", F.col("n_chars").cast("string"), F.col("doc_id").cast("string"))
+    rows = docs.select(F.concat(F.lit("/t/"), "doc_id", F.lit(".md")).alias("path"), F.lit(False).alias("is_dir"), F.lit(1).cast("long").alias("size"), F.encode(text, "UTF-8").alias("content"))
+    return previews.previews(rows).select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("doc_id"), F.col("text").alias("shown"))
+
+
+@query("file_info_preview", _sql("select path, concat(name, chr(10), 'Size: ', case when size < 1024 then concat(cast(size as varchar), ' B') when size < 1048576 then concat(format('{:.1f}', size / 1024.0), ' KiB') else concat(format('{:.1f}', size / 1048576.0), ' MiB') end) as shown from (select path || '.png' as path, name || '.png' as name, size from catalog where not is_dir) c"))
+def file_info_preview(spark, d):
+    rows = fx.catalog(spark, d).filter("not is_dir").select(F.concat("path", F.lit(".png")).alias("path"), "is_dir", "size", F.lit(None).cast("binary").alias("content"))
+    return previews.previews(rows).select("path", F.col("text").alias("shown"))
+
+
 def _children(rows: DataFrame) -> DataFrame:
     p = F.col("path")
     return rows.select(paths.parent(p).alias("folder"), paths.name(p).alias("name"), "is_dir", "size").filter("folder <> ''")

@@ -48,3 +48,5 @@ def test_the_rest_stands_alone():
     """With the optional part out of reach the entry still imports and lists the other queries."""
     code = "import re, sys; sys.modules['pathloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'substr_search' in q and 'pipeline' not in q and not any(re.match(r'op[0-9]+_', k) for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, check=True)
+    code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'substr_search' in q and 'pipeline' not in q and (e.llm is None or len(q) > 13)"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, check=True)
