@@ -9,15 +9,16 @@ index: for each term its postings block by block, with the largest weight of
 each block. A document meets only blocks that hold one of its terms, in the
 order of their bounds, until no bound reaches its k-th best cosine: the k
 nearest are exact. Votes weigh by distance and by how many labelled rows an
-example stands for; documents without any term take the share of label 1 among
-examples without any.
+example stands for. Documents without any such term are held against examples
+without any, by all their words and an index of its own: there are few of these
+examples, as frequent words meet most of them. Empty texts take their share of label 1.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -31,7 +32,7 @@ for _a, _b in ((48, 58), (97, 123)):
 _PLAIN[65:91] = np.arange(97, 123)
 
 
-def features(texts):
+def features(texts, beginnings: tuple[int, ...] = BEGINNINGS):
     """(document index, feature hash) of each word and word beginning, as arrays, in pieces of the texts."""
     raw, offsets = tk.flat(texts)
     for base, buf, at in tk.word_pieces(_PLAIN[raw], offsets):
@@ -39,7 +40,7 @@ def features(texts):
         doc = np.repeat(np.arange(base, base + len(at) - 1), np.diff(first))
         prefix = tk.prefix_hash(buf)
         docs, hashes = [doc], [tk.span_hash(prefix, start, end)]
-        for n in BEGINNINGS:
+        for n in beginnings:
             longer = np.flatnonzero(end - start > n)
             docs.append(doc[longer])
             hashes.append(tk.span_hash(prefix, start[longer], start[longer] + n) ^ np.uint64(n))
@@ -85,16 +86,16 @@ def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarr
 class Vocabulary:
     """Feature hashes to columns, with a bit table that turns most words away."""
 
-    def __init__(self, hashes: np.ndarray, idf: np.ndarray | None = None):
+    def __init__(self, hashes: np.ndarray, idf: np.ndarray | None = None, beginnings: tuple[int, ...] = BEGINNINGS):
         """hashes: ascending."""
-        self.hashes, self.idf = hashes, idf
+        self.hashes, self.idf, self.beginnings = hashes, idf, beginnings
         self.table = np.zeros(1 << 18, dtype=bool)
         self.table[self.hashes >> np.uint64(46)] = True
 
     def counts(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(document, column, number of times), by document and column; and the number of documents."""
         cells, n = [np.zeros(0, np.int64)], len(texts)
-        for doc, h in features(texts) if len(self.hashes) else ():
+        for doc, h in features(texts, self.beginnings) if len(self.hashes) else ():
             maybe = np.flatnonzero(self.table[h >> np.uint64(46)])
             doc, h = doc[maybe], h[maybe]
             col = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -195,29 +196,118 @@ class Index:
         sims[query[top], rank[top]], found[query[top], rank[top]] = got[top], example[top]
 
 
-class Model:
-    def __init__(self, vocabulary: Vocabulary, index: Index, without: float, prior: float):
-        self.vocabulary, self.index, self.without, self.prior = vocabulary, index, without, prior
+class Voters:
+    """Examples of one kind: their terms, their index, and the share of label 1 that a vote begins with."""
+
+    def __init__(self, vocabulary: Vocabulary, index: Index, prior: float):
+        self.vocabulary, self.index, self.prior = vocabulary, index, prior
 
-    def score(self, texts, k: int, softness: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(score of each text, (text, example, cosine, weight) of the voters, by text, the nearest first)."""
-        doc, col, w, n = self.vocabulary.vectors(texts)
-        out = np.full(n, self.without)
+    def score(self, texts, k: int, softness: float):
+        """(texts that have a term, their scores, (text, document, share of label 1, cosine, weight) of the voters, by text, the nearest first)."""
+        doc, col, w, _ = self.vocabulary.vectors(texts)
         has = np.unique(doc)
         sims, found = self.index.nearest(np.searchsorted(has, doc), col, w, len(has), k)
         votes = self.index.votes[found] if len(self.index.votes) else np.zeros((*found.shape, 2))
         weight = np.where(sims > 0, 1.0 / (1.0 - np.minimum(sims, 1.0) + softness), 0.0)
         for1, all_ = (weight * votes[..., 1]).sum(axis=1), (weight * votes.sum(axis=-1)).sum(axis=1)
-        out[has] = (for1 + self.prior) / (all_ + 1.0)
         row, rank = np.nonzero(sims > 0)
-        return np.clip(out, 0.0, 1.0), (has[row], found[row, rank], sims[row, rank], weight[row, rank])
+        own = votes[row, rank]
+        ids = self.index.ids[found[row, rank]] if len(row) else np.zeros(0, np.int64)
+        return has, (for1 + self.prior) / (all_ + 1.0), (has[row], ids, own[:, 1] / own.sum(axis=1), sims[row, rank], weight[row, rank])
+
+
+class Model:
+    def __init__(self, leaning: Voters, plain: Voters, without: float):
+        """leaning: by the terms that go with label 1; plain: by all words, for texts without such a term; without: for texts without any word."""
+        self.leaning, self.plain, self.without = leaning, plain, without
+
+    def score(self, texts, k: int, softness: float) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """(score of each text, (text, document, share of label 1, cosine, weight) of the voters, by text, the nearest first)."""
+        out = np.full(len(texts), self.without)
+        has, score, voters = self.leaning.score(texts, k, softness)
+        out[has] = score
+        rest = np.setdiff1d(np.arange(len(texts)), has)
+        more, score, others = self.plain.score(texts.take(pa.array(rest)), k, softness)
+        out[rest[more]] = score
+        voters = [np.concatenate(x) for x in zip(voters, (rest[others[0]], *others[1:]))]
+        order = np.argsort(voters[0], kind="stable")
+        return np.clip(out, 0.0, 1.0), tuple(x[order] for x in voters)
+
+
+def _word_set(batches):
+    for batch in batches:
+        for part in tk.slices(batch, "text"):
+            found = [h for _, h in features(part.column("text"), ())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], names=["feature"])
+    tk.release()
+
+
+def _document_counts(docs: DataFrame, vocabularies: list[Vocabulary]) -> tuple[int, list[np.ndarray]]:
+    """(rows of docs, for each vocabulary how many rows hold each of its terms): one scan of all texts."""
+    start = np.concatenate([[0], np.cumsum([len(v.hashes) for v in vocabularies])])
+
+    def count(batches):
+        total, rows = np.zeros(start[-1] + 1, dtype=np.int64), 0
+        for batch in batches:
+            for part in tk.slices(batch, "text"):
+                for v, at in zip(vocabularies, start):
+                    _, col, _, n_docs = v.counts(part.column("text"))
+                    total += np.bincount(col + at, minlength=len(total))
+                rows += n_docs
+        total[-1] = rows
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["col", "n"])
+        tk.release()
+
+    got = docs.select("text").mapInArrow(count, "col long, n long").groupBy("col").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(start[-1] + 1, dtype=np.int64)
+    total[got.column("col").to_numpy()] = got.column("n").to_numpy()
+    return int(total[-1]), [total[a:b] for a, b in zip(start[:-1], start[1:])]
+
+
+def _vectors(sample: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """label, doc_id, col, w of sample (label, doc_id, text)."""
+
+    def of(batches):
+        for batch in batches:
+            for part in tk.slices(batch, "text"):
+                doc, col, w, n_docs = vocabulary.vectors(part.column("text"))
+                at = pa.array(np.searchsorted(doc, np.arange(n_docs + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (col, np.round(w, 12))]
+                yield pa.RecordBatch.from_arrays([part.column("label"), part.column("doc_id"), *lists], names=["label", "doc_id", "col", "w"])
+
+    return sample.select("label", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "label int, doc_id long, col array<long>, w array<double>")
+
+
+def _index(vectors: DataFrame, per: np.ndarray, width: int) -> tuple[Index, np.ndarray]:
+    """(the index of equal vectors with their votes, the votes of those without any term). per: labelled rows that an example of each label stands for."""
+    got = vectors.groupBy("col", "w").agg(*(F.count(F.when(F.col("label") == y, 1)).alias(f"n{y}") for y in (0, 1)), F.min("doc_id").alias("doc_id"))
+    none, rows = np.zeros(2), []
+    for r in got.collect():  # an example each at most, of bounded texts
+        votes = np.array([r["n0"], r["n1"]]) * per
+        if r["col"]:
+            rows.append((r["col"], r["w"], votes, r["doc_id"]))
+        else:
+            none += votes
+    rows.sort(key=lambda r: (r[0], r[1]))
+    index = Index([(np.array(c), np.array(w)) for c, w, _, _ in rows], np.array([r[2] for r in rows]).reshape(len(rows), 2), np.array([r[3] for r in rows], dtype=np.int64), width)
+    return index, none
+
+
+def _bounded(sample: DataFrame, most_bytes: int) -> DataFrame:
+    """The texts of a sample (label, doc_id, text) of some thousand ids, by hash, as far as they take most_bytes together; of an id the smallest text."""
+    once = sample.groupBy("label", "doc_id").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return once.withColumn("upto", upto).filter(F.col("upto") <= most_bytes).drop("upto")
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, most_examples: tuple[int, int] = (16384, 4096), chance: float = 0.01, lift: float = 4.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, most_examples: tuple[int, int] = (16384, 4096), most_plain: tuple[int, int] = (448, 64), most_bytes: int = 256 << 20, chance: float = 0.01, lift: float = 4.0) -> Model:
     """The model of labelled rows that aren't held out.
 
     most_examples: of label 0 and of label 1 at most so many labelled ids are
-    used, those of the smallest hash. It bounds what the driver holds and what
+    used, those of the smallest hash, as far as their texts (the smallest, where an id has
+    several) take most_bytes together; most_plain: so many of those without a term that goes
+    with label 1, and a sixteenth of most_bytes, for texts that have none either. These bounds hold for what the driver holds and what
     is broadcast: terms, postings and examples all come from the sampled texts. chance: the
     number of terms expected to enter without going with label 1; lift: how many
     times as often rows of label 1 must hold a term, so that no frequent word
@@ -230,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
     pick = lambda y: marked.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples[y])
     picked = pick(0).unionByName(pick(1))
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sample = stage(own.join(F.broadcast(picked), "doc_id"), "toxic-sample")  # at most sum(most_examples) ids
+    sample = stage(_bounded(own.join(F.broadcast(picked), "doc_id"), most_bytes), "toxic-sample")  # at most sum(most_examples) ids
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     per = np.array([size.get(0, 0) / max(n0, 1), size.get(1, 0) / max(n1, 1)])  # labelled rows that an example stands for
@@ -243,42 +333,26 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
     a, b = leaning.column("a").to_numpy(), leaning.column("b").to_numpy()
     beyond = likelihood_ratio(a, b, n1, n0) > 2 * np.log(max(tried, 1) / chance)
     vocabulary = Vocabulary(np.sort(leaning.column("feature").to_numpy()[beyond].view(np.uint64)))
-
-    def frequencies(batches):
-        total, rows = np.zeros(len(vocabulary.hashes), dtype=np.int64), 0
-        for batch in batches:
-            for part in tk.slices(batch, "text"):
-                _, col, _, n_docs = vocabulary.counts(part.column("text"))
-                total += np.bincount(col, minlength=len(total))
-                rows += n_docs
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(total)), -1)), pa.array(np.append(total, rows))], names=["col", "n"])
-        tk.release()
-
-    df = own.select("text").mapInArrow(frequencies, "col long, n long").groupBy("col").agg(F.sum("n").alias("n")).toArrow()
-    df = dict(zip(df.column("col").to_pylist(), df.column("n").to_pylist()))
-    vocabulary.idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(c, 0))) + 1 for c in range(len(vocabulary.hashes))])
-
-    def vectors(batches):
-        for batch in batches:
-            for part in tk.slices(batch, "text"):
-                doc, col, w, n_docs = vocabulary.vectors(part.column("text"))
-                at = pa.array(np.searchsorted(doc, np.arange(n_docs + 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (col, np.round(w, 12))]
-                yield pa.RecordBatch.from_arrays([part.column("label"), part.column("doc_id"), *lists], names=["label", "doc_id", "col", "w"])
-
-    got = sample.select("label", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(vectors, "label int, doc_id long, col array<long>, w array<double>")
-    got = got.groupBy("col", "w").agg(*(F.count(F.when(F.col("label") == y, 1)).alias(f"n{y}") for y in (0, 1)), F.min("doc_id").alias("doc_id"))
-    none, rows = np.zeros(2), []
-    for r in got.collect():  # at most sum(most_examples) ids
-        votes = np.array([r["n0"], r["n1"]]) * per
-        if r["col"]:
-            rows.append((r["col"], r["w"], votes, r["doc_id"]))
-        else:
-            none += votes
-    discard(marked, sample, counted)
-    rows.sort(key=lambda r: (r[0], r[1]))
-    index = Index([(np.array(c), np.array(w)) for c, w, _, _ in rows], np.array([r[2] for r in rows]).reshape(len(rows), 2), np.array([r[3] for r in rows], dtype=np.int64), len(vocabulary.hashes))
-    return Model(vocabulary, index, float((none[1] + prior) / (none.sum() + 1.0)), float(prior))
+    # Which texts hold none of the terms needs no weights.
+    vocabulary.idf = np.ones(len(vocabulary.hashes))
+    lone = stage(_vectors(sample, vocabulary).filter("size(col) = 0").select("label", "doc_id"), "toxic-lone")
+    n_lone = {r["label"]: r["n"] for r in lone.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    some = lambda y: lone.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_plain[y])
+    chosen = some(0).unionByName(some(1)).withColumnRenamed("doc_id", "own")
+    plain = sample.join(F.broadcast(chosen), (F.col("doc_id").cast("long") == F.col("own")) & (sample["label"] == chosen["label"])).select(sample["label"], "doc_id", "text")  # at most sum(most_plain) ids
+    plain = stage(_bounded(plain, most_bytes // 16), "toxic-plain")
+    n_plain = {r["label"]: r["n"] for r in plain.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    words = plain.select("text").mapInArrow(_word_set, "feature long").distinct().toArrow()  # words of bounded texts
+    words = Vocabulary(np.sort(words.column("feature").to_numpy().view(np.uint64)), beginnings=())
+    rows, held = _document_counts(own, [vocabulary, words])
+    for v, df in zip((vocabulary, words), held):
+        v.idf = np.log((1 + rows) / (1 + df)) + 1
+    index, none = _index(_vectors(sample, vocabulary), per, len(vocabulary.hashes))
+    without = float((none[1] + prior) / (none.sum() + 1.0))
+    per_plain = per * np.array([n_lone.get(y, 0) / max(n_plain.get(y, 0), 1) for y in (0, 1)])
+    plain_index, _ = _index(_vectors(plain, words), per_plain, len(words.hashes))
+    discard(marked, sample, counted, lone, plain)
+    return Model(Voters(vocabulary, index, float(prior)), Voters(words, plain_index, without), without)
 
 
 EVIDENCE = "array<struct<doc_id: long, toxic: double, cosine: double, weight: double>>"
@@ -291,10 +365,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, k: int = 16, softness: fl
     than once takes the majority (a tie counts as 1). Ids whose crc32 leaves
     `remainder` are never learned from. Null and empty texts have no terms.
     Without any usable label all scores are 0. Rows that repeat are scored
-    each; a row's score depends on its text, the model and the corpus's idf.
+    each; a row's score depends on its text, the model and the corpus's idf. A text
+    without any term that goes with label 1 is scored by all its words.
     evidence: of the k voters the nearest few, each with a labelled document
     that has that vector, the share of label 1 among all that have it, cosine
-    and weight; empty for a document without any term. Other columns are left out.
+    and weight; empty for a document without any word of an example. Other columns are left out.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, modulus, remainder, **bounds))
 
@@ -302,12 +377,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, k: int = 16, softness: fl
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 model = sent.value
-                out, (text, example, cosine, weight) = model.score(part.column("text"), k, softness)
+                out, (text, *voters) = model.score(part.column("text"), k, softness)
                 shown = np.flatnonzero(np.arange(len(text)) - np.searchsorted(text, text) < evidence)
-                text, example = text[shown], example[shown]
-                votes = model.index.votes[example].reshape(len(example), 2)
-                share = votes[:, 1] / votes.sum(axis=1)
-                columns = [pa.array(x) for x in (model.index.ids[example], share, cosine[shown], weight[shown])]
+                text, columns = text[shown], [pa.array(x[shown]) for x in voters]
                 at = pa.array(np.searchsorted(text, np.arange(len(out) + 1)), pa.int32())
                 voters = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(columns, names=["doc_id", "toxic", "cosine", "weight"]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out), pa.array((out >= 0.5).astype(np.int32)), voters], names=["doc_id", "score", "predicted", "evidence"])

@@ -744,18 +744,35 @@ def brute_toxicity(rows, labels, k=16, softness=0.05, chance=0.01):
         key = tuple(sorted((x, round(w, 9)) for x, w in v.items()))
         vectors[key] = v
         votes[key][y] += 1
+    alone = [i for i in learn if not vector(bags[i])]
+    known = {x for i in alone for x in bags[i] if x[0] == 0}
+    rare = {x: log((1 + len(rows)) / (1 + sum(x in bag for bag in bags.values()))) + 1 for x in known}
+
+    def words(bag):
+        v = {x: (1 + log(c)) * rare[x] for x, c in bag.items() if x in known}
+        norm = math.sqrt(sum(w * w for w in v.values())) or 1
+        return {x: w / norm for x, w in v.items()}
+
+    plain = {}
+    for i in alone:
+        if v := words(bags[i]):
+            at = plain.setdefault(tuple(sorted((x, round(w, 9)) for x, w in v.items())), (v, [0, 0]))
+            at[1][learn[i]] += 1
     out = {}
     for i, _ in rows:
         v = vector(bags[i])
-        if not v:
+        near, start = [(sum(w * e.get(x, 0) for x, w in v.items()), votes[key]) for key, e in vectors.items()], prior
+        if not v:  # by all words, among the examples without a term
             none = votes.get((), [0, 0])
-            out[i] = ((none[1] + prior) / (sum(none) + 1), [])
+            v, start = words(bags[i]), (none[1] + prior) / (sum(none) + 1)
+            near = [(sum(w * e.get(x, 0) for x, w in v.items()), n) for e, n in plain.values()]
+        if not v:
+            out[i] = (start, [])
             continue
-        near = sorted(((sum(w * e.get(x, 0) for x, w in v.items()), key) for key, e in vectors.items()), key=lambda c: -c[0])
-        near = [(c, votes[key]) for c, key in near if c > 0]
-        assert len(near) <= k or near[k - 1][0] - near[k][0] > 1e-9 or near[k - 1][1] == near[k][1]  # no tie decides here
+        near = [x for x in sorted(near, key=lambda c: -c[0]) if x[0] > 0]
+        assert len(near) <= k or near[k - 1][0] - near[k][0] > 1e-9 or near[k - 1][1] == near[k][1] or start != prior  # no tie decides here
         w = [1 / (1 - min(c, 1) + softness) for c, _ in near[:k]]
-        out[i] = ((sum(x * e[1] for x, (_, e) in zip(w, near)) + prior) / (sum(x * sum(e) for x, (_, e) in zip(w, near)) + 1), [c for c, _ in near[:k]])
+        out[i] = ((sum(x * e[1] for x, (_, e) in zip(w, near)) + start) / (sum(x * sum(e) for x, (_, e) in zip(w, near)) + 1), [c for c, _ in near[:k]])
     return out
 
 
