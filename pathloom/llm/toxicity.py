@@ -295,10 +295,13 @@ def _index(vectors: DataFrame, per: np.ndarray, width: int) -> tuple[Index, np.n
 
 
 def _bounded(sample: DataFrame, most_bytes: int) -> DataFrame:
-    """The texts of a sample (label, doc_id, text) of some thousand ids, by hash, as far as they take most_bytes together; of an id the smallest text."""
-    once = sample.groupBy("label", "doc_id").agg(F.min("text").alias("text"))
-    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return once.withColumn("upto", upto).filter(F.col("upto") <= most_bytes).drop("upto")
+    """Staged: the texts of a sample (label, doc_id, text) of some thousand ids, by hash, as far as they take most_bytes together; of an id the smallest text."""
+    once = stage(sample.groupBy("label", "doc_id").agg(F.min("text").alias("text")), "toxic-texts")
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # over ids and sizes
+    kept = once.select("label", "doc_id", F.octet_length("text").alias("n")).withColumn("upto", upto).filter(F.col("upto") <= most_bytes)
+    out = stage(once.join(F.broadcast(kept.select("label", "doc_id")), ["label", "doc_id"]), "toxic-sample")
+    discard(once)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, most_examples: tuple[int, int] = (16384, 4096), most_plain: tuple[int, int] = (448, 64), most_bytes: int = 256 << 20, chance: float = 0.01, lift: float = 4.0) -> Model:
@@ -320,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
     pick = lambda y: marked.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples[y])
     picked = pick(0).unionByName(pick(1))
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sample = stage(_bounded(own.join(F.broadcast(picked), "doc_id"), most_bytes), "toxic-sample")  # at most sum(most_examples) ids
+    sample = _bounded(own.join(F.broadcast(picked), "doc_id"), most_bytes)  # at most sum(most_examples) ids
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     per = np.array([size.get(0, 0) / max(n0, 1), size.get(1, 0) / max(n1, 1)])  # labelled rows that an example stands for
@@ -340,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
     some = lambda y: lone.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_plain[y])
     chosen = some(0).unionByName(some(1)).withColumnRenamed("doc_id", "own")
     plain = sample.join(F.broadcast(chosen), (F.col("doc_id").cast("long") == F.col("own")) & (sample["label"] == chosen["label"])).select(sample["label"], "doc_id", "text")  # at most sum(most_plain) ids
-    plain = stage(_bounded(plain, most_bytes // 16), "toxic-plain")
+    plain = _bounded(plain, most_bytes // 16)
     n_plain = {r["label"]: r["n"] for r in plain.groupBy("label").agg(F.count("*").alias("n")).collect()}
     words = plain.select("text").mapInArrow(_word_set, "feature long").distinct().toArrow()  # words of bounded texts
     words = Vocabulary(np.sort(words.column("feature").to_numpy().view(np.uint64)), beginnings=())
