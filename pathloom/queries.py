@@ -18,7 +18,7 @@ from .operators import catalog as cat
 from .operators import bitmaps, blocks, index, intervals, many, previews, requests, search, statistics, tags
 from .plans import compile as plan
 from .plans.language import EDIT, FILES, Query, Sort, parse
-from .sources import changelog, tables, tree
+from .sources import changelog, tables, tagdoc, tree
 from .streaming import feed, keyed
 from .streaming.parts import PartTable
 
@@ -817,6 +817,32 @@ def tree_scan(spark, d):
     return _below(tree.scan(spark, root), root)
 
 
+def _stores(spark, d) -> DataFrame:
+    """A tag store for each language, its entries those of the documents."""
+    top = _local(scratch(spark, "stores"))
+    return fx.tag_entries(spark, d).withColumn("root", F.concat(F.lit(f"{top}/"), F.substring_index("rel", "/", 1)))
+
+
+def _reread(spark, written: DataFrame) -> DataFrame:
+    return tagdoc.read_documents(spark, sorted(r.root for r in written.collect()))  # the roots
+
+
+@query("tag_documents", _sql(f"select rel, {_TAGS} as tags, size, mtime_ns, fp from entries"))
+def tag_documents(spark, d):
+    """Tag entries written as documents, one a store, and read again."""
+    return _reread(spark, tagdoc.write_documents(_stores(spark, d))).select("rel", F.array_join("tags", ",").alias("tags"), "size", "mtime_ns", "fp")
+
+
+@query("tag_documents_changed", _sql("select rel, case when lang = 'en' then array_to_string(list_sort(list_distinct(list_concat(tags, ['checked', 'en']))), ',') else " + _TAGS + " end as tags from entries"))
+def tag_documents_changed(spark, d):
+    """Tags are added in one of several stores, and all documents written again."""
+    kept = _reread(spark, tagdoc.write_documents(_stores(spark, d)))
+    after = tags.add(kept, kept.filter("startswith(rel, 'en/')").select("rel"), ["checked", "en"])
+    table = scratch(spark, "entries")
+    after.write.parquet(table)  # the documents that it was read from are written anew
+    return _texts(_reread(spark, tagdoc.write_documents(spark.read.parquet(table))))
+
+
 @query("tree_scan_of_folders", "select distinct lang as rel from documents union select distinct lang || '/' || source from documents")
 def tree_scan_of_folders(spark, d):
     root = _tree(spark, d)

@@ -77,3 +77,53 @@ def read_documents(spark: SparkSession, roots: list[str]) -> DataFrame:
     own = F.regexp_replace(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), r"^file:/*", "/")
     rows = lines.select(F.substring(own, F.lit(1), F.length(own) - len("/.tagstore/index.json")).alias("root"), F.explode(entries("file", "value")).alias("e"))
     return rows.select("root", "e.rel", "e.fp", "e.mtime_ns", "e.size", "e.tags")
+
+
+def _entry_text(rel: str, entry: dict) -> str:
+    """An entry as it stands in a document, without the comma."""
+    return "\n".join(json.dumps({"entries": {rel: entry}}, indent=2, ensure_ascii=False).split("\n")[2:-2])
+
+
+def write_documents(entries: DataFrame) -> DataFrame:
+    """Write the store of each root of a table of entries, in the tasks; (root, n), a row for each document that was written.
+
+    A document is written line by line from sorted rows, so a large one needs no
+    memory, and is put in place whole; it has the same bytes as dump_document
+    gives. A store is locked meanwhile. Roots without entries aren't looked at.
+    A task that runs again writes the same document again.
+    """
+    import pyarrow as pa
+
+    def put(batches):
+        from .store import lock
+
+        root, n, out, held = None, 0, None, None
+
+        def close():
+            out.write(f'\n  }},\n  "version": {VERSION}\n}}\n')
+            out.flush()
+            os.fsync(out.fileno())
+            out.close()
+            os.replace(out.name, f"{root}/.tagstore/index.json")
+            held.__exit__(None, None, None)
+            return pa.RecordBatch.from_arrays([pa.array([root]), pa.array([n])], names=["root", "n"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["root"] != root:
+                    if root is not None:
+                        yield close()
+                    root, n = row["root"], 0
+                    os.makedirs(f"{root}/.tagstore", exist_ok=True)
+                    held = lock(f"{root}/.tagstore")
+                    held.__enter__()
+                    out = open(f"{root}/.tagstore/index.json.tmp.{os.getpid()}", "w", encoding="utf-8")
+                    out.write('{\n  "entries": {\n')
+                own = {k: row[k] for k in ("fp", "mtime_ns", "size")} | {"tags": sorted(row["tags"], key=str.encode)}
+                out.write((",\n" if n else "") + _entry_text(row["rel"], own))
+                n += 1
+        if root is not None:
+            yield close()
+
+    rows = entries.select("root", "rel", "fp", "mtime_ns", "size", "tags").repartition("root").sortWithinPartitions("root", "rel")
+    return rows.mapInArrow(put, "root string, n long")
