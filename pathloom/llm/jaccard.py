@@ -7,7 +7,7 @@
    similarity reaches the threshold falls below the tolerance. Of the pairs that
    stay only a spanning forest leaves the bucket. Buckets with the same nodes
    are compared once. A bucket too large for that is compared block by block; only
-   where its nodes share more large buckets, which near copies do, they are
+   where its nodes are in several large buckets, as near copies are, they are
    all linked to its smallest one as they stand. So candidate components hold texts
    that are likely similar, not those that merely met in a bucket.
 3. Inside a component all pairs are compared, tile by tile: a component of more
@@ -33,7 +33,7 @@ from .session import discard, fresh, n_partitions, stage, view
 
 ROWS, BANDS, STEP = 4, 28, 16
 SPREAD = 16
-FAMILY = 4  # large buckets that nodes share with their head on average, from which they are taken for near copies
+FAMILY = 4  # large buckets that the nodes of one are in on average, from which they are taken for near copies
 SENT = np.uint16  # the bits of a MinHash value that are sent: values that differ seem equal once in 65536, and such a pair is only compared further
 _SEED = np.random.default_rng(20240229)
 _MULT = _SEED.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -252,19 +252,19 @@ def _candidates(nodes: DataFrame, floors: dict, most: int) -> DataFrame:
     held = placed.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("other"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("all"))
     # Of buckets with the same nodes one is enough.
     held = stage(held.filter("n > 1").groupBy("n", "head", "other", "all").agg(F.min("bucket").alias("bucket")).select("bucket", "head", "n"), "buckets")
-    crowd = stage(placed.join(held.filter(F.col("n") > most).hint("merge"), "bucket").select("node", "bucket", "head", "n"), "large-buckets")
-    # Nodes that share some large buckets each with the head are a family of near copies, and candidates as they stand.
-    shared = crowd.groupBy("node", "head").agg(F.count("*").alias("shared")).groupBy("head").agg((F.avg("shared") >= FAMILY).alias("family"))
-    shared = stage(shared, "heads")
+    crowd = stage(placed.join(held.filter(F.col("n") > most).hint("merge"), "bucket").select("node", F.col("bucket").alias("crowd"), "head", "n"), "large-buckets")
+    # Near copies meet in many large buckets, others in one or two: a bucket of such nodes is a candidate group as it stands.
+    meets = crowd.groupBy("node").agg(F.count("*").alias("meets"))
+    shared = stage(crowd.join(meets, "node").groupBy("crowd").agg((F.avg("meets") >= FAMILY).alias("family")), "families")
     # Nodes of another large bucket are compared, too: in blocks of it, each with each.
     blocks = F.ceil(F.col("n") / most).cast("int")
-    apart = crowd.join(shared.filter("not family"), "head").select("node", "bucket", F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    apart = apart.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node")
+    apart = crowd.join(shared.filter("not family"), "crowd").select("node", "crowd", F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    apart = apart.select(F.xxhash64("crowd", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node")
     met = placed.join(held.filter(F.col("n") <= most).select("bucket").hint("merge"), "bucket").select("bucket", "node").unionByName(apart).join(nodes.select("node", "sig"), "node")
     met = met.select("bucket", "node", "sig").repartition(n_partitions(nodes.sparkSession), F.xxhash64("bucket")).sortWithinPartitions("bucket")
     edges = met.mapInArrow(lambda it: _refine(it, floors), "a long, b long")
     # A node goes to the smallest of its heads, and its other heads go there too: a family has few heads.
-    headed = crowd.join(shared.filter("family"), "head").groupBy("node").agg(F.array_sort(F.collect_set("head")).alias("heads"))
+    headed = crowd.join(shared.filter("family"), "crowd").groupBy("node").agg(F.array_sort(F.collect_set("head")).alias("heads"))
     to = F.col("heads")[0].alias("b")
     star = headed.select(F.col("node").alias("a"), to).unionByName(headed.select(F.explode("heads").alias("a"), to).distinct())
     label = components(edges.unionByName(star.filter("a <> b")))
