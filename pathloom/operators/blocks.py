@@ -66,7 +66,7 @@ class Blocks:
     @classmethod
     def create(cls, catalog: DataFrame, folder: str, block_rows: int = 4096, pages: int = 1, held: int = 1 << 12) -> Blocks:
         """Write a catalog in blocks of at most block_rows rows. The folder must not have one."""
-        out = cls(catalog.sparkSession, folder.rstrip("/"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in catalog.schema), held, pages)
+        out = cls(catalog.sparkSession, folder.rstrip("/"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in catalog.schema), held, pages)
         out._add(catalog, block_rows)
         return out
 
