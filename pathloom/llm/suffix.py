@@ -376,7 +376,7 @@ def repeated_ranges(docs: DataFrame, length: int = 100, k: int = 20, most_bytes:
     if not 8 <= k < length:
         raise ValueError("8 <= k < length")
     parts = n_partitions(docs.sparkSession)
-    found = docs.select("did", "th", "text").mapInArrow(lambda it: _segment_rows(it, length, k), "key long, did long, th long, packed long")
+    found = stage(docs.select("did", "th", "text").mapInArrow(lambda it: _segment_rows(it, length, k), "key long, did long, th long, packed long"), "anchored")
     often = found.groupBy("key").agg(F.sum(F.lit(1) + F.col("packed") % 2).alias("n")).filter("n > 1").select("key")
     often = stage(often, "anchors")
     mine = found.join(often, "key").groupBy("did", "th").agg(F.collect_set(F.struct("key", "packed")).alias("found"))
@@ -384,7 +384,7 @@ def repeated_ranges(docs: DataFrame, length: int = 100, k: int = 20, most_bytes:
     same = ["key", "h1", "h2"]  # equal bytes, by 128 bits more than the anchor's
     hashed = {"h1": F.xxhash64("content"), "h2": F.xxhash64(F.lit(1), "content")}
     level = stage(content.withColumn("anchor", F.col("key")).withColumns(hashed), "segments")
-    discard(often)
+    discard(often, found)
 
     # What a join gives and what a sort gives are tables of their own: a join's large keys are split over tasks, a sort's groups are bounded.
     out = []
