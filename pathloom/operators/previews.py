@@ -238,8 +238,16 @@ MEDIA_TAGS = ("title", "artist", "album", "genre", "date", "track", "comment")
 
 
 def media_text(json: Column, path: Column) -> Column:
-    """Lines of a media probe's JSON; of anything else the path."""
-    v = F.from_json(json, f"struct<{MEDIA}>")
+    """Lines of a media probe's JSON; of anything else the path.
+
+    The JSON is parsed once a row: the lines are made in a lambda, whose variable is the parsed value.
+    """
+    shown = F.transform(F.array(F.from_json(json, f"struct<{MEDIA}>")), _media_lines)
+    return F.coalesce(F.get(F.filter(shown, lambda text: text != ""), F.lit(0)), F.concat(F.lit("Media file: "), path))
+
+
+def _media_lines(v: Column) -> Column:
+    """Lines of a parsed probe; null of none."""
     f = v["format"]
     absent = F.lit(None).cast("string")
     labelled = lambda label, x: F.concat(F.lit(label), x)
@@ -267,5 +275,4 @@ def media_text(json: Column, path: Column) -> Column:
         )
 
     streams = F.coalesce(F.transform(v["streams"], stream), F.array().cast("array<string>"))
-    text = F.array_join(F.filter(F.concat(F.array(*lines), streams), lambda x: x.isNotNull()), "\n")
-    return F.when(F.coalesce(text, F.lit("")) == "", F.concat(F.lit("Media file: "), path)).otherwise(text)
+    return F.array_join(F.filter(F.concat(F.array(*lines), streams), lambda x: x.isNotNull()), "\n")
