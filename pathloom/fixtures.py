@@ -48,12 +48,17 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files and the folders above them, from one reading of the files; a folder's time is the latest below it."""
-    row = lambda path, is_dir, size, own: F.struct(path.alias("path"), is_dir.alias("is_dir"), F.col("mtime").alias("mtime"), size.alias("size"), F.lit(own).alias("own"))
-    above = F.transform(paths.ancestors(F.col("path")), lambda p: row(p, F.lit(True), F.lit(0).cast("long"), False))
-    rows = files(spark, sf_dir).select(F.inline(F.concat(F.array(row(F.col("path"), F.col("is_dir"), F.col("size"), True)), above)))
+    """Files and the folders above them; a folder's time is the latest below it.
+
+    Times go by folder before they go up, and files are dealt by path before equal paths meet, so that no
+    task sorts what it has read with all the folders above it.
+    """
+    own = files(spark, sf_dir).filter("path is not null").withColumn("own", F.lit(True))
+    folders = own.groupBy(paths.parent(F.col("path")).alias("folder")).agg(F.max("mtime").alias("mtime")).filter("folder <> ''")
+    above = folders.select(F.explode(F.array_append(paths.ancestors(F.col("folder")), F.col("folder"))).alias("path"), "mtime").groupBy("path").agg(F.max("mtime").alias("mtime"))
+    above = above.select("path", F.lit(True).alias("is_dir"), "mtime", F.lit(0).cast("long").alias("size"), F.lit(False).alias("own"))
     best = F.max_by(F.struct("is_dir", "mtime", "size"), F.struct("own", "mtime")).alias("best")
-    return rows.groupBy("path").agg(best).select("path", "best.*")
+    return own.unionByName(above).repartition("path").groupBy("path").agg(best).select("path", "best.*")
 
 
 def with_id(rows: DataFrame) -> DataFrame:

@@ -35,7 +35,8 @@ def signatures(rows: DataFrame, pages: int = 1) -> DataFrame:
     """(file, page, bits, rows, first, last) of rows with a column `file`: of each file and page the bitmap, or an empty one for a page without bits."""
     spot = F.crc32("trigram") % (PAGE * pages)
     grams = rows.select("file", F.explode(path_trigrams(F.col("path"))).alias("trigram"))
-    bits = grams.groupBy("file", F.floor(spot / PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg(spot % PAGE).alias("bits"))
+    spots = grams.select("file", F.floor(spot / PAGE).cast("int").alias("page"), (spot % PAGE).alias("bit")).distinct()  # bitmaps are made over sorted rows: only over those that differ
+    bits = spots.groupBy("file", "page").agg(F.bitmap_construct_agg("bit").alias("bits"))
     facts = rows.groupBy("file").agg(F.count("*").alias("rows"), F.min("path").alias("first"), F.max("path").alias("last"))
     every = facts.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(pages - 1))))
     return every.join(bits, ["file", "page"], "left").select("file", "page", F.coalesce("bits", F.to_binary(F.lit(""))).alias("bits"), "rows", "first", "last")

@@ -10,16 +10,24 @@ from ..plans.language import GLOB, REGEX, SUBSTRING, Query, parse
 from ..plans.patterns import glob_literals, required_literals
 
 
-def byte_trigrams(text: Column) -> Column:
-    """Byte trigrams of a lower-cased text, as an array of binary; empty below three bytes."""
-    raw = F.encode(F.lower(text), "UTF-8")
+def _grams(raw: Column) -> Column:
     n = F.octet_length(raw)
     return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(raw, i, F.lit(3)))).otherwise(F.array().cast("array<binary>"))
 
 
+def byte_trigrams(text: Column) -> Column:
+    """Byte trigrams of a lower-cased text, as an array of binary; empty below three bytes."""
+    return F.flatten(F.transform(F.array(F.encode(F.lower(text), "UTF-8")), _grams))
+
+
 def path_trigrams(path: Column) -> Column:
-    """Distinct trigrams of the components of a path; none reaches across a slash."""
-    return F.array_distinct(F.flatten(F.transform(F.split(path, "/"), byte_trigrams)))
+    """Distinct trigrams of the components of a path; none reaches across a slash.
+
+    The bytes are a lambda's variable, so that they aren't made again for each trigram. Strings are
+    told apart by hash, binary values only pair by pair.
+    """
+    raw = F.transform(F.split(F.lower(path), "/"), lambda name: F.encode(name, "UTF-8"))
+    return F.array_distinct(F.flatten(F.transform(raw, _grams)).cast("array<string>")).cast("array<binary>")
 
 
 def postings(catalog: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """Work that grows with the rows is done once a row."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from pathloom.operators import previews
+from pathloom import fixtures
+from pathloom.operators import blocks, index, previews
 
 
 def plan_of(frame, capsys) -> str:
@@ -16,3 +19,24 @@ def test_a_probe_is_parsed_once(spark, capsys):
     shown = rows.select(previews.media_text(F.col("json"), F.col("path")).alias("shown"))
     assert [r.shown for r in shown.collect()] == ["File: a.mp3\n\nTitle: t\n\nStreams:\n  Audio: unknown (?Hz, 0 ch)", "Media file: /p", "Media file: /q", None]
     assert plan_of(shown, capsys).count("from_json(") == 1
+
+
+def test_bitmaps_are_made_of_distinct_bits(spark, capsys):
+    rows = spark.createDataFrame([("f", f"/abab/{i % 2}/ababa") for i in range(50)] + [("g", "/x")], "file string, path string")
+    made = blocks.signatures(rows)
+    assert {r.file: sum(bin(byte).count("1") for byte in r.bits) for r in made.collect()} == {"f": 2, "g": 0}
+    assert re.search(r"Aggregate \[file#\d+, page#\d+, bit#\d+L?\]", plan_of(made, capsys))
+
+
+def test_a_catalog_is_dealt_before_it_is_sorted(spark, capsys):
+    shown = plan_of(fixtures.catalog(spark, "/root/testdata/sf0.001"), capsys)
+    assert re.search(r"Aggregate \[path#\d+\][^\n]*max_by[^\n]*\n\W*RepartitionByExpression \[path#\d+\]", shown), shown
+
+
+def test_bytes_are_made_once_for_their_trigrams(spark, capsys):
+    odd = ["/\u00c4\u00d6\u00fc/\u0391\u03a3/\u0391\u03a3/x", "/abcabcabc/abc", "/\U0001f600/\x00\x00\x00\x00", "//aaa//", "ab", "", None]
+    grams = spark.createDataFrame([(p,) for p in odd], "path string").select("path", index.path_trigrams(F.col("path")).alias("trigrams"))
+    names = lambda p: [c.lower().encode() for c in (p or "").split("/")]
+    for path, got in grams.collect():
+        assert (None if got is None else [bytes(t) for t in got]) == (None if path is None else list(dict.fromkeys(c[i : i + 3] for c in names(path) for i in range(len(c) - 2))))
+    assert plan_of(grams, capsys).count("lower(") == 1
