@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 
 STRETCHES, SWEEPS = 64, 8
+PLACES = 16  # folders a stretch that are looked at to choose where stretches begin
 
 
 def key(path: Column) -> Column:
@@ -71,6 +72,14 @@ def _stretch(at: Column, bounds: list[str]) -> Column:
     return tree(0, len(bounds))
 
 
+def _bounds(folders: DataFrame, stretches: int) -> list[str]:
+    """Sorted keys of some folders, evenly apart: one reading of the folders and no join. Any folders would do; these only make stretches even."""
+    known = folders.filter("path is not null and path <> ''")
+    drawn = known.select(key(F.col("path")).alias("at"), F.xxhash64("path", "ord").alias("draw")).orderBy("draw").limit(PLACES * stretches).collect()
+    places = sorted({r["at"] for r in drawn})
+    return places[:: -(-len(places) // stretches)] if places else []
+
+
 def holder(rows: DataFrame, folders: DataFrame, name: str, innermost: bool = False, sweeps: int = SWEEPS, stretches: int = STRETCHES) -> DataFrame:
     """rows (path, ...) with `name`: the value of the first folder, by ord, of those (ord, value, path) that hold the path; null if none.
 
@@ -79,9 +88,7 @@ def holder(rows: DataFrame, folders: DataFrame, name: str, innermost: bool = Fal
     that repeat keep their number.
     """
     spots = marks(folders, innermost)  # two rows a folder
-    starts = spots.filter("not end").select("at")
-    found = starts.repartitionByRange(stretches, "at").groupBy(F.spark_partition_id().alias("p")).agg(F.min("at").alias("at")).collect()  # at most `stretches`
-    bounds = sorted(r["at"] for r in found)
+    bounds = _bounds(folders, stretches)
     at, kind, stretch, sweep, row, answer = _fresh(rows, "at", "kind", "stretch", "sweep", "row", "answer")
     whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias(row)
     dealt = rows.select(key(F.col("path")).alias(at), F.lit(2).alias(kind), F.pmod(F.xxhash64("path"), F.lit(sweeps)).cast("int").alias(sweep), F.lit(True).alias("is_row"), whole)

@@ -1,11 +1,12 @@
 """Work that grows with the rows is done once a row."""
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from pathloom import fixtures
-from pathloom.operators import blocks, index, previews
+from pathloom.operators import blocks, index, intervals, previews
 
 
 def plan_of(frame, capsys) -> str:
@@ -40,3 +41,17 @@ def test_bytes_are_made_once_for_their_trigrams(spark, capsys):
     for path, got in grams.collect():
         assert (None if got is None else [bytes(t) for t in got]) == (None if path is None else list(dict.fromkeys(c[i : i + 3] for c in names(path) for i in range(len(c) - 2))))
     assert plan_of(grams, capsys).count("lower(") == 1
+
+
+def test_stretches_are_chosen_in_one_reading_of_the_folders(spark, tmp_path):
+    def seen(batches):
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from batches
+
+    names = [(i, f"r{i}", f"/{i % 7}" + f"/{i}" * (i % 3)) for i in range(50)]
+    folders = spark.createDataFrame(names, "ord long, value string, path string").coalesce(1).mapInArrow(seen, "ord long, value string, path string")
+    rows = spark.createDataFrame([(f"/{i % 9}/{i}/x",) for i in range(60)], "path string")
+    held = intervals.holder(rows, folders, "root")
+    assert len(list(tmp_path.iterdir())) == 1
+    first = lambda path: min((o, v) for o, v, p in names if (path + "/").startswith(p + "/"))[1] if int(path[1]) < 7 else None
+    assert {r.path: r.root for r in held.collect()} == {r.path: first(r.path) for r in rows.collect()}
