@@ -759,7 +759,8 @@ def _local(path: str) -> str:
 def stream_in_order(spark, d):
     """The events as a stream of JSON files, a batch each, the earlier ones first."""
     log = scratch(spark, "events")
-    dealt = fx.fs_events(spark, d).repartitionByRange(3, "ts", "seq").withColumn("turn", F.spark_partition_id())
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)  # of a turn
+    dealt = fx.fs_events(spark, d).repartitionByRange(3 * tasks, "ts", "seq").withColumn("turn", F.least(F.floor(F.spark_partition_id() / tasks), F.lit(2)).cast("int"))
     dealt.write.partitionBy("turn").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(log)
     table = _kept(spark, fx.catalog(spark, d))
     for turn in range(3):

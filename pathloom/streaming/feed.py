@@ -46,7 +46,9 @@ def follow(events: DataFrame, table: PartTable, checkpoint: str, **trigger) -> S
     """
 
     def step(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # read once, for the parts and for their rows
         table.update(batch, lambda rows: apply_events(rows, batch))
+        batch.unpersist()
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

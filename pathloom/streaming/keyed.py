@@ -44,11 +44,12 @@ class LastChange(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         best = max(rows, key=self._order)
-        known = self.last.get() if self.last.exists() else None
+        known = self.last.get()  # None where there is none
         if known is not None and self._order(Row(us=known[2], seq=known[1])) >= self._order(best):
             return
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
+        if self.grace_ms:  # else there are none, and each question is a call from Python
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
         change = (key[0], *(best[f] for f in _FIELDS))
         self.last.update(change)
         if self.grace_ms and best.kind == "remove" and best.is_dir:
@@ -56,8 +57,8 @@ class LastChange(StatefulProcessor):
         yield self._row(change)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.last.exists():
-            known = self.last.get()
+        known = self.last.get()
+        if self.grace_ms and known is not None and known[3] == "remove" and known[4]:
             yield self._row((known[0], known[1], known[2], FOLDER_GONE, True, None, None))
 
     def close(self) -> None:

@@ -54,9 +54,8 @@ class PartTable:
 
     def _put(self, rows: DataFrame, n: int, touched: list[int] | None) -> None:
         seen = Observation()
-        tasks = self.spark.conf.get("spark.sql.shuffle.partitions")
         dealt = rows.withColumn("part", self.part_of(F.col("path"), n)).observe(seen, F.bitmap_construct_agg(F.col("part").cast("long")).alias("parts"))
-        dealt = dealt.repartition(int(tasks), "part", F.pmod(F.xxhash64("path"), F.lit(8)))
+        dealt = dealt.hint("rebalance", "part")  # a part is one file, or several where its rows are more than one task should write
         mode = "dynamic" if n == self.parts() else "static"  # a layout that is there is overwritten part by part
         dealt.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("part").parquet(f"{self.folder}/of={n}")
         bits = seen.get["parts"]

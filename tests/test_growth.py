@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom import fixtures
 from pathloom.operators import blocks, index, intervals, previews
+from pathloom.streaming.parts import PartTable
 
 
 def plan_of(frame, capsys) -> str:
@@ -55,3 +56,11 @@ def test_stretches_are_chosen_in_one_reading_of_the_folders(spark, tmp_path):
     assert len(list(tmp_path.iterdir())) == 1
     first = lambda path: min((o, v) for o, v, p in names if (path + "/").startswith(p + "/"))[1] if int(path[1]) < 7 else None
     assert {r.path: r.root for r in held.collect()} == {r.path: first(r.path) for r in rows.collect()}
+
+
+def test_a_small_part_is_one_file(spark, tmp_path):
+    table = PartTable(spark, str(tmp_path / "t"), "path string, is_dir boolean, mtime long, size long", least=4)
+    rows = spark.range(400).select(F.concat(F.lit("/"), F.col("id") % 40, F.lit("/"), "id").alias("path"), F.lit(False).alias("is_dir"), F.col("id").alias("mtime"), F.lit(1).cast("long").alias("size"))
+    table.write(rows)
+    assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, rows.collect()))
+    assert len(list((tmp_path / "t").glob("of=*/part=*/*.parquet"))) == len(list((tmp_path / "t").glob("of=*/part=*")))
