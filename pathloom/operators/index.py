@@ -36,6 +36,13 @@ def postings(catalog: DataFrame) -> DataFrame:
 
 
 PART_IDS = 1 << 16
+TASK_FILES = 1 << 15  # files whose postings a task sorts: some two million rows
+GONE_HELD = 1 << 20  # ids of deleted files up to which each executor is given all of them
+
+
+def dealt(catalog: DataFrame, files: int) -> DataFrame:
+    """A catalog of so many files in tasks of about TASK_FILES, so that none makes more postings as it grows."""
+    return catalog.repartition(max(1, -(-files // TASK_FILES)), "id")
 
 
 def posting_lists(rows: DataFrame, part_ids: int = PART_IDS) -> DataFrame:
@@ -54,23 +61,32 @@ def cache_is_usable(n_files: int, cached_files: int) -> bool:
     return abs(n_files - cached_files) <= max(n_files // 100, 100)
 
 
-def save(rows: DataFrame, catalog: DataFrame, folder: str) -> None:
-    """Postings, with the number of files and the next free id they stand for. The facts are written last: without them nothing is there.
+def save(rows: DataFrame, catalog: DataFrame, folder: str, facts: DataFrame | None = None) -> None:
+    """Postings, the ids they were made of, and as facts the number of files and the next free id they stand for.
 
-    Dealt by trigram and stretch of ids, so that a trigram of all paths isn't one task's.
+    The facts are those of the catalog unless others are given. They are written last: without them nothing is there.
+    Each task sorts and writes the postings it makes: they aren't shuffled, and a trigram of all paths isn't one task's.
     """
-    rows.repartition("trigram", F.floor(F.col("id") / PART_IDS)).sortWithinPartitions("trigram").write.mode("overwrite").parquet(f"{folder}/postings")
-    facts = catalog.agg(F.count("*").alias("files"), (F.coalesce(F.max("id"), F.lit(0)) + 1).alias("next_id"))
+    rows.sortWithinPartitions("trigram").write.mode("overwrite").parquet(f"{folder}/postings")
+    catalog.select("id").write.mode("overwrite").parquet(f"{folder}/ids")
+    if facts is None:
+        facts = catalog.agg(F.count("*").alias("files"), (F.coalesce(F.max("id"), F.lit(0)) + 1).alias("next_id"))
     facts.write.mode("overwrite").parquet(f"{folder}/facts")
 
 
 def load(catalog: DataFrame, folder: str) -> DataFrame:
-    """Saved postings brought up to the catalog: rows of deleted files go, those of newer files come. Too far off: made anew."""
+    """Saved postings brought up to the catalog: rows of deleted files go, those of newer files come. Too far off: made anew.
+
+    The deleted ids are found among ids; the postings, far more rows, are shuffled only if more than GONE_HELD are deleted.
+    """
     spark = catalog.sparkSession
     facts = spark.read.parquet(f"{folder}/facts").first()
     if not cache_is_usable(catalog.count(), facts.files):
         return postings(catalog)
-    kept = spark.read.parquet(f"{folder}/postings").join(catalog.select("id"), "id", "left_semi").select("trigram", "id")
+    gone = spark.read.parquet(f"{folder}/ids").join(catalog.select("id"), "id", "left_anti")
+    if gone.count() <= GONE_HELD:
+        gone = F.broadcast(gone)
+    kept = spark.read.parquet(f"{folder}/postings").filter("id is not null").join(gone, "id", "left_anti").select("trigram", "id")
     return backfill(kept, catalog, facts.next_id)
 
 

@@ -685,14 +685,16 @@ def block_path_aware(spark, d):
 
 @query("saved_index", _sql("").rstrip() + "," + _GRAMS + "select id, count(*) as n from grams where id % 10 <> 3 group by id")
 def saved_index(spark, d):
-    """Postings of part of the catalog, saved and brought up to date: rows that went, and newer ones."""
-    rows, folder, high = fx.with_id(fx.catalog(spark, d)), scratch(spark, "index"), 1 << 47
-    old = rows.filter((F.col("id") < high) | (F.col("id") % 100 == 3))
-    index.save(index.postings(old), old, folder)
-    spark.read.parquet(f"{folder}/facts").select((F.lit(rows.count())).alias("files"), F.lit(high).alias("next_id")).write.parquet(f"{folder}/facts-new")
-    shutil.rmtree(_local(f"{folder}/facts"))
-    os.rename(_local(f"{folder}/facts-new"), _local(f"{folder}/facts"))
-    now = rows.filter("id % 10 <> 3")
+    """Postings of part of the catalog, saved and brought up to date: rows that went, and newer ones.
+
+    The facts are those of a catalog as large as today's, so that the saved postings are taken.
+    """
+    folder, high = scratch(spark, "index"), 1 << 47
+    fx.with_id(fx.catalog(spark, d)).select("id", "path").write.parquet(f"{folder}/catalog")  # made once for all jobs below
+    rows = spark.read.schema("id long, path string").parquet(f"{folder}/catalog")
+    old, now = rows.filter((F.col("id") < high) | (F.col("id") % 100 == 3)), rows.filter("id % 10 <> 3")
+    old = index.dealt(old, old.count())
+    index.save(index.postings(old), old, folder, now.agg(F.count("*").alias("files"), F.lit(high).alias("next_id")))
     return index.load(now, folder).groupBy("id").agg(F.count("*").alias("n"))
 
 

@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from pathloom import fixtures
+from pathloom import fixtures, queries
 from pathloom.operators import blocks, index, intervals, previews
 from pathloom.streaming.parts import PartTable
 
@@ -64,3 +64,38 @@ def test_a_small_part_is_one_file(spark, tmp_path):
     table.write(rows)
     assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, rows.collect()))
     assert len(list((tmp_path / "t").glob("of=*/part=*/*.parquet"))) == len(list((tmp_path / "t").glob("of=*/part=*")))
+
+
+def test_a_saved_index_is_read_and_its_catalog_made_once(spark, tmp_path, monkeypatch):
+    def seen(batches):
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from batches
+
+    made = spark.range(3000).coalesce(1).select(F.concat(F.lit("/data/x"), F.col("id") * 7, F.lit("/ab")).alias("path"), F.lit(False).alias("is_dir"), F.lit(1).alias("mtime"), F.lit(1).alias("size"))
+    monkeypatch.setattr(fixtures, "catalog", lambda spark, d: made.mapInArrow(seen, made.schema))
+    got = queries.saved_index(spark, "")
+    rows = {tuple(r) for r in got.collect()}
+    assert len(list(tmp_path.iterdir())) == 1
+    assert any("/postings/" in file for file in got.inputFiles())
+    names = {r.id: set(r.path.split("/")) for r in fixtures.with_id(made).collect() if r.id % 10 != 3}
+    assert rows == {(i, len({c[k : k + 3] for c in some for k in range(len(c) - 2)})) for i, some in names.items()}
+
+
+def test_saved_postings_are_not_shuffled(spark, tmp_path, monkeypatch, capsys):
+    pairs = lambda x: sorted((bytes(r.trigram), r.id) for r in x.collect())
+    rows = spark.createDataFrame([(i, f"/data/n{i}/abc") for i in range(200)] + [(None, "/none")], "id long, path string")
+    old, now = rows.filter("id is null or id < 150"), rows.filter("id % 5 <> 3")
+    dealt = index.dealt(old, 150)
+    assert dealt.rdd.getNumPartitions() == 1 and index.dealt(old, 3 * index.TASK_FILES + 1).rdd.getNumPartitions() == 4 and index.dealt(old, 0).count() == 151
+    index.save(index.postings(dealt), dealt, str(tmp_path))
+    want = pairs(index.postings(now))
+    by_size = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(by_size, "-1")
+    for held in (index.GONE_HELD, 0):
+        monkeypatch.setattr(index, "GONE_HELD", held)
+        brought = index.load(now, str(tmp_path))
+        capsys.readouterr()
+        brought.explain()
+        assert capsys.readouterr().out.count("BroadcastHashJoin") == (held > 0)
+        assert pairs(brought) == want
+    spark.conf.unset(by_size)
